@@ -81,7 +81,7 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
             continue
         branches = [frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in sorted(run) if s.isascii()]
         if len(branches) == len(run) and all(branches) and (not best or min(map(len, branches)) > min(map(len, best))):
-            best = list(dict.fromkeys(branches))
+            best = [b for b in dict.fromkeys(branches) if not any(other < b for other in branches)]  # the rest follow
         run = strings or {""}
     return best
 
@@ -90,33 +90,33 @@ def terms_of(rules: tuple[Rule, ...]) -> list[str]:
     return sorted({t for r in rules for branch in trigram_query(r.pattern) for t in branch})
 
 
-def _term_bits(text: Column, terms: list[str]) -> Column:
-    """Postings of a row: an array of bitmaps of 62 terms each."""
-    bit = lambda k, t: F.when(F.contains(F.lower(text), F.lit(t)), F.lit(1 << k % 62).cast("long")).otherwise(F.lit(0).cast("long"))
-    words = []
-    for a in range(0, len(terms), 62):
-        bits = [bit(k, t) for k, t in enumerate(terms[a : a + 62])]
-        word = bits[0]
-        for b in bits[1:]:
-            word = word.bitwiseOR(b)
-        words.append(word)
-    return F.array(*words).cast("array<bigint>")
-
-
 def indexed(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, postings)``; a null text counts as empty."""
+    """``(doc_id, text, postings_0, ...)``: bitmaps of 62 terms each; a null text counts as empty."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return own.withColumn("postings", _term_bits(F.col("text"), terms_of(rules)))
+    return _with_postings(own, terms_of(rules), "text")
+
+
+def _with_postings(df: DataFrame, terms: list[str], text_col: str, prefix: str = "postings") -> DataFrame:
+    """The folded text is a column of its own, so that it is made once and not for every term."""
+    folded = f"{prefix}_folded"
+    bit = lambda k, t: F.when(F.contains(folded, F.lit(t)), F.lit(1 << k % 62).cast("long")).otherwise(F.lit(0).cast("long"))
+    words = {}
+    for w in range(-(-len(terms) // 62)):
+        word, *rest = [bit(k, t) for k, t in enumerate(terms[62 * w : 62 * w + 62])]
+        for b in rest:
+            word = word.bitwiseOR(b)
+        words[f"{prefix}_{w}"] = word
+    return df.withColumn(folded, F.lower(F.col(f"`{text_col}`"))).withColumns(words).drop(folded)
 
 
 def posting_lists(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The index as a table ``(term, doc_id)``, to be written and queried without the texts."""
     terms = terms_of(rules)
-    has = F.array(*[F.when(F.col("postings")[k // 62].bitwiseAND(F.lit(1 << k % 62)) != 0, F.lit(t)) for k, t in enumerate(terms)])
+    has = F.array(*[F.when(F.col(f"postings_{k // 62}").bitwiseAND(F.lit(1 << k % 62)) != 0, F.lit(t)) for k, t in enumerate(terms)])
     return index.select(F.explode(F.array_compact(has)).alias("term"), "doc_id")
 
 
-def candidate(rule: Rule, rules: tuple[Rule, ...], postings: Column) -> Column:
+def candidate(rule: Rule, rules: tuple[Rule, ...], prefix: str = "postings") -> Column:
     """The rule's Boolean query over the postings; true where the rule has none."""
     terms = {t: k for k, t in enumerate(terms_of(rules))}
     hit = None
@@ -124,7 +124,7 @@ def candidate(rule: Rule, rules: tuple[Rule, ...], postings: Column) -> Column:
         both = None
         for w in sorted({terms[t] // 62 for t in branch}):
             mask = F.lit(sum(1 << terms[t] % 62 for t in branch if terms[t] // 62 == w)).cast("long")
-            part = postings[w].bitwiseAND(mask) == mask
+            part = F.col(f"{prefix}_{w}").bitwiseAND(mask) == mask
             both = part if both is None else both & part
         hit = both if hit is None else hit | both
     return F.lit(True) if hit is None else hit
@@ -154,7 +154,7 @@ def _prefix_sums(steps: Column) -> Column:
     return _let(steps, over)
 
 
-def _spans(rule: Rule, rank: int, rules: tuple[Rule, ...], text: Column, postings: Column) -> Column:
+def _spans(rule: Rule, rank: int, rules: tuple[Rule, ...], text: Column) -> Column:
     """Leftmost non-overlapping matches of a rule as ``(start, kind, end)`` in code points."""
     pattern = F.lit(rule.pattern)
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
@@ -169,7 +169,7 @@ def _spans(rule: Rule, rank: int, rules: tuple[Rule, ...], text: Column, posting
         kept = F.filter(F.arrays_zip(ends.alias("span"), values.alias("value")), lambda x: F.char_length(x["value"]) >= rule.least)
         return F.transform(kept, lambda x: x["span"])
 
-    hit = candidate(rule, rules, postings) & F.regexp_like(text, pattern)
+    hit = candidate(rule, rules) & F.regexp_like(text, pattern)
     return F.when(hit, _let(F.regexp_extract_all(text, pattern, F.lit(0)), spans)).otherwise(none)
 
 
@@ -180,7 +180,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     have none; repeated rows come back as often as they occur.
     """
     index = indexed(docs, rules, id_col, text_col)
-    found = index.select("doc_id", *[_spans(r, k, rules, F.col("text"), F.col("postings")).alias(f"kind_{k}") for k, r in enumerate(rules)])
+    found = index.select("doc_id", *[_spans(r, k, rules, F.col("text")).alias(f"kind_{k}") for k, r in enumerate(rules)])
     return found.select("doc_id", F.array_sort(F.concat(*[f"kind_{k}" for k in range(len(rules))])).alias("spans"))
 
 
@@ -201,11 +201,11 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "
     of the base rules.
     """
     out = docs
-    for rule in rules:
-        text = F.col(f"`{text_col}`")
-        bits = _term_bits(F.coalesce(text, F.lit("")), terms_of((rule,)))
-        hit = candidate(rule, (rule,), bits) & F.regexp_like(text, F.lit(rule.pattern))
-        out = out.withColumn(text_col, F.when(hit, _hidden(text, rule, mask)).otherwise(text))
+    for k, rule in enumerate(rules):
+        text, prefix = F.col(f"`{text_col}`"), f"_rule{k}"
+        out = _with_postings(out, terms_of((rule,)), text_col, prefix)
+        hit = candidate(rule, (rule,), prefix) & F.regexp_like(text, F.lit(rule.pattern))
+        out = out.withColumn(text_col, F.when(hit, _hidden(text, rule, mask)).otherwise(text)).select(*[f"`{c}`" for c in docs.columns])
     return out
 
 

@@ -34,7 +34,8 @@ def brute(text):
 
 def test_queries_hold_what_every_match_holds():
     assign, access, none = (secrets.trigram_query(r.pattern) for r in secrets.RULES)
-    assert {frozenset(["tok", "oke", "ken"]), frozenset(["api", "pik", "ike", "key"]), frozenset(["api", "pi_", "i_k", "_ke", "key"])} <= set(assign)
+    words = ("password", "passwd", "secret", "token", "api_key", "apikey")
+    assert set(assign) == {frozenset(w[i : i + 3] for i in range(len(w) - 2)) for w in words}
     assert access == [frozenset(["aki", "kia"])] and none == []
     assert secrets.trigram_query("ab[cd]ef+") == [frozenset(["abc", "bce"]), frozenset(["abd", "bde"])]
     assert secrets.trigram_query("(abc|d)x") == []
