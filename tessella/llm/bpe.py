@@ -16,6 +16,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -159,15 +160,19 @@ def _decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["key", "bytes"])
 
 
-def _digest_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+def _digest_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
+        counts, digests, every = [], [], []
         for t in batch.column(1):
             ids = encode(t.as_py(), path, pattern)
-            rows.append((len(ids) // 4, sha(ids), sha(decode(ids, path))))
-        n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+            counts.append(len(ids) // 4)
+            digests.append([hashlib.sha256(raw).hexdigest() for raw in (ids, decode(ids, path))])
+            if keep_ids:
+                every.append(ids)
+        columns = [batch.column(0), pa.array(counts, pa.int64()), *(pa.array([d[k] for d in digests], pa.string()) for k in (0, 1))]
+        if keep_ids:
+            columns.append(pa.ListArray.from_arrays(np.cumsum([0, *counts], dtype=np.int32), np.frombuffer(b"".join(every), np.int32)))
+        yield pa.RecordBatch.from_arrays(columns, ["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
 
 def _over(df: DataFrame, id_col: str, value_col: str, kind: str, step, columns: str) -> DataFrame:
@@ -185,6 +190,7 @@ def decoded(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return _over(tokens, id_col, ids_col, "binary", partial(_decode_batches, path=path), "bytes binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode every row: ``(id, n_tokens, ids_sha256, decoded_sha256)``."""
-    return _over(docs, id_col, text_col, "string", partial(_digest_batches, path=path, pattern=pattern), "n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Encode every row and decode its ids: ``(id, n_tokens, ids_sha256, decoded_sha256)``, and ``ids`` if asked for."""
+    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return _over(docs, id_col, text_col, "string", partial(_digest_batches, path=path, pattern=pattern, keep_ids=keep_ids), columns)

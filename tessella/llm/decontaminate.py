@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import spare_name, written
+
 WINDOW = 13
 COVERAGE = 20  # contaminated from one hit word in so many
 BLOCK_WORDS = 100_000
@@ -230,6 +232,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAG
     )
 
 
+def _clean_batches(batches: Iterator[pa.RecordBatch], automaton, coverage: int) -> Iterator[pa.RecordBatch]:
+    own: SuffixAutomaton = automaton.value
+    for batch in batches:
+        keep = []
+        for text in batch.column(0).cast(pa.binary()):
+            words = words_of(text.as_py())
+            n = sum(e - s for s, e in own.matches(words)[0])
+            keep.append(not n or coverage * n < len(words))
+        yield pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:]).filter(pa.array(keep))
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: int = COVERAGE, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, unchanged.
+
+    One block of items: a narrow pass. Several: rows are left out by id, and a row without id stays.
+    """
+    blocks = item_blocks(benchmark, "item_id", "text", window, block_words)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        own = docs.select(F.col(text_col).cast("string").alias(spare_name(docs, "text_in")), *[F.col(f"`{c}`") for c in docs.columns])
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+        return own.mapInArrow(partial(_clean_batches, automaton=docs.sparkSession.sparkContext.broadcast(first), coverage=coverage), columns)
+    bad = contamination(docs, benchmark, coverage, id_col=id_col, text_col=text_col, window=window, block_words=block_words).where("contaminated")
+    bad_id = spare_name(docs, "bad_id")
+    return docs.join(written(bad.select(F.col("doc_id").alias(bad_id)), "contaminated"), F.col(id_col) == F.col(bad_id), "left_anti")
+
+
 def _cut(batches: Iterator[pa.RecordBatch], automaton, coverage: int) -> Iterator[pa.RecordBatch]:
     """Texts without the lines' hit words where the coverage limit is reached."""
     own: SuffixAutomaton = automaton.value

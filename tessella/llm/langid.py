@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import spare_name
+
 BITS, ORDERS = 16, 4
 UNKNOWN = "und"
 PER_LANGUAGE = 700  # documented bound of the training sample: rows of a language
@@ -193,16 +195,31 @@ def _predict_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
 
 
-def predicted(docs: DataFrame, model: Model, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """``keep`` columns (all of ``docs`` by default) with ``lang_pred`` and ``score``, in one narrow pass.
+def _known_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names, _ = model.value.predict(batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:]).filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+
+
+def _over(docs: DataFrame, text_col: str, keep: list[Column], step, more: str) -> DataFrame:
+    own = docs.select(F.col(text_col).cast("string").alias(spare_name(docs, "text_in")), *keep)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:])
+    return own.mapInArrow(step, columns + more)
+
+
+def predicted(docs: DataFrame, model: Model, text_col: str, keep: list[Column]) -> DataFrame:
+    """The columns ``keep`` with ``lang_pred`` and ``score``, in one narrow pass.
 
     A null text or one without a letter has UNKNOWN and score 0.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns] if keep is None else keep
-    own = docs.select(F.col(text_col).cast("string").alias("text_in"), *kept)
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return own.mapInArrow(partial(_predict_batches, model=shared), f"{columns}, lang_pred string, score double")
+    return _over(docs, text_col, keep, partial(_predict_batches, model=shared), ", lang_pred string, score double")
+
+
+def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have a language, unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return _over(docs, text_col, [F.col(f"`{c}`") for c in docs.columns], partial(_known_batches, model=shared), "")
 
 
 def held_out(id_col: str = "doc_id", modulus: int = 4, remainder: int = 2) -> Column:

@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import spare_name
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -202,7 +204,7 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "
     """
     out = docs
     for k, rule in enumerate(rules):
-        text, prefix = F.col(f"`{text_col}`"), f"_rule{k}"
+        text, prefix = F.col(f"`{text_col}`"), spare_name(docs, f"postings_of_rule_{k}")
         out = _with_postings(out, terms_of((rule,)), text_col, prefix)
         hit = candidate(rule, (rule,), prefix) & F.regexp_like(text, F.lit(rule.pattern))
         out = out.withColumn(text_col, F.when(hit, _hidden(text, rule, mask)).otherwise(text)).select(*[f"`{c}`" for c in docs.columns])

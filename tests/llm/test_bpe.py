@@ -59,10 +59,10 @@ def test_queue_gives_least_rank_then_least_position():
 def test_frames(spark):
     rows = [(i, t, 1) for i, t in enumerate([*texts()[:20], None])]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
-    got = {r.doc_id: r for r in bpe.digests(df, PATH, PATTERN).collect()}
+    got = {r.doc_id: r for r in bpe.digests(df, PATH, PATTERN, keep_ids=True).collect()}
     for i, t, _ in rows:
         ids = bpe.encode(t, PATH, PATTERN)
-        assert got[i].n_tokens == len(ids) // 4
+        assert got[i].n_tokens == len(ids) // 4 and got[i].ids == unpack(ids)
         assert got[i].ids_sha256 == hashlib.sha256(ids).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     back = bpe.decoded(bpe.encoded(df, PATH, PATTERN), PATH)

@@ -76,3 +76,14 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in dc.contamination(d, b).collect()] == [False]
     assert dc.contamination(d.where("doc_id > 1"), b).count() == 0
+
+
+def test_clean_rows_stay_unchanged(spark):
+    docs, items = data()
+    d = spark.createDataFrame([(i, t, "s") for i, t in docs] + [(None, items[10][1], "n")], "doc_id long, text string, text_in string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    bad = {i for i, r in brute(docs, items).items() if r[4]}
+    want = {(i, t, "s") for i, t in docs if i not in bad}
+    assert {tuple(r) for r in dc.uncontaminated(d, b).collect()} - {(None, items[10][1], "n")} == want
+    assert {tuple(r) for r in dc.uncontaminated(d, b, block_words=60).collect()} - {(None, items[10][1], "n")} == want
+    assert dc.uncontaminated(d, b.where("item_id < 0")).count() == d.count()
