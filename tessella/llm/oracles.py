@@ -52,3 +52,23 @@ items AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
   sha256(coalesce(listed, '')) AS items_sha256, coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+TOP_K = """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+CHAT = """WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+whole AS (
+  SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS t, max(turn) AS stop, count(*) AS n_turns,
+    string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS text
+  FROM turns GROUP BY conv_id),
+once AS (SELECT min(conv_id) AS conv_id, t, stop, n_turns, text, count(*) AS n_copies FROM whole GROUP BY ALL),
+inner_parts AS (
+  SELECT DISTINCT list_filter(w.t, lambda x: x.turn <= p.stop) AS t FROM whole AS w
+  JOIN (SELECT DISTINCT conv_id, turn AS stop FROM turns) AS p USING (conv_id) WHERE p.stop < w.stop)
+SELECT conv_id, n_turns, n_copies, text FROM once WHERE t NOT IN (SELECT t FROM inner_parts)"""
