@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding (operator 2).
 
 A pre-token's bytes form a linked list. Every adjacent pair whose joint bytes have a rank
-stands in the bucket of that rank, a heap of list positions; a three-level bitmap over
-the ranks finds the lowest bucket in use by find-first-set. A popped entry that no longer
+stands in the bucket of that rank, a heap of list positions; a two-level bitmap over the
+ranks finds the lowest bucket in use by find-first-set. A popped entry that no longer
 describes its pair is stale and skipped. Work is near linear in the length, so pre-tokens
 of millions of bytes are no special case. Short pre-tokens are memoised per worker.
 """
@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import struct
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -22,76 +22,66 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MEMO_ENTRIES, _MEMO_BYTES = 400_000, 64
-
-
-class RankQueue:
-    """Buckets of positions by rank, least rank first and within it least position first."""
-
-    def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.levels = []
-        while not self.levels or len(self.levels[-1]) > 1:
-            ranks = -(-ranks // 64)
-            self.levels.append([0] * max(1, ranks))
-
-    def push(self, rank: int, position: int) -> None:
-        if bucket := self.buckets.get(rank):
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            rank, bit = rank >> 6, 1 << (rank & 63)
-            used, level[rank] = level[rank], level[rank] | bit
-            if used:
-                return
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.levels[-1][0]:
-            return None
-        rank = 0
-        for level in reversed(self.levels):
-            word = level[rank]
-            rank = rank << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                at, bit = at >> 6, 1 << (at & 63)
-                level[at] ^= bit
-                if level[at]:
-                    break
-        return rank, position
+_MEMO_ENTRIES, _MEMO_BYTES = 1_000_000, 64
+_BITS = 8  # ranks of a block of the lower level, as a power of two
+_LOW = (1 << _BITS) - 1
 
 
-def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a pre-token: adjacent parts are joined lowest rank first, leftmost first."""
-    whole = ranks.get(piece)
+    get = ranks.get
+    whole = get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
     end = list(range(1, n + 1))  # of the part that starts at a position; 0: joined to the part before
     before = list(range(-1, n - 1))
+    # bit h of top: some rank of block h is in use; bit r & _LOW of blocks[h]: rank r is
+    buckets: dict[int, list[int]] = {}
+    blocks: dict[int, int] = {}
+    top = 0
     for i in range(n - 1):
-        if (r := ranks.get(piece[i : i + 2])) is not None:
-            queue.push(r, i)
-    while (found := queue.pop()) is not None:
-        rank, i = found
+        if (r := get(piece[i : i + 2])) is not None:
+            if r in buckets:
+                buckets[r].append(i)
+            else:
+                buckets[r] = [i]
+                h = r >> _BITS
+                blocks[h] = blocks.get(h, 0) | 1 << (r & _LOW)
+                top |= 1 << h
+    while top:
+        h = (top & -top).bit_length() - 1
+        block = blocks[h]
+        rank = h << _BITS | (block & -block).bit_length() - 1
+        bucket = buckets[rank]
+        i = heappop(bucket)
+        if not bucket:
+            del buckets[rank]
+            blocks[h] = block = block & (block - 1)
+            if not block:
+                top &= top - 1
         j = end[i]
         if not j or j >= n:
             continue
         k = end[j]
-        if ranks.get(piece[i:k]) != rank:  # stale: a side has grown since
+        if get(piece[i:k]) != rank:  # stale: a side has grown since
             continue
         end[i], end[j] = k, 0
+        pairs = []
         if k < n:
             before[k] = i
-            if (r := ranks.get(piece[i : end[k]])) is not None:
-                queue.push(r, i)
-        if (p := before[i]) >= 0 and (r := ranks.get(piece[p:k])) is not None:
-            queue.push(r, p)
+            pairs.append((i, end[k]))
+        if (p := before[i]) >= 0:
+            pairs.append((p, k))
+        for p, e in pairs:
+            if (r := get(piece[p:e])) is not None:
+                if r in buckets:
+                    heappush(buckets[r], p)
+                else:
+                    buckets[r] = [p]
+                    h = r >> _BITS
+                    blocks[h] = blocks.get(h, 0) | 1 << (r & _LOW)
+                    top |= 1 << h
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -114,11 +104,12 @@ class _Memo(dict):
     """Packed ids of pre-tokens; emptied when full, and long ones aren't kept."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.queue = ranks, RankQueue(max(ranks.values()) + 1)
+        super().__init__()
+        self.ranks = ranks
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
-        ids = merge(raw, self.ranks, self.queue)
+        ids = merge(raw, self.ranks)
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(raw) <= _MEMO_BYTES:
             if len(self) >= _MEMO_ENTRIES:

@@ -8,10 +8,11 @@ def _either(word: str) -> str:
 
 
 _NAMES = "|".join([*(_either(w) for w in ("password", "passwd", "secret", "token")), _either("api") + "_?" + _either("key")])
+#: Name, pattern, group, least length, and a plainer pattern that texts with a span must match.
 _KINDS = (
-    ("assign", f"""({_NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    ("access", "AKIA[A-Z0-9]+", 0, 16),
-    ("hex", "[0-9a-f]+", 0, 32),
+    ("assign", f"""({_NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8, _NAMES),
+    ("access", "AKIA[A-Z0-9]+", 0, 16, "AKIA"),
+    ("hex", "[0-9a-f]+", 0, 32, "[0-9a-f]{32}"),
 )
 
 _KIND_SQL = "\nUNION ALL\n".join(
@@ -20,8 +21,9 @@ _KIND_SQL = "\nUNION ALL\n".join(
     'start': list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
     'stop': list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))),
     'n': length(v[i])}}), lambda x: x.n >= {least})) AS s
-  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v, string_split_regex(t, '{pattern}') AS g FROM texts))"""
-    for rank, (name, pattern, group, least) in enumerate(_KINDS)
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v, string_split_regex(t, '{pattern}') AS g
+    FROM texts WHERE regexp_matches(t, '{some}')))"""
+    for rank, (name, pattern, group, least, some) in enumerate(_KINDS)
 )
 
 SECRETS = f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

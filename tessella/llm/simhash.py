@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.components import connected_components
+from tessella.operators.components import connected_components
 from tessella.session import written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3

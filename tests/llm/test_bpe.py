@@ -40,20 +40,24 @@ def test_other_vocabulary():
         assert unpack(bpe.encode(t, path, PATTERN)) == enc.encode_ordinary(t)
 
 
-def test_queue_gives_least_rank_then_least_position():
+def test_merges_match_a_plain_search():
     r = random.Random(4)
-    q, held = bpe.RankQueue(300_000), []
-    for _ in range(3000):
-        if r.random() < 0.6:
-            x = (r.randrange(300_000) if r.random() < 0.5 else r.randrange(5), r.randrange(1000))
-            q.push(*x)
-            held.append(x)
-        elif held:
-            held.sort()
-            assert q.pop() == held.pop(0)
-    for x in sorted(held):
-        assert q.pop() == x
-    assert q.pop() is None
+    tokens = [bytes([c]) for c in b"abc"]
+    while len(tokens) < 700:
+        t = r.choice(tokens) + r.choice(tokens)
+        if t not in tokens and len(t) < 9:
+            tokens.append(t)
+    r.shuffle(tokens)
+    ranks = {t: i for i, t in enumerate(tokens)}
+    for _ in range(300):
+        piece = bytes(r.choices(b"aab" if r.random() < 0.3 else b"abc", k=r.randrange(1, 40)))
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while len(parts) > 1 and piece not in ranks:
+            rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
+            if rank == 1 << 30:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert bpe.merge(piece, ranks) == ([ranks[piece]] if piece in ranks else [ranks[p] for p in parts])
 
 
 def test_frames(spark):

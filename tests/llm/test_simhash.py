@@ -3,7 +3,7 @@ import random
 import xxhash
 
 from tessella.llm import simhash
-from tessella.llm.components import connected_components
+from tessella.operators.components import connected_components
 
 
 def brute_print(text):
