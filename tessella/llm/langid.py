@@ -162,7 +162,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     id; a fifth of it is kept from the weights and sets the temperature.
     """
     own = train.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.abs(F.xxhash64(id_col) % 1_000_003).alias("row")).where("text is not null and lang is not null")
-    counted = own.select("text", "lang").mapInArrow(_count_batches, "key string, is_lang boolean, n long").groupBy("key", "is_lang").agg(F.sum("n").alias("n")).toPandas()
+    counted = own.select("text", "lang").mapInArrow(_count_batches, "key string, is_lang boolean, n long").groupBy("key", "is_lang").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     if len(counted) == 0 or not counted.is_lang.any():
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
     sizes = {k: int(n) for k, n in counted[counted.is_lang][["key", "n"]].itertuples(index=False)}
@@ -173,12 +173,13 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     df[terms.key.astype(int).to_numpy()] = terms.n.to_numpy()
     idf = np.log((1 + sum(sizes.values())) / (1 + df)) + 1
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, per_language / n) * 1_000_003))])
-    sample = own.where(F.col("row") < share[F.col("lang")]).mapInArrow(_sample_batches, "lang string, row long, slots array<int>, counts array<int>").toPandas()
-    sample = sample.sort_values(["row", "lang"], kind="stable")
+    sample = own.where(F.col("row") < share[F.col("lang")]).mapInArrow(_sample_batches, "lang string, row long, slots array<int>, counts array<int>").toArrow()
+    sample = sample.sort_by([("row", "ascending"), ("lang", "ascending")])
     languages = sorted(sizes)
     rows, place = [], {k: i for i, k in enumerate(languages)}
-    for lang, at, c in zip(sample.lang, sample.slots, sample.counts, strict=True):
-        rows.append((np.asarray(at), np.asarray(c) / np.sum(c) * idf[at] , place[lang]))
+    for lang, at, c in zip(sample["lang"].to_pylist(), sample["slots"], sample["counts"], strict=True):
+        at, c = at.values.to_numpy(), c.values.to_numpy()
+        rows.append((at, (c / c.sum() * idf[at]).astype(np.float32), place[lang]))
     # scale: rows of about unit length keep the step sizes meaningful
     scale = 1 / max(1e-12, float(np.mean([np.sqrt((x * x).sum()) for _, x, _ in rows]))) if rows else 1.0
     rows = [(at, x * scale, y) for at, x, y in rows]
