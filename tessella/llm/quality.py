@@ -179,7 +179,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
     known = labels.select(F.col("doc_id").alias("label_id"), F.col(label_col).cast("double").alias("label")).where("label is not null")
     share = min(1.0, sample / max(1, known.count()))
     known = known.where(F.abs(F.xxhash64("label_id") % 1_000_003) < int(share * 1_000_003) + 1)
-    rows = stats.join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", *FEATURES, "label").toPandas()
+    rows = stats.join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", *FEATURES, "label").toArrow().to_pandas()
     rows = rows.sort_values(["doc_id", *FEATURES], kind="stable")
     return fit_forest(rows[list(FEATURES)].to_numpy(float), rows.label.to_numpy(float))
 
