@@ -40,15 +40,11 @@ def normalised(pixels: Column) -> Column:
     return F.transform(pixels, lambda p: p / F.lit(255.0))
 
 
-def _truncated(x: Column) -> Column:
-    return F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x)).cast("int")
-
-
 def float_to_byte(pixels: Column) -> Column:
-    """NaN and null to 255; clipped to 0-255 if any value is above 1, else times 255; truncated."""
+    """NaN and null to 255. If any value is above 1, clipped to 0-255 and truncated; else times 255 and rounded, halves to even."""
     filled = F.transform(pixels, lambda p: F.when(p.isNull() | F.isnan(p), F.lit(255.0)).otherwise(p.cast("double")))
     top = F.array_max(filled)
-    return F.transform(filled, lambda p: _truncated(F.least(F.greatest(F.when(top > 1, p).otherwise(p * 255), F.lit(0.0)), F.lit(255.0))))
+    return F.transform(filled, lambda p: F.floor(F.least(F.greatest(F.when(top > 1, p).otherwise(F.rint(p * 255)), F.lit(0.0)), F.lit(255.0))).cast("int"))
 
 
 def wide_to_byte(pixels: Column, nodata: int | None = None) -> Column:

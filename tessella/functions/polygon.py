@@ -107,3 +107,30 @@ def unnormalised(b: Column, original: Column, size: float = 100.0) -> Column:
     """A box in the normalised square, put back into the bounds ``original``."""
     by = F.greatest(original["maxx"] - original["minx"], original["maxy"] - original["miny"]) / size
     return box(b["minx"] * by + original["minx"], b["miny"] * by + original["miny"], b["maxx"] * by + original["minx"], b["maxy"] * by + original["miny"])
+
+
+def contains_point(ring: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies inside a closed ring: parity of the edges that a ray to the right crosses."""
+    edges = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    across = lambda e: ((e["p"]["y"] > y) != (e["q"]["y"] > y)) & (
+        x < F.try_divide((e["q"]["x"] - e["p"]["x"]) * (y - e["p"]["y"]), e["q"]["y"] - e["p"]["y"]) + e["p"]["x"]
+    )
+    return F.size(F.filter(edges, across)) % 2 == 1
+
+
+def shape_contains(shape: Column, x: Column, y: Column) -> Column:
+    """Inside a part's exterior and outside its holes."""
+    inside = lambda part: contains_point(part[0], x, y) & ~F.exists(F.slice(part, F.lit(2), F.greatest(F.size(part) - 1, F.lit(0))), lambda r: contains_point(r, x, y))
+    return F.exists(shape, inside)
+
+
+def distance_to_ring(ring: Column, x: Column, y: Column) -> Column:
+    """Least distance of a point from the edges of a ring."""
+
+    def far(p: Column, q: Column) -> Column:
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        t = F.coalesce(F.try_divide((x - p["x"]) * dx + (y - p["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))
+        t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+        return F.hypot(p["x"] + t * dx - x, p["y"] + t * dy - y)
+
+    return F.array_min(F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), far))

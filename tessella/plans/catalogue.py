@@ -466,7 +466,7 @@ def pixel_skip_ratio(spark, d):
     return own.join(kept, F.col("patch_id") == F.col("kept_id"), "left").select("patch_id", _round(share).alias("ratio"), F.col("kept_id").isNotNull().alias("keep"))
 
 
-@query(f"WITH {_PIXELS}\nSELECT patch_id, CAST(sum(trunc(least(greatest(CAST(v AS DOUBLE) * 255, 0), 255))) AS BIGINT) AS total FROM px GROUP BY patch_id")
+@query(f"WITH {_PIXELS}\nSELECT patch_id, CAST(sum(least(greatest(round_even(CAST(v AS DOUBLE) * 255, 0), 0), 255)) AS BIGINT) AS total FROM px GROUP BY patch_id")
 def pixel_uint8(spark, d):
     own = table(spark, d, "embeddings").select(F.col("vec_id").alias("patch_id"), X.float_to_byte(F.col("embedding")).alias("band"))
     return own.select("patch_id", F.aggregate("band", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
