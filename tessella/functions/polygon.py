@@ -31,6 +31,11 @@ def of_coco(lists: Column) -> Column:
     return F.transform(lists, lambda flat: F.array(ring_of_coco(flat)))
 
 
+def flat_area(flat: Column) -> Column:
+    """Area of a polygon given as a flat coordinate list."""
+    return F.abs(_twice_signed_area(ring_of_coco(flat))) / 2
+
+
 def coco_bounds(lists: Column) -> Column:
     """Bounding box of COCO coordinate lists."""
     flat = lambda odd: F.flatten(F.transform(lists, lambda v: F.filter(v, lambda x, i: i % 2 == odd)))

@@ -20,7 +20,11 @@ class Cells:
         return sum((c - a) * (d - b) for a, b, c, d in self.boxes)
 
     def intersection_area(self, other: Cells) -> float:
-        return sum(max(0.0, min(p[2], q[2]) - max(p[0], q[0])) * max(0.0, min(p[3], q[3]) - max(p[1], q[1])) for p in self.boxes for q in other.boxes)
+        return self.common(other).area
+
+    def common(self, other: Cells) -> Cells:
+        found = [(max(p[0], q[0]), max(p[1], q[1]), min(p[2], q[2]), min(p[3], q[3])) for p in self.boxes for q in other.boxes]
+        return Cells([b for b in found if b[0] < b[2] and b[1] < b[3]])
 
     def minus(self, other: Cells) -> Cells:
         left = self.boxes

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import box as B
+from tessella.functions.rectilinear import Cells
 from tessella.operators.grid import cell_of
 from tessella.operators.spatial import cell_join
+from tessella.session import written
 
 
 @dataclass(frozen=True)
@@ -75,20 +78,19 @@ def quotas(counts: DataFrame, aois: list[Aoi]) -> DataFrame:
     return counts.select("raster_id", F.inline(rows))
 
 
-def _column_major_rank(tiles: DataFrame) -> DataFrame:
-    """``rank`` from 0 down each grid column, columns left to right, by column counts and ranks inside a column:
-    no window holds more than a column of tiles."""
-    columns = tiles.groupBy("raster_id", "grid_col").agg(F.count(F.lit(1)).alias("in_col"))
-    w = Window.partitionBy("raster_id").orderBy("grid_col").rowsBetween(Window.unboundedPreceding, -1)
+def _grouped_rank(tiles: DataFrame, outer: str, *inner) -> DataFrame:
+    """``rank`` from 0 by ``outer`` and then ``inner`` in each raster, and the raster's count ``n``.
+
+    From the counts of the outer groups and ranks inside of them: no window holds more than
+    an outer group (a grid column, a front) of tiles.
+    """
+    groups = tiles.groupBy("raster_id", outer).agg(F.count(F.lit(1)).alias("size"))
     whole = Window.partitionBy("raster_id")
-    columns = columns.select(
-        F.col("raster_id").alias("of_raster"),
-        F.col("grid_col").alias("of_col"),
-        F.coalesce(F.sum("in_col").over(w), F.lit(0)).alias("before"),
-        F.sum("in_col").over(whole).alias("n"),
-    )
-    inside = F.row_number().over(Window.partitionBy("raster_id", "grid_col").orderBy("grid_row", "tile_id")) - 1
-    return tiles.withColumn("inside", inside).join(columns, (F.col("raster_id") == F.col("of_raster")) & (F.col("grid_col") == F.col("of_col"))).withColumn("rank", F.col("before") + F.col("inside"))
+    before = F.coalesce(F.sum("size").over(whole.orderBy(outer).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.select(F.col("raster_id").alias("of_raster"), F.col(outer).alias("of_group"), before.alias("before"), F.sum("size").over(whole).alias("n"))
+    inside = F.row_number().over(Window.partitionBy("raster_id", outer).orderBy(*inner)) - 1
+    out = tiles.withColumn("inside", inside).join(groups, (F.col("raster_id") == F.col("of_raster")) & (F.col(outer) == F.col("of_group")))
+    return out.withColumn("rank", F.col("before") + F.col("inside")).drop("inside", "before", "of_raster", "of_group")
 
 
 def band(tiles: DataFrame, aois: list[Aoi], step: int) -> DataFrame:
@@ -98,7 +100,7 @@ def band(tiles: DataFrame, aois: list[Aoi], step: int) -> DataFrame:
     """
     check_aois(aois)
     row, col = cell_of(F.col("row"), F.col("col"), step)
-    ranked = _column_major_rank(tiles.withColumn("grid_row", row).withColumn("grid_col", col))
+    ranked = _grouped_rank(tiles.withColumn("grid_row", row).withColumn("grid_col", col), "grid_col", "grid_row", "tile_id")
     by = _quota_columns(F.col("n"), aois)
     aoi, until = F.lit(None).cast("string"), F.lit(0).cast("long")
     for a in _ordered(aois):
@@ -111,17 +113,49 @@ def corner(tiles: DataFrame, aois: list[Aoi], step: int) -> DataFrame:
     """As ``band``, but each area grows L by L from a corner of its own: upper left, upper right, lower left, lower right."""
     check_aois(aois, "corner")
     row, col = cell_of(F.col("row"), F.col("col"), step)
-    left = tiles.withColumn("grid_row", row).withColumn("grid_col", col)
-    whole = Window.partitionBy("raster_id")
-    left = left.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("last_row", F.max("grid_row").over(whole)).withColumn("last_col", F.max("grid_col").over(whole)).withColumn("aoi", F.lit(None).cast("string"))
-    by = _quota_columns(F.col("n"), aois)
+    sizes = tiles.groupBy("raster_id").agg(F.count(F.lit(1)).alias("n_tiles"), F.max(row).alias("last_row"), F.max(col).alias("last_col"))
+    rest = tiles.withColumn("grid_row", row).withColumn("grid_col", col).join(sizes, "raster_id")
+    by = _quota_columns(F.col("n_tiles"), aois)
+    out = []
     for i, a in enumerate(_ordered(aois)):
         at = (a.position or i + 1) - 1
         r = F.col("last_row") - F.col("grid_row") if at >= 2 else F.col("grid_row")
         c = F.col("last_col") - F.col("grid_col") if at % 2 else F.col("grid_col")
-        front = Window.partitionBy("raster_id").orderBy(F.col("aoi").isNotNull(), F.greatest(r, c), F.when(r > c, 0).otherwise(1), F.least(r, c), "tile_id")
-        left = left.withColumn("place", F.row_number().over(front)).withColumn("aoi", F.coalesce("aoi", F.when(F.col("place") <= by[a.name], F.lit(a.name))))
-    return left.select(*tiles.columns, "aoi")
+        fronts = rest.withColumn("front", F.greatest(r, c))
+        placed = written(_grouped_rank(fronts, "front", F.when(r > c, 0).otherwise(1), F.least(r, c), "tile_id"), "fronts")
+        out.append(placed.where(F.col("rank") < by[a.name]).withColumn("aoi", F.lit(a.name)))
+        rest = placed.where(F.col("rank") >= by[a.name]).drop("n", "rank", "front")
+    return reduce(DataFrame.unionByName, out).select(*tiles.columns, "aoi")
+
+
+def _redistributed(group: pd.DataFrame, shares: dict[str, float], priority: str | None) -> pd.DataFrame:
+    areas: dict[str, Cells] = {}
+    for r in group.itertuples():
+        own = Cells.of_box(r.minx, r.miny, r.maxx, r.maxy)
+        areas[r.aoi] = Cells(areas[r.aoi].boxes + own.minus(areas[r.aoi]).boxes) if r.aoi in areas else own
+    names = sorted(areas, key=lambda k: (areas[k].area, k))
+    for i, one in enumerate(names):
+        for other in names[:i]:
+            for a in areas[one].common(areas[other]).boxes:
+                share = 1.0 if one == priority else 0.0 if other == priority else shares[one] / (shares[one] + shares[other])
+                middle = a[0] + (a[2] - a[0]) * share  # the left part stays with the first, the right with the second
+                areas[other] = areas[other].minus(Cells([(a[0], a[1], middle, a[3])]))
+                areas[one] = areas[one].minus(Cells([(middle, a[1], a[2], a[3])]))
+    rows = [(group.raster_id.iloc[0], k, *b) for k in names for b in areas[k].boxes]
+    return pd.DataFrame(rows, columns=["raster_id", "aoi", "minx", "miny", "maxx", "maxy"])
+
+
+def redistributed(features: DataFrame, aois: list[Aoi]) -> DataFrame:
+    """Features ``(raster_id, aoi, area)`` made disjoint between areas.
+
+    Where two areas overlap the one with priority keeps all; else each part is cut in the
+    ratio of their shares. A raster's areas are few boxes and form one group.
+    """
+    flat = features.select("raster_id", "aoi", *[F.col(f"area.{c}").cast("double").alias(c) for c in ("minx", "miny", "maxx", "maxy")])
+    shares, priority = {a.name: a.percentage for a in aois}, next((a.name for a in aois if a.priority), None)
+    kind = features.schema["raster_id"].dataType.simpleString()
+    out = flat.groupBy("raster_id").applyInPandas(partial(_redistributed, shares=shares, priority=priority), f"raster_id {kind}, aoi string, minx double, miny double, maxx double, maxy double")
+    return out.select("raster_id", "aoi", B.box("minx", "miny", "maxx", "maxy").alias("area"))
 
 
 def renamed(df: DataFrame, aois: list[Aoi]) -> DataFrame:

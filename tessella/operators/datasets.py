@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import box as B
+from tessella.functions import rle as R
 
 
 def padded(b: Column, width: Column, height: Column, by: float) -> Column:
@@ -37,6 +38,29 @@ def detection_items(tiles: DataFrame, labels: DataFrame, padding: float = 0.0, f
     return items.select("tile_idx", F.col("rows.box").alias("boxes"), F.col("rows.label").alias("labels"), F.col("rows.area").alias("areas"), F.transform("rows", lambda r: F.lit(0)).alias("iscrowd"))
 
 
+def segmentation_items(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(tile_idx, masks, labels)``: runs of the labels that have some, but the classes of all labels, in label order."""
+    row = F.struct("label_id", "runs", category_or(F.col("category_id")).alias("label"))
+    items = labels.groupBy("tile_idx").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    out = tiles.select("tile_idx").join(items, "tile_idx", "left")
+    return out.select("tile_idx", F.array_compact("rows.runs").alias("masks"), F.col("rows.label").alias("labels"))
+
+
+def instance_items(tiles: DataFrame, labels: DataFrame, padding: float = 0.0) -> DataFrame:
+    """``(tile_idx, boxes, masks, labels, areas)``: areas are those of the masks."""
+    found = detection_items(tiles, labels, padding).select("tile_idx", "boxes")
+    masks = segmentation_items(tiles, labels)
+    return masks.join(found, "tile_idx", "left").withColumn("areas", F.transform("masks", R.area))
+
+
+def cloud_items(points: DataFrame, label: str = "semantic_label") -> DataFrame:
+    """``(tile_id, positions, labels)`` of labelled cloud tiles, points in order of their id; a point without label has NaN."""
+    value = F.coalesce(F.col(label).cast("double"), F.lit(float("nan")))
+    rows = F.sort_array(F.collect_list(F.struct("point_id", F.array(*[F.col(c).cast("float") for c in "xyz"]).alias("p"), value.alias("v"))))
+    out = points.groupBy("tile_id").agg(rows.alias("rows"))
+    return out.select("tile_id", F.col("rows.p").alias("positions"), F.col("rows.v").alias("labels"))
+
+
 def classification_items(tiles: DataFrame, labels: DataFrame) -> DataFrame:
     """``(tile_idx, label)``: the first label's category; none, null or -1 is 0."""
     first = labels.groupBy("tile_idx").agg(F.min(F.struct("label_id", "category_id")).alias("first"))

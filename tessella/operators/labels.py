@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import box as B
+from tessella.functions import polygon as P
+from tessella.functions.kernels import clip_to_box
 from tessella.operators.spatial import cell_join, self_pairs
 
 
@@ -35,6 +37,19 @@ def tile_overlap(tiles: DataFrame, labels: DataFrame, ratio: tuple[int, int] = (
     return pairs.where(F.col("common_area") * den > B.area(F.col("shape")) * num)
 
 
+def tile_overlap_polygons(tiles: DataFrame, labels: DataFrame, ratio: float = 0.9, cell: float = 128.0) -> DataFrame:
+    """As ``tile_overlap`` for polygons: ``labels(raster_id, label_id, flat)`` with flat coordinate lists.
+
+    ``flat_common``: the polygon cut to the tile. Candidates come from the bounding boxes.
+    """
+    own = labels.select(F.col("raster_id").alias("of_raster"), "label_id", "flat", P.coco_bounds(F.array("flat")).alias("shape"))
+    pairs = cell_join(tiles, own, "tile", "shape", [("raster_id", "of_raster")], cell).drop("of_raster")
+    t = F.col("tile")
+    pairs = pairs.withColumn("flat_common", clip_to_box("flat", *[t[c].cast("double") for c in ("minx", "miny", "maxx", "maxy")]))
+    pairs = pairs.withColumn("common_area", P.flat_area(F.col("flat_common")))
+    return pairs.where(F.col("common_area") > ratio * P.flat_area(F.col("flat")))
+
+
 def in_tile_pixels(pairs: DataFrame, least_side: float = 0.5) -> DataFrame:
     """``shape`` clipped to its tile and moved to the tile's origin; slivers go."""
     moved = pairs.withColumn("shape", B.translate(F.col("common"), -F.col("col"), -F.col("row")))

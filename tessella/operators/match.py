@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import box as B
+from tessella.functions import polygon as P
+from tessella.functions.kernels import polygon_intersection_area
 from tessella.operators.spatial import cell_join, contained_points
 
 
@@ -39,3 +41,22 @@ def point_matches(preds: DataFrame, points: DataFrame, most: float, scope: str |
     if require and out.isEmpty():
         raise ValueError("no prediction matches a point")
     return out
+
+
+def polygon_matches(preds: DataFrame, truth: DataFrame, threshold: float, cell: float = 64.0) -> DataFrame:
+    """``(pred_id, truth_id, iou)`` of polygons ``flat`` whose IoU is over ``threshold``; boxes only choose the candidates."""
+    left = preds.select("pred_id", F.col("flat").alias("flat_a"), P.coco_bounds(F.array("flat")).alias("box_a"))
+    right = truth.select("truth_id", F.col("flat").alias("flat_b"), P.coco_bounds(F.array("flat")).alias("box_b"))
+    pairs = cell_join(left, right, "box_a", "box_b", None, cell).withColumn("common", polygon_intersection_area("flat_a", "flat_b"))
+    iou = F.try_divide(F.col("common"), P.flat_area(F.col("flat_a")) + P.flat_area(F.col("flat_b")) - F.col("common"))
+    return pairs.select("pred_id", "truth_id", iou.alias("iou")).where(F.col("iou") > threshold)
+
+
+def polygon_point_matches(preds: DataFrame, points: DataFrame, most: float, cell: float = 64.0) -> DataFrame:
+    """As ``point_matches`` for polygons: inside by ray casting, distances from the ring's centroid and border."""
+    ring = P.ring_of_coco(F.col("flat"))
+    left = preds.select("pred_id", ring.alias("ring"), P.coco_bounds(F.array("flat")).alias("shape"))
+    pairs = contained_points(points, left, "x", "y", "shape", None, cell).where(P.contains_point(F.col("ring"), F.col("x"), F.col("y")))
+    c = P.ring_centroid(F.col("ring"))
+    relative = F.try_divide(F.hypot(F.col("x") - c["x"], F.col("y") - c["y"]), P.distance_to_ring(F.col("ring"), c["x"], c["y"]))
+    return _nearest(pairs, "pred_id", relative, most)

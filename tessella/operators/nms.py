@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import box as B
+from tessella.functions import polygon as P
 from tessella.functions import scores as S
+from tessella.functions.kernels import polygon_intersection_area
 from tessella.functions.rectilinear import Cells
 from tessella.operators.components import connected_components
 from tessella.operators.spatial import self_pairs
@@ -47,23 +49,30 @@ def over_threshold(preds: DataFrame, least: float | None) -> DataFrame:
     return preds.crossJoin(F.broadcast(known)).where(~F.coalesce("any_score", F.lit(False)) | (F.col("score") >= least)).drop("any_score")
 
 
-def greedy_nms(preds: DataFrame, num: int, den: int, scope: str | None = None, cell: float = 64.0, max_rounds: int = 200) -> DataFrame:
+def greedy_nms(preds: DataFrame, num: int, den: int, scope: str | None = None, cell: float = 64.0, flat: str | None = None, max_rounds: int = 200) -> DataFrame:
     """Greedy suppression: by score (ties to the lesser id) each kept box drops later ones of IoU over num/den.
 
     ``preds(pred_id, score, shape)``; boxes without area go, categories play no part. Only
     pairs that conflict matter. In each round the boxes without a better live rival are kept
     and their rivals dropped, until no pair is left: the same boxes as the sequential walk,
-    with no group of rows in one task. Thresholds are compared by cross products.
+    with no group of rows in one task. Thresholds are compared by cross products. ``flat``
+    names a column of polygon coordinates whose areas count instead of the boxes'.
     """
     own = preds.where(B.area(F.col("shape")) > 0)
-    pairs = self_pairs(own, "pred_id", "shape", scope, cell)
-    common = B.intersection_area(F.col("shape"), F.col("other_shape"))
-    union = B.area(F.col("shape")) + B.area(F.col("other_shape")) - common
+    pairs = self_pairs(own, "pred_id", "shape", scope, cell).where("pred_id < other_pred_id")
+    if flat is None:
+        common = B.intersection_area(F.col("shape"), F.col("other_shape"))
+        union = B.area(F.col("shape")) + B.area(F.col("other_shape")) - common
+    else:
+        one = own.select(F.col("pred_id").alias("of_pred"), F.col(flat).alias("flat_a"))
+        pairs = pairs.join(one, F.col("pred_id") == F.col("of_pred")).drop("of_pred").join(one.withColumnRenamed("flat_a", "flat_b"), F.col("other_pred_id") == F.col("of_pred"))
+        pairs = pairs.withColumn("common", polygon_intersection_area("flat_a", "flat_b"))
+        common = F.col("common")
+        union = P.flat_area(F.col("flat_a")) + P.flat_area(F.col("flat_b")) - common
     conflicts = pairs.where(common * den > union * num).select("pred_id", "other_pred_id")
     ranks = own.select(F.col("pred_id").alias("id"), "score")
     edges = (
-        conflicts.where("pred_id < other_pred_id")
-        .join(ranks.withColumnsRenamed({"id": "a", "score": "sa"}), F.col("pred_id") == F.col("a"))
+        conflicts.join(ranks.withColumnsRenamed({"id": "a", "score": "sa"}), F.col("pred_id") == F.col("a"))
         .join(ranks.withColumnsRenamed({"id": "b", "score": "sb"}), F.col("other_pred_id") == F.col("b"))
     )
     first = (F.col("sa") > F.col("sb")) | (F.col("sa").eqNullSafe(F.col("sb")))  # a < b

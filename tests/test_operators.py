@@ -178,3 +178,69 @@ def test_streamed_labels(spark, tmp_path):
     from tessella.operators.labels import in_tile_pixels, tile_overlap
 
     assert sum(out) == in_tile_pixels(tile_overlap(tiles, rows)).count() > 0
+
+
+def test_redistributed_areas_are_disjoint(spark):
+    rows = [(1, "a", 0, 0, 10, 10), (1, "a", 5, 5, 12, 12), (1, "b", 8, 0, 20, 10), (2, "b", 0, 0, 4, 4), (2, "c", 0, 0, 8, 4)]
+    df = spark.createDataFrame(rows, "raster_id long, aoi string, minx int, miny int, maxx int, maxy int").select("raster_id", "aoi", box("minx", "miny", "maxx", "maxy").alias("area"))
+    areas = [aoi.Aoi("a", 0.75), aoi.Aoi("b", 0.25), aoi.Aoi("c", 0.0 + 1e-9, priority=True)]
+    total = lambda rows, r, a: sum((x.area.maxx - x.area.minx) * (x.area.maxy - x.area.miny) for x in rows if (x.raster_id, x.aoi) == (r, a))
+    got = aoi.redistributed(df, areas).collect()
+    for x in got:
+        for y in got:
+            if x.raster_id == y.raster_id and x.aoi != y.aoi:
+                assert min(x.area.maxx, y.area.maxx) <= max(x.area.minx, y.area.minx) or min(x.area.maxy, y.area.maxy) <= max(x.area.miny, y.area.miny)
+    both = 2 * 10 + 2 * 5  # ground that both want on raster 1
+    assert total(got, 1, "a") + total(got, 1, "b") == pytest.approx(100 + 49 - 25 + 120 - both)
+    assert total(got, 2, "c") == 32 and total(got, 2, "b") == 0
+
+
+def test_polygons_in_joins(spark):
+    square = lambda x, y, s: [float(v) for v in (x, y, x + s, y, x + s, y + s, x, y + s)]
+    triangle = [0.0, 0.0, 8.0, 0.0, 0.0, 8.0]
+    labels_ = spark.createDataFrame([(1, 1, triangle), (1, 2, square(6, 6, 4))], "raster_id long, label_id long, flat array<double>")
+    tiles = grid.tile_grid(spark.createDataFrame([(1, 16, 16)], "raster_id long, w int, h int"), 8)
+    from tessella.operators import labels as L
+    from tessella.operators import match
+
+    got = {(r.label_id, r.tile_id): r.common_area for r in L.tile_overlap_polygons(tiles, labels_, 0.2).collect()}
+    assert got == {(1, 0): 32.0, (2, 0): 4.0, (2, 1): 4.0, (2, 2): 4.0, (2, 3): 4.0}
+    preds = spark.createDataFrame([(1, 0.9, triangle), (2, 0.8, square(0, 0, 5)), (3, 0.7, square(5, 5, 3))], "pred_id long, score double, flat array<double>")
+    from tessella.functions import polygon as P
+
+    boxed = preds.withColumn("shape", P.coco_bounds(F.array("flat")))
+    assert {r.pred_id for r in nms.greedy_nms(boxed, 1, 2, flat="flat").collect()} == {1, 3}
+    truth = preds.select(F.col("pred_id").alias("truth_id"), "flat")
+    pairs = {(r.pred_id, r.truth_id) for r in match.polygon_matches(preds, truth, 0.5).collect()}
+    assert pairs == {(1, 1), (2, 2), (3, 3), (1, 2), (2, 1)}
+    points = spark.createDataFrame([(1, 2.5, 2.5), (2, 6.0, 6.0), (3, 1.0, 1.0)], "point_id long, x double, y double")
+    near = {r.pred_id: r.point_id for r in match.polygon_point_matches(preds, points, 1.0).collect()}
+    assert near == {1: 1, 2: 1, 3: 2}
+
+
+def test_masks_and_cloud_items(spark):
+    tiles = spark.createDataFrame([(0, 10, 10), (1, 10, 10)], "tile_idx long, width int, height int")
+    own = spark.createDataFrame([(0, 2, [3, 4, 93], 5, 1, 1, 3, 3), (0, 1, None, None, 0, 0, 2, 2)], "tile_idx long, label_id long, runs array<bigint>, category_id long, minx int, miny int, maxx int, maxy int")
+    own = own.withColumn("shape", box("minx", "miny", "maxx", "maxy"))
+    (first, second) = datasets.instance_items(tiles, own).orderBy("tile_idx").collect()
+    assert (first.masks, first.labels, first.areas, len(first.boxes)) == ([[3, 4, 93]], [0, 5], [4], 2) and second.boxes is None
+    points = spark.createDataFrame([(7, 2, 1.0, 2.0, 3.0, 4.0), (7, 1, 0.0, 0.0, 0.0, None)], "tile_id long, point_id long, x double, y double, z double, semantic_label double")
+    (item,) = datasets.cloud_items(points).collect()
+    assert item.positions[1] == [1.0, 2.0, 3.0] and item.labels[1] == 4.0 and item.labels[0] != item.labels[0]
+
+
+def test_coordinates(spark):
+    from tessella.functions import affine as A
+    from tessella.functions import polygon as P
+    from tessella.operators import coords
+
+    ring = P.ring_of_coco(F.array(*map(F.lit, (0.0, 0.0, 4.0, 0.0, 4.0, 2.0))))
+    labels_ = spark.range(1).select(F.lit("a").alias("file_name"), F.lit(1).alias("raster_id"), F.array(F.array(ring)).alias("shape"))
+    tiles = spark.range(1).select(F.lit("a").alias("file_name"), F.lit(1).alias("raster_id"), F.lit(10).alias("width"), F.lit(20).alias("height"), A.affine(0.5, 0, 500000, 0, -0.5, 5000000).alias("transform"))
+    assert tuple(coords.extents(tiles).first().extent) == (500000, 4999990, 500005, 5000000)
+    up = coords.to_coordinates(labels_, tiles)
+    assert up.select(P.area(F.col("shape")).alias("a")).first().a == pytest.approx(1.0)
+    back = coords.to_pixels(up, tiles).first().shape[0][0]
+    assert [(round(p.x, 6), round(p.y, 6)) for p in back] == [(0, 0), (4, 0), (4, 2), (0, 0)]
+    there = coords.reprojected(coords.reprojected(up, 32618, 4326), 4326, 32618).first().shape[0][0]
+    assert there[1].x == pytest.approx(500002, abs=1e-4)
