@@ -30,6 +30,8 @@ def clip_half_plane(ring: np.ndarray, axis: int, bound: float, keep_above: bool)
 
 
 def clip_ring(ring: np.ndarray, b) -> np.ndarray:
+    if len(ring) and (ring.min(axis=0) >= b[:2]).all() and (ring.max(axis=0) <= b[2:]).all():
+        return ring
     for axis, bound, above in ((0, b[0], True), (1, b[1], True), (0, b[2], False), (1, b[3], False)):
         ring = clip_half_plane(ring, axis, bound, above)
     return ring

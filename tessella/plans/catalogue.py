@@ -13,7 +13,7 @@ from tessella.functions import names as N
 from tessella.functions import pixels as X
 from tessella.functions import polygon as P
 from tessella.functions import rle as R
-from tessella.operators import aoi, cloud, coco, datasets, grid, labels, match, nms, raster, taxonomy
+from tessella.operators import aoi, cloud, coco, coords, datasets, grid, labels, match, nms, raster, taxonomy
 from tessella.plans import bindings as T
 from tessella.session import table
 
@@ -88,6 +88,26 @@ def remove_overlaps(spark, d):
     return labels.without_overlaps(T.labels(spark, d)).select("label_id")
 
 
+def _flat(b: Column) -> Column:
+    """A box as a polygon's flat coordinates."""
+    return coco.box_to_coco(b)[0].cast("array<double>")
+
+
+@query("SELECT raster_id, CAST(tile_id AS BIGINT) AS tile_id, label_id, round(CAST(common AS DOUBLE), 6) AS common_area FROM most")
+def tile_polygon_overlap(spark, d):
+    own = T.labels(spark, d).select("raster_id", "label_id", _flat(F.col("shape")).alias("flat"))
+    return labels.tile_overlap_polygons(T.tiles(spark, d), own, 0.9).select("raster_id", *_long("tile_id"), "label_id", _round("common_area").alias("common_area"))
+
+
+@query("SELECT label_id, round(500000 + 0.5e0 * x0, 6) AS x, round(5000000 - 0.5e0 * y1, 6) AS y, round((x1 - x0) * (y1 - y0) * 0.25e0, 6) AS area FROM labels")
+def label_coordinates(spark, d):
+    transform = A.affine(0.5, 0, 500000, 0, -0.5, 5000000)
+    own = T.labels(spark, d).select("label_id", "raster_id", P.of_coco(F.array(_flat(F.col("shape")))).alias("shape"))
+    out = coords.to_coordinates(own, T.rasters(spark, d).select("raster_id", transform.alias("transform")), "raster_id")
+    b = P.bounds(F.col("shape"))
+    return out.select("label_id", _round(b["minx"]).alias("x"), _round(b["miny"]).alias("y"), _round(P.area(F.col("shape"))).alias("area"))
+
+
 # ---- areas of interest
 
 AOIS = [aoi.Aoi("valid", 0.15, 1), aoi.Aoi("train", 0.7, 2), aoi.Aoi("test", 0.15, 3, "valid")]
@@ -245,6 +265,15 @@ def nms_ioa_boxes(spark, d):
     return nms.ioa_disambiguated(T.predictions(spark, d), 0.5, 0.5, "raster_id").select("pred_id", "n_boxes", "area")
 
 
+@query()
+def aoi_redistributed(spark, d):
+    k = F.col("area")
+    grown = T.features(spark, d).withColumn("area", B.box(k["minx"], k["miny"], k["maxx"] + 40, k["maxy"]))
+    shares = [aoi.Aoi(r.r_name.replace(" ", ""), 0.2) for r in table(spark, d, "region").orderBy("r_regionkey").collect()]
+    named = grown.withColumn("aoi", F.replace("aoi", F.lit(" "), F.lit("")))
+    return aoi.redistributed(named, shares).select("raster_id", "aoi", *[F.col(f"area.{c}").alias(c) for c in ("minx", "miny", "maxx", "maxy")])
+
+
 # ---- matching
 
 _IOU = "greatest(least(l.x1, t.x1) - greatest(l.x0, t.x0), 0) * greatest(least(l.y1, t.y1) - greatest(l.y0, t.y0), 0)"
@@ -258,6 +287,15 @@ def match_iou(spark, d):
     return match.iou_matches(preds, T.truth(spark, d), 1, 2, "raster_id").select("pred_id", "truth_id", "truth_category", _round("iou").alias("iou"))
 
 
+@query(f"""SELECT pred_id, truth_id, round(CAST(c AS DOUBLE) / u, 6) AS iou FROM (
+  SELECT label_id AS pred_id, truth_id, {_IOU} AS c, (l.x1 - l.x0) * (l.y1 - l.y0) + (t.x1 - t.x0) * (t.y1 - t.y0) - {_IOU} AS u
+  FROM labels AS l JOIN truth AS t ON l.raster_id = t.raster_id AND l.x0 < t.x1 AND t.x0 < l.x1 AND l.y0 < t.y1 AND t.y0 < l.y1) WHERE 10 * c > 6 * u""")
+def match_polygons(spark, d):
+    preds = T.predictions(spark, d).select("pred_id", "raster_id", _flat(F.col("shape")).alias("flat"))
+    truth = T.truth(spark, d).select("truth_id", "raster_id", _flat(F.col("shape")).alias("flat"))
+    return match.polygon_matches(preds, truth, 0.6, "raster_id").select("pred_id", "truth_id", _round("iou").alias("iou"))
+
+
 @query("""SELECT pred_id, point_id, round(dist, 6) AS distance FROM (
   SELECT label_id AS pred_id, point_id, dist, row_number() OVER (PARTITION BY label_id ORDER BY dist, point_id) AS rk FROM (
     SELECT label_id, point_id, sqrt(pow(x - (x0 + x1) / 2, 2) + pow(y - (y0 + y1) / 2, 2)) / (least(x1 - x0, y1 - y0) / 2) AS dist
@@ -368,10 +406,10 @@ def coco_annotations(spark, d):
 
 @query(f"""WITH {T.SQL},
 {_COCO}
-SELECT CAST(row_number() OVER (ORDER BY file_name) - 1 AS BIGINT) AS tile_idx, file_name, n_labels FROM (SELECT file_name, count(*) AS n_labels FROM named WHERE raster_id % 3 <> 0 GROUP BY file_name)""")
+SELECT CAST(row_number() OVER (ORDER BY file_name) - 1 AS BIGINT) AS tile_idx, file_name, n_labels FROM (SELECT file_name, count(*) AS n_labels FROM named GROUP BY file_name)""")
 def coco_union_reindex(spark, d):
     images = _images(spark, d).withColumn("doc", F.col("id") % 2)
-    own = _named_labels(spark, d).where("raster_id % 3 <> 0").join(images.select(F.col("id").alias("image_id"), "doc", F.col("file_name").alias("image_name")), F.col("file_name") == F.col("image_name"))
+    own = _named_labels(spark, d).join(images.select(F.col("id").alias("image_id"), "doc", F.col("file_name").alias("image_name")), F.col("file_name") == F.col("image_name"))
     docs = images.select("doc").distinct()
     tiles, _ = coco.union_reindexed(images, own.select("doc", "image_id", "label_id"), _categories(spark, d).crossJoin(F.broadcast(docs)))
     return tiles.select("tile_idx", "file_name", "n_labels")
@@ -443,6 +481,17 @@ def detection_items(spark, d):
     return out.select("tile_idx", text(F.transform("boxes", lambda b: F.array_join(b.cast("array<string>"), ","))).alias("boxes"), text(F.col("labels").cast("array<string>")).alias("labels"), F.aggregate("areas", F.lit(0).cast("long"), lambda a, x: a + x).alias("area"))
 
 
+@query("SELECT raster_id AS tile_idx, CAST(count(label_id) FILTER (label_id % 3 <> 0) AS BIGINT) AS n_masks, count(label_id) AS n_labels, CAST(coalesce(sum((x1 - x0) * (y1 - y0)) FILTER (label_id % 3 <> 0), 0) AS BIGINT) AS area FROM rasters LEFT JOIN labels USING (raster_id) GROUP BY raster_id")
+def instance_items(spark, d):
+    tiles, own = _item_tables(spark, d)
+    s = F.col("shape")
+    x, y = s["minx"] % 64, s["miny"] % 64
+    runs = R.box_runs(B.box(x, y, x + B.width(s), y + B.height(s)), 128, 128)
+    out = datasets.instance_items(tiles, own.withColumn("runs", F.when(F.col("label_id") % 3 != 0, runs)))
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return out.select("tile_idx", size("masks").alias("n_masks"), size("labels").alias("n_labels"), F.coalesce(F.aggregate("areas", F.lit(0).cast("long"), lambda a, v: a + v), F.lit(0).cast("long")).alias("area"))
+
+
 @query("SELECT raster_id AS tile_idx, CAST(coalesce(min_by(label_id % 5, label_id), 0) AS BIGINT) AS label FROM rasters LEFT JOIN labels USING (raster_id) GROUP BY raster_id")
 def classification_items(spark, d):
     return datasets.classification_items(*_item_tables(spark, d)).select("tile_idx", *_long("label"))
