@@ -48,7 +48,7 @@ def slots(codes: np.ndarray) -> np.ndarray:
 
 
 def _codes(text: str) -> np.ndarray:
-    """Folded code points between blanks; white space and digits are alike."""
+    """Folded code points between blanks, runs of white space as one."""
     folded = f" {' '.join(text.lower().split())}{' ' * ORDERS}"
     return np.frombuffer(folded.encode("utf-32-le", "replace"), np.uint32)
 
@@ -198,8 +198,12 @@ def _predict_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Re
 
 def _known_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names, _ = model.value.predict(batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:]).filter(pa.array([n != UNKNOWN for n in names], pa.bool_()))
+        texts = batch.column(0).to_pylist()
+        if model.value.languages:
+            keep = [n != UNKNOWN for n in model.value.predict(texts)[0]]
+        else:
+            keep = [bool(t and _LETTER.search(t)) for t in texts]
+        yield pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:]).filter(pa.array(keep, pa.bool_()))
 
 
 def _over(docs: DataFrame, text_col: str, keep: list[Column], step, more: str) -> DataFrame:
@@ -218,7 +222,7 @@ def predicted(docs: DataFrame, model: Model, text_col: str, keep: list[Column])
 
 
 def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that have a language, unchanged."""
+    """The rows of ``docs`` that have a language, unchanged; where no language was learned, those with a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return _over(docs, text_col, [F.col(f"`{c}`") for c in docs.columns], partial(_known_batches, model=shared), "")
 

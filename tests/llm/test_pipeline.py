@@ -72,3 +72,23 @@ def test_run_and_repeated_rows(spark):
     assert corpus_pipeline.run(spark, SF).count() > 50
     docs = spark.createDataFrame([(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (None, "a b c", "en", "s", 5)], table(spark, SF, "documents").schema)
     assert sorted(str(r.doc_id) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == ["1", "None"]
+
+
+def test_stages_on_an_empty_table_and_without_languages(spark):
+    docs = table(spark, SF, "documents")
+    for _, f in corpus_pipeline.STAGES:
+        assert f(spark, docs.where("doc_id < 0"), SF).count() == 0
+    unlabelled = docs.limit(5).withColumn("lang", corpus_pipeline.F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, unlabelled, SF).count() == 5
+
+
+def test_clashing_columns_and_nulls(spark):
+    docs = spark.createDataFrame(
+        [(None, None, None, None, None, "a", "b", 1), (7, "Das ist ein Text ohne Besonderes", "de", None, None, "a", "b", 1)],
+        "doc_id long, text string, lang string, source string, n_chars long, text_in string, extra_id string, score int",
+    )
+    for name, f in corpus_pipeline.STAGES[1:4]:
+        out = f(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() == 2, name
+    assert corpus_pipeline.language_id(spark, docs, SF).count() == 1
+    assert corpus_pipeline.byte_bpe(spark, docs, SF).count() == 2
