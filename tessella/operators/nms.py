@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tessella.functions import box as B
 from tessella.functions import polygon as P
 from tessella.functions import scores as S
 from tessella.functions.kernels import polygon_intersection_area
+from tessella.functions.overlay import Region, repaired
 from tessella.functions.rectilinear import Cells
 from tessella.operators.components import connected_components
 from tessella.operators.spatial import self_pairs
@@ -97,10 +99,11 @@ def greedy_nms(preds: DataFrame, num: int, den: int, scope: str | None = None, c
 def _disambiguated(group: pd.DataFrame, threshold: float, keep_ratio: float) -> pd.DataFrame:
     """The sequential walk over one component: a kept shape drops or cuts the ones after it."""
     rows = group.sort_values(["score", "pred_id"], ascending=[False, True])
-    live = {r.pred_id: Cells.of_box(r.minx, r.miny, r.maxx, r.maxy) for r in rows.itertuples()}
+    shapes = [Region(repaired([np.asarray(f, float).reshape(-1, 2)])) for f in rows.flat] if "flat" in rows else [Cells.of_box(*b) for b in rows[["minx", "miny", "maxx", "maxy"]].to_numpy()]
+    live = dict(zip(rows.pred_id, shapes, strict=True))
     kept, order = [], list(rows.pred_id)
     for i, key in enumerate(order):
-        if (own := live.get(key)) is None:
+        if (own := live.get(key)) is None or own.area <= 0:
             continue
         kept.append((key, own))
         for other in order[i + 1 :]:
@@ -115,26 +118,30 @@ def _disambiguated(group: pd.DataFrame, threshold: float, keep_ratio: float) ->
                 best = max(parts, key=lambda p: p.area)
                 rest = best if best.area / rest.area > keep_ratio else None
             live[other] = rest if rest is not None and rest.area > 0 else None
-    return pd.DataFrame([(k, len(s.boxes), s.area, [list(b) for b in s.boxes]) for k, s in kept], columns=["pred_id", "n_boxes", "area", "boxes"])
+    pieces = lambda s: [r.ravel().tolist() for r in s.rings] if isinstance(s, Region) else [list(b) for b in s.boxes]
+    return pd.DataFrame([(k, s.area, pieces(s)) for k, s in kept], columns=["pred_id", "area", "pieces"])
 
 
-def ioa_disambiguated(preds: DataFrame, threshold: float = 0.5, keep_ratio: float = 0.5, scope: str | None = None, cell: float = 64.0) -> DataFrame:
-    """``(pred_id, n_boxes, area, boxes)``: by score each kept shape drops later ones that it covers to more than
+def ioa_disambiguated(preds: DataFrame, threshold: float = 0.5, keep_ratio: float = 0.5, scope: str | None = None, cell: float = 64.0, flat: str | None = None) -> DataFrame:
+    """``(pred_id, area, pieces)``: by score each kept shape drops later ones that it covers to more than
     ``threshold``, and cuts its ground out of the rest; of a remainder in several parts the largest stays if it has
     more than ``keep_ratio`` of it.
 
+    Pieces are disjoint boxes; or, with ``flat`` naming polygon coordinates, rings (holes clockwise).
     Shapes change as the walk goes on, so each connected component of meeting boxes is one
-    group; boxes that meet no other are passed on without a group.
+    group; shapes that meet no other are passed on without a group.
     """
     own = written(preds.where(B.area(F.col("shape")) > 0), "predictions")
     pairs = self_pairs(own, "pred_id", "shape", scope, cell).where("pred_id < other_pred_id")
     groups = connected_components(pairs.select(F.col("pred_id").alias("a"), F.col("other_pred_id").alias("b")))
-    flat = own.select("pred_id", F.col("score").cast("double").alias("score"), *[F.col(f"shape.{c}").cast("double").alias(c) for c in ("minx", "miny", "maxx", "maxy")])
-    schema = "pred_id long, n_boxes int, area double, boxes array<array<double>>"
-    walked = flat.join(groups, F.col("pred_id") == F.col("node")).groupBy("component").applyInPandas(partial(_disambiguated, threshold=threshold, keep_ratio=keep_ratio), schema)
-    alone = flat.join(groups.select(F.col("node").alias("pred_id")), "pred_id", "left_anti")
-    area = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
-    return walked.unionByName(alone.select("pred_id", F.lit(1).alias("n_boxes"), area.alias("area"), F.array(F.array("minx", "miny", "maxx", "maxy")).alias("boxes")))
+    sides = [F.col(f"shape.{c}").cast("double").alias(c) for c in ("minx", "miny", "maxx", "maxy")]
+    rows = own.select("pred_id", F.col("score").cast("double").alias("score"), *([F.col(flat).alias("flat")] if flat else sides))
+    schema = "pred_id long, area double, pieces array<array<double>>"
+    walked = rows.join(groups, F.col("pred_id") == F.col("node")).groupBy("component").applyInPandas(partial(_disambiguated, threshold=threshold, keep_ratio=keep_ratio), schema)
+    alone = rows.join(groups.select(F.col("node").alias("pred_id")), "pred_id", "left_anti")
+    area = P.flat_area(F.col("flat")) if flat else (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
+    piece = F.col("flat") if flat else F.array("minx", "miny", "maxx", "maxy")
+    return walked.unionByName(alone.select("pred_id", area.alias("area"), F.array(piece).alias("pieces")))
 
 
 def aggregated(

@@ -262,7 +262,7 @@ def aggregate_predictions(spark, d):
 
 @query()
 def nms_ioa_boxes(spark, d):
-    return nms.ioa_disambiguated(T.predictions(spark, d), 0.5, 0.5, "raster_id").select("pred_id", "n_boxes", "area")
+    return nms.ioa_disambiguated(T.predictions(spark, d), 0.5, 0.5, "raster_id").select("pred_id", F.size("pieces").alias("n_boxes"), "area")
 
 
 @query()
@@ -274,6 +274,12 @@ def aoi_redistributed(spark, d):
     return aoi.redistributed(named, shares).select("raster_id", "aoi", *[F.col(f"area.{c}").alias(c) for c in ("minx", "miny", "maxx", "maxy")])
 
 
+@query()
+def nms_ioa_polygons(spark, d):
+    own = T.predictions(spark, d).withColumn("flat", _flat(F.col("shape")))
+    return nms.ioa_disambiguated(own, 0.5, 0.5, "raster_id", flat="flat").select("pred_id", _round("area").alias("area"))
+
+
 # ---- matching
 
 _IOU = "greatest(least(l.x1, t.x1) - greatest(l.x0, t.x0), 0) * greatest(least(l.y1, t.y1) - greatest(l.y0, t.y0), 0)"

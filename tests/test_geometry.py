@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessella.functions import affine as A
 from tessella.functions import kernels as K
 from tessella.functions import names as N
+from tessella.functions import overlay as O
 from tessella.functions import pixels as X
 from tessella.functions import polygon as P
 from tessella.functions import projection as J
@@ -68,6 +69,24 @@ def test_largest_rectangle_matches_brute_force():
         assert (x1 - x0) * (y1 - y0) == want and m[y0:y1, x0:x1].all()
 
 
+def test_overlays():
+    r = random.Random(3)
+    total = lambda rings: sum(K.ring_area(x) for x in rings)
+    square = np.array([[0, 0], [4, 0], [4, 4], [0, 4]], float)
+    hole = O.difference([square], [square / 2 + 1])
+    assert sorted(map(K.ring_area, hole)) == [-4, 16] and len(O.Region(hole).parts()) == 1
+    assert total(O.difference([square], [square])) == 0 and total(O.union([square], [square])) == 16
+    assert sorted(map(K.ring_area, O.union([square], [square + (4, 0)]))) == [32]
+    assert total(O.repaired([np.array([[0, 0], [4, 4], [4, 0], [0, 4]], float)])) == pytest.approx(8)
+    for _ in range(80):
+        star = lambda: np.array([[math.cos(t) * (q := r.uniform(1, 4)) + 5, math.sin(t) * q + 5] for t in (k * 0.8976 + r.uniform(0, 0.8) for k in range(7))])
+        a, b = star(), star() + (r.uniform(-2, 2), 0)
+        common = K.intersection_area(a, b)
+        assert total(O.intersection([a], [b])) == pytest.approx(common, abs=1e-5)
+        assert total(O.union([a], [b])) == pytest.approx(abs(K.ring_area(a)) + abs(K.ring_area(b)) - common, abs=1e-5)
+        assert total(O.difference([a], [b])) == pytest.approx(abs(K.ring_area(a)) - common, abs=1e-5)
+
+
 def test_kernels_in_a_frame(spark):
     df = spark.createDataFrame([(1, [float(v) for v in L_SHAPE]), (2, None)], "id int, flat array<double>")
     out = df.select("id", "flat", K.polygon_intersection_area("flat", F.array(*map(F.lit, (0.0, 0.0, 2.0, 0.0, 2.0, 2.0, 0.0, 2.0)))).alias("a"), K.clip_to_box("flat", F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(2.0)).alias("c"), K.polygon_runs(F.when(F.col("flat").isNotNull(), F.array("flat")), F.lit(8), F.lit(8)).alias("r"))

@@ -47,10 +47,13 @@ def test_greedy_walk(spark):
 def test_disambiguation_leaves_no_common_ground(spark):
     _, df = boxes(spark, 60, 2, 60)
     got = nms.ioa_disambiguated(df, 0.6, 0.5, cell=20.0).collect()
-    flat = [(r.pred_id, b) for r in got for b in r.boxes]
+    flat = [(r.pred_id, b) for r in got for b in r.pieces]
     for i, (p, a) in enumerate(flat):
         for q, b in flat[:i]:
             assert p == q or min(a[2], b[2]) <= max(a[0], b[0]) or min(a[3], b[3]) <= max(a[1], b[1])
+    polygons = df.withColumn("flat", coco.box_to_coco(F.col("shape"))[0].cast("array<double>"))
+    other = {r.pred_id: r.area for r in nms.ioa_disambiguated(polygons, 0.6, 0.5, cell=20.0, flat="flat").collect()}
+    assert {k: pytest.approx(v, abs=1e-4) for k, v in other.items()} == {r.pred_id: r.area for r in got}
     two = spark.createDataFrame([(1, 0.9, 4, 0, 6, 9), (2, 0.5, 0, 2, 11, 4), (3, 0.4, 4, 1, 6, 3)], "pred_id long, score double, minx int, miny int, maxx int, maxy int")
     two = two.select("pred_id", "score", box("minx", "miny", "maxx", "maxy").alias("shape"))
     assert {r.pred_id: r.area for r in nms.ioa_disambiguated(two).collect()} == {1: 18.0, 2: 10.0}
