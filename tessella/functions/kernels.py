@@ -198,7 +198,7 @@ def clip_to_box(flat: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.Seri
 @F.pandas_udf(_LONGS)
 def polygon_runs(parts: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     """Runs of the mask of a polygon's parts, borders taken in."""
-    return pd.Series([None if p is None else mask_runs(fill_polygons([_ring(x) for x in p], w, h)) for p, w, h in zip(parts, width, height, strict=True)])
+    return pd.Series([None if p is None else mask_runs(fill_polygons([_ring(x) for x in p], int(w), int(h))) for p, w, h in zip(parts, width, height, strict=True)])
 
 
 @F.pandas_udf(T.ArrayType(_DOUBLES))
@@ -206,7 +206,7 @@ def runs_polygon(runs: pd.Series, height: pd.Series, tolerance: pd.Series) -> pd
     """Simplified outlines of a mask; of several, those under 10 pixels go. An empty mask has none."""
     out = []
     for r, h, t in zip(runs, height, tolerance, strict=True):
-        rings = [simplified(x, t) for x in outlines(runs_mask(r, h))] if r is not None else []
+        rings = [simplified(x, t) for x in outlines(runs_mask(r, int(h)))] if r is not None else []
         rings = [x for x in rings if len(x) > 2 and (len(rings) == 1 or ring_area(x) >= 10)]
         out.append([x.ravel().tolist() for x in rings])
     return pd.Series(out)
@@ -215,4 +215,4 @@ def runs_polygon(runs: pd.Series, height: pd.Series, tolerance: pd.Series) -> pd
 @F.pandas_udf(_LONGS)
 def inner_rectangle(parts: pd.Series, size: pd.Series) -> pd.Series:
     """Largest rectangle inside a polygon that was normalised to a square of that size."""
-    return pd.Series([None if p is None else list(largest_rectangle(fill_polygons([_ring(x) for x in p], s, s))) for p, s in zip(parts, size, strict=True)])
+    return pd.Series([None if p is None else list(largest_rectangle(fill_polygons([_ring(x) for x in p], int(s), int(s)))) for p, s in zip(parts, size, strict=True)])

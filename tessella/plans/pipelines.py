@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import box as B
 from tessella.functions import names as N
+from tessella.functions import polygon as P
+from tessella.functions.kernels import runs_polygon
 from tessella.operators import aoi as A
-from tessella.operators import cloud, coco, grid, labels, raster
-from tessella.sources.coco_files import check_document, write_coco
+from tessella.operators import cloud, coco, grid, labels, nms, raster
+from tessella.operators.coords import extents, to_coordinates
+from tessella.session import written
+from tessella.sources.coco_files import check_document, read_coco, segmentation_shape, write_coco
 
 
 @dataclass(frozen=True)
@@ -130,6 +134,49 @@ def polygon_dataset(rasters: DataFrame, label_rows: DataFrame, size: int, featur
     return Document(own.drop("label_id", "shape", "category"), annotated, known)
 
 
+def coco_to_shapes(spark: SparkSession, paths: str | list[str], tiles: DataFrame | None = None, attributes: list[str] | None = None, fold: str | None = None, target: int | None = None) -> DataFrame:
+    """Annotations of COCO files as rows with category and attributes, in pixels or, with ``tiles(file_name, transform)``, in coordinates."""
+    images, annotations, categories = read_coco(spark, paths, fold)
+    own = segmentation_shape(annotations)
+    traced = runs_polygon(F.col("runs"), F.col("mask_height"), F.lit(1.0))
+    own = own.withColumn("shape", F.coalesce("shape", F.when(F.col("runs").isNotNull(), P.of_coco(traced))))
+    # ids are only unique inside a document
+    key = lambda df, c: df.withColumn(c, F.struct("doc", c))
+    rows = coco.flattened(key(images, "id").select("id", "file_name"), key(key(own, "image_id"), "category_id"), key(categories, "id").select("id", "name"), attributes or [])
+    rows = rows.withColumn("image_id", F.col("image_id.image_id")).withColumn("category_id", F.col("category_id.category_id"))
+    return rows if tiles is None else to_coordinates(rows, tiles, "file_name", target=target)
+
+
+def aggregate_coco(spark: SparkSession, paths: str | list[str], tiles: DataFrame, weights: dict[str, float] | None = None, blend: str = "weighted_geometric_mean", score_threshold: float = 0.1, nms_threshold: tuple[int, int] = (8, 10), edge_band: float | None = 0.05, disambiguate: float | None = None, keep_ratio: float = 0.5) -> DataFrame:
+    """Predictions of tile COCO files as one set in the coordinates of ``tiles(file_name, width, height, transform)``.
+
+    Scores come from the annotation or its other attributes (0 where missing). Greedy suppression by polygon
+    IoU, or with ``disambiguate`` suppression by covered share and cutting.
+    """
+    weights = weights or {"score": 1.0}
+    rows = coco_to_shapes(spark, paths, tiles, [w for w in weights if w != "score"])
+    for w in weights:
+        value = F.col("score") if w == "score" else F.col(f"attr_{w}").cast("double")
+        rows = rows.withColumn(f"s_{w}", F.coalesce(value, F.lit(0.0)))
+    largest = P.largest_part(F.col("shape"))
+    rows = rows.withColumn("flat", P.to_coco(largest)[0]).where(F.col("flat").isNotNull())
+    rows = grid.dense_index(rows.withColumn("shape", P.bounds(largest)), "file_name", "doc", "id", name="pred_id")
+    framed = extents(tiles).select(F.col("file_name").alias("tile_id"), "extent")
+    own = rows.withColumn("tile_id", F.col("file_name"))
+    own = nms.off_edges(own, framed, edge_band) if edge_band else own
+    own = written(nms.over_threshold(nms.scored(own, {f"s_{w}": v for w, v in weights.items()}, blend), score_threshold), "scored")
+    cell = 64.0 * _pixel(tiles)
+    if disambiguate is not None:
+        return nms.ioa_disambiguated(own, disambiguate, keep_ratio, cell=cell, flat="flat").join(own.drop("shape", "flat"), "pred_id")
+    return nms.greedy_nms(own, *nms_threshold, cell=cell, flat="flat")
+
+
+def _pixel(tiles: DataFrame) -> float:
+    """Size of a pixel of some tile, to choose the cells of a join by."""
+    first = tiles.select(F.abs(F.col("transform.a"))).first()
+    return first[0] if first and first[0] else 1.0
+
+
 def cloud_tiles(points: DataFrame, clouds: DataFrame, side: float, overlap: float = 0.0, areas: DataFrame | None = None, voxel: float | None = None, most: int = 5_000, force: bool = False) -> DataFrame:
     """Distinct (or voxel-averaged) points with their tiles and areas: ``areas(aoi, area)`` are few; points outside of theirs go."""
     own = grid.within_limit(grid.cloud_grid(clouds, side, overlap), most, force)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import polygon as P
 from tessella.functions import rle as R
 from tessella.functions.box import box
-from tessella.sources import coco_files, files, vector
+from tessella.sources import coco_files, files, tiff, vector
 
 
 def read_text(path):
@@ -136,3 +136,51 @@ def test_tiles_and_point_csv(spark, tmp_path):
     tiles = spark.createDataFrame([("a_train_1", 0.0, 1.0, 0.0, 1.0, "EPSG:32618"), ("a_test_2", 0.0, 1.0, 0.0, 1.0, None)], "tile_name string, min_x double, max_x double, min_y double, max_y double, crs string")
     files.write_point_tiles_csv(tiles, str(tmp_path / "csv"))
     assert files.read_point_tiles_csv(spark, str(tmp_path / "csv"), "train").count() == 1
+
+
+@pytest.mark.parametrize("compress", [False, True])
+@pytest.mark.parametrize("kind", ["uint8", "int16", "uint16", "float32"])
+def test_tiff_round_trip(compress, kind):
+    data = np.random.default_rng(0).integers(0, 200, (3, 11, 7)).astype(kind)
+    raw = tiff.tiff_bytes(data, (0.5, 0, 10, 0, -0.5, 20), 32618, compress)
+    got, transform, epsg = tiff.read_tiff(raw)
+    assert got.dtype == data.dtype and (got == data).all() and transform == (0.5, 0, 10, 0, -0.5, 20) and epsg == 32618
+    assert tiff.read_tiff(tiff.tiff_bytes(data))[1:] == (None, None)
+
+
+def test_tiff_frames(spark, tmp_path):
+    data = np.arange(2 * 6 * 8).reshape(2, 6, 8).astype("uint8")
+    (tmp_path / "a.tif").write_bytes(tiff.tiff_bytes(data, (1.0, 0, 0, 0, -1.0, 6), 32618))
+    path = str(tmp_path / "a.tif")
+    assert tiff.exists(spark, path) and not tiff.exists(spark, str(tmp_path / "b.tif"))
+    got = tiff.read_tiff_blocks(spark, path, 4).where("band = 1 and block_row = 1 and block_col = 0").first()
+    assert got.pixels[:8] == [80, 81, 82, 83, 88, 89, 90, 91] and sum(got.pixels[8:]) == 0
+    half = tiff.read_tiff_blocks(spark, path, 4, scale_factor=0.5).where("band = 0").first()
+    assert (half.width, half.height, half.transform[0]) == (4, 3, 2.0) and half.pixels[0] == round((0 + 1 + 8 + 9) / 4)
+    assert tiff.read_tiff_blocks(spark, path, 4, ground_resolution=2.0).first().width == 4
+    with pytest.raises(ValueError, match="not both"):
+        tiff.read_tiff_blocks(spark, path, 4, 0.5, 2.0)
+    with pytest.raises(ValueError, match="not a"):
+        tiff.read_tiff(b"II+\0xxxx")
+    tiles = spark.createDataFrame([("t.tif", [[1, 2, 3, 4, 5, 6]], 2, 3, None, None)], "file_name string, bands array<array<int>>, height int, width int, transform array<double>, epsg int")
+    (row,) = tiff.encoded_tiles(tiles).collect()
+    assert tiff.read_tiff(bytes(row.content))[0].tolist() == [[[1, 2, 3], [4, 5, 6]]]
+
+
+def test_predictions_of_files_become_one_set(spark, tmp_path):
+    square = lambda x, y, s: [[float(v) for v in (x, y, x + s, y, x + s, y + s, x, y + s)]]
+    runs = spark.range(1).select(R.encoded(R.box_runs(box(*map(F.lit, (40, 40, 60, 60))), 100, 100)).alias("t")).first().t
+    for name, rows in (("a", [(1, square(10, 10, 20), 0.9), (2, square(11, 10, 20), 0.8), (3, square(0, 0, 20), 0.99)]), ("b", [(1, square(40, 40, 20), 0.7), (2, {"counts": runs, "size": [100, 100]}, 0.6), (3, square(70, 70, 10), 0.05)])):
+        doc = {"images": [{"id": 1, "width": 100, "height": 100, "file_name": f"{name}.tif"}], "categories": [{"id": 1, "name": "oak", "supercategory": ""}],
+               "annotations": [{"id": i, "image_id": 1, "category_id": 1, "segmentation": s, "is_rle_format": isinstance(s, dict), "area": 1.0, "iscrowd": 0, "score": v, "other_attributes": {"k": "v"}} for i, s, v in rows]}
+        (tmp_path / f"p_coco_sf1p0_{name}.json").write_text(json.dumps(doc))
+    from tessella.functions import affine as A
+    from tessella.plans import pipelines
+
+    tiles = spark.createDataFrame([("a.tif", 0.0), ("b.tif", 1000.0)], "file_name string, x double").select("file_name", F.lit(100).alias("width"), F.lit(100).alias("height"), A.affine(1, 0, F.col("x"), 0, -1, 500).alias("transform"))
+    rows = pipelines.coco_to_shapes(spark, str(tmp_path), tiles, ["k"]).collect()
+    assert len(rows) == 6 and {r.category_name for r in rows} == {"oak"} and {r.attr_k for r in rows} == {"v"}
+    got = pipelines.aggregate_coco(spark, str(tmp_path), tiles).collect()
+    assert sorted((r.file_name, r.id) for r in got) == [("a.tif", 1), ("b.tif", 1)]
+    cut = pipelines.aggregate_coco(spark, str(tmp_path), tiles, disambiguate=0.99).collect()
+    assert sorted((r.file_name, r.id, round(r.area)) for r in cut)[:2] == [("a.tif", 1, 400), ("a.tif", 2, 20)]
