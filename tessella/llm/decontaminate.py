@@ -3,19 +3,20 @@
 A generalised suffix automaton of the normalised test items is built per block of items
 (bounded by ``block_words``) and broadcast; training words are streamed through it,
 tracking the longest match that ends at each word. A match of a window or more marks its
-last words as hit. With one block the scan is a single narrow pass; with more, each
-block's hits are merged per document by a shuffle of spans, never of texts.
+last words as hit. With one block the scan is a single narrow pass; with more, the rows
+are written once under a generated key, one block's automaton is out at a time, and the
+hits are merged by that key in a shuffle of spans: any number of blocks gives the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.session import spare_name, written
@@ -177,6 +178,32 @@ def _merged(a, b):
     )).otherwise(F.concat(a, F.array(b)))
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows of ``docs`` written under a key of their own, and the key's name."""
+    key = spare_name(docs, "row_key")
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def _hits_by_row(own: DataFrame, blocks: Iterator[SuffixAutomaton]) -> DataFrame:
+    """``own(row, text)`` with unique rows -> ``(row, n_words, starts, ends, items)`` over all blocks."""
+    kind = own.schema["row"].dataType.simpleString()
+    schema = f"row {kind}, n_words long, starts array<long>, ends array<long>, items array<string>"
+    every = None
+    for a in blocks:
+        shared = own.sparkSession.sparkContext.broadcast(a)
+        scan = own.mapInArrow(partial(_scan, automaton=shared), schema)
+        # the first block brings every row, the others those they hit
+        scan = written(scan if every is None else scan.where("size(starts) > 0"), "hits")
+        shared.destroy()
+        every = scan if every is None else every.unionByName(scan)
+    spans = F.sort_array(F.flatten(F.collect_list(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")))))
+    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    found = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    hits = every.groupBy("row").agg(F.max("n_words").alias("n_words"), spans.alias("spans"), found.alias("items"))
+    hits = hits.withColumn("spans", F.aggregate("spans", empty, _merged))
+    return hits.select("row", "n_words", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"), "items")
+
+
 def benchmark_hits(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -190,28 +217,28 @@ def benchmark_hits(
     """``(doc_id, n_words, starts, ends, items)``: hit word spans and the items found, per row of ``docs``.
 
     Null texts have no words. Items without words or id are left out; an item listed twice counts once.
-    Over several blocks rows are told apart by id, so ids must then be unique.
+    Every row is judged by itself, whatever its id.
     """
-    spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    blocks = item_blocks(benchmark, item_id, item_text, window, block_words)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is not None:
+        keyed, key = _keyed(own)
+        hits = _hits_by_row(keyed.select(F.struct(key, F.col("row").alias("doc_id")).alias("row"), "text"), chain((first, second), blocks))
+        return hits.select("row.doc_id", "n_words", "starts", "ends", "items")
     kind = own.schema["row"].dataType.simpleString()
-    schema = f"row {kind}, n_words long, starts array<long>, ends array<long>, items array<string>"
-    scans = [
-        own.mapInArrow(partial(_scan, automaton=spark.sparkContext.broadcast(a)), schema)
-        for a in item_blocks(benchmark, item_id, item_text, window, block_words)
-    ]
-    if not scans:
-        scans = [own.mapInArrow(partial(_scan, automaton=spark.sparkContext.broadcast(SuffixAutomaton([], window))), schema)]
-    if len(scans) == 1:
-        return scans[0].withColumnRenamed("row", "doc_id")
-    every = scans[0]
-    for s in scans[1:]:
-        every = every.unionByName(s)
-    spans = F.sort_array(F.flatten(F.collect_list(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")))))
-    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    hits = every.groupBy("row").agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    hits = hits.withColumn("spans", F.aggregate("spans", empty, _merged))
-    return hits.select(F.col("row").alias("doc_id"), "n_words", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"), "items")
+    schema = f"doc_id {kind}, n_words long, starts array<long>, ends array<long>, items array<string>"
+    shared = docs.sparkSession.sparkContext.broadcast(first or SuffixAutomaton([], window))
+    return own.mapInArrow(partial(_scan, automaton=shared), schema)
+
+
+def _n_hit() -> Column:
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return total(F.col("ends")) - total(F.col("starts"))
+
+
+def _over(coverage: int) -> Column:
+    return (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE, **options) -> DataFrame:
@@ -219,16 +246,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAG
 
     Contaminated: at least one word is hit, and one in ``coverage`` or more.
     """
-    hits = benchmark_hits(docs, benchmark, **options)
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    out = hits.withColumn("n_hit", total(F.col("ends")) - total(F.col("starts")))
+    out = benchmark_hits(docs, benchmark, **options).withColumn("n_hit", _n_hit())
     return out.select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        _over(coverage).alias("contaminated"),
     )
 
 
@@ -246,7 +271,7 @@ def _clean_batches(batches: Iterator[pa.RecordBatch], automaton, coverage: int)
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: int = COVERAGE, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, unchanged.
 
-    One block of items: a narrow pass. Several: rows are left out by id, and a row without id stays.
+    One block of items: a narrow pass. Several: rows are left out by a written row key, never by id.
     """
     blocks = item_blocks(benchmark, "item_id", "text", window, block_words)
     first, second = next(blocks, None), next(blocks, None)
@@ -256,9 +281,11 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         own = docs.select(F.col(text_col).cast("string").alias(spare_name(docs, "text_in")), *[F.col(f"`{c}`") for c in docs.columns])
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
         return own.mapInArrow(partial(_clean_batches, automaton=docs.sparkSession.sparkContext.broadcast(first), coverage=coverage), columns)
-    bad = contamination(docs, benchmark, coverage, id_col=id_col, text_col=text_col, window=window, block_words=block_words).where("contaminated")
-    bad_id = spare_name(docs, "bad_id")
-    return docs.join(written(bad.select(F.col("doc_id").alias(bad_id)), "contaminated"), F.col(id_col) == F.col(bad_id), "left_anti")
+    keyed, key = _keyed(docs)
+    hits = _hits_by_row(keyed.select(F.col(key).alias("row"), F.col(text_col).cast("string").alias("text")), chain((first, second), blocks))
+    bad_row = spare_name(keyed, "bad_row")
+    bad = written(hits.withColumn("n_hit", _n_hit()).where(_over(coverage)).select(F.col("row").alias(bad_row)), "contaminated")
+    return keyed.join(bad, F.col(key) == F.col(bad_row), "left_anti").drop(key)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], automaton, coverage: int) -> Iterator[pa.RecordBatch]:

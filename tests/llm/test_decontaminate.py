@@ -87,3 +87,18 @@ def test_clean_rows_stay_unchanged(spark):
     assert {tuple(r) for r in dc.uncontaminated(d, b).collect()} - {(None, items[10][1], "n")} == want
     assert {tuple(r) for r in dc.uncontaminated(d, b, block_words=60).collect()} - {(None, items[10][1], "n")} == want
     assert dc.uncontaminated(d, b.where("item_id < 0")).count() == d.count()
+
+
+def test_null_and_repeated_ids_are_judged_by_row_over_any_blocks(spark):
+    items = [(i, " ".join(f"b{i}w{k}" for k in range(15))) for i in range(3)]
+    texts = [items[0][1], items[1][1], f"{items[0][1]} and {items[2][1]}", "a clean text", "another clean text", "clean too", items[2][1]]
+    docs = list(zip([None, None, 7, 7, None, 8, 9], texts, strict=True)) + [(8, "clean too"), (None, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(str, dc.contamination(d, b, block_words=n).collect())) for n in (100, 15))
+    assert len(one) == len(docs) and one == many
+    hits = [sorted(map(str, dc.benchmark_hits(d, b, block_words=n).collect())) for n in (100, 15)]
+    assert hits[0] == hits[1]
+    want = sorted(str(x) for x in docs if not x[1] or "clean" in x[1])
+    for n in (100, 15):
+        assert sorted(str(tuple(r)) for r in dc.uncontaminated(d, b, block_words=n).collect()) == want
