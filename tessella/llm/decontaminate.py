@@ -288,28 +288,38 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     return keyed.join(bad, F.col(key) == F.col(bad_row), "left_anti").drop(key)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], automaton, coverage: int) -> Iterator[pa.RecordBatch]:
-    """Texts without the lines' hit words where the coverage limit is reached."""
-    own: SuffixAutomaton = automaton.value
+def _without(raw: bytes, words: list[bytes], starts: list[int], ends: list[int]) -> bytes:
+    """The text without the words of the spans and what stands between them."""
+    places, at, folded = [], 0, raw.translate(_FOLD)
+    for w in words:
+        at = folded.index(w, at)
+        places.append((at, at + len(w)))
+        at += len(w)
+    kept, at = [], 0
+    for s, e in zip(starts, ends, strict=True):
+        kept.append(raw[at : places[s][0]])
+        at = places[e - 1][1]
+    return b"".join([*kept, raw[at:]])
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch], automaton, coverage: int) -> Iterator[pa.RecordBatch]:
+    """Texts without their hit words where the coverage limit is reached: spans of the automaton, or given as columns."""
     for batch in batches:
         texts, cuts = [], []
-        for text in batch.column(1).cast(pa.binary()):
+        given = None if automaton else [batch.column(k).to_pylist() for k in (2, 3)]
+        for i, text in enumerate(batch.column(1).cast(pa.binary())):
             raw = text.as_py()
-            words = words_of(raw)
-            spans, _ = own.matches(words)
-            n = sum(e - s for s, e in spans)
+            if given:  # only texts at or over the limit have spans
+                starts, ends = given[0][i] or [], given[1][i] or []
+                words = words_of(raw) if starts else []
+            else:
+                words = words_of(raw)
+                spans = automaton.value.matches(words)[0]
+                starts, ends = [s for s, _ in spans], [e for _, e in spans]
+            n = sum(ends) - sum(starts)
             cuts.append(n if n and coverage * n >= len(words) else 0)
             if cuts[-1]:
-                places, at, folded = [], 0, raw.translate(_FOLD)
-                for w in words:
-                    at = folded.index(w, at)
-                    places.append((at, at + len(w)))
-                    at += len(w)
-                kept, at = [], 0
-                for s, e in spans:
-                    kept.append(raw[at : places[s][0]])
-                    at = places[e - 1][1]
-                raw = b"".join([*kept, raw[at:]])
+                raw = _without(raw, words, starts, ends)
             texts.append(None if raw is None else raw.decode())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(cuts, pa.int64())], ["doc_id", "text", "n_cut"])
 
@@ -317,12 +327,18 @@ def _cut(batches: Iterator[pa.RecordBatch], automaton, coverage: int) -> Iterato
 def without_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: int = COVERAGE, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``(doc_id, text, n_cut)``: texts at or over the coverage limit with their hit spans removed.
 
-    Block after block of items is cut from what the block before left.
+    The limit holds for the merged spans of all blocks of items; each original text is cut once.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_cut"))
-    kind = own.schema["doc_id"].dataType.simpleString()
-    for a in item_blocks(benchmark, "item_id", "text", window, block_words):
-        shared = own.sparkSession.sparkContext.broadcast(a)
-        own = own.select("doc_id", "text").mapInArrow(partial(_cut, automaton=shared, coverage=coverage), f"doc_id {kind}, text string, n_cut long")
-    return own
-
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text string, n_cut long"
+    blocks = item_blocks(benchmark, "item_id", "text", window, block_words)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return own.withColumn("n_cut", F.lit(0).cast("long"))
+    if second is None:
+        return own.mapInArrow(partial(_cut_batches, automaton=own.sparkSession.sparkContext.broadcast(first), coverage=coverage), schema)
+    keyed, key = _keyed(own)
+    hits = _hits_by_row(keyed.select(F.col(key).alias("row"), "text"), chain((first, second), blocks))
+    bad = written(hits.withColumn("n_hit", _n_hit()).where(_over(coverage)).select("row", "starts", "ends"), "contaminated")
+    spans = keyed.join(bad, F.col(key) == F.col("row"), "left").select("doc_id", "text", "starts", "ends")
+    return spans.mapInArrow(partial(_cut_batches, automaton=None, coverage=coverage), schema)

@@ -102,3 +102,24 @@ def test_null_and_repeated_ids_are_judged_by_row_over_any_blocks(spark):
     want = sorted(str(x) for x in docs if not x[1] or "clean" in x[1])
     for n in (100, 15):
         assert sorted(str(tuple(r)) for r in dc.uncontaminated(d, b, block_words=n).collect()) == want
+
+
+def test_spans_of_all_blocks_are_cut_at_once(spark):
+    parts = [" ".join(f"p{i}w{k}" for k in range(15)) for i in range(3)]
+    meeting = [" ".join(f"m{k}" for k in range(a, a + 20)) for a in (0, 10)]
+    items = list(enumerate([*parts, *meeting]))
+    rest = "x " * 450
+    docs = [
+        (1, rest + parts[0] + " y " + parts[1]),  # 30 of 481 words over two blocks, 15 in each
+        (2, " ".join(f"m{k}" for k in range(30)) + " end"),  # the second item begins inside the first
+        (3, rest + parts[2]),  # 15 of 465: below the limit
+        (None, f"{parts[0]} a"),
+        (None, "clean"),
+        (4, None),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = [(1, rest + " y ", 30), (2, " end", 30), (3, docs[2][1], 0), (None, " a", 15), (None, "clean", 0), (4, None, 0)]
+    for n in (1000, 20):
+        assert sorted(map(str, map(tuple, dc.without_spans(d, b, block_words=n).collect()))) == sorted(map(str, want))
+    assert dc.without_spans(d, b.where("item_id < 0")).where("n_cut = 0").count() == len(docs)
