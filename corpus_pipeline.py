@@ -26,14 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least id stays; a row without id stays too."""
-    groups = written(simhash.near_duplicates(docs), "groups")
-    extra_id = spare_name(docs, "extra_id")
-    # a table of its own, so that its true size decides whether texts must be shuffled
-    extra = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(extra_id)), "extra")
-    kept = docs.join(extra, F.col("doc_id") == F.col(extra_id), "left_anti")
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1)
-    return kept if repeated.isEmpty() else kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """Of each group of near copies the row of least id stays, and one row without id."""
+    return simhash.without_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

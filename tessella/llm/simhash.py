@@ -20,11 +20,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.components import connected_components
-from tessella.session import written
+from tessella.session import spare_name, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 _LANES = np.uint64(0x0101010101010101)
@@ -65,27 +65,26 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush(ids, parts):
+    def flush(rows, parts):
         counts = np.array([len(p) for p in parts], np.int64)
         prints = majority(np.concatenate(parts) if parts else np.empty(0, np.uint64), counts)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(prints.view(np.int64))], [*rows.schema.names[1:], "fp"])
 
     for batch in batches:
-        ids, parts, held = [], [], 0
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-            ids.append(key)
+        start, parts, held = 0, [], 0
+        for text in batch.column(0).cast(pa.binary()):
             parts.append(shingle_hashes(text.as_py() or b""))
             held += len(parts[-1])
             if held > _CHUNK:
-                yield flush(ids, parts)
-                ids, parts, held = [], [], 0
-        yield flush(ids, parts)
+                yield flush(batch.slice(start, len(parts)), parts)
+                start, parts, held = start + len(parts), [], 0
+        yield flush(batch.slice(start), parts)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``: a 64-bit SimHash as signed long; a null or wordless text has 0."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
+    """``(doc_id, *more, fp)``: a 64-bit SimHash as signed long; a null or wordless text has 0. ``more``: columns of longs."""
+    own = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), *[c.alias(n) for n, c in more.items()])
+    return own.mapInArrow(_fingerprint_batches, ", ".join(f"{n} long" for n in ("doc_id", *more, "fp")))
 
 
 def _block_choices(n: int, radius: int, bucket_rows: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
@@ -222,21 +221,51 @@ def links(reps: DataFrame, radius: int = RADIUS, bucket_rows: int = 16_384, tile
     )
 
 
+def _linked(reps: DataFrame, radius: int) -> DataFrame:
+    """``(node, component)`` of the fingerprints that lie near another: nodes are the fingerprints themselves."""
+    return connected_components(links(reps.select("fp", F.col("fp").alias("node")), radius))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
-    Exact copies share a fingerprint and collapse to one representative (their least id)
+    Exact copies share a fingerprint and collapse to one representative
     before any comparison. component_id is the least doc_id reachable over fingerprints
     that differ in ``radius`` bits or fewer. Null or wordless texts have fingerprint zero
     and link like any other; repeated rows each come back; a null id takes part with its
     text but never names a component unless its whole group lacks ids (then null).
     """
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "representatives")
-    groups = connected_components(links(reps.where("node is not null"), radius))
-    named = reps.join(groups, "node", "left").select(F.col("fp").alias("rep_fp"), F.coalesce("component", "node").alias("component_id"))
+    reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("own_least")), "representatives")
+    groups = _linked(reps, radius)
+    grouped = reps.join(groups, F.col("fp") == F.col("node"))
+    least = written(grouped.groupBy("component").agg(F.min("own_least").alias("least")).withColumnRenamed("component", "of_component"), "least")
+    named = groups.join(least, F.col("component") == F.col("of_component")).select("node", "least")
+    named = reps.join(named, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("rep_fp"), F.coalesce("least", "own_least").alias("component_id"))
     return prints.join(named, F.col("fp") == F.col("rep_fp")).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stay, unchanged: of each component of near copies the row of least id and one row without id.
+
+    Rows are told apart by a written key, not by id. Equal ids are ordered by fingerprint and then by a
+    hash of the whole row; rows that are equal in all of this are copies, and any one stays.
+    """
+    key = spare_name(docs, "row_key")
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    prints = written(fingerprints(keyed, id_col, text_col, row=F.col(key), tie=tie), "fingerprints")
+    row = F.struct("doc_id", "fp", "tie", "row")
+    best = {"named": F.col("doc_id").isNotNull(), "unnamed": F.col("doc_id").isNull()}
+    reps = written(prints.groupBy("fp").agg(*[F.min(F.when(c, row)).alias(n) for n, c in best.items()]), "representatives")
+    roots = reps.join(_linked(reps, radius), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("component", "fp"))
+    kept = roots.groupBy("root").agg(*[F.min(n)["row"].alias(n) for n in best]).select(F.explode(F.array(*best)).alias("kept_row"))
+    kept = written(kept.where("kept_row is not null"), "kept")
+    extra_row = spare_name(keyed, "extra_row")
+    # a table of its own, so that its true size decides whether texts must be shuffled
+    extra = written(prints.join(kept, F.col("row") == F.col("kept_row"), "left_anti").select(F.col("row").alias(extra_row)), "extra")
+    return keyed.join(extra, F.col(key) == F.col(extra_row), "left_anti").drop(key)

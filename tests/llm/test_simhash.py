@@ -106,3 +106,27 @@ def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "q w e r t")], "doc_id long, text string")
     got = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect() if r.doc_id is not None)
     assert got == [(1, 1), (1, 1)]
+
+
+def planted(spark, monkeypatch, rows):
+    """Rows ``(doc_id, text)`` whose text is their fingerprint in hexadecimal."""
+    prints = spark.createDataFrame(rows, "doc_id long, text string")
+    own = lambda d, i="doc_id", t="text", **more: d.select(i, *[c.alias(n) for n, c in more.items()], simhash.F.conv(t, 16, 10).cast("long").alias("fp"))
+    monkeypatch.setattr(simhash, "fingerprints", own)
+    return prints
+
+
+def test_a_text_without_id_links_and_bridges(spark, monkeypatch):
+    # 1 and 9 lie six bits apart, three from the text without id; the last two lack ids altogether
+    rows = [(1, "3f000"), (9, "0"), (None, "7000"), (None, "3f000"), (None, "fff00000"), (None, "fff00001")]
+    got = simhash.near_duplicates(planted(spark, monkeypatch, rows))
+    want = [(i, t.zfill(16), None if t.startswith("fff") else 1) for i, t in rows]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_one_copy_without_id_stays_of_a_component(spark, monkeypatch):
+    rows = [(1, "3f000"), (9, "0"), (None, "7000"), *[(None, "3f000")] * 3, *[(None, "fff00000")] * 5, (None, "fff00001"), (4, "ffffffffff")]
+    got = [tuple(r) for r in simhash.without_copies(planted(spark, monkeypatch, rows)).collect()]
+    named, unnamed = ([r for r in got if (r[0] is None) == lacks] for lacks in (False, True))
+    assert sorted(named) == [(1, "3f000"), (4, "ffffffffff")]
+    assert sorted(t.startswith("fff0") for _, t in unnamed) == [False, True]
