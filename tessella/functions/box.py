@@ -57,6 +57,31 @@ def intersection_area(a: Column, b: Column) -> Column:
     return F.greatest(x, x * 0) * F.greatest(y, y * 0)
 
 
+def union_area(boxes: Column) -> Column:
+    """Area that an array of boxes covers, in double: the strips between their sides, and in each the merged heights."""
+    sides = F.array_sort(F.array_distinct(F.concat(boxes["minx"], boxes["maxx"])))
+    by_y = F.array_sort(F.transform(boxes, lambda b: F.struct(*[b[c].cast("double").alias(c) for c in ("miny", "maxy", "minx", "maxx")])))
+    none, zero = F.lit(None).cast("double"), F.lit(0.0)
+
+    def height(rows: Column, left: Column, right: Column) -> Column:
+        def step(s, r):
+            low = F.greatest(s["top"], r["miny"])
+            return F.struct(F.greatest(s["top"], r["maxy"]).alias("top"), (s["sum"] + F.greatest(r["maxy"] - low, zero)).alias("sum"))
+
+        inside = F.filter(rows, lambda r: (r["minx"] <= left) & (r["maxx"] >= right))
+        return F.aggregate(inside, F.struct(none.alias("top"), zero.alias("sum")), step)["sum"]
+
+    def total(rows: Column) -> Column:
+        def step(s, x):
+            x = x.cast("double")
+            strip = F.when(s["last"] < x, (x - s["last"]) * height(rows, s["last"], x)).otherwise(zero)
+            return F.struct(x.alias("last"), (s["sum"] + strip).alias("sum"))
+
+        return F.aggregate(sides, F.struct(none.alias("last"), zero.alias("sum")), step)["sum"]
+
+    return F.transform(F.array(by_y), total)[0]
+
+
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union; null for two empty boxes."""
     common = intersection_area(a, b)

@@ -198,22 +198,25 @@ def restricted(df: DataFrame, global_aoi: DataFrame, box: str, cell: float = 256
 
 
 def covered_ratio(labels: DataFrame, features: DataFrame, least: float, cell: float = 256.0) -> DataFrame:
-    """``(label_id, aoi, ratio)``: the share of each label that an area's (disjoint) features cover, kept from ``least`` less 1e-9 on.
+    """``(label_id, aoi, ratio)``: the share of each label that an area's features cover, kept from ``least`` less 1e-9 on.
 
-    A label without extent counts as wholly inside.
+    Ground under several features of an area counts once. A label without extent counts as wholly inside.
     """
     own = features.select(F.col("raster_id").alias("of_raster"), "aoi", "area")
     pairs = cell_join(labels.select("raster_id", "label_id", "shape"), own, "shape", "area", [("raster_id", "of_raster")], cell, B.intersects)
-    ratio = F.coalesce(F.try_divide(F.sum(B.intersection_area(F.col("shape"), F.col("area"))), F.first(B.area(F.col("shape")))), F.lit(1.0))
-    return pairs.groupBy("label_id", "aoi").agg(ratio.alias("ratio")).where(F.col("ratio") >= least - 1e-9)
+    met = pairs.groupBy("label_id", "aoi").agg(F.first(B.area(F.col("shape"))).alias("extent"), F.collect_set(B.intersection(F.col("shape"), F.col("area"))).alias("common"))
+    ratio = F.coalesce(F.try_divide(B.union_area(F.col("common")), F.col("extent")), F.lit(1.0))
+    return met.select("label_id", "aoi", ratio.alias("ratio")).where(F.col("ratio") >= least - 1e-9)
 
 
 def masked_pixels(tiles: DataFrame, features: DataFrame, cell: float = 256.0) -> DataFrame:
-    """``(raster_id, tile_id, aoi, masked)``: pixels of each tile outside its area's (disjoint, whole-pixel) features."""
+    """``(raster_id, tile_id, aoi, masked)``: pixels of each tile outside its area's (whole-pixel) features, which may overlap."""
     own = features.select(F.col("raster_id").alias("of_raster"), "aoi", "area")
     pairs = cell_join(tiles.select("raster_id", "tile_id", "tile"), own, "tile", "area", [("raster_id", "of_raster")], cell)
-    hidden = F.first(B.area(F.col("tile"))) - F.sum(B.intersection_area(F.col("tile"), F.col("area")))
-    return pairs.groupBy("raster_id", "tile_id", "aoi").agg(hidden.alias("masked"))
+    common = B.intersection(F.col("tile"), F.col("area"))
+    kind = pairs.select(F.sum(B.area(common)).alias("seen")).schema["seen"].dataType
+    met = pairs.groupBy("raster_id", "tile_id", "aoi").agg(F.first(B.area(F.col("tile"))).alias("extent"), F.collect_set(common).alias("common"))
+    return met.select("raster_id", "tile_id", "aoi", (F.col("extent") - B.union_area(F.col("common")).cast(kind)).alias("masked"))
 
 
 def label_matrix(tiles: DataFrame, step: int) -> DataFrame:

@@ -247,3 +247,24 @@ def test_coordinates(spark):
     assert [(round(p.x, 6), round(p.y, 6)) for p in back] == [(0, 0), (4, 0), (4, 2), (0, 0)]
     there = coords.reprojected(coords.reprojected(up, 32618, 4326), 4326, 32618).first().shape[0][0]
     assert there[1].x == pytest.approx(500002, abs=1e-4)
+
+
+def test_overlapping_features_of_an_area_count_once(spark):
+    r = random.Random(8)
+    rows = [(0, "a", 0, 0, 50, 50), (0, "a", 0, 0, 50, 50)]  # a quarter of the label, twice
+    for n in (1, 2, 6):
+        for _ in range(n):
+            x, y = r.randrange(-20, 90), r.randrange(-20, 90)
+            rows.append((n, "ab"[r.randrange(2)], x, y, x + r.randrange(1, 80), y + r.randrange(1, 80)))
+    own = spark.createDataFrame(rows, "raster_id int, aoi string, minx int, miny int, maxx int, maxy int").select("raster_id", "aoi", box("minx", "miny", "maxx", "maxy").alias("area"))
+    whole = spark.createDataFrame([(i, i + 100) for i in (0, 1, 2, 6)], "raster_id int, label_id int")
+    whole = whole.withColumn("shape", box(F.lit(0), F.lit(0), F.lit(100), F.lit(100)))
+    seen = {}
+    for i, a, x0, y0, x1, y1 in rows:
+        seen.setdefault((i, a), set()).update((x, y) for x in range(max(x0, 0), min(x1, 100)) for y in range(max(y0, 0), min(y1, 100)))
+    seen = {k: len(v) for k, v in seen.items() if v}
+    got = {(g.label_id - 100, g.aoi): g.ratio for g in aoi.covered_ratio(whole, own, 0.0).collect()}
+    assert {k: round(v * 10_000) for k, v in got.items() if v} == seen and got[0, "a"] == 0.25
+    assert aoi.covered_ratio(whole, own, 0.4).where("label_id = 100").count() == 0
+    tiles = whole.select("raster_id", F.col("label_id").alias("tile_id"), F.col("shape").alias("tile"))
+    assert {(g.raster_id, g.aoi): g.masked for g in aoi.masked_pixels(tiles, own).collect()} == {k: 10_000 - v for k, v in seen.items()}
