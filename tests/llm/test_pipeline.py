@@ -92,3 +92,13 @@ def test_clashing_columns_and_nulls(spark):
         assert out.columns == docs.columns and out.count() == 2, name
     assert corpus_pipeline.language_id(spark, docs, SF).count() == 1
     assert corpus_pipeline.byte_bpe(spark, docs, SF).count() == 2
+
+
+def test_different_texts_that_share_an_id_both_stay(spark):
+    one, two, three = ("the cat sat on a mat", "seven green bottles hang there", "nobody expects such a long winter")
+    docs = [(1, one), (2, two), (2, one), (3, three), (3, three), (3, two)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], table(spark, SF, "documents").schema)
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert got == [(1, one), (2, two), (3, three)]
+    same_id = docs.where("doc_id <> 1").where(f"text <> '{one}'").withColumn("doc_id", corpus_pipeline.F.lit(3).cast("long"))
+    assert sorted(r.text for r in corpus_pipeline.near_dedup(spark, same_id, SF).collect()) == sorted([two, three])
