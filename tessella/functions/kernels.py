@@ -25,7 +25,9 @@ def clip_half_plane(ring: np.ndarray, axis: int, bound: float, keep_above: bool)
         if a >= 0:
             out.append(p)
         if (a >= 0) != (b >= 0):
-            out.append(p + (q - p) * (a / (a - b)))
+            cut = p + (q - p) * (a / (a - b))
+            cut[axis] = bound  # exact, whatever the fraction's rounding
+            out.append(cut)
     return np.array(out).reshape(-1, 2)
 
 
@@ -57,18 +59,47 @@ def _clip_convex(subject: np.ndarray, triangle: np.ndarray) -> np.ndarray:
     return subject
 
 
+def _box_of(ring: np.ndarray) -> np.ndarray | None:
+    """Bounds of a ring that is an axis-parallel box."""
+    if len(ring) != 4 or not ((ring == np.roll(ring, -1, axis=0)).sum(axis=1) == 1).all():
+        return None
+    return np.concatenate([ring.min(axis=0), ring.max(axis=0)])
+
+
+def _convex(ring: np.ndarray) -> bool:
+    """Whether a counter-clockwise ring turns left everywhere, once around."""
+    d = np.roll(ring, -1, axis=0) - ring
+    e = np.roll(d, -1, axis=0)
+    cross, dot = d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0], (d * e).sum(axis=1)
+    return bool((cross >= 0).all() and abs(np.arctan2(cross, dot).sum() - 2 * np.pi) < 1e-6)
+
+
 def intersection_area(a: np.ndarray, b: np.ndarray) -> float:
-    """Common area of two simple polygons: signed sum over pairs of fan triangles."""
-    sides = np.sign(ring_area(a)) * np.sign(ring_area(b))
+    """Common area of two simple polygons.
+
+    One is cut by the sides of the other, if that is a box or convex; boxes of whole numbers are exact.
+    Of two that are neither, a signed sum over pairs of fan triangles.
+    """
     low, high = np.maximum(a.min(axis=0), b.min(axis=0)), np.minimum(a.max(axis=0), b.max(axis=0))
-    if not sides or (low >= high).any():
+    if len(a) < 3 or len(b) < 3 or (low >= high).any():
+        return 0.0
+    a, b = (r - low for r in (a, b))  # near the origin, so that large coordinates cancel first
+    sides = ring_area(a), ring_area(b)
+    if not all(sides):
         return 0.0
+    a, b = (r if s > 0 else r[::-1] for r, s in zip((a, b), sides, strict=True))
+    for subject, cutter in ((a, b), (b, a)):
+        if (box := _box_of(cutter)) is not None:
+            return ring_area(clip_ring(subject, box))
+    for subject, cutter in ((a, b), (b, a)):
+        if _convex(cutter):
+            return abs(ring_area(_clip_convex(subject, cutter)))
     fan = lambda r: [r[[0, i, i + 1]] for i in range(1, len(r) - 1)]
     total = 0.0
     for s in fan(a):
         for t in fan(b):
             sign = np.sign(ring_area(s)) * np.sign(ring_area(t))
-            if sign:
+            if sign and (np.maximum(s.min(axis=0), t.min(axis=0)) < np.minimum(s.max(axis=0), t.max(axis=0))).all():
                 s_, t_ = (x if ring_area(x) > 0 else x[::-1] for x in (s, t))
                 total += sign * ring_area(_clip_convex(s_, t_))
     return abs(total)

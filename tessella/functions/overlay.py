@@ -10,6 +10,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.kernels import ring_area
 
@@ -150,3 +153,9 @@ class Region:
             edges = _edges([r])
             out.append(Region([r, *(h for h in holes if inside(h.mean(axis=0)[None], edges)[0] or inside(h[:1], edges)[0])]))
         return out
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def repaired_rings(rings: pd.Series) -> pd.Series:
+    """Flat rings as those of their even-odd region, holes clockwise."""
+    return pd.Series([None if x is None else [r.ravel().tolist() for r in repaired([np.asarray(f, float).reshape(-1, 2) for f in x])] for x in rings])

@@ -36,6 +36,11 @@ def flat_area(flat: Column) -> Column:
     return F.abs(_twice_signed_area(ring_of_coco(flat))) / 2
 
 
+def rings_area(rings: Column) -> Column:
+    """Area of flat rings of which holes turn the other way."""
+    return F.abs(F.aggregate(F.transform(rings, lambda r: _twice_signed_area(ring_of_coco(r))), F.lit(0.0), lambda a, x: a + x)) / 2
+
+
 def coco_bounds(lists: Column) -> Column:
     """Bounding box of COCO coordinate lists."""
     flat = lambda odd: F.flatten(F.transform(lists, lambda v: F.filter(v, lambda x, i: i % 2 == odd)))

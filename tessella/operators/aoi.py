@@ -190,11 +190,11 @@ def package_polygons(labels: DataFrame, features: DataFrame, cell: float = 256.0
     return pairs.groupBy("label_id").agg(best.alias("best")).select("label_id", "best.aoi", (-F.col("best.less")).alias("common"))
 
 
-def restricted(df: DataFrame, global_aoi: DataFrame, box: str, cell: float = 256.0) -> DataFrame:
-    """Rows of ``df`` that share ground with the global area ``(raster_id, area)``."""
+def restricted(df: DataFrame, global_aoi: DataFrame, box: str, cell: float = 256.0, key: str = "tile_id") -> DataFrame:
+    """Rows of ``df`` that share ground with the global area ``(raster_id, area)``; only keys and boxes are shuffled to find them."""
     own = global_aoi.select(F.col("raster_id").alias("of_raster"), "area")
-    keys = cell_join(df, own, box, "area", [("raster_id", "of_raster")], cell).select(*[F.col(c) for c in df.columns])
-    return keys.distinct()
+    met = cell_join(df.select("raster_id", key, box), own, box, "area", [("raster_id", "of_raster")], cell).select(F.col("raster_id").alias("met_raster"), F.col(key).alias("met_key"))
+    return df.join(met, (F.col("raster_id") == F.col("met_raster")) & (F.col(key) == F.col("met_key")), "left_semi")
 
 
 def covered_ratio(labels: DataFrame, features: DataFrame, least: float, cell: float = 256.0) -> DataFrame:

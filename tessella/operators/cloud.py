@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import box as B
-from tessella.operators.spatial import contained_points
+from tessella.operators.spatial import cell_join, contained_points
 
 
 def distinct_points(points: DataFrame, key: str = "point_id") -> DataFrame:
@@ -62,8 +62,8 @@ def density(points: DataFrame) -> DataFrame:
     return out.withColumn("resolution", F.try_divide(F.lit(1.0), F.sqrt("density")))
 
 
-def best_areas(tiles: DataFrame, areas: DataFrame) -> DataFrame:
-    """``(tile_id, aoi)``: the area that shares most ground with each cloud tile, ties to the least name; areas are few."""
-    pairs = tiles.join(F.broadcast(areas), B.overlaps(F.col("tile"), F.col("area")))
+def best_areas(tiles: DataFrame, areas: DataFrame, cell: float = 256.0) -> DataFrame:
+    """``(tile_id, aoi)``: the area that shares most ground with each cloud tile, ties to the least name."""
+    pairs = cell_join(tiles, areas, "tile", "area", cell=cell)
     best = F.min(F.struct((-B.intersection_area(F.col("tile"), F.col("area"))).alias("less"), "aoi"))
     return pairs.groupBy("tile_id").agg(best.alias("best")).select("tile_id", F.col("best.aoi").alias("aoi"))

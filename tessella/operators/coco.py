@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import box as B
@@ -25,9 +25,9 @@ def category_ids(categories: DataFrame) -> DataFrame:
 
 
 def categories_of(labels: DataFrame, name: str = "category") -> DataFrame:
-    """``(id, name, supercategory)``: ids 1..n over the distinct names in order; there are few of them."""
+    """``(id, name, supercategory)``: ids 1..n over the distinct names in order."""
     distinct = labels.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct()
-    return distinct.select(F.row_number().over(Window.orderBy("name")).cast("long").alias("id"), "name", F.lit("").alias("supercategory"))
+    return dense_index(distinct, "name", name="id", start=1).select(F.col("id").cast("long").alias("id"), "name", F.lit("").alias("supercategory"))
 
 
 def with_category_id(labels: DataFrame, ids: DataFrame, name: str = "category") -> DataFrame:

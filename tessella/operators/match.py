@@ -44,13 +44,16 @@ def point_matches(preds: DataFrame, points: DataFrame, most: float, scope: str |
 
 
 def polygon_matches(preds: DataFrame, truth: DataFrame, threshold: float, scope: str | None = None, cell: float = 64.0) -> DataFrame:
-    """``(pred_id, truth_id, iou)`` of polygons ``flat`` whose IoU is over ``threshold``; boxes only choose the candidates."""
+    """``(pred_id, truth_id, iou)`` of polygons ``flat`` whose IoU is over ``threshold``; boxes only choose the candidates.
+
+    Areas of general polygons are rounded, so an IoU counts as over only by more than 1e-9.
+    """
     within = lambda side: [F.col(scope).alias(f"scope_{side}")] if scope else []
     left = preds.select("pred_id", F.col("flat").alias("flat_a"), P.coco_bounds(F.array("flat")).alias("box_a"), *within("a"))
     right = truth.select("truth_id", F.col("flat").alias("flat_b"), P.coco_bounds(F.array("flat")).alias("box_b"), *within("b"))
     pairs = cell_join(left, right, "box_a", "box_b", [("scope_a", "scope_b")] if scope else None, cell).withColumn("common", polygon_intersection_area("flat_a", "flat_b"))
     iou = F.try_divide(F.col("common"), P.flat_area(F.col("flat_a")) + P.flat_area(F.col("flat_b")) - F.col("common"))
-    return pairs.select("pred_id", "truth_id", iou.alias("iou")).where(F.col("iou") > threshold)
+    return pairs.select("pred_id", "truth_id", iou.alias("iou")).where(F.col("iou") > threshold + 1e-9)
 
 
 def polygon_point_matches(preds: DataFrame, points: DataFrame, most: float, cell: float = 64.0) -> DataFrame:

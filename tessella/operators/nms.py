@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from functools import partial
+from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import box as B
 from tessella.functions import polygon as P
 from tessella.functions import scores as S
 from tessella.functions.kernels import polygon_intersection_area
-from tessella.functions.overlay import Region, repaired
+from tessella.functions.overlay import Region, repaired_rings
 from tessella.functions.rectilinear import Cells
 from tessella.operators.components import connected_components
 from tessella.operators.spatial import self_pairs
 from tessella.session import written
 
+GROUP_EDGES, ROUNDS = 20_000, 4  # conflicts that one group may hold; rounds between looks at the components
+GROUP_CUTS, RIVALS = 2_000, 256  # pairs that one group of cutting may hold; rivals that cut a shape in one round
+
 
 def off_edges(preds: DataFrame, tiles: DataFrame, band: float) -> DataFrame:
     """Predictions inside their tile's box, inset on all sides by ``band`` of its width.
@@ -51,14 +55,21 @@ def over_threshold(preds: DataFrame, least: float | None) -> DataFrame:
     return preds.crossJoin(F.broadcast(known)).where(~F.coalesce("any_score", F.lit(False)) | (F.col("score") >= least)).drop("any_score")
 
 
-def greedy_nms(preds: DataFrame, num: int, den: int, scope: str | None = None, cell: float = 64.0, flat: str | None = None, max_rounds: int = 200) -> DataFrame:
+def _no_worse(a: str, b: str) -> Column:
+    """Score a is at least score b; a null score is under every other."""
+    return F.col(b).isNull() | F.coalesce(F.col(a) >= F.col(b), F.lit(False))
+
+
+def greedy_nms(preds: DataFrame, num: int, den: int, scope: str | None = None, cell: float = 64.0, flat: str | None = None, group_edges: int = GROUP_EDGES) -> DataFrame:
     """Greedy suppression: by score (ties to the lesser id) each kept box drops later ones of IoU over num/den.
 
     ``preds(pred_id, score, shape)``; boxes without area go, categories play no part. Only
-    pairs that conflict matter. In each round the boxes without a better live rival are kept
-    and their rivals dropped, until no pair is left: the same boxes as the sequential walk,
-    with no group of rows in one task. Thresholds are compared by cross products. ``flat``
-    names a column of polygon coordinates whose areas count instead of the boxes'.
+    pairs that conflict matter. Connected components of up to ``group_edges`` conflicts are
+    walked as a group each; of larger ones, round by round, the boxes without a better live
+    rival are kept and their rivals dropped, until what is left falls into small components:
+    the same boxes as the sequential walk, with no unbounded group. Thresholds are compared by
+    cross products. ``flat`` names a column of polygon coordinates whose areas count instead
+    of the boxes'; these are rounded, so an IoU counts as over only by more than 1e-9.
     """
     own = preds.where(B.area(F.col("shape")) > 0)
     pairs = self_pairs(own, "pred_id", "shape", scope, cell).where("pred_id < other_pred_id")
@@ -71,77 +82,183 @@ def greedy_nms(preds: DataFrame, num: int, den: int, scope: str | None = None, c
         pairs = pairs.withColumn("common", polygon_intersection_area("flat_a", "flat_b"))
         common = F.col("common")
         union = P.flat_area(F.col("flat_a")) + P.flat_area(F.col("flat_b")) - common
-    conflicts = pairs.where(common * den > union * num).select("pred_id", "other_pred_id")
+    margin = 1e-9 * den * union if flat else F.lit(0)
+    conflicts = pairs.where(common * den > union * num + margin).select("pred_id", "other_pred_id")
     ranks = own.select(F.col("pred_id").alias("id"), "score")
     edges = (
         conflicts.join(ranks.withColumnsRenamed({"id": "a", "score": "sa"}), F.col("pred_id") == F.col("a"))
         .join(ranks.withColumnsRenamed({"id": "b", "score": "sb"}), F.col("other_pred_id") == F.col("b"))
     )
-    first = (F.col("sa") > F.col("sb")) | (F.col("sa").eqNullSafe(F.col("sb")))  # a < b
+    first = _no_worse("sa", "sb")  # a < b
     edges = written(edges.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("lo")), "conflicts")
-    dropped = []
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
-        beaten = edges.select("lo").distinct()
-        heads = edges.join(beaten.withColumnRenamed("lo", "hi"), "hi", "left_anti")
-        out = written(heads.select("lo").distinct(), "dropped")
-        dropped.append(out)
-        gone_hi, gone_lo = out.withColumnRenamed("lo", "hi"), out
-        edges = written(edges.join(gone_lo, "lo", "left_anti").join(gone_hi, "hi", "left_anti"), "conflicts")
-    else:
-        raise RuntimeError(f"suppression did not settle in {max_rounds} rounds")
-    for out in dropped:
-        own = own.join(out.withColumnRenamed("lo", "pred_id"), "pred_id", "left_anti")
-    return own
+    dropped = _dropped(edges, group_edges)
+    return own if dropped is None else own.join(dropped.withColumnRenamed("lo", "pred_id"), "pred_id", "left_anti")
+
+
+def _walked(group: pd.DataFrame) -> pd.DataFrame:
+    """Dropped boxes of one component of conflicts: better boxes come first, each kept one drops its rivals."""
+    rivals, waits = defaultdict(list), Counter()
+    for hi, lo in zip(group.hi.tolist(), group.lo.tolist(), strict=True):
+        rivals[hi].append(lo)
+        waits[lo] += 1
+    ready, dropped = [k for k in rivals if not waits[k]], set()
+    while ready:
+        key = ready.pop()
+        if key not in dropped:
+            dropped.update(rivals[key])
+        for lo in rivals.pop(key, ()):
+            waits[lo] -= 1
+            if not waits[lo]:
+                ready.append(lo)
+    return pd.DataFrame({"lo": sorted(dropped)}, dtype="int64")
+
+
+def _by_size(edges: DataFrame, a: str, b: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Edges with their ``component``: those of components of up to ``most`` edges, and the rest."""
+    if edges.count() <= most:  # one group at most
+        return edges.withColumn("component", F.lit(0).cast("long")), edges.withColumn("component", F.lit(0).cast("long")).where("false")
+    groups = connected_components(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
+    placed = edges.join(groups, F.col(a) == F.col("node")).drop("node")
+    large = written(placed.groupBy("component").count().where(F.col("count") > most).select("component"), "large_components")
+    placed = written(placed, "components")
+    return placed.join(large, "component", "left_anti"), placed.join(large, "component", "left_semi")
+
+
+def _dropped(edges: DataFrame, group_edges: int) -> DataFrame | None:
+    """``lo`` of every dropped box, from conflicts ``(hi, lo)`` of the better and the worse box."""
+    parts = []
+    while not edges.isEmpty():
+        small, large = _by_size(edges, "hi", "lo", group_edges)
+        parts.append(written(small.groupBy("component").applyInPandas(_walked, "lo long"), "dropped"))
+        edges = large.select("hi", "lo")
+        for _ in range(ROUNDS):
+            heads = edges.join(edges.select(F.col("lo").alias("hi")).distinct(), "hi", "left_anti")
+            out = written(heads.select("lo").distinct(), "dropped")
+            parts.append(out)
+            edges = written(edges.join(out, "lo", "left_anti").join(out.withColumnRenamed("lo", "hi"), "hi", "left_anti"), "conflicts")
+            if edges.isEmpty():
+                break
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _shape(rows: list, flat: bool) -> Region | Cells:
+    return Region([np.asarray(r, float).reshape(-1, 2) for r in rows]) if flat else Cells([tuple(map(float, b)) for b in rows])
+
 
+def _pieces(shape: Region | Cells) -> list[list[float]]:
+    return [r.ravel().tolist() for r in shape.rings] if isinstance(shape, Region) else [list(b) for b in shape.boxes]
 
-def _disambiguated(group: pd.DataFrame, threshold: float, keep_ratio: float) -> pd.DataFrame:
-    """The sequential walk over one component: a kept shape drops or cuts the ones after it."""
+
+def _cut(shape: Region | Cells, better: Region | Cells, threshold: float, keep_ratio: float) -> Region | Cells | None:
+    """What a kept better shape leaves of a later one; None if it drops it."""
+    if not (common := better.intersection_area(shape)):
+        return shape
+    if common / shape.area > threshold:
+        return None
+    rest = shape.minus(better)
+    parts = rest.parts()
+    if len(parts) > 1:
+        best = max(parts, key=lambda p: p.area)
+        rest = best if best.area / rest.area > keep_ratio else None
+    return rest if rest is not None and rest.area > 0 else None
+
+
+_CUT = "pred_id long, score double, pieces array<array<double>>"
+
+
+def _walked_cuts(group: pd.DataFrame, edges: pd.DataFrame, threshold: float, keep_ratio: float, flat: bool) -> pd.DataFrame:
+    """The sequential walk over one component: a kept shape drops or cuts those after it that it meets."""
     rows = group.sort_values(["score", "pred_id"], ascending=[False, True])
-    shapes = [Region(repaired([np.asarray(f, float).reshape(-1, 2)])) for f in rows.flat] if "flat" in rows else [Cells.of_box(*b) for b in rows[["minx", "miny", "maxx", "maxy"]].to_numpy()]
-    live = dict(zip(rows.pred_id, shapes, strict=True))
-    kept, order = [], list(rows.pred_id)
-    for i, key in enumerate(order):
-        if (own := live.get(key)) is None or own.area <= 0:
+    live = {k: _shape(p, flat) for k, p in zip(rows.pred_id, rows.pieces, strict=True)}
+    later = edges.groupby("hi").lo.agg(set).to_dict() if len(edges) else {}
+    order, place = list(rows.pred_id), {k: i for i, k in enumerate(rows.pred_id)}
+    for key in order:
+        if live[key] is None or live[key].area <= 0:
+            live[key] = None
             continue
-        kept.append((key, own))
-        for other in order[i + 1 :]:
-            if (shape := live.get(other)) is None or not (common := own.intersection_area(shape)):
-                continue
-            if common / shape.area > threshold:
-                live[other] = None
-                continue
-            rest = shape.minus(own)
-            parts = rest.parts()
-            if len(parts) > 1:
-                best = max(parts, key=lambda p: p.area)
-                rest = best if best.area / rest.area > keep_ratio else None
-            live[other] = rest if rest is not None and rest.area > 0 else None
-    pieces = lambda s: [r.ravel().tolist() for r in s.rings] if isinstance(s, Region) else [list(b) for b in s.boxes]
-    return pd.DataFrame([(k, s.area, pieces(s)) for k, s in kept], columns=["pred_id", "area", "pieces"])
-
-
-def ioa_disambiguated(preds: DataFrame, threshold: float = 0.5, keep_ratio: float = 0.5, scope: str | None = None, cell: float = 64.0, flat: str | None = None) -> DataFrame:
-    """``(pred_id, area, pieces)``: by score each kept shape drops later ones that it covers to more than
+        for other in sorted(later.get(key, ()), key=place.__getitem__):
+            if live[other] is not None:
+                live[other] = _cut(live[other], live[key], threshold, keep_ratio)
+    kept = rows[[live[k] is not None for k in order]]
+    return pd.DataFrame({"pred_id": kept.pred_id, "score": kept.score, "pieces": [_pieces(live[k]) for k in kept.pred_id]})
+
+
+def _cut_by_finals(key: tuple, group: pd.DataFrame, rivals: pd.DataFrame, threshold: float, keep_ratio: float, flat: bool) -> pd.DataFrame:
+    """One shape cut by its final rivals, in their order; without a row if it is dropped."""
+    shape = _shape(group.pieces.iloc[0], flat)
+    for pieces in rivals.sort_values("place").pieces:
+        shape = _cut(shape, _shape(pieces, flat), threshold, keep_ratio)
+        if shape is None:
+            return group[:0]
+    return group.assign(pieces=[_pieces(shape)])
+
+
+def ioa_disambiguated(preds: DataFrame, threshold: float = 0.5, keep_ratio: float = 0.5, scope: str | None = None, cell: float = 64.0, flat: str | None = None, group_edges: int = GROUP_CUTS) -> DataFrame:
+    """``(pred_id, area, pieces)``: by score (ties to the lesser id) each kept shape drops later ones that it covers to more than
     ``threshold``, and cuts its ground out of the rest; of a remainder in several parts the largest stays if it has
     more than ``keep_ratio`` of it.
 
     Pieces are disjoint boxes; or, with ``flat`` naming polygon coordinates, rings (holes clockwise).
-    Shapes change as the walk goes on, so each connected component of meeting boxes is one
-    group; shapes that meet no other are passed on without a group.
+    Only shapes whose boxes meet matter. Connected components of up to ``group_edges`` such pairs are
+    walked as a group each. Larger ones go by rounds: a shape without a better rival left is final; each of
+    the others is cut, in a group of its own, by its final rivals up to the first one that isn't final, at most
+    ``RIVALS`` a round; so every shape meets its rivals in the order of the sequential walk.
     """
-    own = written(preds.where(B.area(F.col("shape")) > 0), "predictions")
+    is_flat = flat is not None
+    piece = F.col(flat) if is_flat else F.array(*[F.col(f"shape.{c}").cast("double") for c in ("minx", "miny", "maxx", "maxy")])
+    own = preds.where(B.area(F.col("shape")) > 0).select("pred_id", "shape", F.col("score").cast("double").alias("score"), F.array(piece).alias("pieces"), *([scope] if scope else []))
+    if is_flat:
+        own = own.withColumn("pieces", repaired_rings("pieces"))
+    own = written(own, "predictions")
     pairs = self_pairs(own, "pred_id", "shape", scope, cell).where("pred_id < other_pred_id")
-    groups = connected_components(pairs.select(F.col("pred_id").alias("a"), F.col("other_pred_id").alias("b")))
-    sides = [F.col(f"shape.{c}").cast("double").alias(c) for c in ("minx", "miny", "maxx", "maxy")]
-    rows = own.select("pred_id", F.col("score").cast("double").alias("score"), *([F.col(flat).alias("flat")] if flat else sides))
-    schema = "pred_id long, area double, pieces array<array<double>>"
-    walked = rows.join(groups, F.col("pred_id") == F.col("node")).groupBy("component").applyInPandas(partial(_disambiguated, threshold=threshold, keep_ratio=keep_ratio), schema)
-    alone = rows.join(groups.select(F.col("node").alias("pred_id")), "pred_id", "left_anti")
-    area = P.flat_area(F.col("flat")) if flat else (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
-    piece = F.col("flat") if flat else F.array("minx", "miny", "maxx", "maxy")
-    return walked.unionByName(alone.select("pred_id", area.alias("area"), F.array(piece).alias("pieces")))
+    ranks = own.select(F.col("pred_id").alias("id"), "score")
+    pairs = pairs.join(ranks.withColumnsRenamed({"id": "a", "score": "sa"}), F.col("pred_id") == F.col("a")).join(ranks.withColumnsRenamed({"id": "b", "score": "sb"}), F.col("other_pred_id") == F.col("b"))
+    first = _no_worse("sa", "sb")
+    edges = written(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("lo"), F.when(first, F.col("sa")).otherwise(F.col("sb")).alias("hi_score")), "meeting")
+    small, large = _by_size(edges, "hi", "lo", group_edges)
+    options = {"threshold": threshold, "keep_ratio": keep_ratio, "flat": is_flat}
+    shapes = own.select("pred_id", F.coalesce("score", F.lit(float("-inf"))).alias("score"), "pieces")
+    nodes = lambda e: e.select(F.col("component").alias("of_component"), F.explode(F.array("hi", "lo")).alias("node")).distinct()
+
+    def walk(group: pd.DataFrame, among: pd.DataFrame) -> pd.DataFrame:
+        return _walked_cuts(group, among, **options)
+
+    def cut(key: tuple, group: pd.DataFrame, rivals: pd.DataFrame) -> pd.DataFrame:
+        return _cut_by_finals(key, group, rivals, **options) if len(group) else group
+
+    inside = nodes(small)
+    walked = shapes.join(inside, F.col("pred_id") == F.col("node")).select("of_component", *shapes.columns).groupBy("of_component").cogroup(small.groupBy("component")).applyInPandas(walk, _CUT)
+    met = nodes(small).select("node").union(nodes(large).select("node"))
+    kept = [shapes.join(met, F.col("pred_id") == F.col("node"), "left_anti"), walked]
+    rest = written(large.select("hi", "lo", F.coalesce("hi_score", F.lit(float("-inf"))).alias("hi_score")), "rest")
+    live = None
+    while not rest.isEmpty():
+        if live is None:
+            live = written(shapes.join(nodes(large).select("node"), F.col("pred_id") == F.col("node"), "left_semi"), "live")
+        finals = written(live.join(rest.select(F.col("lo").alias("pred_id")).distinct(), "pred_id", "left_anti"), "finals")
+        marked = rest.join(finals.select(F.col("pred_id").alias("final_id")), F.col("hi") == F.col("final_id"), "left")
+        # of each shape the rivals in order, up to the first that isn't final
+        order = F.struct((-F.col("hi_score")).alias("less"), F.col("hi").alias("id"))
+        stop = marked.where("final_id is null").groupBy(F.col("lo").alias("stop_lo")).agg(F.min(order).alias("stop"))
+        ready = marked.where("final_id is not null").withColumn("place", order).join(stop, F.col("lo") == F.col("stop_lo"), "left").where("stop is null or place < stop")
+        ready = ready.withColumn("turn", F.row_number().over(Window.partitionBy("lo").orderBy("place"))).where(F.col("turn") <= RIVALS)
+        ready = written(ready.select("hi", "lo", F.col("turn").alias("place")), "ready")
+        cutting = ready.join(finals.select("pred_id", "pieces"), F.col("hi") == F.col("pred_id")).select(F.col("lo").alias("of"), "place", "pieces")
+        target = live.join(ready.select(F.col("lo").alias("pred_id")).distinct(), "pred_id", "left_semi")
+        changed = target.groupBy("pred_id").cogroup(cutting.groupBy("of")).applyInPandas(cut, _CUT)
+        waiting = live.join(finals.select("pred_id"), "pred_id", "left_anti").join(ready.select(F.col("lo").alias("pred_id")).distinct(), "pred_id", "left_anti")
+        live = written(waiting.unionByName(changed), "live")
+        gone = rest.join(ready.select("hi", "lo"), ["hi", "lo"], "left_anti")
+        # a final shape stays until it has cut all that it meets
+        held = finals.join(gone.select(F.col("hi").alias("pred_id")).distinct(), "pred_id", "left_semi")
+        kept.append(finals.join(held.select("pred_id"), "pred_id", "left_anti"))
+        live = written(live.unionByName(held), "live")
+        alive = live.select("pred_id")
+        rest = written(gone.join(alive.withColumnRenamed("pred_id", "hi"), "hi", "left_semi").join(alive.withColumnRenamed("pred_id", "lo"), "lo", "left_semi"), "rest")
+    if live is not None:
+        kept.append(live)
+    area = P.rings_area(F.col("pieces")) if is_flat else F.aggregate("pieces", F.lit(0.0), lambda a, b: a + (b[2] - b[0]) * (b[3] - b[1]))
+    return reduce(DataFrame.unionByName, kept).select("pred_id", area.alias("area"), "pieces")
 
 
 def aggregated(

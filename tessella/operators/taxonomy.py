@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.grid import dense_index
+
 RANKS = ("family", "genus", "species")
 
 
@@ -26,7 +28,8 @@ def built(rows: DataFrame, ranks: tuple[str, ...] = RANKS) -> DataFrame:
             parents = level.select(F.col("name").alias("parent_name"), F.col("id").alias("parent"))
             pairs = rows.where(F.col(rank).isNotNull() & F.col(ranks[i - 1]).isNotNull()).select(F.col(ranks[i - 1]).alias("parent_name"), F.col(rank).alias("name")).distinct()
             own = pairs.join(parents, "parent_name").groupBy("name").agg(F.min("parent").alias("parent"))
-        numbered = own.withColumn("place", F.row_number().over(Window.orderBy("parent", "name")))
+        # a small window for each parent; only the counts of parents are summed in order
+        numbered = dense_index(own.withColumn("parent_", F.coalesce("parent", F.lit(0).cast("long"))), "parent_", "name", name="place", start=1).drop("parent_")
         if above is not None:
             numbered = numbered.crossJoin(F.broadcast(above))
             start = F.col("n_above")
@@ -46,7 +49,7 @@ def merged(base: DataFrame, other: DataFrame, ranks: tuple[str, ...] = RANKS) ->
     known = base.select(F.col("name").alias("known_name"), F.col("id").alias("known_id"))
     placed = other.join(known, F.col("name") == F.col("known_name"), "left")
     top = base.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = placed.where("known_id is null").withColumn("place", F.row_number().over(Window.orderBy(order, "id"))).crossJoin(F.broadcast(top))
+    fresh = dense_index(placed.where("known_id is null").withColumn("order_", order), "order_", "id", name="place", start=1).crossJoin(F.broadcast(top))
     fresh = fresh.select("id", "name", "rank", "supercategory", (F.col("top") + F.col("place")).cast("long").alias("new_id"))
     ids = fresh.select(F.col("id").alias("old"), "new_id").unionByName(placed.where("known_id is not null").select(F.col("id").alias("old"), F.col("known_id").alias("new_id")))
     parents = ids.select(F.col("old").alias("old_parent"), F.col("new_id").alias("parent"))

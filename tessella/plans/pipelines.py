@@ -1,4 +1,7 @@
-"""Composite jobs: from rasters, labels and areas to tiles and annotation sets, as one lazy plan each."""
+"""Composite jobs: from rasters, labels and areas to tiles and annotation sets, each a chain of DataFrame operators.
+
+Where an operator needs a written table, a count or a check, that job runs while the plan is built.
+"""
 
 from __future__ import annotations
 
@@ -178,7 +181,7 @@ def _pixel(tiles: DataFrame) -> float:
 
 
 def cloud_tiles(points: DataFrame, clouds: DataFrame, side: float, overlap: float = 0.0, areas: DataFrame | None = None, voxel: float | None = None, most: int = 5_000, force: bool = False) -> DataFrame:
-    """Distinct (or voxel-averaged) points with their tiles and areas: ``areas(aoi, area)`` are few; points outside of theirs go."""
+    """Distinct (or voxel-averaged) points with their tiles and areas ``areas(aoi, area)``; points outside of theirs go."""
     own = grid.within_limit(grid.cloud_grid(clouds, side, overlap), most, force)
     if voxel:
         thin = cloud.voxels(points, voxel, ["x", "y", "z"])
@@ -186,7 +189,5 @@ def cloud_tiles(points: DataFrame, clouds: DataFrame, side: float, overlap: floa
     dealt = cloud.tile_points(cloud.distinct_points(points), own, side)
     if areas is None:
         return dealt.withColumn("aoi", F.lit(None).cast("string"))
-    best = cloud.best_areas(own.select("tile_id", "tile"), areas)
-    placed = dealt.join(best, "tile_id")
-    inside = F.broadcast(areas.withColumnRenamed("aoi", "of_aoi"))
-    return placed.join(inside, (F.col("aoi") == F.col("of_aoi")) & B.contains_point(F.col("area"), F.col("x"), F.col("y")), "left_semi")
+    best = cloud.best_areas(own.select("tile_id", "tile"), areas, side)
+    return cloud.inside_area(dealt.join(best, "tile_id"), areas.withColumnRenamed("aoi", "of_aoi"), [("aoi", "of_aoi")], side)

@@ -11,15 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor and the driver can see (``spark.checkpoint.dir``).
 
-    Only where the session names none - local tests - is a temporary folder set.
+    Only a session in one process may name none: it gets one temporary folder. On a cluster
+    a folder of the driver's own would lose rows, so that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext.setCheckpointDir(folder)
+        context = spark.sparkContext
+        if context.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if (folder := context.getCheckpointDir()) is None:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
+            folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Delete the session's written tables, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -27,7 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     the written size gives the planner true statistics for its broadcast decisions.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
