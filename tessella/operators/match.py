@@ -49,10 +49,14 @@ def polygon_matches(preds: DataFrame, truth: DataFrame, threshold: float, scope:
     Areas of general polygons are rounded, so an IoU counts as over only by more than 1e-9.
     """
     within = lambda side: [F.col(scope).alias(f"scope_{side}")] if scope else []
-    left = preds.select("pred_id", F.col("flat").alias("flat_a"), P.coco_bounds(F.array("flat")).alias("box_a"), *within("a"))
-    right = truth.select("truth_id", F.col("flat").alias("flat_b"), P.coco_bounds(F.array("flat")).alias("box_b"), *within("b"))
-    pairs = cell_join(left, right, "box_a", "box_b", [("scope_a", "scope_b")] if scope else None, cell).withColumn("common", polygon_intersection_area("flat_a", "flat_b"))
-    iou = F.try_divide(F.col("common"), P.flat_area(F.col("flat_a")) + P.flat_area(F.col("flat_b")) - F.col("common"))
+    left = preds.select("pred_id", F.col("flat").alias("flat_a"), P.coco_bounds(F.array("flat")).alias("box_a"), P.flat_area(F.col("flat")).alias("area_a"), *within("a"))
+    right = truth.select("truth_id", F.col("flat").alias("flat_b"), P.coco_bounds(F.array("flat")).alias("box_b"), P.flat_area(F.col("flat")).alias("area_b"), *within("b"))
+    pairs = cell_join(left, right, "box_a", "box_b", [("scope_a", "scope_b")] if scope else None, cell)
+    # no more can be common than the boxes' common ground and the smaller area; few pairs need the exact one
+    most = F.least(B.intersection_area(F.col("box_a"), F.col("box_b")), "area_a", "area_b")
+    over = lambda common: F.try_divide(common, F.col("area_a") + F.col("area_b") - common)
+    pairs = pairs.where(over(most) > threshold).withColumn("common", polygon_intersection_area("flat_a", "flat_b"))
+    iou = over(F.col("common"))
     return pairs.select("pred_id", "truth_id", iou.alias("iou")).where(F.col("iou") > threshold + 1e-9)
 
 

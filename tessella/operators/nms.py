@@ -79,7 +79,9 @@ def greedy_nms(preds: DataFrame, num: int, den: int, scope: str | None = None, c
     else:
         one = own.select(F.col("pred_id").alias("of_pred"), F.col(flat).alias("flat_a"))
         pairs = pairs.join(one, F.col("pred_id") == F.col("of_pred")).drop("of_pred").join(one.withColumnRenamed("flat_a", "flat_b"), F.col("other_pred_id") == F.col("of_pred"))
-        pairs = pairs.withColumn("common", polygon_intersection_area("flat_a", "flat_b"))
+        areas = P.flat_area(F.col("flat_a")), P.flat_area(F.col("flat_b"))
+        most = F.least(B.intersection_area(F.col("shape"), F.col("other_shape")).cast("double"), *areas)
+        pairs = pairs.where(most * den > (areas[0] + areas[1] - most) * num).withColumn("common", polygon_intersection_area("flat_a", "flat_b"))
         common = F.col("common")
         union = P.flat_area(F.col("flat_a")) + P.flat_area(F.col("flat_b")) - common
     margin = 1e-9 * den * union if flat else F.lit(0)
