@@ -9,6 +9,7 @@ from tessella.functions import box as B
 from tessella.functions import polygon as P
 from tessella.functions.kernels import polygon_intersection_area
 from tessella.operators.spatial import cell_join, contained_points
+from tessella.session import written
 
 
 def iou_matches(preds: DataFrame, truth: DataFrame, num: int, den: int, scope: str | None = None, cell: float = 64.0) -> DataFrame:
@@ -51,6 +52,8 @@ def polygon_matches(preds: DataFrame, truth: DataFrame, threshold: float, scope:
     within = lambda side: [F.col(scope).alias(f"scope_{side}")] if scope else []
     left = preds.select("pred_id", F.col("flat").alias("flat_a"), P.coco_bounds(F.array("flat")).alias("box_a"), P.flat_area(F.col("flat")).alias("area_a"), *within("a"))
     right = truth.select("truth_id", F.col("flat").alias("flat_b"), P.coco_bounds(F.array("flat")).alias("box_b"), P.flat_area(F.col("flat")).alias("area_b"), *within("b"))
+    # written, so that bounds and areas are made once for a polygon and not for every cell and pair
+    left, right = written(left, "left_polygons"), written(right, "right_polygons")
     pairs = cell_join(left, right, "box_a", "box_b", [("scope_a", "scope_b")] if scope else None, cell)
     # no more can be common than the boxes' common ground and the smaller area; few pairs need the exact one
     most = F.least(B.intersection_area(F.col("box_a"), F.col("box_b")), "area_a", "area_b")
