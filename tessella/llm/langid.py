@@ -1,21 +1,24 @@
 """Language identification (operator 9).
 
-Sparse multinomial logistic regression on TF-IDF character n-grams (hashed into
-``2 ** BITS`` slots), trained by follow-the-regularised-leader with elastic-net penalties
-and calibrated by a temperature. Document frequencies are counted over all training rows
-in one distributed pass; the weights are fitted on a bounded sample (``per_language``
-rows of each language), hashed on the executors, so that only slot counts reach the
-driver.
+Sparse multinomial logistic regression on TF-IDF character n-grams (hashed into slots),
+trained by follow-the-regularised-leader with elastic-net penalties and calibrated by a
+temperature. Languages and document frequencies are counted over all training rows in two
+distributed passes; the weights are fitted on a bounded sample (``per_language`` rows of
+each language, ``SAMPLE_ROWS`` in all), hashed on the executors, so that only slot counts
+reach the driver. There are ``2 ** BITS`` slots, and half as many for each doubling of the
+languages beyond ``FULL_LANGUAGES``: the model's size is bounded for any number of labels.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,15 +27,22 @@ from tessella.session import spare_name
 
 BITS, ORDERS = 16, 4
 UNKNOWN = "und"
-PER_LANGUAGE = 700  # documented bound of the training sample: rows of a language
-MAX_LANGUAGES = 400  # a model of more label values is refused
+PER_LANGUAGE, SAMPLE_ROWS = 700, 100_000  # documented bounds of the training sample: rows of a language, and of all
+FULL_LANGUAGES = 400  # languages that a model of 2 ** BITS slots may have
+LEAST_SCORE = 0.5  # confidence from which a document counts as written in a language
+_BATCH = 8  # rows of one training step
 _CHUNK = 1_000_000  # characters hashed at once by a task
 _LETTER = regex.compile(r"\p{L}")
 # Odd multipliers that spread the slots.
 _MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
 
-def slots(codes: np.ndarray) -> np.ndarray:
+def slot_bits(languages: int) -> int:
+    """Bits of a slot: fewer for more than ``FULL_LANGUAGES`` languages, 8 at least."""
+    return max(8, BITS - max(0, math.ceil(math.log2(max(1, languages) / FULL_LANGUAGES))))
+
+
+def slots(codes: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Slots of the 1- to 4-grams of code points: one row for each order, column i for the gram that starts at i.
 
     Callers put ``ORDERS`` blanks behind each text, so no gram runs into the next text.
@@ -43,7 +53,7 @@ def slots(codes: np.ndarray) -> np.ndarray:
         h[: len(codes) - k] += codes[k:] * np.uint32(_MIX[k])
         h *= np.uint32(_MIX[0])
         h ^= h >> np.uint32(15)
-        out[k] = (h + np.uint32(k * 0x1F123BB5)) >> np.uint32(32 - BITS)
+        out[k] = (h + np.uint32(k * 0x1F123BB5)) >> np.uint32(32 - bits)
     return out
 
 
@@ -53,27 +63,23 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(folded.encode("utf-32-le", "replace"), np.uint32)
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document frequencies of the rows of a task, and its rows by language."""
-    total, seen, rows = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, bool), {}
+def _count_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Document frequencies of the rows of a task."""
+    total, seen = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, bool)
     for batch in batches:
-        for lang, text in zip(batch.column(1).to_pylist(), batch.column(0), strict=True):
+        for text in batch.column(0):
             seen[:] = False
-            seen[slots(_codes(text.as_py()))] = True
+            seen[slots(_codes(text.as_py()), bits)] = True
             total += seen
-            rows[lang] = rows.get(lang, 0) + 1
     used = np.flatnonzero(total)
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    yield pa.RecordBatch.from_arrays([pa.array([str(s) for s in used], pa.string()), pa.array([False] * len(used)), pa.array(total[used])], ["key", "is_lang", "n"])
-    yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array([True] * len(rows)), pa.array(list(rows.values()), pa.int64())], ["key", "is_lang", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["slot", "n"])
 
 
-def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sample_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, n = [], []
         for text in batch.column(0):
-            found, counts = np.unique(slots(_codes(text.as_py())), return_counts=True)
+            found, counts = np.unique(slots(_codes(text.as_py()), bits), return_counts=True)
             at.append(found.astype(np.int32))
             n.append(counts.astype(np.int32))
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], ["lang", "row", "slots", "counts"])
@@ -107,7 +113,7 @@ class Model:
 
     def logits(self, codes: list[np.ndarray]) -> np.ndarray:
         lengths = np.array([len(c) for c in codes])
-        at = slots(np.concatenate(codes))
+        at = slots(np.concatenate(codes), int(len(self.weights)).bit_length() - 1)
         total = self.weights[at[0]]
         for k in range(1, ORDERS):
             total += self.weights[at[k]]
@@ -123,7 +129,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], dims: int, classes: int, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias of multinomial logistic regression over sparse rows (slots, values, class).
 
-    FTRL-proximal: each weight is the closed-form minimiser of its summed linear gradients
+    A step takes the summed gradient of ``_BATCH`` rows. FTRL-proximal: each weight is the closed-form minimiser of its summed linear gradients
     with a per-coordinate quadratic and the elastic-net penalties; small ones are zero.
     """
     z, n = np.zeros((dims + 1, classes)), np.zeros((dims + 1, classes))
@@ -134,16 +140,22 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], dims: int, classes:
         return np.where(np.abs(own) <= l1, 0.0, -(own - np.sign(own) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
     for _ in range(epochs):
-        for k in r.permutation(len(rows)):
-            at, x, y = rows[k]
-            at, x = np.append(at, dims), np.append(x, 1.0)
-            w = weights(at)
-            p = softmax(x @ w)
-            p[y] -= 1
-            g = x[:, None] * p
-            sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
-            z[at] += g - sigma * w
-            n[at] += g * g
+        order = r.permutation(len(rows))
+        for k in range(0, len(order), _BATCH):
+            part = [rows[i] for i in order[k : k + _BATCH]]
+            # the entries of the batch by slot, each row's bias last
+            at = np.concatenate([np.append(a, dims) for a, *_ in part])
+            x = np.concatenate([np.append(v, 1.0) for _, v, _ in part])
+            row = np.repeat(np.arange(len(part)), [len(a) + 1 for a, *_ in part])
+            used, place = np.unique(at, return_inverse=True)
+            w = weights(used)
+            p = softmax(np.add.reduceat(x[:, None] * w[place], np.flatnonzero(np.diff(row, prepend=-1)), axis=0))
+            p[np.arange(len(part)), [y for *_, y in part]] -= 1
+            by = np.argsort(place, kind="stable")
+            g = np.add.reduceat(x[by, None] * p[row[by]], np.flatnonzero(np.diff(place[by], prepend=-1)), axis=0)
+            grown = n[used] + g * g
+            z[used] += g - (np.sqrt(grown) - np.sqrt(n[used])) / alpha * w
+            n[used] = grown
     w = weights(slice(None))
     return w[:dims], w[dims]
 
@@ -155,27 +167,29 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on the rows of ``train`` with text and language; none at all give a model that knows no language.
 
-    The sample takes about ``per_language`` rows of each language, chosen by a hash of the
-    id; a fifth of it is kept from the weights and sets the temperature.
+    The sample takes about ``per_language`` rows of each language (fewer, but one at least, where that is more
+    than ``sample_rows`` in all), chosen by a hash of id and text; equal rows count once in it. A fifth of it is
+    kept from the weights and sets the temperature. Every label value is learned, however many there are.
     """
-    own = train.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.abs(F.xxhash64(id_col) % 1_000_003).alias("row")).where("text is not null and lang is not null")
-    counted = own.select("text", "lang").mapInArrow(_count_batches, "key string, is_lang boolean, n long").groupBy("key", "is_lang").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    if len(counted) == 0 or not counted.is_lang.any():
+    own = train.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col).alias("row")).where("text is not null and lang is not null")
+    counted = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("row").alias("different")).toArrow().to_pandas()  # one row for each language
+    sizes = dict(zip(counted.lang, counted.different.astype(int), strict=True))
+    if not sizes:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
-    sizes = {k: int(n) for k, n in counted[counted.is_lang][["key", "n"]].itertuples(index=False)}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    df = np.zeros(1 << BITS)
-    terms = counted[~counted.is_lang]
-    df[terms.key.astype(int).to_numpy()] = terms.n.to_numpy()
-    idf = np.log((1 + sum(sizes.values())) / (1 + df)) + 1
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, per_language / n) * 1_000_003))])
-    sample = own.where(F.col("row") < share[F.col("lang")]).mapInArrow(_sample_batches, "lang string, row long, slots array<int>, counts array<int>").toArrow()
+    bits, languages = slot_bits(len(sizes)), sorted(sizes)
+    terms = own.select("text").mapInArrow(partial(_count_batches, bits=bits), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    df = np.zeros(1 << bits)
+    df[terms.slot.to_numpy()] = terms.n.to_numpy()
+    idf = np.log((1 + counted.n.sum()) / (1 + df)) + 1
+    each = min(per_language, max(1, sample_rows // len(sizes)))
+    share = train.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in sizes.items()], "sampled_lang string, share double")
+    chosen = own.join(share, F.col("lang") == F.col("sampled_lang")).where(F.pmod("row", F.lit(1_000_003)) < F.ceil(F.col("share") * 1_000_003))
+    chosen = chosen.groupBy("lang", "row").agg(F.any_value("text").alias("text")).select("text", "lang", "row")
+    sample = chosen.mapInArrow(partial(_sample_batches, bits=bits), "lang string, row long, slots array<int>, counts array<int>").toArrow()
     sample = sample.sort_by([("row", "ascending"), ("lang", "ascending")])
-    languages = sorted(sizes)
     rows, place = [], {k: i for i, k in enumerate(languages)}
     for lang, at, c in zip(sample["lang"].to_pylist(), sample["slots"], sample["counts"], strict=True):
         at, c = at.values.to_numpy(), c.values.to_numpy()
@@ -184,7 +198,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     scale = 1 / max(1e-12, float(np.mean([np.sqrt((x * x).sum()) for _, x, _ in rows]))) if rows else 1.0
     rows = [(at, x * scale, y) for at, x, y in rows]
     held = rows[::5] if len(rows) >= 50 else rows
-    w, b = fit_ftrl([x for i, x in enumerate(rows) if i % 5 or len(rows) < 50], 1 << BITS, len(languages))
+    w, b = fit_ftrl([x for i, x in enumerate(rows) if i % 5 or len(rows) < 50], 1 << bits, len(languages))
     logits = np.array([x @ w[at] + b for at, x, _ in held]).reshape(len(held), len(languages))
     t = fit_temperature(logits, np.array([y for *_, y in held])) if len(languages) > 1 and held else 1.0
     return Model(languages, (w * idf[:, None] * scale).astype(np.float32), b, t)
@@ -196,14 +210,18 @@ def _predict_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
 
 
-def _known_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _kept_batches(batches: Iterator[pa.RecordBatch], model, languages: frozenset | None, least: float, lang_at: int | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(0).to_pylist()
+        names, scores = model.value.predict(texts)
         if model.value.languages:
-            keep = [n != UNKNOWN for n in model.value.predict(texts)[0]]
+            keep = [n != UNKNOWN and s >= least and (languages is None or n in languages) for n, s in zip(names, scores, strict=True)]
         else:
             keep = [bool(t and _LETTER.search(t)) for t in texts]
-        yield pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:]).filter(pa.array(keep, pa.bool_()))
+        columns = batch.columns[1:]
+        if lang_at is not None and model.value.languages:
+            columns[lang_at] = pc.coalesce(columns[lang_at], pa.array(names, columns[lang_at].type))
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names[1:]).filter(pa.array(keep, pa.bool_()))
 
 
 def _over(docs: DataFrame, text_col: str, keep: list[Column], step, more: str) -> DataFrame:
@@ -221,10 +239,16 @@ def predicted(docs: DataFrame, model: Model, text_col: str, keep: list[Column])
     return _over(docs, text_col, keep, partial(_predict_batches, model=shared), ", lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that have a language, unchanged; where no language was learned, those with a letter."""
+def with_language(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", languages: Iterable[str] | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` written in one of ``languages`` (None: in any that was learned) with a confidence of ``least`` or more.
+
+    A null ``lang`` (a text column, if there is one) becomes the predicted language; all else stays as it is. Texts that are null or have no
+    letter go. Where no language was learned, those with a letter stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return _over(docs, text_col, [F.col(f"`{c}`") for c in docs.columns], partial(_known_batches, model=shared), "")
+    lang_at = next((i for i, f in enumerate(docs.schema.fields) if f.name == lang_col and f.dataType.simpleString() == "string"), None)
+    step = partial(_kept_batches, model=shared, languages=None if languages is None else frozenset(languages), least=least, lang_at=lang_at)
+    return _over(docs, text_col, [F.col(f"`{c}`") for c in docs.columns], step, "")
 
 
 def held_out(id_col: str = "doc_id", modulus: int = 4, remainder: int = 2) -> Column:
