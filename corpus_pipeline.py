@@ -19,10 +19,18 @@ from tessella.session import spare_name, table, written
 ORACLE_SQL = None
 
 
+#: Languages of the corpus (None: all that are labelled), and the least confidence of a prediction.
+LANGUAGES: frozenset[str] | None = None
+LEAST_SCORE = langid.LEAST_SCORE
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter, or without text, have no language and go."""
+    """Documents whose predicted language is none of LANGUAGES, or whose confidence is under LEAST_SCORE, go.
+
+    So do those without text or letters. A null ``lang`` becomes the predicted language.
+    """
     model = langid.fit(docs.where(~langid.held_out()))
-    return langid.with_language(docs, model)
+    return langid.with_language(docs, model, languages=LANGUAGES, least=LEAST_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
