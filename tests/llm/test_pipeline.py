@@ -33,8 +33,23 @@ def stages(spark):
     return out
 
 
-def test_language_id_drops_what_has_no_letter(stages):
+def test_language_id_keeps_what_is_in_a_learned_language(stages):
     assert set(stages[0]) - set(stages[1]) == {i for i, r in stages[0].items() if not any(c.isalpha() for c in r.text or "")} >= {5001, 5002}
+    assert all(r == stages[0][i] for i, r in stages[1].items())
+
+
+def test_language_id_decides_by_language_and_confidence(spark, monkeypatch):
+    docs = table(spark, SF, "documents")
+    langs = {r.doc_id: r.lang for r in docs.collect()}
+    bare = docs.withColumn("lang", corpus_pipeline.F.when(corpus_pipeline.F.col("doc_id") % 3 != 0, corpus_pipeline.F.col("lang")))
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", frozenset({"en", "de"}))
+    rows = corpus_pipeline.language_id(spark, bare, SF).collect()
+    wanted = {i for i, x in langs.items() if x in ("en", "de")}
+    # a letter test would keep every row; predictions may err on a few very short texts
+    assert len({r.doc_id for r in rows} ^ wanted) <= 0.02 * len(langs) < len(langs) - len(wanted)
+    assert sum(r.lang == langs[r.doc_id] for r in rows) >= 0.98 * len(rows) and all(r.lang for r in rows)
+    monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", 1.1)
+    assert corpus_pipeline.language_id(spark, docs, SF).count() == 0
 
 
 def test_near_dedup_keeps_one_of_each_group(stages):
