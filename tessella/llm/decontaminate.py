@@ -1,7 +1,8 @@
 """Benchmark decontamination (operator 10).
 
 A generalised suffix automaton of the normalised test items is built per block of items
-(bounded by ``block_words``) and broadcast; training words are streamed through it,
+(bounded by ``block_words``; a longer item is cut into pieces that share all but one word of a
+window) in Spark tasks and broadcast, one at a time; training words are streamed through it,
 tracking the longest match that ends at each word. A match of a window or more marks its
 last words as hit. With one block the scan is a single narrow pass; with more, the rows
 are written once under a generated key, one block's automaton is out at a time, and the
@@ -10,6 +11,7 @@ hits are merged by that key in a shuffle of spans: any number of blocks gives th
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import partial
 from itertools import chain, repeat
@@ -149,25 +151,56 @@ def _scan(batches: Iterator[pa.RecordBatch], automaton) -> Iterator[pa.RecordBat
             n_words.append(len(words))
             starts.append([s for s, _ in spans])
             ends.append([e for _, e in spans])
-            items.append(sorted(found))
+            items.append(sorted(found, key=lambda x: (x is None, x or "")))
         arrays = [batch.column(0), pa.array(n_words, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (starts, ends)), pa.array(items, pa.list_(pa.string()))]
         yield pa.RecordBatch.from_arrays(arrays, ["row", "n_words", "starts", "ends", "items"])
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[SuffixAutomaton]:
-    """Automata of consecutive blocks of items, each of ``block_words`` words at most (or one item)."""
+def _piece_batches(batches: Iterator[pa.RecordBatch], window: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Items as pieces of ``most`` words at most; every window of an item lies in one of its pieces."""
+    step = max(1, most - window + 1)
+    for batch in batches:
+        rows: tuple[list, list, list] = ([], [], [])
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            words = words_of(text)
+            for i in range(0, max(1, len(words) - window + 1), step) if len(words) > most else (0,) if words else ():
+                piece = words[i : i + most] if len(words) > most else words
+                rows[0].append(item)
+                rows[1].append(b" ".join(piece))
+                rows[2].append(len(piece))
+        kinds = (pa.string(), pa.binary(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["item", "piece", "n"])
+
+
+def _automaton_batches(batches: Iterator[pa.RecordBatch], window: int, block_words: int) -> Iterator[pa.RecordBatch]:
+    """Automata of the pieces of a task, each of ``block_words`` words at most (or one piece)."""
+
+    def built(block):
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(SuffixAutomaton(block, window))], pa.binary())], ["automaton"])
+
     block, held = [], 0
-    for item, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator(prefetchPartitions=True):
-        words = words_of(text.encode()) if text else []
-        if item is None or not words:
-            continue
-        if block and held + len(words) > block_words:
-            yield SuffixAutomaton(block, window)
-            block, held = [], 0
-        block.append((item, words))
-        held += len(words)
+    for batch in batches:
+        for item, piece, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block and held + n > block_words:
+                yield built(block)
+                block, held = [], 0
+            block.append((item, piece.split()))
+            held += n
     if block:
-        yield SuffixAutomaton(block, window)
+        yield built(block)
+
+
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[SuffixAutomaton]:
+    """Automata of blocks of items, built by Spark tasks and written; the driver holds one at a time."""
+    own = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+    most = max(window, block_words)
+    pieces = written(own.mapInArrow(partial(_piece_batches, window=window, most=most), "item string, piece binary, n long"), "pieces")
+    total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if total:
+        blocks = -(-total * 5 // (4 * block_words)) if total > block_words else 1
+        built = pieces.repartition(int(blocks)).mapInArrow(partial(_automaton_batches, window=window, block_words=block_words), "automaton binary")
+        for row in written(built, "automata").toLocalIterator():
+            yield pickle.loads(row.automaton)
 
 
 def _merged(a, b):
@@ -216,7 +249,8 @@ def benchmark_hits(
 ) -> DataFrame:
     """``(doc_id, n_words, starts, ends, items)``: hit word spans and the items found, per row of ``docs``.
 
-    Null texts have no words. Items without words or id are left out; an item listed twice counts once.
+    Null texts have no words. Items without words are left out; an item listed twice counts once. Items without
+    id are matched like the others and count together as one item without a name (a null in ``items``).
     Every row is judged by itself, whatever its id.
     """
     own = docs.select(F.col(id_col).alias("row"), F.col(text_col).cast("string").alias("text"))

@@ -123,3 +123,20 @@ def test_spans_of_all_blocks_are_cut_at_once(spark):
     for n in (1000, 20):
         assert sorted(map(str, map(tuple, dc.without_spans(d, b, block_words=n).collect()))) == sorted(map(str, want))
     assert dc.without_spans(d, b.where("item_id < 0")).where("n_cut = 0").count() == len(docs)
+
+
+def test_items_without_id_and_items_longer_than_a_block(spark):
+    r = random.Random(7)
+    items = [(None, " ".join(f"n{k}" for k in range(14))), (None, "short one"), (5, " ".join(r.choices(["a", "b", "c"], k=90))), (6, " ".join(f"q{k}" for k in range(200)))]
+    docs = [(1, items[0][1] + " x"), (2, "a short one here"), (3, " ".join(items[2][1].split()[30:60])), (4, " ".join(items[3][1].split()[90:140]) + " z" * 900), (5, "nothing"), (1, "nothing")]
+    docs += [(k, " ".join(items[3][1].split()[k : k + 13])) for k in range(10, 187)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for n in (1000, 20):
+        got = sorted(map(str, dc.contamination(d, b, block_words=n).collect()))
+        hits = {(x.doc_id, x.n_words, x.n_hit, x.n_items) for x in dc.contamination(d, b, block_words=n).where("doc_id < 6").collect()}
+        assert hits == {(1, 15, 14, 1), (2, 4, 2, 1), (3, 30, 30, 1), (4, 950, 50, 1), (5, 1, 0, 0), (1, 1, 0, 0)}
+        assert dc.contamination(d, b, block_words=n).where("doc_id > 9 and n_hit = 13 and n_items = 1").count() == 177
+        assert got == sorted(map(str, dc.contamination(d, b).collect()))
+    once = d.where("doc_id > 1")
+    same(dc.contamination(once, b), oracles.CONTAMINATION, tables={"documents": once.toPandas(), "benchmark": b.toPandas().astype({"item_id": "Int64"})})
