@@ -1,6 +1,7 @@
 import html
 import itertools
 import re
+import time
 
 import pytest
 
@@ -52,6 +53,36 @@ def test_odd_pages_do_not_crash(weights, page):
     assert isinstance(extract.main_text(page, weights), str)
 
 
+def test_names_never_cut_blocks_of_marked_content(weights):
+    page = '<body><div class="ad">Buy this now</div><article><p class="notice-board">One two three.</p><p id="social">Four five six.</p><div class="search-tips"><p>Seven eight.</p></div></article></body>'
+    assert extract.main_text(page, weights) == "One two three. Four five six. Seven eight."
+
+
+def test_pages_that_mark_no_content(spark, weights):
+    """The weights decide: the generated pages with their article elements renamed."""
+    pages = [r.html for r in table(spark, SF, "pages").collect()]
+    bare = {name: sum(extract.main_text(h.replace("<article>", f"<div class='{name}'>").replace("</article>", "</div>"), weights) == plain(h) for h in pages) for name in ("navigator-story", "search-results-story", "x1")}
+    assert min(bare.values()) >= 0.9 * len(pages), bare
+    doubted = pages[0].replace("<article>", "<div class='notice'>").replace("</article>", "</div>")
+    assert len(extract.main_text(doubted, weights)) > 0
+
+
+def test_names_are_learned_from_labelled_pages(spark):
+    page = lambda i: f'<body><div class="zork">boiler {i} plate words</div><article><div class="popup gloss">inner text {i} of it</div><p>Some words here {i}.</p></article></body>'
+    df = spark.createDataFrame([(i, "u", page(i)) for i in range(30)], "page_id long, url string, html string")
+    w = extract.fit(df)
+    assert w.names == {"zork": False, "popup": True, "gloss": True}
+    assert extract.main_text('<div class="zork">No no no</div><div class="popup">Yes yes yes</div><p>And more of it</p>', w) == "Yes yes yes And more of it"
+
+
+@pytest.mark.parametrize("piece", ['<a href="', "<a href='x\">", "<button>", "<svg>", "<!", "<!--", "<", "</", "<a b='", '<a b="\'>', "<?", "<div>", "</p>", '<p class="', "<script>", "<b"])
+@pytest.mark.parametrize("end", ["", ">", '">'])
+def test_odd_markup_takes_linear_time(weights, piece, end):
+    began = time.process_time()
+    extract.main_text(piece * 200_000 + end, weights)
+    assert time.process_time() - began < 20
+
+
 def test_nothing_but_boilerplate_gives_nothing(weights):
     assert extract.main_text("<nav><a>Home</a></nav><article></article><footer>All rights reserved by us</footer>", weights) == ""
 
