@@ -4,8 +4,10 @@ Logs hold snapshots: a conversation saved again and again as it grows. Cumulativ
 collapse: every turn gets a hash of its place, role and text, and their rolling exclusive-or
 identifies each turn-prefix of a conversation. A conversation whose whole hash is a prefix of
 a longer one is left out by an anti-join; equal ones count once. Only hashes take part in
-this; texts are shuffled once, to render the conversations that stay. Running values go by
-chunks of turns, so one very long conversation is no single task's work.
+this; the texts of the conversations that stay are shuffled once, by conversation and chunk
+of turns, and rendered there. Conversations of several chunks are put together from the
+rendered chunks, a second shuffle of these only, so one very long conversation is no single
+task's work until its one row is made.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ def turn_prefixes(conversations: DataFrame) -> DataFrame:
     Repeated rows count once. Rows without a conversation or a turn number are left out.
     """
     own = _turns(conversations).select("conv_id", "chunk", "turn", "a", "b").distinct()
-    turns = own.groupBy("conv_id", "chunk", "turn").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.count(F.lit(1)).alias("n"))
+    # one partitioning for all that follows
+    turns = own.repartition("conv_id", "chunk").groupBy("conv_id", "chunk", "turn").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.count(F.lit(1)).alias("n"))
     chunks = turns.groupBy("conv_id", "chunk").agg(F.bit_xor("a").alias("ca"), F.bit_xor("b").alias("cb"), F.sum("n").alias("cn"), F.max("turn").alias("ct"))
     before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("conv_id")
@@ -60,14 +63,17 @@ def turn_prefixes(conversations: DataFrame) -> DataFrame:
     )
 
 
-def maximal(conversations: DataFrame) -> DataFrame:
-    """``(conv_id, n_turns, n_copies)`` of conversations that are no prefix of a longer one; the least id of equal ones."""
-    prefixes = written(turn_prefixes(conversations), "turn_prefixes")
+def _maximal(prefixes: DataFrame) -> DataFrame:
     ends = prefixes.where("last").groupBy("turn", "a", "b").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"), F.max("n_turns").alias("n_turns"))
     inner = prefixes.where("not last").select("turn", "a", "b").distinct()
     return ends.join(inner, ["turn", "a", "b"], "left_anti").select("conv_id", "n_turns", "n_copies")
 
 
+def maximal(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, n_turns, n_copies)`` of conversations that are no prefix of a longer one; the least id of equal ones."""
+    return _maximal(written(turn_prefixes(conversations), "turn_prefixes"))
+
+
 def _rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), F.coalesce(role, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")), F.lit(CLOSE))
 
@@ -78,11 +84,22 @@ def formatted(conversations: DataFrame) -> DataFrame:
     Turns come by number; several rows of one number by role, then text. Null roles and
     texts render as empty, but differ from empty ones when conversations are compared.
     """
-    kept = written(maximal(conversations), "maximal")
-    named = kept.select(F.col("conv_id").alias("kept_id"), "n_turns", "n_copies")
+    prefixes = written(turn_prefixes(conversations), "turn_prefixes")
+    kept = _maximal(prefixes).withColumnRenamed("conv_id", "kept_id")
+    chunks = prefixes.select("conv_id", F.floor(F.col("turn") / CHUNK).alias("kept_chunk")).distinct()
+    n_chunks = F.count(F.lit(1)).over(Window.partitionBy("kept_id"))
+    kept = written(chunks.join(kept, F.col("conv_id") == F.col("kept_id")).select("kept_id", "kept_chunk", "n_turns", "n_copies", n_chunks.alias("n_chunks")), "maximal")
     turns = _turns(conversations).select("conv_id", "chunk", "turn", "role", "text")
-    turns = turns.join(named.select("kept_id"), F.col("conv_id") == F.col("kept_id"), "left_semi").distinct()
-    ordered = lambda *c: F.sort_array(F.collect_list(F.struct(*c)))
-    chunks = turns.groupBy("conv_id", "chunk").agg(F.array_join(F.transform(ordered("turn", "role", "text"), lambda t: _rendered(t["role"], t["text"])), "").alias("text"))
-    whole = chunks.groupBy("conv_id").agg(F.array_join(F.transform(ordered("chunk", "text"), lambda t: t["text"]), "").alias("text"))
-    return whole.join(named, F.col("conv_id") == F.col("kept_id")).select("conv_id", "n_turns", "n_copies", "text")
+    of_kept = (F.col("conv_id") == F.col("kept_id")) & (F.col("chunk") == F.col("kept_chunk"))
+    whole = ["conv_id", "n_turns", "n_copies"]
+
+    def rendered(some: DataFrame) -> DataFrame:
+        """A text for each chunk; repeated rows count once."""
+        rows = F.array_sort(F.collect_set(F.struct("turn", "role", "text")))
+        text = F.array_join(F.transform(rows, lambda t: _rendered(t["role"], t["text"])), "")
+        return turns.join(some, of_kept).groupBy(*whole, "chunk").agg(text.alias("text"))
+
+    short, long = rendered(kept.where("n_chunks = 1")), rendered(kept.where("n_chunks > 1"))
+    parts = F.array_sort(F.collect_list(F.struct("chunk", "text")))
+    long = long.groupBy(*whole).agg(F.array_join(F.transform(parts, lambda t: t["text"]), "").alias("text"))
+    return short.select(*whole, "text").unionByName(long)
