@@ -2,11 +2,14 @@
 
 Each rule's regular expression is reduced to a Boolean trigram query: a text the rule can
 match holds, case folded, all trigrams of at least one of the query's branches. The
-trigrams of all queries are the terms of an inverted index over the documents. Postings
-are kept as bitmaps beside the rows (bit t: the row is in the list of term t), so lists
-are intersected and united by bit operations and no text is moved; ``posting_lists``
-gives the same index as a table of terms and documents. Rules are then verified on their
-candidates only; a rule without a mandatory trigram scans every row in full.
+trigrams of all queries are the terms of an inverted index: rows get a written key, and
+each term a posting list for every block of ``2 ** BLOCK_BITS`` keys. A branch intersects
+the lists of its trigrams, a query unites its branches; the keys that are left are the
+rule's candidates, and only these are verified by the regular expression. A rule without a
+mandatory trigram scans every row in full. Lists hold keys only, no text; blocks bound them,
+whatever a term's frequency.
+
+Patterns are taken apart by CPython's own (undocumented) parser of regular expressions.
 """
 
 from __future__ import annotations
@@ -14,11 +17,12 @@ from __future__ import annotations
 import re._constants as _c
 import re._parser as _p
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import spare_name
+from tessella.session import spare_name, written
 
 
 @dataclass(frozen=True)
@@ -42,6 +46,7 @@ RULES = (
 MASK = "[REDACTED]"
 _MOST_STRINGS = 64  # alternatives of a query; a part with more counts as unknown
 _PREFIX_CHUNK = 256
+BLOCK_BITS = 16
 
 
 def _strings(parsed) -> set[str] | None:
@@ -92,44 +97,48 @@ def terms_of(rules: tuple[Rule, ...]) -> list[str]:
     return sorted({t for r in rules for branch in trigram_query(r.pattern) for t in branch})
 
 
-def indexed(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text, postings_0, ...)``: bitmaps of 62 terms each; a null text counts as empty."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return _with_postings(own, terms_of(rules), "text")
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs``, written, with a key of its own for every row; keys of a task's rows follow each other."""
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
-def _with_postings(df: DataFrame, terms: list[str], text_col: str, prefix: str = "postings") -> DataFrame:
-    """The folded text is a column of its own, so that it is made once and not for every term."""
-    folded = f"{prefix}_folded"
-    bit = lambda k, t: F.when(F.contains(folded, F.lit(t)), F.lit(1 << k % 62).cast("long")).otherwise(F.lit(0).cast("long"))
-    words = {}
-    for w in range(-(-len(terms) // 62)):
-        word, *rest = [bit(k, t) for k, t in enumerate(terms[62 * w : 62 * w + 62])]
-        for b in rest:
-            word = word.bitwiseOR(b)
-        words[f"{prefix}_{w}"] = word
-    return df.withColumn(folded, F.lower(F.col(f"`{text_col}`"))).withColumns(words).drop(folded)
+def posting_lists(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``rows(row, text)`` -> the inverted index ``(term, block, rows)``: keys of the rows whose folded text holds the term."""
+    terms = terms_of(rules)
+    # the folded text is a column of its own, so that it is made once and not for every term
+    folded = rows.select("row", F.lower("text").alias("folded"))
+    has = F.array(*[F.when(F.contains("folded", F.lit(t)), F.lit(t)) for t in terms]).cast("array<string>")
+    held = folded.select("row", F.explode(F.array_compact(has)).alias("term"))
+    return held.groupBy("term", F.shiftright("row", BLOCK_BITS).alias("block")).agg(F.collect_list("row").alias("rows"))
+
+
+def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``(row, rules)``: for each row that the Boolean query of some rule leaves, these rules as bits."""
+    blocks = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("term", "rows"))).alias("lists"))
+    lists = lambda t: F.coalesce(F.col("lists")[F.lit(t)], F.array().cast("array<bigint>"))
+    left = []
+    for k, rule in enumerate(rules):
+        if branches := trigram_query(rule.pattern):
+            found = [reduce(F.array_intersect, map(lists, sorted(b))) for b in branches]
+            left.append(F.struct(F.lit(1 << k).cast("long").alias("rule"), reduce(F.array_union, found).alias("rows")))
+    of_rule = F.array(*left) if left else F.array().cast("array<struct<rule:bigint,rows:array<bigint>>>")
+    found = blocks.select(F.inline(of_rule)).select("rule", F.explode("rows").alias("row"))
+    return found.groupBy("row").agg(F.bit_or("rule").alias("rules"))
 
 
-def posting_lists(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The index as a table ``(term, doc_id)``, to be written and queried without the texts."""
-    terms = terms_of(rules)
-    has = F.array(*[F.when(F.col(f"postings_{k // 62}").bitwiseAND(F.lit(1 << k % 62)) != 0, F.lit(t)) for k, t in enumerate(terms)])
-    return index.select(F.explode(F.array_compact(has)).alias("term"), "doc_id")
+def _with_candidates(rows: DataFrame, rules: tuple[Rule, ...], key: str, text_col: str, name: str) -> DataFrame:
+    """``rows`` with the rules, as bits in the column ``name``, that each is a candidate of."""
+    index = written(posting_lists(rows.select(F.col(key).alias("row"), F.col(f"`{text_col}`").alias("text")), rules), "postings")
+    found = written(candidates(index, rules), "candidates")
+    candidate_row = spare_name(rows, "candidate_row")
+    found = found.select(F.col("row").alias(candidate_row), F.col("rules").alias(name))
+    return rows.join(found, F.col(key) == F.col(candidate_row), "left").drop(candidate_row)
 
 
-def candidate(rule: Rule, rules: tuple[Rule, ...], prefix: str = "postings") -> Column:
-    """The rule's Boolean query over the postings; true where the rule has none."""
-    terms = {t: k for k, t in enumerate(terms_of(rules))}
-    hit = None
-    for branch in trigram_query(rule.pattern):
-        both = None
-        for w in sorted({terms[t] // 62 for t in branch}):
-            mask = F.lit(sum(1 << terms[t] % 62 for t in branch if terms[t] // 62 == w)).cast("long")
-            part = F.col(f"{prefix}_{w}").bitwiseAND(mask) == mask
-            both = part if both is None else both & part
-        hit = both if hit is None else hit | both
-    return F.lit(True) if hit is None else hit
+def _is_candidate(rule: Rule, k: int, name: str) -> Column:
+    if not trigram_query(rule.pattern):
+        return F.lit(True)
+    return F.coalesce(F.col(name).bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.lit(False))
 
 
 def _let(value: Column, body) -> Column:
@@ -156,8 +165,8 @@ def _prefix_sums(steps: Column) -> Column:
     return _let(steps, over)
 
 
-def _spans(rule: Rule, rank: int, rules: tuple[Rule, ...], text: Column) -> Column:
-    """Leftmost non-overlapping matches of a rule as ``(start, kind, end)`` in code points."""
+def _spans(rule: Rule, rank: int, text: Column) -> Column:
+    """Leftmost non-overlapping matches of a rule as ``(start, kind, end)`` in code points; none where it is no candidate."""
     pattern = F.lit(rule.pattern)
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     length = lambda x: F.char_length(x).cast("long")
@@ -171,7 +180,7 @@ def _spans(rule: Rule, rank: int, rules: tuple[Rule, ...], text: Column) -> Colu
         kept = F.filter(F.arrays_zip(ends.alias("span"), values.alias("value")), lambda x: F.char_length(x["value"]) >= rule.least)
         return F.transform(kept, lambda x: x["span"])
 
-    hit = candidate(rule, rules) & F.regexp_like(text, pattern)
+    hit = _is_candidate(rule, rank, "rules") & F.regexp_like(text, pattern)
     return F.when(hit, _let(F.regexp_extract_all(text, pattern, F.lit(0)), spans)).otherwise(none)
 
 
@@ -181,8 +190,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     Matches of one rule don't overlap; those of different rules may. Null or empty texts
     have none; repeated rows come back as often as they occur.
     """
-    index = indexed(docs, rules, id_col, text_col)
-    found = index.select("doc_id", *[_spans(r, k, rules, F.col("text")).alias(f"kind_{k}") for k, r in enumerate(rules)])
+    own = keyed(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "row")
+    own = _with_candidates(own, rules, "row", "text", "rules")
+    found = own.select("doc_id", *[_spans(r, k, F.col("text")).alias(f"kind_{k}") for k, r in enumerate(rules)])
     return found.select("doc_id", F.array_sort(F.concat(*[f"kind_{k}" for k in range(len(rules))])).alias("spans"))
 
 
@@ -199,16 +209,17 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mask: str = MASK) -> DataFrame:
     """``docs`` with every secret value replaced by ``mask``; rows without a secret stay as they are.
 
-    Rules are applied one after another, each to what the last left; the mask matches none
-    of the base rules.
+    Rules are applied one after another, each to its candidates and to rows that an earlier one changed; the
+    mask matches none of the base rules.
     """
-    out = docs
+    key, name = spare_name(docs, "row_key"), spare_name(docs, "candidate_of")
+    out = _with_candidates(keyed(docs, key), rules, key, text_col, name)
+    text, changed = F.col(f"`{text_col}`"), spare_name(docs, "changed")
+    out = out.withColumn(changed, F.lit(False))
     for k, rule in enumerate(rules):
-        text, prefix = F.col(f"`{text_col}`"), spare_name(docs, f"postings_of_rule_{k}")
-        out = _with_postings(out, terms_of((rule,)), text_col, prefix)
-        hit = candidate(rule, (rule,), prefix) & F.regexp_like(text, F.lit(rule.pattern))
-        out = out.withColumn(text_col, F.when(hit, _hidden(text, rule, mask)).otherwise(text)).select(*[f"`{c}`" for c in docs.columns])
-    return out
+        hit = (_is_candidate(rule, k, name) | F.col(changed)) & F.regexp_like(text, F.lit(rule.pattern))
+        out = out.withColumns({text_col: F.when(hit, _hidden(text, rule, mask)).otherwise(text), changed: F.col(changed) | F.coalesce(hit, F.lit(False))})
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def _hidden(text: Column, rule: Rule, mask: str) -> Column:
