@@ -3,12 +3,13 @@
 Fingerprints: majority vote over the bits of the XXH64 of every 3-word shingle.
 Links: tiled exact comparison - tiles of fingerprints sorted by population count are
 compared by exclusive-or and bit count; tile pairs whose population counts differ by
-more than the radius are skipped. The tiles are cut inside pigeonhole buckets: two
-64-bit words within ``radius`` bits agree in full on at least one choice of
-``blocks - radius`` out of ``blocks`` blocks, so comparing inside every bucket of every
-choice is exact, and work follows the bucket sizes rather than the square of the input.
-A bucket above ``bucket_rows`` is split by population count and a salt into cells, and
-every pair of cells within the radius becomes a task of its own.
+more than the radius are skipped. Tiles over the whole table are exact by themselves
+(``blocks=False``), but their work grows with its square. So by default they are cut inside
+pigeonhole buckets: two 64-bit words within ``radius`` bits agree in full on at least one
+choice of ``blocks - radius`` out of ``blocks`` blocks, so comparing inside every bucket of
+every choice is as exact, and work follows the bucket sizes. A bucket (or the whole table)
+above ``bucket_rows`` is split by population count and a salt into cells, and every pair of
+cells within the radius becomes a task of its own.
 """
 
 from __future__ import annotations
@@ -139,10 +140,14 @@ def _local_links(prints: np.ndarray, nodes: np.ndarray, radius: int, tile: int,
 
 
 def _link_sorted(batches: Iterator[pa.RecordBatch], radius: int, tile: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``(bucket, cell, side, fp, node)`` sorted by bucket and cell; side -1: an undivided bucket."""
+    """Rows ``(bucket, cell, side, ones, fp, node)`` sorted by bucket, cell and population count; side -1: an undivided bucket.
+
+    Buckets of up to 8 rows are compared all at once, larger ones tile by tile; pairs whose population counts differ by
+    more than the radius are skipped in both.
+    """
 
     def links(rows: list[np.ndarray]) -> pa.RecordBatch:
-        bucket, cell, side, prints, nodes = rows
+        bucket, cell, side, ones, prints, nodes = rows
         prints = prints.view(np.uint64)
         fresh = np.r_[True, (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])]
         starts = np.flatnonzero(fresh)
@@ -153,7 +158,7 @@ def _link_sorted(batches: Iterator[pa.RecordBatch], radius: int, tile: int) -> I
         for d in range(1, 8):  # small buckets, all at once: rows d apart
             if d >= len(group):
                 break
-            near = (group[d:] == group[:-d]) & small[d:] & ((side[d:] < 0) | (side[d:] != side[:-d]))
+            near = (group[d:] == group[:-d]) & small[d:] & (ones[d:] - ones[:-d] <= radius) & ((side[d:] < 0) | (side[d:] != side[:-d]))
             at = np.flatnonzero(near)
             at = at[np.bitwise_count(prints[at] ^ prints[at + d]) <= radius]
             left.append(nodes[at])
@@ -181,16 +186,16 @@ def _link_sorted(batches: Iterator[pa.RecordBatch], radius: int, tile: int) -> I
         yield links(held)
 
 
-def links(reps: DataFrame, radius: int = RADIUS, bucket_rows: int = 16_384, tile: int = 1024) -> DataFrame:
+def links(reps: DataFrame, radius: int = RADIUS, bucket_rows: int = 16_384, tile: int = 1024, blocks: bool = True) -> DataFrame:
     """``reps(fp, node)`` with distinct fingerprints -> links ``(a, b)`` that join every pair within the radius.
 
     Not every such pair is listed: a dense bucket gives each row one link per tile pair,
-    enough to keep its local component joined.
+    enough to keep its local component joined. ``blocks``: tiles inside pigeonhole buckets, else over the whole table.
     """
     spark = reps.sparkSession
     cut, choices = _block_choices(reps.count(), radius, bucket_rows)
     parts = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1 if w < 63 else -1)) for a, w in cut]
-    keys = F.array(*[F.xxhash64(F.lit(k), *[parts[i] for i in c]) for k, c in enumerate(choices)])
+    keys = F.array(*[F.xxhash64(F.lit(k), *[parts[i] for i in c]) for k, c in enumerate(choices)]) if blocks else F.array(F.lit(0).cast("long"))
     rows = reps.select(F.explode(keys).alias("bucket"), "fp", "node")
     large = written(
         rows.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket", F.ceil(F.col("count") / bucket_rows).cast("int").alias("salts")),
@@ -215,8 +220,9 @@ def links(reps: DataFrame, radius: int = RADIUS, bucket_rows: int = 16_384, tile
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return (
         whole.unionByName(split)
+        .select("bucket", "cell", "side", F.bit_count("fp").alias("ones"), "fp", "node")
         .repartition(tasks, "bucket", "cell")
-        .sortWithinPartitions("bucket", "cell")
+        .sortWithinPartitions("bucket", "cell", "ones")
         .mapInArrow(partial(_link_sorted, radius=radius, tile=tile), "a long, b long")
     )
 
