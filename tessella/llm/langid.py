@@ -30,6 +30,7 @@ UNKNOWN = "und"
 PER_LANGUAGE, SAMPLE_ROWS = 700, 100_000  # documented bounds of the training sample: rows of a language, and of all
 FULL_LANGUAGES = 400  # languages that a model of 2 ** BITS slots may have
 LEAST_SCORE = 0.5  # confidence from which a document counts as written in a language
+FEW = 100_000  # languages up to which their shares are broadcast
 _BATCH = 8  # rows of one training step
 _CHUNK = 1_000_000  # characters hashed at once by a task
 _LETTER = regex.compile(r"\p{L}")
@@ -186,6 +187,8 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     idf = np.log((1 + counted.n.sum()) / (1 + df)) + 1
     each = min(per_language, max(1, sample_rows // len(sizes)))
     share = train.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in sizes.items()], "sampled_lang string, share double")
+    if len(sizes) <= FEW:  # a row for each language: small enough for every task
+        share = F.broadcast(share)
     chosen = own.join(share, F.col("lang") == F.col("sampled_lang")).where(F.pmod("row", F.lit(1_000_003)) < F.ceil(F.col("share") * 1_000_003))
     chosen = chosen.groupBy("lang", "row").agg(F.any_value("text").alias("text")).select("text", "lang", "row")
     sample = chosen.mapInArrow(partial(_sample_batches, bits=bits), "lang string, row long, slots array<int>, counts array<int>").toArrow()
