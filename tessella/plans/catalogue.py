@@ -13,9 +13,11 @@ from tessella.functions import names as N
 from tessella.functions import pixels as X
 from tessella.functions import polygon as P
 from tessella.functions import rle as R
+from tessella.functions.kernels import polygon_runs
 from tessella.operators import aoi, cloud, coco, coords, datasets, grid, labels, match, nms, raster, taxonomy
+from tessella.operators.spatial import contained_points
 from tessella.plans import bindings as T
-from tessella.session import table
+from tessella.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,6 +101,46 @@ def tile_polygon_overlap(spark, d):
     return labels.tile_overlap_polygons(T.tiles(spark, d), own, 0.9).select("raster_id", *_long("tile_id"), "label_id", _round("common_area").alias("common_area"))
 
 
+def _middle(b: Column) -> tuple[Column, Column]:
+    return tuple(F.floor((b[f"min{c}"] + b[f"max{c}"]) / 2) for c in "xy")
+
+
+def _notched(b: Column) -> Column:
+    """A box without its quarter of highest x and y, an L, as flat coordinates."""
+    mx, my = _middle(b)
+    corners = (b["minx"], b["miny"], b["maxx"], b["miny"], b["maxx"], my, mx, my, mx, b["maxy"], b["minx"], b["maxy"])
+    return F.array(*(c.cast("double") for c in corners))
+
+
+def _notched_table(df: DataFrame) -> DataFrame:
+    """``df`` with an L ``flat`` for each ``shape``, written: polygons are stored rows, not expressions that each use repeats."""
+    # the box is written first, so that its corners are plain columns where the L takes them
+    return written(written(df, "boxes").withColumn("flat", _notched(F.col("shape"))), "notched")
+
+
+def _common(*sides: tuple[str, str, str, str]) -> str:
+    """SQL of the common area of two boxes, each named by its four ends."""
+    (ax, ay, au, av), (bx, by, bu, bv) = sides
+    return f"greatest(least({au}, {bu}) - greatest({ax}, {bx}), 0) * greatest(least({av}, {bv}) - greatest({ay}, {by}), 0)"
+
+
+def _ends(t: str, notch: bool = False) -> tuple[str, str, str, str]:
+    first = (f"(({t}.x0 + {t}.x1) // 2)", f"(({t}.y0 + {t}.y1) // 2)") if notch else (f"{t}.x0", f"{t}.y0")
+    return (*first, f"{t}.x1", f"{t}.y1")
+
+
+_TILE_ENDS = ("t.col", "t.row", f"(t.col + {T.SIZE})", f"(t.row + {T.SIZE})")
+_NOTCHED_AREA = f"({_common(_ends('l'), _ends('l'))} - {_common(_ends('l', True), _ends('l', True))})"
+
+
+@query(f"""SELECT raster_id, CAST(tile_id AS BIGINT) AS tile_id, label_id, round(CAST(common AS DOUBLE), 6) AS common_area FROM (
+  SELECT t.raster_id, tile_id, label_id, {_common(_TILE_ENDS, _ends("l"))} - {_common(_TILE_ENDS, _ends("l", True))} AS common, {_NOTCHED_AREA} AS whole
+  FROM tiles AS t JOIN labels AS l ON t.raster_id = l.raster_id AND x0 < col + {T.SIZE} AND col < x1 AND y0 < row + {T.SIZE} AND row < y1) WHERE 10 * common > 4 * whole""")
+def tile_notched_overlap(spark, d):
+    own = _notched_table(T.labels(spark, d).select("raster_id", "label_id", "shape"))
+    return labels.tile_overlap_polygons(T.tiles(spark, d), own, 0.4).select("raster_id", *_long("tile_id"), "label_id", _round("common_area").alias("common_area"))
+
+
 @query("SELECT label_id, round(500000 + 0.5e0 * x0, 6) AS x, round(5000000 - 0.5e0 * y1, 6) AS y, round((x1 - x0) * (y1 - y0) * 0.25e0, 6) AS area FROM labels")
 def label_coordinates(spark, d):
     transform = A.affine(0.5, 0, 500000, 0, -0.5, 5000000)
@@ -302,6 +344,14 @@ def match_polygons(spark, d):
     return match.polygon_matches(preds, truth, 0.6, "raster_id").select("pred_id", "truth_id", _round("iou").alias("iou"))
 
 
+@query(f"""SELECT label_id, point_id FROM labels AS l JOIN points AS p ON l.raster_id = p.raster_id AND x > x0 AND x < x1 AND y > y0 AND y < y1
+  WHERE NOT (x > {_ends("l", True)[0]} AND y > {_ends("l", True)[1]})""")
+def points_in_notched(spark, d):
+    own = _notched_table(T.labels(spark, d).select("label_id", F.col("raster_id").alias("of_raster"), "shape")).withColumn("ring", P.ring_of_coco(F.col("flat")))
+    pairs = contained_points(T.points(spark, d), own, "x", "y", "shape", [("raster_id", "of_raster")])
+    return pairs.where(P.contains_point(F.col("ring"), F.col("x"), F.col("y"))).select("label_id", "point_id")
+
+
 @query("""SELECT pred_id, point_id, round(dist, 6) AS distance FROM (
   SELECT label_id AS pred_id, point_id, dist, row_number() OVER (PARTITION BY label_id ORDER BY dist, point_id) AS rk FROM (
     SELECT label_id, point_id, sqrt(pow(x - (x0 + x1) / 2, 2) + pow(y - (y0 + y1) / 2, 2)) / (least(x1 - x0, y1 - y0) / 2) AS dist
@@ -367,6 +417,15 @@ def mask_area(spark, d):
     return T.labels(spark, d).select(F.col("label_id").alias("ann_id"), R.area(R.decoded(text)).cast("long").alias("area"))
 
 
+@query(f"""SELECT label_id AS ann_id, CAST((x1 - x0 + 1) * (y1 - y0 + 1) - {_common(_ends("l", True), _ends("l", True))} AS BIGINT) AS area FROM labels AS l""")
+def notched_mask_area(spark, d):
+    s = F.col("shape")
+    b = B.translate(s, s["minx"] % 64 - s["minx"], s["miny"] % 64 - s["miny"])
+    own = _notched_table(T.labels(spark, d).select("label_id", b.alias("shape")))
+    runs = polygon_runs(F.array("flat"), F.lit(128), F.lit(128))
+    return own.select(F.col("label_id").alias("ann_id"), R.area(runs).cast("long").alias("area"))
+
+
 # ---- COCO
 
 
