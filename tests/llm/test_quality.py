@@ -55,3 +55,40 @@ def test_no_labels_and_no_rows(spark):
     docs, labels = table(spark, SF, "documents").limit(5), table(spark, SF, "labels")
     assert {r.score for r in quality.scored(docs, labels.where("doc_id < 0")).collect()} == {0.5}
     assert quality.scored(docs.where("doc_id < 0"), labels.where("doc_id < 0")).count() == 0
+
+
+def test_first_tree_matches_a_plain_search():
+    """Every cut of every node by plain sums over its rows, without histograms."""
+    r = np.random.default_rng(3)
+    x, rate, ridge, least = r.integers(0, 20, (120, 3)).astype(float), 0.15, 1.0, 5
+    y = (x[:, 0] + 2 * x[:, 2] + r.normal(size=120) * 4 > 30).astype(float)
+    f = quality.fit_forest(x, y, trees=1, depth=2)
+    p = y.mean()
+    g, h = p - y, np.full(120, p * (1 - p))
+    part = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + ridge)
+
+    def gain(rows, j, cut):
+        left, right = rows[x[rows, j] <= cut], rows[x[rows, j] > cut]
+        return part(left) + part(right) - part(rows) if min(len(left), len(right)) >= least else -1.0
+
+    groups = {0: np.arange(120)}
+    for k in range(3):
+        rows = groups[k]
+        j, cut = f.feature[0, k], f.cut[0, k]
+        most = max(gain(rows, i, c) for i in range(3) for c in np.unique(x[:, i]))
+        if np.isinf(cut):
+            assert most <= 1e-9
+        else:
+            assert abs(gain(rows, j, cut) - most) < 1e-9
+        groups[2 * k + 1], groups[2 * k + 2] = rows[x[rows, j] <= cut], rows[x[rows, j] > cut]
+    for k in range(4):
+        rows = groups[3 + k]
+        assert abs(f.leaf[0, k] + rate * g[rows].sum() / (h[rows].sum() + ridge)) < 1e-9
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    docs, labels = table(spark, SF, "documents").where("doc_id < 60"), table(spark, SF, "labels")
+    more = docs.unionByName(docs.where("doc_id < 5")).selectExpr("*", "0 as quality", "1 as score", "2 as held_out", "3 as label")
+    got = quality.scored(more, labels).collect()
+    assert len(got) == more.count()
+    assert all(len({x.score for x in got if x.doc_id == i}) == 1 for i in range(5) if any(x.doc_id == i for x in got))
