@@ -74,3 +74,31 @@ inner_parts AS (
   SELECT DISTINCT list_filter(w.t, lambda x: x.turn <= p.stop) AS t FROM whole AS w
   JOIN (SELECT DISTINCT conv_id, turn AS stop FROM turns) AS p USING (conv_id) WHERE p.stop < w.stop)
 SELECT conv_id, n_turns, n_copies, text FROM once WHERE t NOT IN (SELECT t FROM inner_parts)"""
+
+
+def _part(i: int, n: int) -> str:
+    return f"array_to_string(c.w[{i}:{i + n - 1}], ' ')"
+
+
+_CUT_SQL = "\nUNION ALL\n".join(
+    f"SELECT c.lang, c.p, {cut} AS cut, x.f AS l, y.f AS r FROM c JOIN f AS x ON x.lang = c.lang AND x.p = {_part(1, cut)} JOIN f AS y ON y.lang = c.lang AND y.p = {_part(cut + 1, k - cut)} WHERE c.k = {k}"
+    for k in (2, 3, 4)
+    for cut in range(1, k)
+)
+_INSIDE_SQL = "\nUNION ALL\n".join(f"SELECT lang, {_part(i, n)} AS p, a FROM c WHERE k = {k}" for k in (3, 4) for n in range(2, k) for i in range(1, k - n + 2))
+
+PHRASES = f"""WITH pieces AS MATERIALIZED (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+grams AS (SELECT lang, k, w[i:i + k - 1] AS w FROM (SELECT unnest(range(1, 5)) AS k) AS s, pieces, unnest(range(1, greatest(len(w) - k + 2, 1))) AS u(i)),
+f AS MATERIALIZED (SELECT lang, k, w, array_to_string(w, ' ') AS p, count(*) AS f FROM grams GROUP BY lang, k, w HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, k, w, p, f AS a FROM f WHERE k > 1),
+cuts AS ({_CUT_SQL}),
+scored AS (
+  SELECT lang, p, a, min({{'score': CAST(2000000::HUGEINT * a // (l::HUGEINT + r) AS BIGINT), 'cut': cut, 'l': l, 'r': r}}) AS s FROM cuts JOIN c USING (lang, p) GROUP BY lang, p, a),
+inside AS (SELECT lang, p, max(a) AS longer FROM ({_INSIDE_SQL}) GROUP BY lang, p),
+ranked AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.s.score DESC, s.a DESC, encode(s.p)) AS rank, s.p AS phrase, s.a, s.s.l AS l, s.s.r AS r, s.s.score AS score
+  FROM scored AS s LEFT JOIN inside AS i USING (lang, p) WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessella.llm import bpe, chat, decontaminate, extract, langid, oracles, quality, secrets, simhash, topk, wordpiece
+from tessella.llm import bpe, chat, decontaminate, extract, langid, oracles, phrases, quality, secrets, simhash, topk, wordpiece
 from tessella.session import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -55,6 +55,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_language_id": op9_language_id,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
+        "op11_phrase_collocations": op11_phrase_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -77,4 +82,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_format": oracles.CHAT,
         "op6_exact_top_k": oracles.TOP_K,
         "op10_benchmark_decontamination": oracles.CONTAMINATION,
+        "op11_phrase_collocations": oracles.PHRASES,
     }
