@@ -47,6 +47,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like ``written``, dealt into ``buckets`` by a hash of ``key``: tables of equal buckets join without an exchange.
+
+    Rows that are dealt that way already (``df.repartition(buckets, key)``) give one file for each bucket. The session's
+    catalogue keeps the table's name; its files go with the others.
+    """
+    own = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{_tables(df.sparkSession)}/{own}").saveAsTable(own)
+    return df.sparkSession.table(own)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
