@@ -102,3 +102,26 @@ ranked AS (
   SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.s.score DESC, s.a DESC, encode(s.p)) AS rank, s.p AS phrase, s.a, s.s.l AS l, s.s.r AS r, s.s.score AS score
   FROM scored AS s LEFT JOIN inside AS i USING (lang, p) WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000"""
+
+_NEAREST = "SELECT v.n, v.vec_id, v.v, min({{'d': list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i]))), 'c': c.c}}) AS m FROM v, c{t} AS c GROUP BY v.n, v.vec_id, v.v"
+_ROUND = """a{t} AS MATERIALIZED (""" + _NEAREST + """),
+c{u} AS MATERIALIZED (
+  SELECT c.c, coalesce(g.v, c.v) AS v FROM c{t} AS c LEFT JOIN (
+    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+      SELECT m.c AS c, i, sum(v[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{t}, unnest(range(1, 65)) AS u(i) GROUP BY m.c, i) GROUP BY c) AS g USING (c)),
+"""
+
+CLUSTERS = (
+    """WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM v QUALIFY c < 8),
+"""
+    + "".join(_ROUND.format(t=t, u=t + 1) for t in range(10))
+    + "last AS MATERIALIZED ("
+    + _NEAREST.format(t=10)
+    + """)
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c10.v, ',')) AS centroid_sha256
+FROM last JOIN c10 ON c10.c = m.c"""
+)

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.trees import LEAVES, tree_sum
 from tessella.session import written
 
 WORDS = 4  # of the longest phrase
@@ -37,7 +38,6 @@ WORDS_PER_SLOT, LEAST_BITS, MOST_BITS = 16, 14, 26
 SLICE = 1 << 20  # of a sketch, in slots
 BLOCK_KEYS, GROUP_ROWS = 1 << 19, 1 << 20
 CHUNK_WORDS = 1 << 21  # held by a mapper before it combines
-FAN = 16  # arrays summed at once
 _MEMO_WORDS, _MEMO_BYTES, _SLICE_BYTES = 400_000, 64, 1 << 20
 
 #: A-Z to a-z, what ends a piece to a line feed, tabs to blanks.
@@ -163,27 +163,14 @@ def _unpacked(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(raw), kind)
 
 
-def _sum_arrays(key: tuple[pa.Scalar, ...], table: pa.Table, kind: str, cap: int | None) -> pa.Table:
-    total = None
-    for raw in table.column("counts"):
-        one = _unpacked(raw.as_py(), kind)
-        if total is None:
-            total = one.astype(np.int64)
-        else:
-            total += one
+def _sum_arrays(values: list[bytes], kind: str, cap: int | None = None) -> bytes:
+    """Packed arrays summed, each entry up to ``cap``."""
+    total = _unpacked(values[0], kind).astype(np.int64)
+    for raw in values[1:]:
+        total += _unpacked(raw, kind)
         if cap:
             np.minimum(total, cap, out=total)
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "leaf": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([_packed(total.astype(kind))], pa.binary())})
-
-
-def tree_sum(leaves: DataFrame, kind: str, cap: int | None = None) -> DataFrame:
-    """``(part, leaf, counts)``: the arrays of each part summed, FAN at a time, level by level; each sum is cut at ``cap``."""
-    most = leaves.agg(F.max("leaf")).first()[0] or 0
-    while most:
-        level = leaves.select("part", F.floor(F.col("leaf") / FAN).alias("leaf"), "counts")
-        leaves = level.groupBy("part", "leaf").applyInArrow(partial(_sum_arrays, kind=kind, cap=cap), "part long, leaf long, counts binary")
-        most //= FAN
-    return leaves
+    return _packed(total.astype(kind))
 
 
 def _leaf_batch(level: int, total: np.ndarray) -> pa.RecordBatch:
@@ -191,7 +178,7 @@ def _leaf_batch(level: int, total: np.ndarray) -> pa.RecordBatch:
     n = max(1, len(total) // SLICE)
     cut = [_packed(x) for x in np.split(total, n)]
     parts, leaf = np.arange(n) + level * n, TaskContext.get().partitionId()
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([leaf] * n, pa.int64()), pa.array(cut, pa.binary())], ["part", "leaf", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([leaf] * n, pa.int64()), pa.array(cut, pa.binary())], ["part", "leaf", "value"])
 
 
 def _grown(total: np.ndarray, slots: np.ndarray, cap: int, weights: np.ndarray | None = None) -> None:
@@ -286,8 +273,8 @@ def _maps_of(leaves: DataFrame, levels: int, bits: int, least: int) -> list[byte
     """The slots of each level with ``least`` or more, as packed bits: 2 ** bits bits a level."""
     parts = max(1, (1 << bits) // SLICE)
     found = {}
-    for row in tree_sum(written(leaves, "sketch_leaves"), "uint8", least).select("part", "counts").toLocalIterator():
-        found[row.part] = np.packbits(_unpacked(bytes(row.counts), np.uint8) >= least).tobytes()
+    for row in tree_sum(written(leaves, "sketch_leaves"), partial(_sum_arrays, kind="uint8", cap=least)).toLocalIterator():
+        found[row.part] = np.packbits(_unpacked(bytes(row.value), np.uint8) >= least).tobytes()
     none = bytes((1 << bits) // parts // 8)
     return [zlib.compress(b"".join(found.get(level * parts + i, none) for i in range(parts)), 1) for level in range(levels)]
 
@@ -361,7 +348,7 @@ def _hash_block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def _count_block(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
     """Occurrences of one slice of a block, bincounted by slot."""
-    schema = pa.schema([("part", pa.int64()), ("leaf", pa.int64()), ("counts", pa.binary())])
+    schema = pa.schema([("part", pa.int64()), ("leaf", pa.int64()), ("value", pa.binary())])
     if not left.num_rows or not right.num_rows:
         return schema.empty_table()
     own = PerfectHash.loaded(right.column("hash")[0].as_py())
@@ -414,8 +401,8 @@ def phrase_index(occurrences: DataFrame, blocks: int) -> DataFrame:
     dealt, slices = _dealt(occurrences, "salt", blocks)
     hashes = written(dealt.select("block", *_KEYS).distinct().groupBy("block").applyInArrow(_hash_block, "block long, hash binary"), "hashes")
     left, right = dealt.groupBy("block", "slice"), _for_slices(hashes, slices).groupBy("block", "slice")
-    leaves = left.cogroup(right).applyInArrow(_count_block, "part long, leaf long, counts binary")
-    counts = tree_sum(written(leaves, "count_leaves"), "int64").select(F.col("part").alias("of_block"), "counts")
+    leaves = left.cogroup(right).applyInArrow(_count_block, LEAVES)
+    counts = tree_sum(written(leaves, "count_leaves"), partial(_sum_arrays, kind="int64")).select(F.col("part").alias("of_block"), F.col("value").alias("counts"))
     return written(hashes.join(counts, F.col("block") == F.col("of_block")).select("block", "hash", "counts"), "index")
 
 
@@ -472,11 +459,10 @@ def mined(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least
     total = words.agg(F.sum("n")).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (total // WORDS_PER_SLOT).bit_length()))
     frequent = words.where(F.col("n") >= least)
-    leaf = "part long, leaf long, counts binary"
-    maps = _maps_of(frequent.select("key", "n").mapInArrow(partial(_sketch_words, bits=bits, cap=least), leaf), 1, bits, least)
+    maps = _maps_of(frequent.select("key", "n").mapInArrow(partial(_sketch_words, bits=bits, cap=least), LEAVES), 1, bits, least)
     own = _own(docs, lang_col, text_col)
     shared = spark.sparkContext.broadcast(maps)
-    maps = maps + _maps_of(own.mapInArrow(partial(_sketch_phrases, shared=shared, seed=seed, bits=bits, cap=least), leaf), WORDS - 1, bits, least)
+    maps = maps + _maps_of(own.mapInArrow(partial(_sketch_phrases, shared=shared, seed=seed, bits=bits, cap=least), LEAVES), WORDS - 1, bits, least)
     shared.destroy()
     shared = spark.sparkContext.broadcast(maps)
     columns = ", ".join(f"{c} long" for c in (*_KEYS, "n", "salt"))

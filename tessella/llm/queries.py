@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessella.llm import bpe, chat, decontaminate, extract, langid, oracles, phrases, quality, secrets, simhash, topk, wordpiece
+from tessella.llm import bpe, chat, clustering, decontaminate, extract, langid, oracles, phrases, quality, secrets, simhash, topk, wordpiece
 from tessella.session import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -59,6 +59,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mined(table(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
         "op11_phrase_collocations": op11_phrase_collocations,
+        "op12_centroid_clustering": op12_centroid_clustering,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -83,4 +88,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_top_k": oracles.TOP_K,
         "op10_benchmark_decontamination": oracles.CONTAMINATION,
         "op11_phrase_collocations": oracles.PHRASES,
+        "op12_centroid_clustering": oracles.CLUSTERS,
     }
