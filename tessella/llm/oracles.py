@@ -125,3 +125,42 @@ SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance,
   CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c10.v, ',')) AS centroid_sha256
 FROM last JOIN c10 ON c10.c = m.c"""
 )
+
+_SPACE = "[\\x20\\x09-\\x0D]"
+_CHAR_CLASSES = ("[a-z]", _SPACE, "[^\\x00-\\x7F]", """[.,;:!?''"()-]""", "[A-Z]", "[0-9]")
+_COUNTS = ", ".join(f"length(t) - length(regexp_replace(t, '{p}', '', 'g')) AS n{k}" for k, p in enumerate((*_CHAR_CLASSES, "[#*$%&|<>]")))
+
+
+def _js(p: str, q: str) -> str:
+    part = "CASE WHEN {a} > 0 THEN {a} * log2({a} / (({a} + {b}) / 2)) ELSE 0 END"
+    return f"""round(sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda x: {part.format(a="x[1]", b="x[2]")} + {part.format(a="x[2]", b="x[1]")})), 0) / 2), 6)"""
+
+
+DIVERGENCE = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, coalesce(lang, 'und') AS lang, coalesce(text, '') AS t FROM documents),
+counted AS MATERIALIZED (SELECT n, doc_id, lang, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, {_COUNTS} FROM d),
+classes AS (SELECT *, [n0, n1, n2, n3, n4, n5, length(t) - n0 - n1 - n2 - n3 - n4 - n5] AS c FROM counted),
+runs AS (SELECT n, p, array_to_string(w[p:p + 7], ' ') AS g FROM classes, unnest(range(1, greatest(len(w) - 6, 1))) AS u(p)),
+twice AS (SELECT n, g FROM runs GROUP BY n, g HAVING count(*) > 1),
+repeated AS (SELECT n, count(*) AS k FROM (SELECT DISTINCT n, unnest(range(p, p + 8)) AS q FROM runs JOIN twice USING (n, g)) GROUP BY n),
+lines AS (SELECT n, unnest(string_split(t, chr(10))) AS line FROM d),
+doubles AS (SELECT n, count(*) - count(DISTINCT line) AS k FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY n),
+lowered AS MATERIALIZED (SELECT n, lang, unnest(regexp_extract_all(lower(t), '[^\\x20\\x09-\\x0D]+')) AS word FROM d),
+freq AS (SELECT lang, word, count(*) AS k FROM lowered GROUP BY lang, word),
+top AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY k DESC, encode(word)) AS place FROM freq QUALIFY place <= 32),
+sizes AS (SELECT lang, sum(k) AS total FROM freq GROUP BY lang),
+by_class AS (SELECT lang, [{", ".join(f"sum(c[{k}])" for k in range(1, 8))}] AS s FROM classes GROUP BY lang),
+refs AS MATERIALIZED (
+  SELECT lang, total, list_transform(s, lambda x: CAST(x AS DOUBLE) / CAST(list_sum(s) AS DOUBLE)) AS cs, list_concat(list_transform(ks, lambda x: CAST(x AS DOUBLE) / CAST(total AS DOUBLE)), [CAST(total - list_sum(ks) AS DOUBLE) / CAST(total AS DOUBLE)]) AS ws, n_top
+  FROM (SELECT lang, list(k ORDER BY place) AS ks, count(*) AS n_top FROM top GROUP BY lang) JOIN sizes USING (lang) JOIN by_class USING (lang)),
+hits AS (SELECT n, place, count(*) AS k FROM lowered JOIN top USING (lang, word) GROUP BY n, place),
+places AS (SELECT n, lang, unnest(range(1, n_top + 1)) AS place FROM d JOIN refs USING (lang)),
+hist AS (SELECT p.n, list(coalesce(k, 0) ORDER BY p.place) AS h FROM places AS p LEFT JOIN hits AS x ON x.n = p.n AND x.place = p.place GROUP BY p.n),
+stats AS (
+  SELECT c.doc_id, len(w) AS nw, length(t) - n1 AS wc, n6, coalesce(doubles.k, 0) AS dl, coalesce(repeated.k, 0) AS rw,
+    CASE WHEN total >= 10000 AND length(t) >= 200 THEN {_js("list_transform(c, lambda x: CAST(x AS DOUBLE) / CAST(list_sum(c) AS DOUBLE))", "cs")} END AS class_distance,
+    CASE WHEN total >= 10000 AND len(w) >= 50 THEN {_js("list_transform(list_concat(h, [len(w) - list_sum(h)]), lambda x: CAST(x AS DOUBLE) / CAST(len(w) AS DOUBLE))", "ws")} END AS word_distance
+  FROM classes AS c LEFT JOIN refs USING (lang) LEFT JOIN hist USING (n) LEFT JOIN doubles USING (n) LEFT JOIN repeated USING (n)),
+judged AS (SELECT *, nw < 20 OR 100 * rw > 30 * nw AS base_failed FROM stats)
+SELECT doc_id, CAST(nw AS BIGINT) AS n_words, CAST(wc AS BIGINT) AS word_chars, CAST(n6 AS BIGINT) AS n_symbols, CAST(dl AS BIGINT) AS n_dup_lines, CAST(rw AS BIGINT) AS n_repeat_words,
+  base_failed, NOT base_failed AND NOT coalesce(class_distance > 0.25, false) AND NOT coalesce(word_distance > 0.42, false) AS kept, class_distance, word_distance
+FROM judged"""

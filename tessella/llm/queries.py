@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessella.llm import bpe, chat, clustering, decontaminate, extract, langid, oracles, phrases, quality, secrets, simhash, topk, wordpiece
+from tessella.llm import bpe, chat, clustering, decontaminate, divergence, extract, langid, oracles, phrases, quality, secrets, simhash, topk, wordpiece
 from tessella.session import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -63,6 +63,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clustered(table(spark, sf_dir, "embeddings"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judged(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
         "op11_phrase_collocations": op11_phrase_collocations,
         "op12_centroid_clustering": op12_centroid_clustering,
+        "op13_quality_rules": op13_quality_rules,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -89,4 +94,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_benchmark_decontamination": oracles.CONTAMINATION,
         "op11_phrase_collocations": oracles.PHRASES,
         "op12_centroid_clustering": oracles.CLUSTERS,
+        "op13_quality_rules": oracles.DIVERGENCE,
     }
