@@ -34,11 +34,11 @@ from tessella.session import written
 WORDS = 4  # of the longest phrase
 LEAST, TOP, COVERED = 30, 2000, 80
 #: Sketches have a slot for so many words of the corpus, and 2 ** MOST_BITS at most.
-WORDS_PER_SLOT, LEAST_BITS, MOST_BITS = 16, 14, 26
+WORDS_PER_SLOT, LEAST_BITS, MOST_BITS = 32, 14, 26
 SLICE = 1 << 20  # of a sketch, in slots
 BLOCK_KEYS, GROUP_ROWS = 1 << 19, 1 << 20
-CHUNK_WORDS = 1 << 21  # held by a mapper before it combines
-_MEMO_WORDS, _MEMO_BYTES, _SLICE_BYTES = 400_000, 64, 1 << 20
+CHUNK_WORDS = 1 << 20  # held by a mapper before it combines
+_MEMO_WORDS, _MEMO_BYTES, _SLICE_BYTES = 300_000, 64, 1 << 20
 
 #: A-Z to a-z, what ends a piece to a line feed, tabs to blanks.
 _FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -103,28 +103,49 @@ def _own(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).alias("text"))
 
 
+class _Memo(dict):
+    """Keys by language of the words met; short words are held, _MEMO_WORDS in all at most."""
+
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed, self.held = seed, 0
+
+    def __missing__(self, lang: str) -> _Keys:
+        if self.held + len(self) >= _MEMO_WORDS:
+            self.clear()
+        self[lang] = own = _Keys(self, xxhash.xxh64_intdigest(lang.encode(), self.seed))
+        return own
+
+    def clear(self) -> None:
+        for own in self.values():
+            own.clear()
+            own[b"."] = 0
+        super().clear()
+        self.held = 0
+
+
 class _Keys(dict):
-    """Keys of a language's words; short words are memoised."""
+    """Keys of one language's words."""
 
-    def __init__(self, lang: str, seed: int):
+    def __init__(self, memo: _Memo, seed: int):
         super().__init__()
-        self.seed = xxhash.xxh64_intdigest(lang.encode(), seed)
+        self.memo, self.seed = memo, seed
         self[b"."] = 0
 
     def __missing__(self, word: bytes) -> int:
         key = xxhash.xxh64_intdigest(word, self.seed)
         if len(word) <= _MEMO_BYTES:
-            if len(self) >= _MEMO_WORDS:
-                self.clear()
-                self[b"."] = 0
+            if self.memo.held >= _MEMO_WORDS:
+                self.memo.clear()
             self[word] = key
+            self.memo.held += 1
         return key
 
 
 def _key_batches(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    memo = _Memo(seed)
     for batch in batches:
-        keys: dict[str, _Keys] = {}
-        found = [keys.setdefault(lang, _Keys(lang, seed))[w] for lang, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        found = [memo[lang][w] for lang, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(found, np.uint64).view(np.int64))], ["lang", "word", "n", "key"])
 
 
@@ -183,7 +204,9 @@ def _leaf_batch(level: int, total: np.ndarray) -> pa.RecordBatch:
 
 def _grown(total: np.ndarray, slots: np.ndarray, cap: int, weights: np.ndarray | None = None) -> None:
     more = np.bincount(slots, weights, len(total))
-    np.minimum(total + np.minimum(more, cap), cap, out=total, casting="unsafe")
+    np.minimum(more, cap, out=more)
+    more += total
+    np.minimum(more, cap, out=total, casting="unsafe")
 
 
 def _sketch_words(batches: Iterator[pa.RecordBatch], bits: int, cap: int) -> Iterator[pa.RecordBatch]:
@@ -199,15 +222,11 @@ def _streams(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[np.ndarra
 
     A phrase belongs to the chunk in which it starts before the last WORDS - 1 places.
     """
-    memo: dict[str, _Keys] = {}
+    memo = _Memo(seed)
     held: list[np.ndarray] = []
     size = 0
     for batch in batches:
         for lang, text in _rows(batch):
-            if lang not in memo:
-                if len(memo) > 64:
-                    memo.clear()
-                memo[lang] = _Keys(lang, seed)
             keys = memo[lang]
             for words in words_of(text):
                 held.append(np.fromiter(map(keys.__getitem__, words), np.uint64, len(words)))
