@@ -36,4 +36,4 @@ def test_near_duplicates_of_the_table(spark):
 
 def test_every_operator_is_registered():
     names = [n.split("_")[0] for n in queries.queries()]
-    assert names == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert names == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
