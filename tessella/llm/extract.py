@@ -31,13 +31,14 @@ TINY = 1e-6  # of a word inside boilerplate
 PLAIN, MAIN, HIDDEN, DOUBTED, FREE = range(5)  # places; FREE: as PLAIN on a page that marks no content
 NAME_WORDS, NAME_PAGES = 20, 3  # words and pages that a class or id name must have to be judged by them
 RARE, OFTEN = 0.05, 0.5  # share of its words in the main content up to which a name is doubted, from which it is trusted
-_ATTRIBUTES = 4_096  # characters of a tag's attributes that are looked at
-_NAMES_HELD = 8  # names of the innermost elements that words are counted under
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe object select button math canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title svg iframe".split())
+INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big button canvas cite code data del dfn em font i ins kbd label mark math meter object output q rp rt ruby s samp select small span strike strong sub sup time tt u var video wbr"
+    " mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom merror mspace".split()
+)
 BOILERPLATE = frozenset("nav aside footer form dialog menu head".split())
 CONTENT = frozenset("article main h1 h2 h3 h4 h5 h6 p blockquote pre li ul ol dl dt dd table tr td th tbody thead figure figcaption section".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
@@ -52,7 +53,7 @@ TRUSTED_PARTS = frozenset("article content story post entry main text body".spli
 _START = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
 _NAME = re.compile(r"[^\s/>]*")
 _UNQUOTED = re.compile(r"""[^"'>]*""")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""[\s/]*(=?[^\s/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S*)))?""")
 _PARTS = re.compile(r"[a-z]+")
 
 
@@ -65,15 +66,18 @@ def doubted_by_parts(name: str) -> bool:
 
 
 def _read_attributes(name: str, attributes: str) -> tuple[bool, list[str]]:
-    """Whether a tag hides its element by role or attribute, and its class and id names in lower case."""
-    hidden, names = False, []
-    for kind, *values in _ATTRIBUTE.findall(attributes[:_ATTRIBUTES]) if attributes else ():
-        value, kind = next(filter(None, values), "").lower(), kind.lower()
-        if kind in ("class", "id"):
-            names += value.split()
-        elif name not in ("html", "body", "article", "main"):
-            hidden |= kind == "role" and value in ROLES or kind == "aria-hidden" and value == "true" or kind == "hidden"
-    return hidden, names
+    """Whether a tag hides its element by role or attribute, and its class and id names in lower case.
+
+    Attributes are read one after another, each with its quoted or bare value; nothing is looked for inside values.
+    """
+    found: dict[str, str] = {}
+    for kind, *values in _ATTRIBUTE.findall(attributes) if attributes and not attributes.isspace() else ():
+        found.setdefault(kind.lower(), "".join(values))  # of a repeated attribute the first counts
+    names = html.unescape(f"{found.get('class', '')} {found.get('id', '')}").lower().split()
+    if name in ("html", "body", "article", "main"):
+        return False, names
+    role = not ROLES.isdisjoint(found.get("role", "").lower().split()[:1])
+    return role or found.get("aria-hidden", "").strip().lower() == "true" or "hidden" in found, names
 
 
 class _Cursor:
@@ -147,8 +151,9 @@ def _closing(name: str) -> re.Pattern:
 
 
 def events(page: str, judged: dict[str, bool] | None = None) -> Iterator[tuple[str, str, int, str, tuple[str, ...]]]:
-    """The page in order as ``(kind, element, place, text, names)``; kind: ``text``, ``open`` or ``close``;
-    place: HIDDEN in boilerplate, DOUBTED under a doubted name, MAIN in an article or main element, else PLAIN.
+    """The page in order as ``(kind, element, place, text, names)``; kind: ``text``, ``open``, ``close`` or, last, ``end``;
+    place: HIDDEN in boilerplate, DOUBTED under a doubted name, MAIN in an article or main element, else PLAIN;
+    names: class and id names of the element that opens, or of all those that close.
 
     ``judged``: names that labelled pages trust (True) or doubt (False); they hold everywhere but on elements that
     are blocks of text themselves, the prior of the others only outside an article or main element. Comments,
@@ -167,30 +172,34 @@ def events(page: str, judged: dict[str, bool] | None = None) -> Iterator[tuple[s
 
     for text, name, attributes in cursor.pieces():
         if not name:
-            yield "text", stack[-1][0] if stack else "", place(), text, tuple(held[-_NAMES_HELD:])
+            yield "text", stack[-1][0] if stack else "", place(), text, ()
             continue
         if name[0] == "/":
             if not open_[name := name[1:]]:
                 continue
+            first = len(held)
             while True:
                 last, was_hidden, was_doubted, n_names = stack.pop()
                 open_[last] -= 1
                 hidden -= was_hidden
                 doubted -= was_doubted
-                del held[len(held) - n_names :]
+                first -= n_names
                 if last == name:
                     break
-            yield "close", name, place(), "", ()
+            closed = tuple(held[first:])
+            del held[first:]
+            yield "close", name, place(), "", closed
             continue
         if name in RAW:
             if not attributes.endswith("/") and not cursor.skip(name) and name in ("script", "style", "textarea", "title"):
-                return
+                break
             continue
-        yield "open", name, place(), "", ()
         if name in VOID or attributes.endswith("/") and name not in CONTENT:
+            yield "open", name, place(), "", ()
             continue
         inside = open_["article"] > 0 or open_["main"] > 0
         drop, names = _read_attributes(name, attributes)
+        yield "open", name, place(), "", tuple(names)
         drop |= name in BOILERPLATE or name == "header" and not inside
         doubt = False
         if name not in BLOCKS:
@@ -200,6 +209,7 @@ def events(page: str, judged: dict[str, bool] | None = None) -> Iterator[tuple[s
         held += names
         hidden += drop
         doubted += doubt
+    yield "end", "", place(), "", tuple(held)
 
 
 def _key(kind: str, element: str, place: int) -> tuple[str, str, int]:
@@ -221,14 +231,28 @@ def _label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             first = next(i for i in marks if seen[i][1] == mark)
             last = next((i for i in range(len(seen) - 1, first, -1) if seen[i][:2] == ("close", mark)), len(seen))
             on_page = set()
+            words, depth, since = [0, 0], Counter(), {}  # words so far outside and inside; of each open name: how often, and the words before
             for i, (kind, element, place, text, names) in enumerate(seen):
+                inside = first < i < last
                 n = len(text.split()) if kind == "text" else 1
-                own = [_key(kind, element, place), *([] if place == HIDDEN else [_key(kind, element, FREE)]), *(("name", x, 0) for x in set(names) if n)]
-                for key in own:
-                    counts[key, first < i < last] += n
-                on_page.update(own)
+                for key in [] if kind == "end" else [_key(kind, element, place), *([] if place == HIDDEN else [_key(kind, element, FREE)])]:
+                    counts[key, inside] += n
+                    on_page.add(key)
+                if kind == "text":
+                    words[inside] += n
+                for x in names:  # a name counts the words under its outermost element
+                    if kind == "open":
+                        if not depth[x]:
+                            since[x] = (*words,)
+                        depth[x] += 1
+                        continue
+                    depth[x] -= 1
+                    if not depth[x] and (found := [now - was for now, was in zip(words, since[x], strict=True)]) != [0, 0]:
+                        on_page.add(("name", x, 0))
+                        for side, k in enumerate(found):
+                            counts[("name", x, 0), bool(side)] += k
             pages.update(on_page)
-    rows = [(*key, inside, n, pages[key]) for (key, inside), n in counts.items()]
+    rows = [(*key, inside, n, pages[key]) for (key, inside), n in counts.items() if n]
     columns = zip(*rows, strict=True) if rows else [()] * 6
     kinds = (pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "element", "place", "inside", "n", "pages"])
@@ -281,7 +305,7 @@ def main_text(page: str | None, weights: Weights) -> str:
     marked = any(h == MAIN for _, _, h, *_ in seen)
     # where names leave nothing, they are not believed
     for unmarked in ({PLAIN: PLAIN} if marked else {PLAIN: FREE}, {PLAIN: FREE, DOUBTED: FREE}):
-        own = [(k, e, unmarked.get(h, h), t) for k, e, h, t, _ in seen]
+        own = [(k, e, unmarked.get(h, h), t) for k, e, h, t, _ in seen if k != "end"]
         a, b = best_region([weights.of(k, e, h) * (len(t.split()) if k == "text" else 1) for k, e, h, t in own])
         parts = []
         for kind, element, place, text in own[a:b]:

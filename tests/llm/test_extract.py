@@ -83,6 +83,48 @@ def test_odd_markup_takes_linear_time(weights, piece, end):
     assert time.process_time() - began < 20
 
 
+WORDS = " ".join(f"word{i} of the text" for i in range(15))
+
+
+@pytest.mark.parametrize("attributes", ['style="overflow: hidden"', 'style="overflow:hidden"', 'data-hidden="false"', 'title="the hidden room"', 'data-role="search"', "data-x='id=menu'", 'title="a class=ad b"', 'x="1"y="hidden"', "hidden-by=script", 'data-class="sidebar" aria-hidden="false"', "class = 'a' class='menu'"])
+def test_attributes_are_read_one_by_one(weights, attributes):
+    for page in (f"<div {attributes}><h2>A heading</h2><p>{WORDS}</p></div>", f"<article><p>First.</p><div {attributes}><h2>A heading</h2><p>{WORDS}</p></div></article>"):
+        assert extract.main_text(page, weights).endswith(f"A heading {WORDS}")
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN", 'a="b"hidden', "aria-hidden=true", "role='search'", 'ROLE = "navigation"', 'data-x="' + "y" * 5000 + '" class="sidebar menu"', "x=1 / id=menu"])
+def test_attributes_that_hide(weights, attributes):
+    page = f"<body><div {attributes}><p>Not this at all, it is no text</p></div><article><p>{WORDS}</p></article></body>"
+    bare = page.replace("<article>", "<div>").replace("</article>", "</div>")
+    assert extract.main_text(page, weights) == extract.main_text(bare, weights) == WORDS
+
+
+def test_attribute_reader():
+    read = extract._read_attributes
+    assert read("div", """ id=A class="b  c" data-class=x ID=z""") == (False, ["b", "c", "a"])
+    assert read("div", """ class='q&amp;a' /id=x/hidden""") == (False, ["q&a", "x/hidden"])
+    assert read("div", " =x hidden") == (True, [])
+    assert read("article", " hidden role=search class=x") == (False, ["x"])
+
+
+def test_text_of_inline_objects_in_an_article_stays(weights):
+    page = "<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds. Press <button>Go now</button> here. <object>No picture</object> <select><option>one</option><option>two</option></select></p></article>"
+    assert extract.main_text(page, weights) == "So x=1 holds. Press Go now here. No picture one two"
+
+
+def test_names_count_all_words_below_them(spark):
+    inner = "<div>" * 30
+    page = lambda i: f'<body><div class="zork">{inner}boiler {i} plate words{"</div>" * 31}<article><div class="glos">{inner}<p>inner text {i} of it</p>{"</div>" * 31}</article></body>'
+    df = spark.createDataFrame([(i, "u", page(i).replace("<div>", '<div class="a b c">')) for i in range(30)] + [(99, "u", page(1))] * 2, "page_id long, url string, html string")
+    w = extract.fit(df)
+    assert w.names["zork"] is False and w.names["glos"] is True
+
+
+def test_repeated_rows_stay(spark, weights):
+    df = spark.createDataFrame([(1, "u", "<article><p>Hi there you</p></article>")] * 3, "page_id long, url string, html string")
+    assert [r.text for r in extract.extracted(df).collect()] == ["Hi there you"] * 3
+
+
 def test_nothing_but_boilerplate_gives_nothing(weights):
     assert extract.main_text("<nav><a>Home</a></nav><article></article><footer>All rights reserved by us</footer>", weights) == ""
 
