@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.functions.slabs import pair_areas
+
 _DOUBLES, _LONGS = T.ArrayType(T.DoubleType()), T.ArrayType(T.LongType())
 
 
@@ -44,65 +46,9 @@ def ring_area(ring: np.ndarray) -> float:
     return float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2 if len(ring) > 2 else 0.0
 
 
-def _clip_convex(subject: np.ndarray, triangle: np.ndarray) -> np.ndarray:
-    for p, q in zip(triangle, np.roll(triangle, -1, axis=0), strict=True):
-        if len(subject) < 3:
-            return subject[:0]
-        v = (q[0] - p[0]) * (subject[:, 1] - p[1]) - (q[1] - p[1]) * (subject[:, 0] - p[0])
-        nxt, w, out = np.roll(subject, -1, axis=0), np.roll(v, -1), []
-        for s, e, a, b in zip(subject, nxt, v, w, strict=True):
-            if a >= 0:
-                out.append(s)
-            if (a >= 0) != (b >= 0):
-                out.append(s + (e - s) * (a / (a - b)))
-        subject = np.array(out).reshape(-1, 2)
-    return subject
-
-
-def _box_of(ring: np.ndarray) -> np.ndarray | None:
-    """Bounds of a ring that is an axis-parallel box."""
-    if len(ring) != 4 or not ((ring == np.roll(ring, -1, axis=0)).sum(axis=1) == 1).all():
-        return None
-    return np.concatenate([ring.min(axis=0), ring.max(axis=0)])
-
-
-def _convex(ring: np.ndarray) -> bool:
-    """Whether a counter-clockwise ring turns left everywhere, once around."""
-    d = np.roll(ring, -1, axis=0) - ring
-    e = np.roll(d, -1, axis=0)
-    cross, dot = d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0], (d * e).sum(axis=1)
-    return bool((cross >= 0).all() and abs(np.arctan2(cross, dot).sum() - 2 * np.pi) < 1e-6)
-
-
 def intersection_area(a: np.ndarray, b: np.ndarray) -> float:
-    """Common area of two simple polygons.
-
-    One is cut by the sides of the other, if that is a box or convex; boxes of whole numbers are exact.
-    Of two that are neither, a signed sum over pairs of fan triangles.
-    """
-    low, high = np.maximum(a.min(axis=0), b.min(axis=0)), np.minimum(a.max(axis=0), b.max(axis=0))
-    if len(a) < 3 or len(b) < 3 or (low >= high).any():
-        return 0.0
-    a, b = (r - low for r in (a, b))  # near the origin, so that large coordinates cancel first
-    sides = ring_area(a), ring_area(b)
-    if not all(sides):
-        return 0.0
-    a, b = (r if s > 0 else r[::-1] for r, s in zip((a, b), sides, strict=True))
-    for subject, cutter in ((a, b), (b, a)):
-        if (box := _box_of(cutter)) is not None:
-            return ring_area(clip_ring(subject, box))
-    for subject, cutter in ((a, b), (b, a)):
-        if _convex(cutter):
-            return abs(ring_area(_clip_convex(subject, cutter)))
-    fan = lambda r: [r[[0, i, i + 1]] for i in range(1, len(r) - 1)]
-    total = 0.0
-    for s in fan(a):
-        for t in fan(b):
-            sign = np.sign(ring_area(s)) * np.sign(ring_area(t))
-            if sign and (np.maximum(s.min(axis=0), t.min(axis=0)) < np.minimum(s.max(axis=0), t.max(axis=0))).all():
-                s_, t_ = (x if ring_area(x) > 0 else x[::-1] for x in (s, t))
-                total += sign * ring_area(_clip_convex(s_, t_))
-    return abs(total)
+    """Common area of two polygons, read even-odd; boxes and other right-angled shapes of whole numbers are exact."""
+    return float(pair_areas([[a]], [[b]])[0])
 
 
 def fill_polygons(rings: list[np.ndarray], width: int, height: int) -> np.ndarray:
@@ -212,7 +158,7 @@ def _ring(flat) -> np.ndarray:
 
 @F.pandas_udf(T.DoubleType())
 def polygon_intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Common area of two polygons; null where one is missing. Pairs of boxes go all at once."""
+    """Common area of two polygons; null where one is missing. All pairs of a batch go at once: boxes by their ends, others by slabs."""
     out = np.full(len(a), np.nan)
     four = np.array([x is not None and y is not None and len(x) == len(y) == 8 for x, y in zip(a, b, strict=True)], bool)
     if four.any():
@@ -222,14 +168,22 @@ def polygon_intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
         high = np.minimum(*(r.max(axis=1) for r in rings))
         at = np.flatnonzero(four)[boxes]
         out[at] = np.maximum(high - low, 0)[boxes].prod(axis=1)
-        four[np.flatnonzero(four)[~boxes]] = False
-    for i in np.flatnonzero(~four):
-        x, y = a.iloc[i], b.iloc[i]
-        if x is not None and y is not None:
-            out[i] = intersection_area(_ring(x), _ring(y))
+    rest = np.isnan(out) & a.notna().to_numpy() & b.notna().to_numpy()
+    if rest.any():
+        out[rest] = pair_areas(*([[x] for x in s[rest]] for s in (a, b)))
     return pd.Series(out).astype(object).where(~np.isnan(out), None)
 
 
+@F.pandas_udf(T.DoubleType())
+def region_intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Common area of two regions given as arrays of flat rings, read even-odd (holes count out); null where one is missing."""
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    if known.any():
+        out[known] = pair_areas(*(s[known].tolist() for s in (a, b)))
+    return pd.Series(out).astype(object).where(known, None)
+
+
 @F.pandas_udf(_DOUBLES)
 def clip_to_box(flat: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
     """A polygon cut to a box; null where nothing is left."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.kernels import ring_area
+from tessella.functions.slabs import pair_areas
 
 Rings = list[np.ndarray]
 
@@ -139,7 +140,7 @@ class Region:
         return sum(ring_area(r) for r in self.rings)
 
     def intersection_area(self, other: Region) -> float:
-        return Region(intersection(self.rings, other.rings)).area
+        return float(pair_areas([self.rings], [other.rings])[0])
 
     def minus(self, other: Region) -> Region:
         return Region(difference(self.rings, other.rings))

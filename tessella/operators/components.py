@@ -28,7 +28,7 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` of long node ids -> ``(node, component)``, component = least node reachable.
 
     Only nodes that occur in an edge between different nodes are returned. Null ends are
@@ -41,9 +41,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         "edges",
     )
     before = _signature(edges)
-    for _ in range(max_rounds):
-        if before[0] == 0:
-            break
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = written(_star(both, F.col("v") > F.col("u")), "large")
         # small star: neighbours not above u, and u itself, go to the least of them
@@ -54,7 +52,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     own = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return own.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -64,37 +64,40 @@ def greedy_nms(preds: DataFrame, num: int, den: int, scope: str | None = None, c
     """Greedy suppression: by score (ties to the lesser id) each kept box drops later ones of IoU over num/den.
 
     ``preds(pred_id, score, shape)``; boxes without area go, categories play no part. Only
-    pairs that conflict matter. Connected components of up to ``group_edges`` conflicts are
-    walked as a group each; of larger ones, round by round, the boxes without a better live
-    rival are kept and their rivals dropped, until what is left falls into small components:
-    the same boxes as the sequential walk, with no unbounded group. Thresholds are compared by
+    pairs that conflict matter. Scopes of up to ``group_edges`` conflicts, and of larger scopes
+    the connected components of up to as many, are walked as a group each; of larger components,
+    round by round, the boxes without a better live rival are kept and their rivals dropped, until
+    what is left falls into small components: the same boxes as the sequential walk, with no
+    unbounded group. Thresholds are compared by
     cross products. ``flat`` names a column of polygon coordinates whose areas count instead
     of the boxes'; these are rounded, so an IoU counts as over only by more than 1e-9.
     """
     own = preds.where(B.area(F.col("shape")) > 0)
-    pairs = self_pairs(own, "pred_id", "shape", scope, cell).where("pred_id < other_pred_id")
+    carried = own.select("pred_id", "shape", F.col("score").alias("s"), (F.col(scope) if scope else F.lit(0)).alias("scope"))
+    pairs = self_pairs(carried, "pred_id", "shape", "scope", cell, carry=("s", "scope")).where("pred_id < other_pred_id")
     if flat is None:
         common = B.intersection_area(F.col("shape"), F.col("other_shape"))
         union = B.area(F.col("shape")) + B.area(F.col("other_shape")) - common
     else:
-        one = own.select(F.col("pred_id").alias("of_pred"), F.col(flat).alias("flat_a"))
-        pairs = pairs.join(one, F.col("pred_id") == F.col("of_pred")).drop("of_pred").join(one.withColumnRenamed("flat_a", "flat_b"), F.col("other_pred_id") == F.col("of_pred"))
-        areas = P.flat_area(F.col("flat_a")), P.flat_area(F.col("flat_b"))
-        most = F.least(B.intersection_area(F.col("shape"), F.col("other_shape")).cast("double"), *areas)
-        pairs = pairs.where(most * den > (areas[0] + areas[1] - most) * num).withColumn("common", polygon_intersection_area("flat_a", "flat_b"))
+        # written, so that areas are made once for a polygon and not for every pair
+        one = written(own.select(F.col("pred_id").alias("of_pred"), F.col(flat).alias("flat_a"), P.flat_area(F.col(flat)).alias("area_a")), "polygons")
+        two = one.withColumnsRenamed({"flat_a": "flat_b", "area_a": "area_b"})
+        pairs = pairs.join(one, F.col("pred_id") == F.col("of_pred")).drop("of_pred").join(two, F.col("other_pred_id") == F.col("of_pred"))
+        most = F.least(B.intersection_area(F.col("shape"), F.col("other_shape")).cast("double"), "area_a", "area_b")
+        pairs = pairs.where(most * den > (F.col("area_a") + F.col("area_b") - most) * num).withColumn("common", polygon_intersection_area("flat_a", "flat_b"))
         common = F.col("common")
-        union = P.flat_area(F.col("flat_a")) + P.flat_area(F.col("flat_b")) - common
+        union = F.col("area_a") + F.col("area_b") - common
     margin = 1e-9 * den * union if flat else F.lit(0)
-    conflicts = pairs.where(common * den > union * num + margin).select("pred_id", "other_pred_id")
-    ranks = own.select(F.col("pred_id").alias("id"), "score")
-    edges = (
-        conflicts.join(ranks.withColumnsRenamed({"id": "a", "score": "sa"}), F.col("pred_id") == F.col("a"))
-        .join(ranks.withColumnsRenamed({"id": "b", "score": "sb"}), F.col("other_pred_id") == F.col("b"))
-    )
-    first = _no_worse("sa", "sb")  # a < b
-    edges = written(edges.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("lo")), "conflicts")
-    dropped = _dropped(edges, group_edges)
-    return own if dropped is None else own.join(dropped.withColumnRenamed("lo", "pred_id"), "pred_id", "left_anti")
+    edges = _directed(pairs.where(common * den > union * num + margin))
+    dropped = _dropped(written(edges.select("scope", "hi", "lo"), "conflicts"), group_edges)
+    return own.join(dropped.withColumnRenamed("lo", "pred_id"), "pred_id", "left_anti")
+
+
+def _directed(pairs: DataFrame) -> DataFrame:
+    """Pairs with scores ``s`` and ``other_s`` as ``(scope, hi, lo, hi_score)``: the better one first, of equal ones the lesser id."""
+    first = _no_worse("s", "other_s")
+    ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for x, y, n in (("pred_id", "other_pred_id", "hi"), ("other_pred_id", "pred_id", "lo"), ("s", "other_s", "hi_score"))]
+    return pairs.select("scope", *ends)
 
 
 def _walked(group: pd.DataFrame) -> pd.DataFrame:
@@ -115,32 +118,37 @@ def _walked(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"lo": sorted(dropped)}, dtype="int64")
 
 
-def _by_size(edges: DataFrame, a: str, b: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """Edges with their ``component``: those of components of up to ``most`` edges, and the rest."""
-    if edges.count() <= most:  # one group at most
-        return edges.withColumn("component", F.lit(0).cast("long")), edges.withColumn("component", F.lit(0).cast("long")).where("false")
-    groups = connected_components(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
-    placed = edges.join(groups, F.col(a) == F.col("node")).drop("node")
+def _by_size(edges: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Edges ``(scope, hi, lo, ...)`` in groups of up to ``most`` edges, with their ``component``, and the rest, for rounds.
+
+    A scope (a raster, as a rule) with no more edges is one group. Only larger scopes are taken apart
+    into connected components, of which again the small ones are groups. The same steps at any size.
+    """
+    wide = written(edges.groupBy("scope").count().where(F.col("count") > most).select("scope"), "large_scopes")
+    small = edges.join(wide, "scope", "left_anti").withColumn("component", F.lit(0).cast("long"))
+    rest = edges.join(wide, "scope", "left_semi")
+    if wide.isEmpty():
+        return small, rest.withColumn("component", F.lit(0).cast("long"))
+    groups = connected_components(rest.select(F.col("hi").alias("a"), F.col("lo").alias("b")))
+    placed = written(rest.join(groups, F.col("hi") == F.col("node")).drop("node"), "components")
     large = written(placed.groupBy("component").count().where(F.col("count") > most).select("component"), "large_components")
-    placed = written(placed, "components")
-    return placed.join(large, "component", "left_anti"), placed.join(large, "component", "left_semi")
+    return small.unionByName(placed.join(large, "component", "left_anti")), placed.join(large, "component", "left_semi")
 
 
-def _dropped(edges: DataFrame, group_edges: int) -> DataFrame | None:
-    """``lo`` of every dropped box, from conflicts ``(hi, lo)`` of the better and the worse box."""
+def _dropped(edges: DataFrame, group_edges: int) -> DataFrame:
+    """``lo`` of every dropped box, from conflicts ``(scope, hi, lo)`` of the better and the worse box."""
     parts = []
-    while not edges.isEmpty():
-        small, large = _by_size(edges, "hi", "lo", group_edges)
-        parts.append(written(small.groupBy("component").applyInPandas(_walked, "lo long"), "dropped"))
-        edges = large.select("hi", "lo")
+    while True:
+        small, large = _by_size(edges, group_edges)
+        parts.append(written(small.groupBy("scope", "component").applyInPandas(_walked, "lo long"), "dropped"))
+        edges = large.select("scope", "hi", "lo")
         for _ in range(ROUNDS):
+            if edges.isEmpty():
+                return reduce(DataFrame.unionByName, parts)
             heads = edges.join(edges.select(F.col("lo").alias("hi")).distinct(), "hi", "left_anti")
             out = written(heads.select("lo").distinct(), "dropped")
             parts.append(out)
-            edges = written(edges.join(out, "lo", "left_anti").join(out.withColumnRenamed("lo", "hi"), "hi", "left_anti"), "conflicts")
-            if edges.isEmpty():
-                break
-    return reduce(DataFrame.unionByName, parts) if parts else None
+            edges = written(edges.join(out, "lo", "left_anti").join(out.withColumnRenamed("lo", "hi"), "hi", "left_anti"), "conflicts").select("scope", "hi", "lo")
 
 
 def _shape(rows: list, flat: bool) -> Region | Cells:
@@ -201,26 +209,24 @@ def ioa_disambiguated(preds: DataFrame, threshold: float = 0.5, keep_ratio: floa
     more than ``keep_ratio`` of it.
 
     Pieces are disjoint boxes; or, with ``flat`` naming polygon coordinates, rings (holes clockwise).
-    Only shapes whose boxes meet matter. Connected components of up to ``group_edges`` such pairs are
-    walked as a group each. Larger ones go by rounds: a shape without a better rival left is final; each of
+    Only shapes whose boxes meet matter. Scopes of up to ``group_edges`` such pairs, and of larger ones the connected
+    components of up to as many, are walked as a group each. Larger ones go by rounds: a shape without a better rival left is final; each of
     the others is cut, in a group of its own, by its final rivals up to the first one that isn't final, at most
     ``RIVALS`` a round; so every shape meets its rivals in the order of the sequential walk.
     """
     is_flat = flat is not None
     piece = F.col(flat) if is_flat else F.array(*[F.col(f"shape.{c}").cast("double") for c in ("minx", "miny", "maxx", "maxy")])
-    own = preds.where(B.area(F.col("shape")) > 0).select("pred_id", "shape", F.col("score").cast("double").alias("score"), F.array(piece).alias("pieces"), *([scope] if scope else []))
+    own = preds.where(B.area(F.col("shape")) > 0).select("pred_id", "shape", F.col("score").cast("double").alias("score"), F.array(piece).alias("pieces"), (F.col(scope) if scope else F.lit(0)).alias("scope"))
     if is_flat:
         own = own.withColumn("pieces", repaired_rings("pieces"))
     own = written(own, "predictions")
-    pairs = self_pairs(own, "pred_id", "shape", scope, cell).where("pred_id < other_pred_id")
-    ranks = own.select(F.col("pred_id").alias("id"), "score")
-    pairs = pairs.join(ranks.withColumnsRenamed({"id": "a", "score": "sa"}), F.col("pred_id") == F.col("a")).join(ranks.withColumnsRenamed({"id": "b", "score": "sb"}), F.col("other_pred_id") == F.col("b"))
-    first = _no_worse("sa", "sb")
-    edges = written(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("lo"), F.when(first, F.col("sa")).otherwise(F.col("sb")).alias("hi_score")), "meeting")
-    small, large = _by_size(edges, "hi", "lo", group_edges)
+    carried = own.select("pred_id", "shape", F.col("score").alias("s"), "scope")
+    pairs = self_pairs(carried, "pred_id", "shape", "scope", cell, carry=("s", "scope")).where("pred_id < other_pred_id")
+    edges = written(_directed(pairs), "meeting")
+    small, large = _by_size(edges, group_edges)
     options = {"threshold": threshold, "keep_ratio": keep_ratio, "flat": is_flat}
     shapes = own.select("pred_id", F.coalesce("score", F.lit(float("-inf"))).alias("score"), "pieces")
-    nodes = lambda e: e.select(F.col("component").alias("of_component"), F.explode(F.array("hi", "lo")).alias("node")).distinct()
+    nodes = lambda e: e.select(F.col("scope").alias("of_scope"), F.col("component").alias("of_component"), F.explode(F.array("hi", "lo")).alias("node")).distinct()
 
     def walk(group: pd.DataFrame, among: pd.DataFrame) -> pd.DataFrame:
         return _walked_cuts(group, among, **options)
@@ -229,7 +235,7 @@ def ioa_disambiguated(preds: DataFrame, threshold: float = 0.5, keep_ratio: floa
         return _cut_by_finals(key, group, rivals, **options) if len(group) else group
 
     inside = nodes(small)
-    walked = shapes.join(inside, F.col("pred_id") == F.col("node")).select("of_component", *shapes.columns).groupBy("of_component").cogroup(small.groupBy("component")).applyInPandas(walk, _CUT)
+    walked = shapes.join(inside, F.col("pred_id") == F.col("node")).select("of_scope", "of_component", *shapes.columns).groupBy("of_scope", "of_component").cogroup(small.groupBy("scope", "component")).applyInPandas(walk, _CUT)
     met = nodes(small).select("node").union(nodes(large).select("node"))
     kept = [shapes.join(met, F.col("pred_id") == F.col("node"), "left_anti"), walked]
     rest = written(large.select("hi", "lo", F.coalesce("hi_score", F.lit(float("-inf"))).alias("hi_score")), "rest")

@@ -41,13 +41,13 @@ def cell_join(
     return a.join(b, on & once & predicate(x, y)).drop("cell_x", "cell_y", "other_x", "other_y")
 
 
-def self_pairs(df: DataFrame, key: str, box: str, scope: str | None = None, cell: float = 128.0, predicate: Callable[[Column, Column], Column] = B.overlaps) -> DataFrame:
-    """``(key, other_key, box, other_box)`` of ordered pairs of different rows that meet."""
-    columns = [key, box, *([scope] if scope else [])]
+def self_pairs(df: DataFrame, key: str, box: str, scope: str | None = None, cell: float = 128.0, predicate: Callable[[Column, Column], Column] = B.overlaps, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, other_key, box, other_box)`` of ordered pairs of different rows that meet; the columns ``carry`` come along in the same way."""
+    columns = list(dict.fromkeys([key, box, *([scope] if scope else []), *carry]))
     left = df.select(*columns)
     right = df.select(*[F.col(c).alias(f"other_{c}") for c in columns])
     pairs = cell_join(left, right, box, f"other_{box}", [(scope, f"other_{scope}")] if scope else None, cell, predicate)
-    return pairs.where(F.col(key) != F.col(f"other_{key}")).select(key, f"other_{key}", box, f"other_{box}")
+    return pairs.where(F.col(key) != F.col(f"other_{key}")).select(*[n for c in dict.fromkeys((key, box, *carry)) for n in (c, f"other_{c}")])
 
 
 def contained_points(points: DataFrame, boxes: DataFrame, x: str, y: str, box: str, scope: list[tuple[str, str]] | None = None, cell: float = 128.0) -> DataFrame:

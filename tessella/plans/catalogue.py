@@ -129,12 +129,29 @@ def _ends(t: str, notch: bool = False) -> tuple[str, str, str, str]:
     return (*first, f"{t}.x1", f"{t}.y1")
 
 
+def _box_common(a: str, b: str) -> str:
+    return _common(_ends(a), _ends(b))
+
+
+def _box_area(t: str) -> str:
+    return f"(({t}.x1 - {t}.x0) * ({t}.y1 - {t}.y0))"
+
+
+def _notched_common(a: str, b: str) -> str:
+    """SQL of the common area of two boxes without their quarter of highest x and y."""
+    part = lambda m, n: _common(_ends(a, m), _ends(b, n))
+    return f"({part(False, False)} - {part(True, False)} - {part(False, True)} + {part(True, True)})"
+
+
+def _notched_area(t: str) -> str:
+    return f"({_common(_ends(t), _ends(t))} - {_common(_ends(t, True), _ends(t, True))})"
+
+
 _TILE_ENDS = ("t.col", "t.row", f"(t.col + {T.SIZE})", f"(t.row + {T.SIZE})")
-_NOTCHED_AREA = f"({_common(_ends('l'), _ends('l'))} - {_common(_ends('l', True), _ends('l', True))})"
 
 
 @query(f"""SELECT raster_id, CAST(tile_id AS BIGINT) AS tile_id, label_id, round(CAST(common AS DOUBLE), 6) AS common_area FROM (
-  SELECT t.raster_id, tile_id, label_id, {_common(_TILE_ENDS, _ends("l"))} - {_common(_TILE_ENDS, _ends("l", True))} AS common, {_NOTCHED_AREA} AS whole
+  SELECT t.raster_id, tile_id, label_id, {_common(_TILE_ENDS, _ends("l"))} - {_common(_TILE_ENDS, _ends("l", True))} AS common, {_notched_area("l")} AS whole
   FROM tiles AS t JOIN labels AS l ON t.raster_id = l.raster_id AND x0 < col + {T.SIZE} AND col < x1 AND y0 < row + {T.SIZE} AND row < y1) WHERE 10 * common > 4 * whole""")
 def tile_notched_overlap(spark, d):
     own = _notched_table(T.labels(spark, d).select("raster_id", "label_id", "shape"))
@@ -270,16 +287,16 @@ def score_threshold(spark, d):
     return nms.over_threshold(T.predictions(spark, d), 0.1).select("pred_id")
 
 
-def _walk_sql(source: str, num: int, den: int) -> str:
+def _walk_sql(source: str, num: int, den: int, common=_box_common, area=_box_area) -> str:
     """The sequential greedy walk over ``source(raster_id, id, x0, y0, x1, y1, score)``."""
-    common = "greatest(least(k.x1, r.x1) - greatest(k.x0, r.x0), 0) * greatest(least(k.y1, r.y1) - greatest(k.y0, r.y0), 0)"
+    met = common("k", "r")
     return f"""WITH RECURSIVE {T.SQL},
 source AS ({source}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY raster_id ORDER BY score DESC, id) AS rk FROM source),
 walk AS (
   SELECT raster_id, CAST(0 AS BIGINT) AS rk, CAST([] AS STRUCT(id BIGINT, x0 BIGINT, y0 BIGINT, x1 BIGINT, y1 BIGINT)[]) AS kept FROM rasters
   UNION ALL
-  SELECT r.raster_id, r.rk, CASE WHEN len(list_filter(kept, lambda k: {den} * {common} > {num} * ((k.x1 - k.x0) * (k.y1 - k.y0) + (r.x1 - r.x0) * (r.y1 - r.y0) - {common}))) > 0 THEN kept
+  SELECT r.raster_id, r.rk, CASE WHEN len(list_filter(kept, lambda k: {den} * {met} > {num} * ({area("k")} + {area("r")} - {met}))) > 0 THEN kept
     ELSE list_append(kept, {{'id': r.id, 'x0': r.x0, 'y0': r.y0, 'x1': r.x1, 'y1': r.y1}}) END
   FROM walk AS w JOIN ranked AS r ON r.raster_id = w.raster_id AND r.rk = w.rk + 1),
 kept AS (SELECT raster_id, unnest(kept).id AS pred_id FROM walk WHERE (raster_id, rk) IN (SELECT (raster_id, max(rk)) FROM walk GROUP BY raster_id))
@@ -291,6 +308,12 @@ def nms_iou(spark, d):
     return nms.greedy_nms(T.predictions(spark, d), 3, 10, "raster_id").select("pred_id")
 
 
+@query(_walk_sql("SELECT raster_id, label_id AS id, x0, y0, x1, y1, score FROM labels", 3, 10, _notched_common, _notched_area) + "SELECT pred_id FROM kept")
+def nms_notched(spark, d):
+    own = _notched_table(T.predictions(spark, d).select("pred_id", "raster_id", "shape", "score"))
+    return nms.greedy_nms(own, 3, 10, "raster_id", flat="flat").select("pred_id")
+
+
 _BLEND = "pow(coalesce(s1, 0), 0.25) * pow(coalesce(s2, 0), 0.75)"
 
 
@@ -344,6 +367,15 @@ def match_polygons(spark, d):
     return match.polygon_matches(preds, truth, 0.6, "raster_id").select("pred_id", "truth_id", _round("iou").alias("iou"))
 
 
+@query(f"""SELECT pred_id, truth_id, round(CAST(c AS DOUBLE) / u, 12) AS iou FROM (
+  SELECT label_id AS pred_id, truth_id, {_notched_common("l", "t")} AS c, {_notched_area("l")} + {_notched_area("t")} - {_notched_common("l", "t")} AS u
+  FROM labels AS l JOIN truth AS t ON l.raster_id = t.raster_id AND l.x0 < t.x1 AND t.x0 < l.x1 AND l.y0 < t.y1 AND t.y0 < l.y1) WHERE 10 * c > 4 * u""")
+def match_notched(spark, d):
+    preds = _notched_table(T.predictions(spark, d).select("pred_id", "raster_id", "shape"))
+    truth = _notched_table(T.truth(spark, d).select("truth_id", "raster_id", "shape"))
+    return match.polygon_matches(preds, truth, 0.4, "raster_id").select("pred_id", "truth_id", _round("iou", 12).alias("iou"))
+
+
 @query(f"""SELECT label_id, point_id FROM labels AS l JOIN points AS p ON l.raster_id = p.raster_id AND x > x0 AND x < x1 AND y > y0 AND y < y1
   WHERE NOT (x > {_ends("l", True)[0]} AND y > {_ends("l", True)[1]})""")
 def points_in_notched(spark, d):
