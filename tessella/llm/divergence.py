@@ -37,7 +37,8 @@ def _let(value: Column, then) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` in order."""
-    return F.filter(F.split(text, _SPACE), lambda w: w != "")
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _SPACE))
 
 
 def _tail(items: Column) -> Column:
