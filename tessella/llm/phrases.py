@@ -37,7 +37,8 @@ LEAST, TOP, COVERED = 30, 2000, 80
 WORDS_PER_SLOT, LEAST_BITS, MOST_BITS = 32, 14, 26
 SLICE = 1 << 20  # of a sketch, in slots
 BLOCK_KEYS, GROUP_ROWS = 1 << 19, 1 << 20
-CHUNK_WORDS = 1 << 20  # held by a mapper before it combines
+CHUNK_WORDS = 1 << 20  # words that a mapper looks at together
+HELD_ROWS = 1 << 20  # phrases that a mapper puts together before they move
 _MEMO_WORDS, _MEMO_BYTES, _SLICE_BYTES = 300_000, 64, 1 << 20
 
 #: A-Z to a-z, what ends a piece to a line feed, tabs to blanks.
@@ -273,19 +274,52 @@ def _sketch_phrases(batches: Iterator[pa.RecordBatch], shared, seed: int, bits:
         yield _leaf_batch(level, total)
 
 
+class _Held:
+    """Phrases of one length and how often a task has met them; equal ones are put together whenever their rows have doubled."""
+
+    def __init__(self):
+        self.parts: list[list[np.ndarray]] = []  # of the keys of each word, and the times
+        self.rows = self.combined = 0
+
+    def add(self, own: list[np.ndarray]) -> None:
+        self.parts.append([*own, np.ones(len(own[0]), np.int64)])
+        self.rows += len(own[0])
+        if self.rows > 2 * self.combined + HELD_ROWS // 4:
+            self.combine()
+
+    def combine(self) -> list[np.ndarray]:
+        *own, times = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort(own)
+        own = [x[order] for x in own]
+        first = np.flatnonzero(np.r_[np.ones(min(1, len(order)), bool), np.any([x[1:] != x[:-1] for x in own], axis=0)])
+        out = [*(x[first] for x in own), np.add.reduceat(times[order], first) if len(first) else times]
+        self.parts, self.rows, self.combined = [out], len(first), len(first)
+        return out
+
+
 def _occurrence_batches(batches: Iterator[pa.RecordBatch], shared, seed: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Candidates that a task has met, with their times; the keys of shorter phrases end in zeros. ``salt`` differs between the rows of a phrase."""
     maps = _unpack_maps(shared.value)
-    for chunk, keys in enumerate(_streams(batches, seed)):
-        for own, slots in _phrases(keys, maps, bits, WORDS):
-            # equal phrases of a chunk count once, with their number
-            order = np.lexsort([*own[::-1], slots])
-            own = [x[order] for x in own]
-            first = np.flatnonzero(np.r_[np.ones(min(1, len(order)), bool), np.any([x[1:] != x[:-1] for x in own], axis=0)])
-            own = [x[first].view(np.int64) for x in own] + [np.zeros(len(first), np.int64)] * (WORDS - len(own))
-            times = np.diff(np.r_[first, len(order)])
-            salt = np.full(len(first), TaskContext.get().partitionId() * 1_000_003 + chunk, np.int64)
-            for i in range(0, len(first), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (*own, times.astype(np.int64), salt)], [*_KEYS, "n", "salt"])
+    held = [_Held() for _ in range(WORDS - 1)]
+    turn = 0
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        nonlocal turn
+        for k, one in enumerate(held, 2):
+            *own, times = one.combine() if one.parts else [np.empty(0, np.int64)] * (k + 1)
+            own = [x.view(np.int64) for x in own] + [np.zeros(len(times), np.int64)] * (WORDS - k)
+            salt = np.full(len(times), TaskContext.get().partitionId() * 1_000_003 + turn, np.int64)
+            for i in range(0, len(times), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (*own, times, salt)], [*_KEYS, "n", "salt"])
+            held[k - 2] = _Held()
+        turn += 1
+
+    for keys in _streams(batches, seed):
+        for one, (own, _) in zip(held, _phrases(keys, maps, bits, WORDS), strict=True):
+            one.add(own)
+        if sum(one.combined for one in held) > HELD_ROWS:
+            yield from flushed()
+    yield from flushed()
 
 
 def _maps_of(leaves: DataFrame, levels: int, bits: int, least: int) -> list[bytes]:
@@ -490,8 +524,7 @@ def mined(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least
     singles = frequent.select(F.col("key").alias("k1"), *[zero.alias(k) for k in _KEYS[1:]], "n", zero.alias("salt"))
     occurrences = written(phrases, "occurrences").unionByName(singles)
     shared.destroy()
-    n_keys = occurrences.select(*_KEYS).distinct().count()
-    blocks = -(-n_keys // block_keys) or 1
+    blocks = -(-occurrences.count() // block_keys) or 1  # no more keys than rows
     scored = scored_phrases(phrase_index(occurrences, blocks), blocks, least)
 
     names = frequent.select("key", "lang", F.col("word").cast("string").alias("word"))

@@ -27,7 +27,10 @@ def frame(spark, rows, parts=3):
 
 @pytest.mark.parametrize("block_keys", [phrases.BLOCK_KEYS, 5])
 def test_matches_sql(spark, block_keys, monkeypatch):
-    monkeypatch.setattr(phrases, "GROUP_ROWS", 20)  # several slices of a block
+    if block_keys == 5:
+        monkeypatch.setattr(phrases, "GROUP_ROWS", 20)  # several slices of a block
+        monkeypatch.setattr(phrases, "HELD_ROWS", 8)
+        monkeypatch.setattr(phrases, "CHUNK_WORDS", 50)
     df = frame(spark, data())
     assert same(phrases.mined(df, block_keys=block_keys), oracles.PHRASES, tables={"documents": df.toPandas()}) > 10
 
