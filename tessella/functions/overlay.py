@@ -18,6 +18,7 @@ from tessella.functions.kernels import ring_area
 from tessella.functions.slabs import pair_areas
 
 Rings = list[np.ndarray]
+_MATRIX = 1 << 18  # pairs of edges and ends that are compared at once
 
 
 def _edges(rings: Rings) -> np.ndarray:
@@ -40,28 +41,37 @@ def inside(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 def _split(edges: np.ndarray, grain: float) -> np.ndarray:
     """Edges cut at every meeting with another, ends snapped to the grain, each piece once."""
-    pieces = set()
     d = edges[:, 1] - edges[:, 0]
-    for p, v in zip(edges[:, 0], d, strict=True):
-        length = float(v @ v)
-        if not length:
-            continue
-        w = edges[:, 0] - p
-        cross = v[0] * d[:, 1] - v[1] * d[:, 0]
+    length = (d * d).sum(axis=1)
+    edges, d, length = edges[length > 0], d[length > 0], length[length > 0]
+    n = len(edges)
+    owners, cuts = [np.arange(n), np.arange(n)], [np.zeros(n), np.ones(n)]
+    ends = edges.reshape(-1, 2)
+    for a in range(0, n, step := max(1, _MATRIX // max(1, 2 * n))):
+        p, v, size = edges[a : a + step, :1], d[a : a + step, None], length[a : a + step, None]
+        w = edges[None, :, 0] - p
+        cross = v[..., 0] * d[:, 1] - v[..., 1] * d[:, 0]
         with np.errstate(divide="ignore", invalid="ignore"):
-            t = (w[:, 0] * d[:, 1] - w[:, 1] * d[:, 0]) / cross
-            s = (w[:, 0] * v[1] - w[:, 1] * v[0]) / cross
-        crossing = (np.abs(cross) > 1e-12 * length) & (s >= -1e-9) & (s <= 1 + 1e-9) & (t > 0) & (t < 1)
+            t = (w[..., 0] * d[:, 1] - w[..., 1] * d[:, 0]) / cross
+            s = (w[..., 0] * v[..., 1] - w[..., 1] * v[..., 0]) / cross
+        crossing = (np.abs(cross) > 1e-12 * size) & (s >= -1e-9) & (s <= 1 + 1e-9) & (t > 0) & (t < 1)
         # ends of other edges that lie on this one, which covers edges along it
-        ends = edges.reshape(-1, 2) - p
-        along = ends @ v / length
-        near = (np.abs(ends[:, 0] * v[1] - ends[:, 1] * v[0]) <= grain * length**0.5) & (along > 0) & (along < 1)
-        cuts = np.unique(np.concatenate([[0.0, 1.0], t[crossing], along[near]]))
-        ring = np.rint((p + cuts[:, None] * v) / grain).astype(np.int64)
-        for a, b in zip(ring[:-1].tolist(), ring[1:].tolist(), strict=True):
-            if a != b:
-                pieces.add(tuple(sorted((tuple(a), tuple(b)))))
-    return np.array(sorted(pieces), float) * grain if pieces else np.empty((0, 2, 2))
+        off = ends - p
+        along = (off * v).sum(axis=2) / size
+        near = (np.abs(off[..., 0] * v[..., 1] - off[..., 1] * v[..., 0]) <= grain * np.sqrt(size)) & (along > 0) & (along < 1)
+        for found, at in ((crossing, t), (near, along)):
+            i, _ = np.nonzero(found)
+            owners.append(i + a)
+            cuts.append(at[found])
+    owner, cut = np.concatenate(owners), np.concatenate(cuts)
+    order = np.lexsort([cut, owner])
+    owner, cut = owner[order], cut[order]
+    points = np.rint((edges[owner, 0] + cut[:, None] * d[owner]) / grain).astype(np.int64)
+    pieces = np.concatenate([points[:-1], points[1:]], axis=1)[owner[1:] == owner[:-1]]
+    turned = (pieces[:, 0] > pieces[:, 2]) | ((pieces[:, 0] == pieces[:, 2]) & (pieces[:, 1] > pieces[:, 3]))
+    pieces[turned] = pieces[turned][:, [2, 3, 0, 1]]
+    pieces = pieces[(pieces[:, :2] != pieces[:, 2:]).any(axis=1)]
+    return np.unique(pieces, axis=0).astype(float).reshape(-1, 2, 2) * grain
 
 
 def _walk(edges: np.ndarray, grain: float) -> Rings:
@@ -93,25 +103,36 @@ def _walk(edges: np.ndarray, grain: float) -> Rings:
     return rings
 
 
-def overlay(a: Rings, b: Rings, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Rings:
-    """Rings of the points for which ``keep(in a, in b)`` holds."""
-    ea, eb = _edges(a), _edges(b)
-    every = np.concatenate([ea, eb])
+def combined(parts: list[Rings], keep: Callable[[list[np.ndarray]], np.ndarray], grain: float | None = None) -> Rings:
+    """Rings of the points for which ``keep([in parts[0], in parts[1], ...])`` holds; corners are multiples of ``grain``."""
+    own = [_edges(p) for p in parts]
+    every = np.concatenate([np.empty((0, 2, 2)), *own])
     if not len(every):
         return []
-    extent = float(np.ptp(every.reshape(-1, 2), axis=0).max())
-    grain = 2.0 ** np.floor(np.log2(max(extent, 1e-300) * 1e-9))
+    if grain is None:
+        extent = float(np.ptp(every.reshape(-1, 2), axis=0).max())
+        grain = 2.0 ** np.floor(np.log2(max(extent, 1e-300) * 1e-9))
     pieces = _split(every, grain)
     if not len(pieces):
         return []
     d = pieces[:, 1] - pieces[:, 0]
     normal = np.stack([-d[:, 1], d[:, 0]], axis=1) / np.hypot(*d.T)[:, None]
     middle, step = pieces.mean(axis=1), 8 * grain
-    sides = [keep(inside(middle + k * step * normal, ea), inside(middle + k * step * normal, eb)) for k in (1, -1)]
+    sides = [keep([inside(middle + k * step * normal, e) for e in own]) for k in (1, -1)]
     bounds = np.concatenate([pieces[sides[0] & ~sides[1]], pieces[sides[1] & ~sides[0]][:, ::-1]])
     return _walk(bounds, grain)
 
 
+def overlay(a: Rings, b: Rings, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Rings:
+    """Rings of the points for which ``keep(in a, in b)`` holds."""
+    return combined([a, b], lambda sides: keep(*sides))
+
+
+def united(parts: list[Rings], grain: float | None = None) -> Rings:
+    """The union of any number of regions."""
+    return combined(parts, lambda sides: np.logical_or.reduce(sides), grain)
+
+
 def intersection(a: Rings, b: Rings) -> Rings:
     return overlay(a, b, lambda x, y: x & y)
 

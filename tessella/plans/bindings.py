@@ -72,6 +72,13 @@ def extents(spark: SparkSession, d: str) -> DataFrame:
     return rasters(spark, d).select(F.col("raster_id").alias("tile_id"), B.box(zero, zero, "w", "h").alias("extent"))
 
 
+def mixed_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes on one ground of 100,000 by 80,000, from a pixel to 16,384 wide."""
+    k = F.col("event_id")
+    x, y, side = (k * 7919) % 100_000, (k * 6101) % 80_000, F.call_function("shiftleft", F.lit(1).cast("long"), (k % 15).cast("int"))
+    return table(spark, d, "events").select(k.alias("box_id"), B.box(x, y, x + side, y + side + k % 3).alias("shape"))
+
+
 def cloud_points(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     return table(spark, d, "orders").select(k.alias("point_id"), ((k * 31) % 1000).alias("x"), ((k * 17) % 900).alias("y"), (k % 5).alias("z"), F.col("o_totalprice").alias("price"))
@@ -96,6 +103,9 @@ tiles AS (
 features AS (
   SELECT raster_id, r_name AS aoi, n_nationkey // 5 * 160 + 5 AS a0, n_nationkey % 5 * 20 AS b0, n_nationkey // 5 * 160 + 155 AS a1, n_nationkey % 5 * 20 + 300 AS b1
   FROM rasters JOIN nation ON raster_id % 5 = n_nationkey % 5 JOIN region ON r_regionkey = n_nationkey // 5 % 3),
+mixed AS (
+  SELECT event_id AS box_id, (event_id * 7919) % 100000 AS x0, (event_id * 6101) % 80000 AS y0, (event_id * 7919) % 100000 + (1 << (event_id % 15)) AS x1, (event_id * 6101) % 80000 + (1 << (event_id % 15)) + event_id % 3 AS y1
+  FROM events),
 cloud AS (SELECT o_orderkey AS point_id, (o_orderkey * 31) % 1000 AS x, (o_orderkey * 17) % 900 AS y, o_orderkey % 5 AS z, o_totalprice AS price FROM orders),
 pairs AS (
   SELECT t.raster_id, t.tile_id, t.row, t.col, label_id, x0, y0, x1, y1, greatest(x0, col) AS c0, greatest(y0, row) AS d0, least(x1, col + {SIZE}) AS c1, least(y1, row + {SIZE}) AS d1

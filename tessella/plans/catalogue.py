@@ -14,8 +14,8 @@ from tessella.functions import pixels as X
 from tessella.functions import polygon as P
 from tessella.functions import rle as R
 from tessella.functions.kernels import polygon_runs
-from tessella.operators import aoi, cloud, coco, coords, datasets, grid, labels, match, nms, raster, taxonomy
-from tessella.operators.spatial import contained_points
+from tessella.operators import aoi, cloud, coco, coords, datasets, dissolve, grid, labels, match, nms, raster, taxonomy
+from tessella.operators.spatial import contained_points, quad_join
 from tessella.plans import bindings as T
 from tessella.session import table, written
 
@@ -345,6 +345,33 @@ def nms_ioa_polygons(spark, d):
     return nms.ioa_disambiguated(own, 0.5, 0.5, "raster_id", flat="flat").select("pred_id", _round("area").alias("area"))
 
 
+@query("""SELECT a.box_id, count(*) AS n_met, CAST(sum((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) AS BIGINT) AS common_area
+  FROM mixed AS a JOIN mixed AS b ON a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 AND a.box_id <> b.box_id GROUP BY a.box_id""")
+def mixed_size_overlap(spark, d):
+    own = written(T.mixed_boxes(spark, d), "mixed_boxes")
+    other = own.withColumnsRenamed({"box_id": "other_id", "shape": "other_shape"})
+    pairs = quad_join(own, other, "shape", "other_shape").where("box_id <> other_id")
+    common = B.intersection_area(F.col("shape"), F.col("other_shape"))
+    return pairs.groupBy("box_id").agg(F.count(F.lit(1)).alias("n_met"), F.sum(common).cast("long").alias("common_area"))
+
+
+_NOTCHED_PIXELS = f"""pixels AS (
+  SELECT DISTINCT l.raster_id, x, y FROM labels AS l, unnest(range(l.x0, l.x1)) AS a(x), unnest(range(l.y0, l.y1)) AS b(y)
+  WHERE NOT (x >= {_ends("l", True)[0]} AND y >= {_ends("l", True)[1]}))"""
+
+
+@query(f"""WITH {T.SQL}, {_NOTCHED_PIXELS},
+sides AS (SELECT raster_id, x + dx AS x, y + dy AS y FROM pixels, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dx, dy)),
+border AS (SELECT s.raster_id, count(*) AS n FROM sides AS s ANTI JOIN pixels AS p ON s.raster_id = p.raster_id AND s.x = p.x AND s.y = p.y GROUP BY s.raster_id)
+SELECT raster_id, CAST(count(*) AS DOUBLE) AS area, CAST(any_value(n) AS DOUBLE) AS border FROM pixels JOIN border USING (raster_id) GROUP BY raster_id""")
+def union_outline(spark, d):
+    own = _notched_table(T.labels(spark, d).select("raster_id", "shape")).select("raster_id", F.array("flat").alias("rings"))
+    out = dissolve.union_rings(own, "raster_id", "rings", 64.0)
+    after = F.concat(F.slice("ring", F.lit(3), F.size("ring") - 2), F.slice("ring", 1, 2))
+    length = F.aggregate(F.zip_with("ring", after, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
+    return out.groupBy("raster_id").agg(_round(F.sum("area")).alias("area"), _round(F.sum(length)).alias("border"))
+
+
 # ---- matching
 
 _IOU = "greatest(least(l.x1, t.x1) - greatest(l.x0, t.x0), 0) * greatest(least(l.y1, t.y1) - greatest(l.y0, t.y0), 0)"
