@@ -67,6 +67,11 @@ class SuffixAutomaton:
                 v = self.next[v][t]
             self.short.setdefault(v, []).append((len(ids), item))
         self.least = min([window, *(len(ids) for ids, _ in short)])
+        # shortcuts over the links: to the shortest runs of a window or more, and to the nearest whole short items
+        self.whole, self.nearest = [0] * len(self.link), [0] * len(self.link)
+        for v in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            self.whole[v] = self.whole[self.link[v]] if self.length[self.link[v]] >= window else v
+            self.nearest[v] = v if v in self.short else self.nearest[self.link[v]]
 
     def _extend(self, last: int, t: int, ends: list[set]) -> int:
         def state(length, link, moves):
@@ -113,6 +118,7 @@ class SuffixAutomaton:
             spans.append((start, end))
 
         window, moves, link, length, short = self.window, self.next, self.link, self.length, self.short
+        ended = set()  # states whose items are found already
         for a, b in zip(known[::2].tolist(), known[1::2].tolist(), strict=True):
             if b - a < self.least:  # words outside the vocabulary end every match
                 continue
@@ -125,19 +131,19 @@ class SuffixAutomaton:
                 n = n + 1 if v else 0
                 if n >= window:
                     hit(i - window, i)
-                    w = v
-                    while length[link[w]] >= window:
-                        w = link[w]
-                    # runs of a window that end here, and those of longer runs, lie in items of w
-                    found.update(self.items[w])
-                if short:
-                    w = v
+                    # runs of a window that end here, and those of longer runs, lie in items of this state
+                    w = self.whole[v]
+                    if w not in ended:
+                        ended.add(w)
+                        found.update(self.items[w])
+                if short:  # at most one state for each length under a window
+                    w = self.nearest[v]
                     while w:
-                        for k, item in short.get(w, ()):
+                        for k, item in short[w]:
                             if k <= n:
                                 hit(i - k, i)
                                 found.add(item)
-                        w = link[w]
+                        w = self.nearest[link[w]]
         return spans, found
 
 

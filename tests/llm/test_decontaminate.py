@@ -140,3 +140,16 @@ def test_items_without_id_and_items_longer_than_a_block(spark):
         assert got == sorted(map(str, dc.contamination(d, b).collect()))
     once = d.where("doc_id > 1")
     same(dc.contamination(once, b), oracles.CONTAMINATION, tables={"documents": once.toPandas(), "benchmark": b.toPandas().astype({"item_id": "Int64"})})
+
+
+def test_repeated_words_take_linear_time():
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        own = dc.SuffixAutomaton([("a", [b"x"] * n), ("b", [b"x"] * 3)])
+        began = time.process_time()
+        spans, found = own.matches([b"x"] * n)
+        took.append(time.process_time() - began)
+        assert spans == [(0, n)] and found == {"a", "b"}
+    assert took[1] < 0.5 and took[1] < 12 * max(took[0], 0.005)
