@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import polygon as P
 from tessella.functions.kernels import clip_ring, ring_area
-from tessella.functions.overlay import Rings, united
+from tessella.functions.overlay import Rings, combined, united
 from tessella.functions.slabs import ring_edges
 from tessella.operators.components import connected_components
 from tessella.session import written
@@ -247,18 +247,60 @@ def _measured(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays(columns, [key, "ring", "area"])
 
 
+#: What stays of two regions, by membership in the first and in the second.
+OPERATIONS = {
+    "intersection": lambda a, b: a & b,
+    "difference": lambda a, b: a & ~b,
+    "symmetric_difference": lambda a, b: a ^ b,
+    "union": lambda a, b: a | b,
+}
+
+
+def set_cells(left: DataFrame, right: DataFrame, key: str, rings: str, operation: str, cell: float) -> DataFrame:
+    """``(key, cx, cy, rings)``: for each key the union of the left regions and that of the right ones, put together by OPERATIONS.
+
+    A key that stands on one side only meets an empty region. Both unions are made by cells; equal cells are joined.
+    """
+    cell, keep = _side(cell), OPERATIONS[operation]
+    kind = left.schema[key].dataType.simpleString()
+    one, two = union_cells(left, key, rings, cell), union_cells(right, key, rings, cell).withColumnsRenamed({"key": "k", "cx": "x", "cy": "y", "rings": "others"})
+    here = F.col("key").eqNullSafe(F.col("k")) & (F.col("cx") == F.col("x")) & (F.col("cy") == F.col("y"))
+    how = {"intersection": "inner", "difference": "left"}.get(operation, "full")
+    joined = one.join(two, here, how).select(F.when(F.col("cx").isNotNull(), F.col("key")).otherwise(F.col("k")).alias("key"), F.coalesce("cx", "x").alias("cx"), F.coalesce("cy", "y").alias("cy"), "rings", "others")
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            regions = [_flat(combined([_arrays(a or []), _arrays(b or [])], lambda sides: keep(*sides), cell / GRAINS)) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(regions, _RINGS)], ["key", "cx", "cy", "rings"])
+
+    return joined.mapInArrow(put_together, f"key {kind}, cx long, cy long, rings array<array<double>>").where(F.size("rings") > 0)
+
+
+def set_area(left: DataFrame, right: DataFrame, key: str, rings: str, operation: str, cell: float) -> DataFrame:
+    """``(key, area)`` of a set operation; keys of which nothing is left have no row."""
+    return set_cells(left, right, key, rings, operation, cell).groupBy(F.col("key").alias(key)).agg(F.sum(P.rings_area(F.col("rings"))).alias("area"))
+
+
+def set_rings(left: DataFrame, right: DataFrame, key: str, rings: str, operation: str, cell: float) -> DataFrame:
+    """As ``union_rings`` for a set operation."""
+    return _bounding_rings(set_cells(left, right, key, rings, operation, cell), key, _side(cell))
+
+
 def union_rings(shapes: DataFrame, key: str, rings: str, cell: float) -> DataFrame:
     """``(key, ring, area)``: the flat rings that bound the union of the regions of each key; holes have a negative area.
 
     Corners are rounded to a billionth of a cell. A null region, or one without area, adds nothing. Rings that touch
     in a point may come as one ring or as two. A ring over many cells is put together in one group: it is one row.
     """
-    cell = _side(cell)
-    kind = shapes.schema[key].dataType.simpleString()
+    return _bounding_rings(union_cells(shapes, key, rings, cell), key, _side(cell))
+
+
+def _bounding_rings(cells: DataFrame, key: str, cell: float) -> DataFrame:
+    """``(key, ring, area)`` of regions cut into cells."""
+    kind = cells.schema["key"].dataType.simpleString()
     where = f"key {kind}, cx long, cy long"
     ends = "x0 double, y0 double, x1 double, y1 double"
     chain = {"chain": pa.list_(pa.float64())}
-    cells = union_cells(shapes, key, rings, cell)
     edges = written(cells.mapInPandas(lambda frames: _cell_edges(frames, cell), f"{where}, axis int, line long, {ends}"), "cell_edges")
     n_edges = edges.count()
     inner = edges.where("axis = 2").select("key", "cx", "cy", *_ENDS)

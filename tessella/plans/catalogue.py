@@ -372,6 +372,20 @@ def union_outline(spark, d):
     return out.groupBy("raster_id").agg(_round(F.sum("area")).alias("area"), _round(F.sum(length)).alias("border"))
 
 
+@query(f"""WITH {T.SQL}, pixels AS (
+  SELECT DISTINCT l.raster_id, l.label_id % 2 AS side, x, y FROM labels AS l, unnest(range(l.x0, l.x1)) AS a(x), unnest(range(l.y0, l.y1)) AS b(y)
+  WHERE NOT (x >= {_ends("l", True)[0]} AND y >= {_ends("l", True)[1]})),
+sides AS (SELECT raster_id, x, y, bool_or(side = 0) AS a, bool_or(side = 1) AS b FROM pixels GROUP BY raster_id, x, y)
+SELECT raster_id, CAST(count(*) FILTER (a AND NOT b) AS DOUBLE) AS only_left, CAST(count(*) FILTER (a AND b) AS DOUBLE) AS common, CAST(count(*) FILTER (b AND NOT a) AS DOUBLE) AS only_right FROM sides GROUP BY raster_id""")
+def region_set_areas(spark, d):
+    own = _notched_table(T.labels(spark, d).select("raster_id", "label_id", "shape")).withColumn("rings", F.array("flat"))
+    sides = [own.where(F.col("label_id") % 2 == k).select("raster_id", "rings") for k in (0, 1)]
+    parts = {"only_left": (*sides, "difference"), "common": (*sides, "intersection"), "only_right": (*sides[::-1], "difference")}
+    areas = [dissolve.set_area(a, b, "raster_id", "rings", how, 64.0).select("raster_id", F.lit(name).alias("part"), "area") for name, (a, b, how) in parts.items()]
+    every = areas[0].unionByName(areas[1]).unionByName(areas[2]).groupBy("raster_id")
+    return every.agg(*[_round(F.coalesce(F.sum(F.when(F.col("part") == n, F.col("area"))), F.lit(0.0))).alias(n) for n in parts])
+
+
 # ---- matching
 
 _IOU = "greatest(least(l.x1, t.x1) - greatest(l.x0, t.x0), 0) * greatest(least(l.y1, t.y1) - greatest(l.y0, t.y0), 0)"
@@ -669,9 +683,16 @@ def polygon_tile(spark, d):
 # ---- point clouds
 
 
-@query("""SELECT CAST(i * 7 + j AS BIGINT) AS tile_id, j * 150.0e0 AS minx, i * 150.0e0 AS miny, j * 150.0e0 + 200 AS maxx FROM range(6) AS a(i), range(7) AS b(j)""")
+@query("""WITH clouds AS (
+  SELECT o_orderkey % 5 AS cloud_id, CAST(min((o_orderkey * 31) % 1000) AS DOUBLE) AS x0, CAST(min((o_orderkey * 17) % 900) AS DOUBLE) AS y0, CAST(max((o_orderkey * 31) % 1000) AS DOUBLE) AS x1, CAST(max((o_orderkey * 17) % 900) AS DOUBLE) AS y1
+  FROM orders GROUP BY ALL),
+counted AS (SELECT *, CAST(ceil((y1 - y0) / 150) AS BIGINT) AS n_rows, CAST(ceil((x1 - x0) / 150) AS BIGINT) AS n_cols FROM clouds)
+SELECT cloud_id, i * n_cols + j AS tile_id, x0 + j * 150 AS minx, y0 + i * 150 AS miny, x0 + j * 150 + 200 AS maxx
+FROM counted, unnest(range(0, n_rows)) AS a(i), unnest(range(0, n_cols)) AS b(j)""")
 def cloud_grid(spark, d):
-    return _cloud_tiles(spark).select(*_long("tile_id"), *[F.col(f"tile.{c}").alias(c) for c in ("minx", "miny", "maxx")])
+    own = T.cloud_points(spark, d).withColumn("cloud_id", F.col("point_id") % 5)
+    ends = [f(c).cast("double").alias(n) for f, c, n in ((F.min, "x", "minx"), (F.min, "y", "miny"), (F.max, "x", "maxx"), (F.max, "y", "maxy"))]
+    return grid.cloud_grid(own.groupBy("cloud_id").agg(*ends), 200.0, 0.25).select("cloud_id", *_long("tile_id"), *[F.col(f"tile.{c}").alias(c) for c in ("minx", "miny", "maxx")])
 
 
 def _cloud_tiles(spark) -> DataFrame:

@@ -71,3 +71,20 @@ def test_nothing(spark):
         assert dissolve.union_area(df, "k", "rings", 5.0).count() == dissolve.union_rings(df, "k", "rings", 5.0).count() == 0
     df = spark.createDataFrame([(None, [[0.0, 0.0, 1.0, 0.0, 1.0, 1.0]])], SCHEMA)
     assert [tuple(r) for r in dissolve.union_area(df, "k", "rings", 5.0).select("k", F.round("area", 9)).collect()] == [(None, 0.5)]
+
+
+@pytest.mark.parametrize("cell", [8.0, 64.0])
+def test_set_operations_equal_pixels(spark, cell):
+    r = random.Random(9)
+    sides = [[(r.choice("abc"[k : k + 2]), r.randrange(40), r.randrange(40), r.randrange(2, 20), r.randrange(2, 20)) for _ in range(30)] for k in (0, 1)]
+    frames = [spark.createDataFrame([(s[0], [ell(*s[1:])]) for s in side] + [(None, [ell(0, 0, 4, 4)])] * (1 - k), SCHEMA) for k, side in enumerate(sides)]
+    found = [{k: set().union(*(pixels(*s[1:]) for s in side if s[0] == k)) for k in "abc"} for side in sides]
+    found[0][None], found[1][None] = pixels(0, 0, 4, 4), set()
+    for name, op in (("intersection", set.__and__), ("difference", set.__sub__), ("symmetric_difference", set.__xor__), ("union", set.__or__)):
+        want = {k: op(found[0][k], found[1][k]) for k in ("a", "b", "c", None)}
+        assert dict(dissolve.set_area(*frames, "k", "rings", name, cell).collect()) == {k: len(v) for k, v in want.items() if v}
+        if name in ("difference", "intersection"):
+            rows = dissolve.set_rings(*frames, "k", "rings", name, cell).collect()
+            for k, v in want.items():
+                rings = [np.array(x.ring).reshape(-1, 2) for x in rows if x.k == k]
+                assert sum(np.abs(p - np.roll(p, -1, axis=0)).sum() for p in rings) == border(v)
