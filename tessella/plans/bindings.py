@@ -84,6 +84,15 @@ def cloud_points(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(k.alias("point_id"), ((k * 31) % 1000).alias("x"), ((k * 17) % 900).alias("y"), (k % 5).alias("z"), F.col("o_totalprice").alias("price"))
 
 
+def cloud_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes with a box as a hole, on the ground of the cloud, their sides between its points."""
+    k = F.col("s_suppkey")
+    x, y, w, h = (k * 73) % 900 + 0.5, (k * 59) % 800 + 0.5, 40 + k % 60, 40 + k % 50
+    square = lambda x0, y0, x1, y1: F.array(*[c.cast("double") for c in (x0, y0, x1, y0, x1, y1, x0, y1)])
+    rings = F.array(square(x, y, x + w, y + h), square(x + 10, y + 10, x + w - 10, y + h - 10))
+    return table(spark, d, "supplier").select(k.alias("label_id"), (k % 7).cast("string").alias("category"), rings.alias("rings"))
+
+
 #: The same tables for DuckDB.
 SQL = f"""rasters AS (SELECT s_suppkey AS raster_id, 600 + 100 * (s_suppkey % 5) AS w, 400 + 50 * (s_suppkey % 7) AS h FROM supplier),
 labels AS (
@@ -107,6 +116,9 @@ mixed AS (
   SELECT event_id AS box_id, (event_id * 7919) % 100000 AS x0, (event_id * 6101) % 80000 AS y0, (event_id * 7919) % 100000 + (1 << (event_id % 15)) AS x1, (event_id * 6101) % 80000 + (1 << (event_id % 15)) + event_id % 3 AS y1
   FROM events),
 cloud AS (SELECT o_orderkey AS point_id, (o_orderkey * 31) % 1000 AS x, (o_orderkey * 17) % 900 AS y, o_orderkey % 5 AS z, o_totalprice AS price FROM orders),
+regions AS (
+  SELECT s_suppkey AS label_id, CAST(s_suppkey % 7 AS VARCHAR) AS category, (s_suppkey * 73) % 900 + 0.5 AS x0, (s_suppkey * 59) % 800 + 0.5 AS y0,
+    (s_suppkey * 73) % 900 + 0.5 + 40 + s_suppkey % 60 AS x1, (s_suppkey * 59) % 800 + 0.5 + 40 + s_suppkey % 50 AS y1 FROM supplier),
 pairs AS (
   SELECT t.raster_id, t.tile_id, t.row, t.col, label_id, x0, y0, x1, y1, greatest(x0, col) AS c0, greatest(y0, row) AS d0, least(x1, col + {SIZE}) AS c1, least(y1, row + {SIZE}) AS d1
   FROM tiles AS t JOIN labels AS l ON t.raster_id = l.raster_id AND x0 < col + {SIZE} AND col < x1 AND y0 < row + {SIZE} AND row < y1),

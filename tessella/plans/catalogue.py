@@ -14,9 +14,10 @@ from tessella.functions import pixels as X
 from tessella.functions import polygon as P
 from tessella.functions import rle as R
 from tessella.functions.kernels import polygon_runs
-from tessella.operators import aoi, cloud, coco, coords, datasets, dissolve, grid, labels, match, nms, raster, taxonomy
+from tessella.operators import aoi, cloud, coco, coords, datasets, dissolve, grid, labels, locate, match, nms, raster, taxonomy
 from tessella.operators.spatial import contained_points, quad_join
 from tessella.plans import bindings as T
+from tessella.plans import pipelines
 from tessella.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -753,3 +754,22 @@ def name_parse(spark, d):
     fields = N.parse_tile_name(F.col("name"))
     out = tile_names(spark, d).select("raster_id", *[fields[f].alias(f) for f in ("product", "aoi", "col", "row", "tile_id", "scale_factor")])
     return out.select("raster_id", "product", "aoi", *_long("col", "row", "tile_id"), "scale_factor")
+
+
+_IN_REGION = "x > x0 AND x < x1 AND y > y0 AND y < y1 AND NOT (x > x0 + 10 AND x < x1 - 10 AND y > y0 + 10 AND y < y1 - 10)"
+
+
+@query(f"SELECT point_id, label_id AS region_id FROM cloud JOIN regions ON {_IN_REGION}")
+def points_in_holed(spark, d):
+    return locate.located(T.cloud_points(spark, d), T.cloud_regions(spark, d))
+
+
+@query(f"""WITH {T.SQL},
+named AS (SELECT point_id, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z, min(label_id) AS label_id FROM (SELECT c.*, label_id FROM cloud AS c LEFT JOIN regions ON {_IN_REGION}) GROUP BY point_id),
+once AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY x, y, z ORDER BY point_id) = 1)
+SELECT CAST(i * 7 + j AS BIGINT) AS tile_id, category, count(*) AS n_points, count(DISTINCT label_id) AS n_labels
+FROM range(6) AS a(i), range(7) AS b(j), once LEFT JOIN regions USING (label_id) WHERE x BETWEEN j * 150 AND j * 150 + 200 AND y BETWEEN i * 150 AND i * 150 + 200 GROUP BY ALL""")
+def cloud_labelled_tiles(spark, d):
+    clouds = spark.range(1).select(F.lit(0).alias("cloud_id"), *[F.lit(v).alias(n) for v, n in ((0.0, "minx"), (0.0, "miny"), (1000.0, "maxx"), (900.0, "maxy"))])
+    own = pipelines.cloud_tiles(T.cloud_points(spark, d), clouds, 200.0, 0.25, regions=T.cloud_regions(spark, d))
+    return own.groupBy("tile_id", "category").agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct("label_id").alias("n_labels")).select(*_long("tile_id"), "category", "n_points", "n_labels")

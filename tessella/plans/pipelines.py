@@ -15,7 +15,7 @@ from tessella.functions import names as N
 from tessella.functions import polygon as P
 from tessella.functions.kernels import runs_polygon
 from tessella.operators import aoi as A
-from tessella.operators import cloud, coco, grid, labels, nms, raster
+from tessella.operators import cloud, coco, grid, labels, locate, nms, raster
 from tessella.operators.coords import extents, to_coordinates
 from tessella.session import written
 from tessella.sources.coco_files import check_document, read_coco, segmentation_shape, write_coco
@@ -180,13 +180,19 @@ def _pixel(tiles: DataFrame) -> float:
     return first[0] if first and first[0] else 1.0
 
 
-def cloud_tiles(points: DataFrame, clouds: DataFrame, side: float, overlap: float = 0.0, areas: DataFrame | None = None, voxel: float | None = None, most: int = 5_000, force: bool = False) -> DataFrame:
-    """Distinct (or voxel-averaged) points with their tiles and areas ``areas(aoi, area)``; points outside of theirs go."""
+def cloud_tiles(points: DataFrame, clouds: DataFrame, side: float, overlap: float = 0.0, areas: DataFrame | None = None, voxel: float | None = None, most: int = 5_000, force: bool = False, regions: DataFrame | None = None) -> DataFrame:
+    """Distinct (or voxel-averaged) points with their tiles and areas ``areas(aoi, area)``; points outside of theirs go.
+
+    With ``regions(label_id, category, rings)`` each point also gets the label that it lies in.
+    """
     own = grid.within_limit(grid.cloud_grid(clouds, side, overlap), most, force)
     if voxel:
         thin = cloud.voxels(points, voxel, ["x", "y", "z"])
         points = thin.select(F.xxhash64("vx", "vy", "vz").alias("point_id"), "x", "y", "z")
-    dealt = cloud.tile_points(cloud.distinct_points(points), own, side)
+    points = cloud.distinct_points(points)
+    if regions is not None:
+        points = locate.labelled(points, regions)
+    dealt = cloud.tile_points(points, own, side)
     if areas is None:
         return dealt.withColumn("aoi", F.lit(None).cast("string"))
     best = cloud.best_areas(own.select("tile_id", "tile"), areas, side)
