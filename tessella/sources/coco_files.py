@@ -67,7 +67,7 @@ def check_document(images: DataFrame, annotations: DataFrame, categories: DataFr
 
 
 def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, description: str = "", tiles_key: str = "images") -> None:
-    """One COCO document, its lines sorted by section and id and streamed by one task; a null score is left out."""
+    """One COCO document in one file, its lines sorted by section and id and written in parallel; a null score is left out."""
     section = lambda k, df: df.select(F.lit(k).alias("section"), F.col("id").cast("long").alias("id"), F.to_json(F.struct(*df.columns)).alias("value"))
     body = section(0, images).unionByName(section(1, annotations)).unionByName(section(2, categories))
     # the first line of each section opens it, so the lists need no look ahead

@@ -5,19 +5,24 @@ Shapes are arrays of parts, parts arrays of rings, rings arrays of ``struct<x,y>
 
 from __future__ import annotations
 
+import os
 import sqlite3
 import struct
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import partial
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.box import box
+from tessella.session import written
 
+CHUNK_BYTES = 8 << 20  # of a document's text that a task writes at once
 RING = "array<struct<x:double,y:double>>"
 SHAPE = f"array<array<{RING}>>"
 _GEOJSON = "type string, features array<struct<properties:map<string,string>, geometry:struct<type:string, coordinates:string>>>"
@@ -51,18 +56,88 @@ def geojson_lines(df: DataFrame, shape: str = "shape", attrs: list[str] | None =
 
 
 def write_geojson(df: DataFrame, path: str, shape: str = "shape", order: list[str] | None = None) -> None:
-    """One FeatureCollection, streamed by one task; rows pass through it, none are held."""
+    """One FeatureCollection in one file, written in parallel (see ``text_document``)."""
     keys = order or [c for c in df.columns if c != shape][:1]
     body = geojson_lines(df.orderBy(*keys), shape)
     text_document(body, path, '{"type":"FeatureCollection","features":[', "]}")
 
 
+def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's lines as chunks of about CHUNK_BYTES, commas between them; whether a chunk begins or ends with a closing line."""
+    names = ["part", "seq", "body", "opens", "closes"]
+    lines: list[str] = []
+    size = seq = 0
+
+    def chunk():
+        nonlocal seq, lines, size
+        body = "".join(("," if i and not v.startswith("]") and not lines[i - 1].startswith("]") else "") + v for i, v in enumerate(lines)).encode()
+        row = [[TaskContext.get().partitionId()], [seq], [body], [lines[0].startswith("]")], [lines[-1].startswith("]")]]
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_())
+        seq, lines, size = seq + 1, [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names)
+
+    for batch in batches:
+        for v in batch.column(0).to_pylist():
+            lines.append(v)
+            size += len(v)
+            if size >= CHUNK_BYTES:
+                yield chunk()
+    if lines:
+        yield chunk()
+
+
+def _place_batches(batches: Iterator[pa.RecordBatch], target: str) -> Iterator[pa.RecordBatch]:
+    """Write each chunk at its place of the file; a task that runs again writes the same."""
+    for batch in batches:
+        with open(target, "r+b", buffering=0) as out:
+            for comma, start, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                view = memoryview((b"," if comma else b"") + body)
+                while view:
+                    n = os.pwrite(out.fileno(), view, start)
+                    view, start = view[n:], start + n
+            os.fsync(out.fileno())
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+
 def text_document(lines: DataFrame, path: str, head: str, tail: str) -> None:
     """A JSON document in one file: ``lines(value)`` in order between head and tail, commas between them.
 
-    A line that begins with ``]`` closes a list and has no comma around it; so must the tail.
+    A line that begins with ``]`` closes a list and has no comma around it; so must the tail. Two phases: tasks
+    write their lines as chunks of bytes; the driver adds up their lengths (a row for each CHUNK_BYTES) to places in the
+    file; tasks write the chunks there, into a file of another name, which is renamed at last. No task sees more than
+    its lines. That needs a file system with writes at a place, which driver and executors share (``file:``); on others the
+    document is a folder with one part, streamed by one task.
     """
-
+    spark = lines.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place)
+    if where.toUri().getScheme() != "file":
+        _streamed_document(lines, path, head, tail)
+        return
+    target = where.toUri().getPath()
+    chunks = written(lines.mapInArrow(_chunk_batches, "part long, seq long, body binary, opens boolean, closes boolean"), "chunks")
+    sizes = chunks.select("part", "seq", "opens", "closes", F.octet_length("body").alias("n")).orderBy("part", "seq").collect()
+    start, after_open, places = len(head.encode()), True, []
+    for r in sizes:
+        comma = not after_open and not r.opens
+        places.append((r.part, r.seq, comma, start))
+        start, after_open = start + r.n + comma, r.closes
+    os.makedirs(os.path.dirname(target), exist_ok=True)
+    fresh = f"{target}.{uuid.uuid4().hex}.tmp"
+    with open(fresh, "wb") as out:
+        out.write(head.encode())
+        out.seek(start)
+        out.write(tail.encode())
+    if places:
+        at = spark.createDataFrame(places, "p long, s long, comma boolean, start long")
+        put = chunks.join(at, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s"))).select("comma", "start", "body")
+        done = put.mapInArrow(partial(_place_batches, target=fresh), "n long").agg(F.sum("n")).first()[0]
+        if done != len(places):
+            raise RuntimeError(f"{done} of {len(places)} chunks of {path} were written")
+    os.replace(fresh, target)
+
+
+def _streamed_document(lines: DataFrame, path: str, head: str, tail: str) -> None:
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sep = head
         for batch in batches:

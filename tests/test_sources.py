@@ -12,8 +12,8 @@ from tessella.sources import coco_files, files, tiff, vector
 
 
 def read_text(path):
-    (part,) = [p for p in path.iterdir() if p.name.startswith("part-")]
-    return part.read_text()
+    assert path.is_file()
+    return path.read_text()
 
 
 def test_geojson_round_trip(spark, tmp_path):
@@ -184,3 +184,23 @@ def test_predictions_of_files_become_one_set(spark, tmp_path):
     assert sorted((r.file_name, r.id) for r in got) == [("a.tif", 1), ("b.tif", 1)]
     cut = pipelines.aggregate_coco(spark, str(tmp_path), tiles, disambiguate=0.99).collect()
     assert sorted((r.file_name, r.id, round(r.area)) for r in cut)[:2] == [("a.tif", 1, 400), ("a.tif", 2, 20)]
+
+
+@pytest.mark.parametrize("chunk", [1, 200, 1 << 20])
+def test_documents_are_single_files(spark, tmp_path, monkeypatch, chunk):
+    import json
+
+    monkeypatch.setattr(vector, "CHUNK_BYTES", chunk)
+    images = spark.range(40).selectExpr("id", "concat('tile ü', id) as file_name", "10 as width").repartition(5)
+    anns = spark.range(300).selectExpr("id", "id % 40 as image_id", "id % 3 as category_id", "if(id % 2 = 0, 0.5D, null) as score").repartition(7)
+    cats = spark.range(3).selectExpr("id", "concat('c', id) as name")
+    for name, some in (("whole", anns), ("none", anns.where("false"))):
+        path = tmp_path / "deep" / f"{name}.json"
+        for _ in range(2):  # written over
+            coco_files.write_coco(images, some, cats, str(path), "a description")
+        found = json.loads(path.read_text())
+        assert [x["id"] for x in found["images"]] == list(range(40)) and found["images"][7]["file_name"] == "tile ü7"
+        assert [x["id"] for x in found["annotations"]] == list(range(300 if name == "whole" else 0)) and len(found["categories"]) == 3
+    coco_files.write_coco(images.where("false"), anns.where("false"), cats.where("false"), str(tmp_path / "empty.json"))
+    assert json.loads((tmp_path / "empty.json").read_text())["annotations"] == []
+    assert sorted(p.name for p in (tmp_path / "deep").iterdir()) == ["none.json", "whole.json"]
