@@ -13,6 +13,7 @@ from tessella.functions import names as N
 from tessella.functions import pixels as X
 from tessella.functions import polygon as P
 from tessella.functions import rle as R
+from tessella.functions.buffer import buffer
 from tessella.functions.kernels import polygon_runs
 from tessella.operators import aoi, cloud, coco, coords, datasets, dissolve, grid, labels, locate, match, nms, raster, taxonomy
 from tessella.operators.spatial import contained_points, quad_join
@@ -356,6 +357,17 @@ def mixed_size_overlap(spark, d):
     return pairs.groupBy("box_id").agg(F.count(F.lit(1)).alias("n_met"), F.sum(common).cast("long").alias("common_area"))
 
 
+_FAN = "8 * sin(pi() / 16) / 2"  # area of a quarter's arc of eight chords, radius 1
+
+
+@query(f"""SELECT label_id, round(a + 2 * p - 4 + 5 * 4 * {_FAN}, 6) AS grown, round(a - p + 5 - {_FAN}, 6) AS shrunk
+  FROM (SELECT label_id, {_notched_area("l")} AS a, 2 * (x1 - x0 + y1 - y0) AS p FROM labels AS l)""")
+def label_buffer_area(spark, d):
+    own = _notched_table(T.labels(spark, d).select("label_id", "shape")).select("label_id", F.array("flat").alias("rings"))
+    both = written(own.select("label_id", buffer("rings", 2.0).alias("grown"), buffer("rings", -1.0).alias("shrunk")), "buffers")
+    return both.select("label_id", *[_round(P.rings_area(F.col(c))).alias(c) for c in ("grown", "shrunk")])
+
+
 _NOTCHED_PIXELS = f"""pixels AS (
   SELECT DISTINCT l.raster_id, x, y FROM labels AS l, unnest(range(l.x0, l.x1)) AS a(x), unnest(range(l.y0, l.y1)) AS b(y)
   WHERE NOT (x >= {_ends("l", True)[0]} AND y >= {_ends("l", True)[1]}))"""
