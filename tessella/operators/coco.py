@@ -46,9 +46,26 @@ def coco_bbox(b: Column) -> Column:
     return F.array(*[c.cast("double") for c in (b["minx"], b["miny"], B.width(b), B.height(b))])
 
 
-def images_of(tiles: DataFrame) -> DataFrame:
-    """``tiles(file_name, width, height)`` -> ``(id, width, height, file_name)``: ids 1..n by name."""
-    return dense_index(tiles.select("file_name", "width", "height"), "file_name", name="id", start=1).select("id", "width", "height", "file_name")
+def ordered_tiles(names: DataFrame, order: DataFrame | None = None, start: int = 0) -> DataFrame:
+    """``(file_name, tile_idx)`` of the distinct names of ``names(file_name)``, numbered from ``start``.
+
+    With ``order(file_name, place)`` in that order, and only the names that stand in it (in several places: at the
+    first); a listed name that no tile has takes no number. Else by name. Null names are left out.
+    """
+    own = names.where("file_name is not null").select("file_name").distinct()
+    if order is None:
+        return dense_index(own, "file_name", name="tile_idx", start=start).select("file_name", "tile_idx")
+    listed = order.groupBy(F.col("file_name").alias("listed_name")).agg(F.min("place").alias("place"))
+    placed = own.join(listed, F.col("file_name") == F.col("listed_name")).select("file_name", "place")
+    return dense_index(placed, "place", "file_name", name="tile_idx", start=start).select("file_name", "tile_idx")
+
+
+def images_of(tiles: DataFrame, order: DataFrame | None = None) -> DataFrame:
+    """``tiles(file_name, width, height)`` -> ``(id, width, height, file_name)``: ids 1..n by name, or see ``ordered_tiles``."""
+    if order is None:
+        return dense_index(tiles.select("file_name", "width", "height"), "file_name", name="id", start=1).select("id", "width", "height", "file_name")
+    ids = ordered_tiles(tiles, order, 1).withColumnsRenamed({"file_name": "image_name", "tile_idx": "id"})
+    return tiles.join(ids, F.col("file_name") == F.col("image_name")).select("id", "width", "height", "file_name")
 
 
 def annotations_of(labels: DataFrame, images: DataFrame, score: str | None = None, attributes: Column | None = None) -> DataFrame:

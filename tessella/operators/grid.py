@@ -61,6 +61,29 @@ def cloud_grid(clouds: DataFrame, side: float, overlap: float = 0.0) -> DataFram
     return own.select("cloud_id", tile_id.alias("tile_id"), "grid_row", "grid_col", box(x, y, x + side, y + side).alias("tile"))
 
 
+def reference_grid(rasters: DataFrame, size: int, overlap: float = 0.0) -> DataFrame:
+    """A cloud grid that lies on rasters ``(raster_id, width, height, transform)``: tiles of ``size`` pixels, sides in coordinates.
+
+    ``-> (cloud_id, tile_id, grid_row, grid_col, tile, x_resolution, y_resolution)``. The bounds are those of the raster's
+    corners and the resolutions lengths of a pixel's sides, so rotated rasters are covered too. A tile's side is ``size`` times
+    the coarser resolution.
+    """
+    t = F.col("transform")
+    x, y = F.hypot(t["a"], t["d"]), F.hypot(t["b"], t["e"])
+    corners = [(F.lit(0), F.lit(0)), (F.col("width"), F.lit(0)), (F.lit(0), F.col("height")), (F.col("width"), F.col("height"))]
+    xs = [t["a"] * i + t["b"] * j + t["c"] for i, j in corners]
+    ys = [t["d"] * i + t["e"] * j + t["f"] for i, j in corners]
+    ends = {"minx": F.least(*xs), "miny": F.least(*ys), "maxx": F.greatest(*xs), "maxy": F.greatest(*ys)}
+    own = rasters.select(F.col("raster_id").alias("cloud_id"), x.alias("x_resolution"), y.alias("y_resolution"), (size * F.greatest(x, y)).alias("side"), *[c.cast("double").alias(n) for n, c in ends.items()])
+    step = F.col("side") * (1 - overlap)
+    count = lambda a, b: F.ceil((F.col(b) - F.col(a)) / step).cast("int")
+    own = own.withColumn("n_cols", count("minx", "maxx")).withColumn("n_rows", count("miny", "maxy")).where("side > 0 and n_cols > 0 and n_rows > 0")
+    own = own.withColumn("grid_row", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1))).withColumn("grid_col", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)))
+    left, low = F.col("minx") + F.col("grid_col") * step, F.col("miny") + F.col("grid_row") * step
+    tile_id = F.col("grid_row").cast("long") * F.col("n_cols") + F.col("grid_col")
+    return own.select("cloud_id", tile_id.alias("tile_id"), "grid_row", "grid_col", box(left, low, left + F.col("side"), low + F.col("side")).alias("tile"), "x_resolution", "y_resolution")
+
+
 def within_limit(tiles: DataFrame, most: int, force: bool = False) -> DataFrame:
     """The tiles; an error if there are more than ``most``, unless forced."""
     if not force and tiles.limit(most + 1).count() > most:

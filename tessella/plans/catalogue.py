@@ -785,3 +785,23 @@ def cloud_labelled_tiles(spark, d):
     clouds = spark.range(1).select(F.lit(0).alias("cloud_id"), *[F.lit(v).alias(n) for v, n in ((0.0, "minx"), (0.0, "miny"), (1000.0, "maxx"), (900.0, "maxy"))])
     own = pipelines.cloud_tiles(T.cloud_points(spark, d), clouds, 200.0, 0.25, regions=T.cloud_regions(spark, d))
     return own.groupBy("tile_id", "category").agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct("label_id").alias("n_labels")).select(*_long("tile_id"), "category", "n_points", "n_labels")
+
+
+@query("""WITH grids AS (
+  SELECT s_suppkey AS raster_id, 500.0e0 - 0.25e0 * (400 + 50 * (s_suppkey % 7)) AS y0, 500.0e0 AS y1, 100.0e0 AS x0, 100.0e0 + 0.5e0 * (600 + 100 * (s_suppkey % 5)) AS x1 FROM supplier),
+counted AS (SELECT *, CAST(ceil((x1 - x0) / 48) AS BIGINT) AS n_cols, CAST(ceil((y1 - y0) / 48) AS BIGINT) AS n_rows FROM grids)
+SELECT raster_id AS cloud_id, i * n_cols + j AS tile_id, x0 + 48 * j AS minx, y0 + 48 * i AS miny, x0 + 48 * j + 64 AS maxx, 0.5e0 AS x_resolution, 0.25e0 AS y_resolution
+FROM counted, unnest(range(0, n_rows)) AS a(i), unnest(range(0, n_cols)) AS b(j)""")
+def cloud_reference_grid(spark, d):
+    own = T.rasters(spark, d).select("raster_id", F.col("w").alias("width"), F.col("h").alias("height"), A.affine(0.5, 0.0, 100.0, 0.0, -0.25, 500.0).alias("transform"))
+    out = grid.reference_grid(own, 128, 0.25)
+    return out.select("cloud_id", *_long("tile_id"), *[F.col(f"tile.{c}").alias(c) for c in ("minx", "miny", "maxx")], "x_resolution", "y_resolution")
+
+
+@query("""WITH tiles AS (SELECT DISTINCT 'tile_' || o_custkey AS file_name FROM orders),
+listed AS (SELECT 'tile_' || c_custkey AS file_name, min(c_nationkey * 1000 - c_custkey % 7) AS place FROM customer WHERE c_custkey % 3 <> 0 GROUP BY ALL)
+SELECT file_name, row_number() OVER (ORDER BY place, file_name) - 1 AS tile_idx FROM tiles JOIN listed USING (file_name)""")
+def tile_order(spark, d):
+    name = lambda c: F.concat(F.lit("tile_"), F.col(c)).alias("file_name")
+    listed = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(name("c_custkey"), (F.col("c_nationkey") * 1000 - F.col("c_custkey") % 7).alias("place"))
+    return coco.ordered_tiles(table(spark, d, "orders").select(name("o_custkey")), listed).select("file_name", *_long("tile_idx"))

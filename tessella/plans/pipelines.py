@@ -180,6 +180,28 @@ def _pixel(tiles: DataFrame) -> float:
     return first[0] if first and first[0] else 1.0
 
 
+def from_shapes(rows: DataFrame, tiles: DataFrame | None = None, order: DataFrame | None = None, weights: dict[str, float] | None = None, blend: str = "weighted_geometric_mean", score_threshold: float = 0.1, nms_threshold: tuple[int, int] = (8, 10), edge_band: float | None = 0.05) -> DataFrame:
+    """Predictions ``rows(file_name, flat, ...)`` as one set: ``aggregate_coco`` for shapes that are rows already.
+
+    ``flat``: polygon coordinates; the columns that ``weights`` names are the scores (missing: 0). With
+    ``tiles(file_name, width, height, transform)`` shapes are in tile pixels and get the tiles' coordinates, without in coordinates
+    already, and no edge band is looked at. ``tile_idx`` numbers the tiles, see ``coco.ordered_tiles``; rows of tiles left out go.
+    """
+    weights = weights or {"score": 1.0}
+    ids = coco.ordered_tiles(rows, order).withColumnRenamed("file_name", "of_file")
+    own = rows.join(ids, F.col("file_name") == F.col("of_file")).drop("of_file").where(F.size("flat") >= 6)
+    own = own.withColumns({f"s_{w}": F.coalesce(F.col(w).cast("double"), F.lit(0.0)) for w in weights}).withColumn("shape", P.of_coco(F.array("flat")))
+    if tiles is not None:
+        own = to_coordinates(own, tiles, "file_name")
+    own = own.withColumn("flat", P.to_coco(F.col("shape"))[0]).withColumn("shape", P.bounds(F.col("shape")))
+    own = grid.dense_index(own, "tile_idx", F.hash("flat"), F.xxhash64("flat"), name="pred_id")
+    if tiles is not None and edge_band:
+        framed = extents(tiles).select(F.col("file_name").alias("tile_id"), "extent")
+        own = nms.off_edges(own.withColumn("tile_id", F.col("file_name")), framed, edge_band).drop("tile_id")
+    own = written(nms.over_threshold(nms.scored(own, {f"s_{w}": v for w, v in weights.items()}, blend), score_threshold), "scored")
+    return nms.greedy_nms(own, *nms_threshold, cell=None, flat="flat")
+
+
 def cloud_tiles(points: DataFrame, clouds: DataFrame, side: float, overlap: float = 0.0, areas: DataFrame | None = None, voxel: float | None = None, most: int = 5_000, force: bool = False, regions: DataFrame | None = None) -> DataFrame:
     """Distinct (or voxel-averaged) points with their tiles and areas ``areas(aoi, area)``; points outside of theirs go.
 
