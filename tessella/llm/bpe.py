@@ -182,6 +182,10 @@ def decoded(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Encode every row and decode its ids: ``(id, n_tokens, ids_sha256, decoded_sha256)``, and ``ids`` if asked for."""
+    """Encode every row and decode its ids: ``(id, n_tokens, ids_sha256, decoded_sha256)``, and ``ids`` if asked for.
+
+    Rows are encoded each by itself, repeated ones and those without id too; null counts as empty. A text of any
+    length is taken whole (its ids are held once by the task). Other columns aren't read, whatever their names.
+    """
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return _over(docs, id_col, text_col, "string", partial(_digest_batches, path=path, pattern=pattern, keep_ids=keep_ids), columns)

@@ -72,3 +72,10 @@ def test_frames(spark):
     back = bpe.decoded(bpe.encoded(df, PATH, PATTERN), PATH)
     assert {r.doc_id: bytes(r.bytes).decode() for r in back.collect()} == {i: t or "" for i, t, _ in rows}
     assert bpe.digests(df.where("doc_id < 0"), PATH, PATTERN).count() == 0
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "some text", "x"), (1, "some text", "x"), (None, "some text", "y"), (2, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string").selectExpr("*", "1 as key", "2 as value", "3 as n_tokens")
+    out = bpe.digests(df, PATH, PATTERN).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in out) == [(0, 2), (1, 2), (1, 2), (2, 0)] and len({r.ids_sha256 for r in out}) == 2

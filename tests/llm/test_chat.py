@@ -46,3 +46,9 @@ def test_empty_and_plan(spark):
     out = chat.formatted(df)
     assert out.count() == 0
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame(data(), SCHEMA)
+    more = df.union(df).selectExpr("*", "'x' as chunk", "1 as a", "2 as b", "3 as kept_id", "4 as n_turns", "5 as part")
+    assert sorted(chat.formatted(more).collect()) == sorted(chat.formatted(df).collect())

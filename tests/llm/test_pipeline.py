@@ -117,3 +117,12 @@ def test_different_texts_that_share_an_id_both_stay(spark):
     assert got == [(1, one), (2, two), (3, three)]
     same_id = docs.where("doc_id <> 1").where(f"text <> '{one}'").withColumn("doc_id", corpus_pipeline.F.lit(3).cast("long"))
     assert sorted(r.text for r in corpus_pipeline.near_dedup(spark, same_id, SF).collect()) == sorted([two, three])
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None), (3, "", "en", "s", 0)]])
+def test_empty_tables(spark, tmp_path, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "ids_sha256" in out.columns

@@ -40,3 +40,8 @@ def test_public_vocabulary_matches_greedy_search(spark):
         words = regex.findall(wp.WORDS, (t or "").lower())
         assert got[i] == (len(words), sum(greedy("".join(spelling[b] for b in w.encode()), pieces) for w in words))
     assert wp.token_counts(df.where("doc_id < 0"), PATH).count() == 0
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "two words"), (1, "two words"), (None, "one")], "doc_id long, text string").selectExpr("*", "1 as key", "2 as n_words", "3 as n_tokens")
+    assert sorted((r.doc_id or 0, r.n_words) for r in wp.token_counts(df, PATH).collect()) == [(0, 1), (1, 2), (1, 2)]
