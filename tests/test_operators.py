@@ -145,8 +145,7 @@ def test_labeled_dataset_and_its_files(spark, tmp_path):
     assert doc.tiles.groupBy("aoi").count().count() == 2
     assert doc.labels.join(doc.tiles, ["raster_id", "tile_id"], "left_anti").count() == 0
     (path,) = doc.write(str(tmp_path), "r", "sf1p0", ["valid"])
-    (part,) = [p for p in (tmp_path / path.rsplit("/", 1)[1]).iterdir() if p.name.startswith("part-")]
-    out = json.loads(part.read_text())
+    out = json.loads((tmp_path / path.rsplit("/", 1)[1]).read_text())
     assert len(out["annotations"]) == doc.labels.where("aoi = 'valid'").count() and {c["name"] for c in out["categories"]} <= {r.category for r in rows.collect()}
     more = pipelines.additional_dataset(doc, rows.where("category = 'click'"))
     assert more.tiles.count() == doc.tiles.count() and {r.category for r in more.labels.collect()} == {"click"}
