@@ -60,3 +60,13 @@ def test_self_pairs_without_a_cell_size(spark):
     rows = boxes(120, 8, 0, 12, 4000)
     got = spatial.self_pairs(frame(spark, rows, "p"), "p", "p_box", "p_scope", None)
     assert sorted((r.p, r.other_p) for r in got.collect()) == [(a, b) for a, b in met(rows, rows, True) if a != b]
+
+
+def test_no_side_of_a_spatial_join_is_broadcast(spark):
+    # a small file may stand for many rows once cells, or tiles, are exploded
+    a, b = frame(spark, boxes(20, 6, 0, 6, 100), "p"), frame(spark, boxes(20, 7, 0, 6, 100), "q")
+    spots = spark.range(5).select(F.col("id").alias("x"), F.col("id").alias("y"))
+    joins = [spatial.cell_join(a, b, "p_box", "q_box"), spatial.quad_join(a, b, "p_box", "q_box"), spatial.contained_points(spots, a, "x", "y", "p_box")]
+    for j in joins:
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
