@@ -26,7 +26,7 @@ from tessella.functions.kernels import clip_ring, ring_area
 from tessella.functions.overlay import Rings, combined, united
 from tessella.functions.slabs import ring_edges
 from tessella.operators.components import connected_components
-from tessella.session import written
+from tessella.session import spread, written
 
 FAN = 16  # shapes united at once
 BATCH_ROWS = 4_096  # rows of small groups that one call of Python takes
@@ -128,7 +128,7 @@ def union_cells(shapes: DataFrame, key: str, rings: str, cell: float) -> DataFra
     kind = shapes.schema[key].dataType.simpleString()
     schema = f"key {kind}, cx long, cy long, rings array<array<double>>"
     own = shapes.select(F.col(key).alias("key"), F.col(rings).alias("rings"))
-    parts = written(own.mapInPandas(lambda frames: _clipped_batches(frames, cell), schema), "clipped").distinct()
+    parts = written(spread(own).mapInPandas(lambda frames: _clipped_batches(frames, cell), schema), "clipped").distinct()
     cells = parts.groupBy("key", "cx", "cy").count().select(F.col("key").alias("k"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.ceil(F.col("count") / FAN).alias("groups"))
     here = F.col("key").eqNullSafe(F.col("k")) & (F.col("cx") == F.col("x")) & (F.col("cy") == F.col("y"))
     leaf = F.pmod(F.xxhash64("rings"), F.col("groups"))
