@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.kernels import ring_area
-from tessella.functions.overlay import Rings, combined, repaired
+from tessella.functions.overlay import Rings, combined_many
 
 
 def _arc(at: np.ndarray, start: float, turn: float, radius: float, quarter: int) -> np.ndarray:
@@ -44,13 +44,18 @@ def _swept(ring: np.ndarray, distance: float, quarter: int) -> list[np.ndarray]:
 
 def buffered(rings: Rings, distance: float, quarter: int = 8) -> Rings:
     """The region within ``distance`` of a region, or, for a negative distance, the part of it that is farther from its border."""
-    rings = repaired([np.asarray(r, float).reshape(-1, 2) for r in rings])
-    if not rings or not distance:
-        return rings
-    swept = [p for r in rings if ring_area(r) for p in _swept(r, distance, quarter)]
-    if distance > 0:
-        return combined([rings, *([p] for p in swept)], lambda sides: np.logical_or.reduce(sides))
-    return combined([rings, *([p] for p in swept)], lambda sides: sides[0] & ~np.logical_or.reduce(sides[1:]))
+    return buffered_many([rings], [distance], quarter)[0]
+
+
+def buffered_many(regions: list[Rings], distances: list[float], quarter: int = 8) -> list[Rings]:
+    """``buffered`` for each region and its distance, all at once."""
+    out = combined_many([[[np.asarray(r, float).reshape(-1, 2) for r in rings]] for rings in regions], lambda a, _: a)
+    for grows in (True, False):
+        at = [i for i, by in enumerate(distances) if out[i] and (by > 0 if grows else by < 0)]
+        parts = [[out[i], *([p] for r in out[i] if ring_area(r) for p in _swept(r, distances[i], quarter))] for i in at]
+        for i, found in zip(at, combined_many(parts, np.logical_or if grows else lambda a, b: a & ~b), strict=True):
+            out[i] = found
+    return out
 
 
 def buffer(rings: Column | str, distance: Column | float, quarter: int = 8) -> Column:
@@ -58,6 +63,8 @@ def buffer(rings: Column | str, distance: Column | float, quarter: int = 8) -> C
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
     def each(regions: pd.Series, by: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None or d is None or np.isnan(d) else [x.ravel().tolist() for x in buffered(list(r), float(d), quarter)] for r, d in zip(regions, by, strict=True)])
+        known = [r is not None and d is not None and not np.isnan(d) for r, d in zip(regions, by, strict=True)]
+        found = buffered_many([list(r) if k else [] for r, k in zip(regions, known, strict=True)], [float(d) if k else 0.0 for d, k in zip(by, known, strict=True)], quarter)
+        return pd.Series([[x.ravel().tolist() for x in f] if k else None for f, k in zip(found, known, strict=True)], dtype=object)
 
     return each(rings, distance if isinstance(distance, Column) else F.lit(float(distance)))

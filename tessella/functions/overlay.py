@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.kernels import ring_area
-from tessella.functions.slabs import pair_areas
+from tessella.functions.slabs import _repeated, pair_areas, ring_edges
 
 Rings = list[np.ndarray]
 _MATRIX = 1 << 18  # pairs of edges and ends that are compared at once
@@ -123,6 +123,108 @@ def combined(parts: list[Rings], keep: Callable[[list[np.ndarray]], np.ndarray],
     return _walk(bounds, grain)
 
 
+def combined_many(groups: list[list[Rings]], keep: Callable[[np.ndarray, np.ndarray], np.ndarray], grain: float | None = None) -> list[Rings]:
+    """``combined`` for many groups of parts at once; ``keep`` gets membership in the first part and in any of the others."""
+    found = [(g, k, r) for g, parts in enumerate(groups) for k, p in enumerate(parts) for r in p if len(r) > 2]
+    out: list[Rings] = [[] for _ in groups]
+    if not found:
+        return out
+    edges, ring = ring_edges(np.concatenate([r for _, _, r in found]), np.array([len(r) for _, _, r in found]))
+    group, part = (np.array([f[i] for f in found])[ring] for i in (0, 1))
+    low, high = np.full((len(groups), 2), np.inf), np.full((len(groups), 2), -np.inf)
+    np.minimum.at(low, group, edges[:, :2])
+    np.maximum.at(high, group, edges[:, :2])
+    with np.errstate(invalid="ignore"):
+        extent = np.nan_to_num(high - low, neginf=0.0).max(axis=1)
+    grains = np.full(len(groups), grain) if grain is not None else 2.0 ** np.floor(np.log2(np.maximum(extent, 1e-300) * 1e-9))
+    starts = np.searchsorted(group, np.arange(len(groups) + 1))
+    work = 4 * np.diff(starts) ** 2
+    total = np.cumsum(work)
+    a = 0
+    while a < len(groups):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 4 * _MATRIX, side="right")))
+        s = slice(starts[a], starts[b])
+        if work[a] > 4 * _MATRIX:  # alone: its pairs are compared in steps
+            out[a] = combined(groups[a], lambda sides: keep(sides[0], np.logical_or.reduce([np.zeros(len(sides[0]), bool), *sides[1:]])), grain)
+        elif s.start < s.stop:
+            out[a:b] = _combined_chunk(edges[s].reshape(-1, 2, 2), group[s] - a, part[s], keep, grains[a:b], extent[a:b])
+        a = b
+    return out
+
+
+def _combined_chunk(edges: np.ndarray, group: np.ndarray, part: np.ndarray, keep: Callable, grain: np.ndarray, extent: np.ndarray) -> list[Rings]:
+    """The rings of each group, from edges that stand group by group; the steps are those of ``combined``."""
+    bounds, of_group = _split_many(edges, group, grain, extent)
+    d = bounds[:, 1] - bounds[:, 0]
+    normal = np.stack([-d[:, 1], d[:, 0]], axis=1) / np.hypot(*d.T)[:, None]
+    middle, step = bounds.mean(axis=1), 8 * grain[of_group][:, None]
+    starts = np.searchsorted(group, np.arange(len(grain) + 1))
+    piece, copy = _repeated(np.diff(starts)[of_group])
+    edge = starts[of_group[piece]] + copy
+    (x0, y0), (x1, y1) = edges[:, 0].T, edges[:, 1].T
+    n_parts, sides = int(part.max()) + 1, []
+    for k in (1, -1):
+        px, py = (middle + k * step * normal).T
+        at = py[piece]
+        spans = (y0[edge] <= at) != (y1[edge] <= at)
+        i, j = piece[spans], edge[spans]
+        hit = px[i] < x0[j] + (py[i] - y0[j]) * (x1[j] - x0[j]) / (y1[j] - y0[j])
+        odd = np.bincount(i[hit] * n_parts + part[j[hit]], minlength=len(bounds) * n_parts).reshape(-1, n_parts) % 2 == 1
+        sides.append(keep(odd[:, 0], odd[:, 1:].any(axis=1)))
+    ways = [sides[0] & ~sides[1], sides[1] & ~sides[0]]
+    directed, owner = np.concatenate([bounds[ways[0]], bounds[ways[1]][:, ::-1]]), np.concatenate([of_group[w] for w in ways])
+    order = np.argsort(owner, kind="stable")
+    cuts = np.searchsorted(owner[order], np.arange(1, len(grain)))
+    return [_walk(e, g) if len(e) else [] for e, g in zip(np.split(directed[order], cuts), grain.tolist(), strict=True)]
+
+
+def _split_many(edges: np.ndarray, group: np.ndarray, grain: np.ndarray, extent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_split`` inside each group: the pieces, and the group of each."""
+    d = edges[:, 1] - edges[:, 0]
+    length = (d * d).sum(axis=1)
+    some = length > 0
+    edges, d, length, group = edges[some], d[some], length[some], group[some]
+    n, grains = len(edges), grain[group]
+    starts = np.searchsorted(group, np.arange(len(grain) + 1))
+    i, copy = _repeated(np.diff(starts)[group])
+    j = starts[group[i]] + copy
+    # only edges whose boxes come near can meet
+    margin = (4 * grain + 1e-8 * extent)[group][:, None]
+    low, high = edges.min(axis=1) - margin, edges.max(axis=1) + margin
+    near = (low[i, 0] <= high[j, 0]) & (low[j, 0] <= high[i, 0])
+    i, j = i[near], j[near]
+    near = (low[i, 1] <= high[j, 1]) & (low[j, 1] <= high[i, 1])
+    i, j = i[near], j[near]
+    p, v, size, w, u = edges[i, 0], d[i], length[i], edges[j, 0] - edges[i, 0], d[j]
+    cross = v[:, 0] * u[:, 1] - v[:, 1] * u[:, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (w[:, 0] * u[:, 1] - w[:, 1] * u[:, 0]) / cross
+        s = (w[:, 0] * v[:, 1] - w[:, 1] * v[:, 0]) / cross
+    crossing = (np.abs(cross) > 1e-12 * size) & (s >= -1e-9) & (s <= 1 + 1e-9) & (t > 0) & (t < 1)
+    owners, cuts = [np.arange(n), np.arange(n), i[crossing]], [np.zeros(n), np.ones(n), t[crossing]]
+    for end in (0, 1):
+        off = edges[j, end] - p
+        along = (off * v).sum(axis=1) / size
+        on = (np.abs(off[:, 0] * v[:, 1] - off[:, 1] * v[:, 0]) <= grains[i] * np.sqrt(size)) & (along > 0) & (along < 1)
+        owners.append(i[on])
+        cuts.append(along[on])
+    owner, cut = np.concatenate(owners), np.concatenate(cuts)
+    order = np.lexsort([cut, owner])
+    owner, cut = owner[order], cut[order]
+    points = np.rint((edges[owner, 0] + cut[:, None] * d[owner]) / grains[owner][:, None]).astype(np.int64)
+    same = owner[1:] == owner[:-1]
+    pieces, of_group = np.concatenate([points[:-1], points[1:]], axis=1)[same], group[owner[1:][same]]
+    turned = (pieces[:, 0] > pieces[:, 2]) | ((pieces[:, 0] == pieces[:, 2]) & (pieces[:, 1] > pieces[:, 3]))
+    pieces[turned] = pieces[turned][:, [2, 3, 0, 1]]
+    some = (pieces[:, :2] != pieces[:, 2:]).any(axis=1)
+    pieces, of_group = pieces[some], of_group[some]
+    order = np.lexsort([*pieces.T[::-1], of_group])
+    pieces, of_group = pieces[order], of_group[order]
+    new = np.r_[True, (pieces[1:] != pieces[:-1]).any(axis=1) | (of_group[1:] != of_group[:-1])][: len(pieces)]
+    pieces, of_group = pieces[new], of_group[new]
+    return pieces.astype(float).reshape(-1, 2, 2) * grain[of_group][:, None, None], of_group
+
+
 def overlay(a: Rings, b: Rings, keep: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Rings:
     """Rings of the points for which ``keep(in a, in b)`` holds."""
     return combined([a, b], lambda sides: keep(*sides))
@@ -180,4 +282,6 @@ class Region:
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def repaired_rings(rings: pd.Series) -> pd.Series:
     """Flat rings as those of their even-odd region, holes clockwise."""
-    return pd.Series([None if x is None else [r.ravel().tolist() for r in repaired([np.asarray(f, float).reshape(-1, 2) for f in x])] for x in rings])
+    regions = [[[np.asarray(f, float).reshape(-1, 2) for f in x] if x is not None else []] for x in rings]
+    found = combined_many(regions, lambda a, _: a)
+    return pd.Series([None if x is None else [r.ravel().tolist() for r in f] for x, f in zip(rings, found, strict=True)], dtype=object)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import polygon as P
 from tessella.functions.kernels import clip_ring, ring_area
-from tessella.functions.overlay import Rings, combined, united
+from tessella.functions.overlay import Rings, combined_many
 from tessella.functions.slabs import ring_edges
 from tessella.operators.components import connected_components
 from tessella.session import spread, written
@@ -85,10 +85,11 @@ def _clipped_batches(frames: Iterator[pd.DataFrame], cell: float) -> Iterator[pd
         yield pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in zip(("key", "cx", "cy", "rings"), zip(*rows, strict=True) if rows else [()] * 4, strict=True)})
 
 
-def _in_batches(rows: DataFrame, keys: list[str], n_rows: int, step: Callable, kinds: dict[str, pa.DataType], schema: str) -> DataFrame:
+def _in_batches(rows: DataFrame, keys: list[str], n_rows: int, step: Callable, kinds: dict[str, pa.DataType], schema: str, at_once: bool = False) -> DataFrame:
     """``step(key values, {column: values}) -> rows`` for each group of ``rows`` by ``keys``, many small groups to a call of Python.
 
-    A batch is a hash bucket of about BATCH_ROWS rows. ``kinds``: the columns that ``step`` gives after ``key``.
+    ``at_once``: ``step`` takes all groups of a batch, as pairs of key values and columns. A batch is a hash bucket of about
+    BATCH_ROWS rows. ``kinds``: the columns that ``step`` gives after ``key``.
     """
 
     def each(table: pa.Table) -> pa.Table:
@@ -96,7 +97,8 @@ def _in_batches(rows: DataFrame, keys: list[str], n_rows: int, step: Callable, k
         groups: dict[tuple, list[int]] = {}
         for i, group in enumerate(zip(*(columns[k] for k in keys), strict=True)):
             groups.setdefault(group, []).append(i)
-        out = [row for group, at in groups.items() for row in step(group, {c: [v[i] for i in at] for c, v in columns.items()})]
+        own = [(group, {c: [v[i] for i in at] for c, v in columns.items()}) for group, at in groups.items()]
+        out = list(step(own)) if at_once else [row for group in own for row in step(*group)]
         found = list(zip(*out, strict=True)) or [()] * (len(kinds) + 1)
         arrays = [pa.array(v, k) for v, k in zip(found, (table.schema.field("key").type, *kinds.values()), strict=True)]
         return pa.Table.from_arrays(arrays, ["key", *kinds])
@@ -135,12 +137,14 @@ def union_cells(shapes: DataFrame, key: str, rings: str, cell: float) -> DataFra
     parts = written(parts.join(cells, here).select("key", "cx", "cy", leaf.alias("leaf"), "rings"), "cell_parts")
     most, n = parts.agg(F.max("leaf"), F.count(F.lit(1))).first()
 
-    def unite(group: tuple, columns: dict) -> Iterator[tuple]:
-        regions = columns["rings"]
-        yield *group, regions[0] if len(regions) == 1 and len(regions[0]) == 1 else _flat(united([_arrays(r) for r in regions], cell / GRAINS))
+    def unite(groups: list[tuple[tuple, dict]]) -> Iterator[tuple]:
+        alone = [len(c["rings"]) == 1 and len(c["rings"][0]) == 1 for _, c in groups]
+        found = combined_many([[] if one else [_arrays(r) for r in c["rings"]] for (_, c), one in zip(groups, alone, strict=True)], np.logical_or, cell / GRAINS)
+        for (group, columns), one, rings in zip(groups, alone, found, strict=True):
+            yield *group, columns["rings"][0] if one else _flat(rings)
 
     while most is not None:
-        parts = _in_batches(parts, ["key", "cx", "cy", "leaf"], n, unite, {**_CELL, "leaf": pa.int64(), "rings": _RINGS}, f"key {kind}, cx long, cy long, leaf long, rings array<array<double>>")
+        parts = _in_batches(parts, ["key", "cx", "cy", "leaf"], n, unite, {**_CELL, "leaf": pa.int64(), "rings": _RINGS}, f"key {kind}, cx long, cy long, leaf long, rings array<array<double>>", at_once=True)
         if not most:
             break
         parts, most = parts.withColumn("leaf", F.floor(F.col("leaf") / FAN)), most // FAN
@@ -270,7 +274,8 @@ def set_cells(left: DataFrame, right: DataFrame, key: str, rings: str, operation
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            regions = [_flat(combined([_arrays(a or []), _arrays(b or [])], lambda sides: keep(*sides), cell / GRAINS)) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            pairs = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            regions = [_flat(r) for r in combined_many([[_arrays(a or []), _arrays(b or [])] for a, b in pairs], keep, cell / GRAINS)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(regions, _RINGS)], ["key", "cx", "cy", "rings"])
 
     return joined.mapInArrow(put_together, f"key {kind}, cx long, cy long, rings array<array<double>>").where(F.size("rings") > 0)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from tessella.functions import kernels as K
+from tessella.functions import overlay as O
 from tessella.functions.slabs import corner_areas, pair_areas
 
 R = np.random.default_rng(4)
@@ -60,3 +61,14 @@ def test_clip_column(spark):
 
     got = {r.i: r.c for r in df.select("i", K.clip_to_box("flat", *map(F.lit, (1.0, 1.0, 3.0, 8.0))).alias("c")).collect()}
     assert got[2] is None and got[3] is None and K.ring_area(np.array(got[1]).reshape(-1, 2)) == pytest.approx(6)
+
+
+def test_combined_batch_equals_combined_groups():
+    groups = [[list(stars(int(R.integers(1, 3)))) for _ in range(int(R.integers(1, 6)))] for _ in range(40)] + [[[]], [], [[], list(stars(1))], [[x] for x in ells(9)]]
+    groups.append([[x] for x in stars(120)])  # too many edges for a place beside others
+    for keep, of_sides in ((np.logical_or, np.logical_or.reduce), (lambda a, b: a & ~b, lambda s: s[0] & ~np.logical_or.reduce([np.zeros(len(s[0]), bool), *s[1:]]))):
+        for grain in (None, 2.0**-24):
+            got = O.combined_many(groups, keep, grain)
+            for g, rings in zip(groups, got, strict=True):
+                want = O.combined(g, of_sides, grain) if g else []
+                assert len(rings) == len(want) and all(np.array_equal(a, b) for a, b in zip(rings, want, strict=True))
