@@ -180,3 +180,11 @@ def test_redistributed_ground_matches_pixels(spark):
     assert total["a"] == pytest.approx(200 - 50) and sum(total.values()) == pytest.approx(200 + 300 + 100 - 100 - 50)
     # b and c share 50: two thirds go to b, one third to c
     assert total["c"] == pytest.approx(100 - 50 * 2 / 3) and total["b"] == pytest.approx(300 - 50 - 50 / 3)
+
+
+def test_a_raster_of_stacked_boxes_is_one_group_of_cutting(spark, monkeypatch):
+    # 100 boxes in one place are 4,950 pairs: one walk, where rounds of jobs took one round for each kept box
+    rows = spark.range(100).select(F.col("id").alias("pred_id"), F.lit(1).alias("r"), (F.col("id") / 100).alias("score"), box(F.col("id") % 7, F.col("id") % 5, F.col("id") % 7 + 20, F.col("id") % 5 + 20).alias("shape"))
+    want = sorted(r[:2] for r in nms.ioa_disambiguated(rows, scope="r", group_edges=10_000).select("pred_id", "area").collect())
+    monkeypatch.setattr(nms, "RIVALS", None)  # rounds can't run
+    assert sorted(r[:2] for r in nms.ioa_disambiguated(rows, scope="r").select("pred_id", "area").collect()) == want
