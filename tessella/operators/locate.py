@@ -8,13 +8,15 @@ care; no region is ever gathered in one place, and a region with many points is
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import polygon as P
 from tessella.functions.box import box
 from tessella.operators.spatial import quad_join
-from tessella.session import spare_name, written
+from tessella.session import spare_name, spread, written
 
 BAND_EDGES = 4  # edges that a band should hold
 MOST_BANDS = 1 << 16
@@ -47,32 +49,62 @@ def _shifted(items: Column) -> Column:
     return F.slice(items, F.lit(2), F.size(items))
 
 
-def located(points: DataFrame, regions: DataFrame, region_key: str = "label_id", rings: str = "rings", point_key: str = "point_id", scope: tuple[str, str] | None = None) -> DataFrame:
-    """``(point_id, region_id)`` of points inside regions; ``scope`` names the columns of both that must be equal.
+def _distinct(rows: DataFrame, columns: list[str], number: str) -> DataFrame:
+    """The distinct values of ``columns``, written with a ``number`` for each."""
+    return written(rows.select(*columns).distinct().withColumn(number, F.monotonically_increasing_id()), number)
 
-    Keys must be unique on their side. Of points on a border those on lower or left sides count as inside, as a
-    rule. Null coordinates and regions match nothing.
+
+def _numbered(rows: DataFrame, values: DataFrame, columns: list[str], number: str) -> DataFrame:
+    """The id column of ``rows``, their first, with the ``number`` of their values."""
+    other = values.withColumnsRenamed({c: f"of_{c}" for c in columns})
+    return rows.join(other, reduce(Column.__and__, [F.col(c) == F.col(f"of_{c}") for c in columns])).select(rows.columns[0], number)
+
+
+def _met(points: DataFrame, regions: DataFrame, region_key: str, rings: str, point_key: str, scope: tuple[str, str] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(spot, shape)`` of distinct places inside distinct shapes, ``(point_id, spot)`` and ``(region_id, shape)``.
+
+    However many points lie in one place, or regions have one shape, they are judged once.
     """
-    boxes, edges = edge_index(regions, region_key, rings)
+    spot_columns, shape_columns = (["x", "y", "point_scope"], ["rings", "region_scope"]) if scope else (["x", "y"], ["rings"])
+    own = points.select(F.col(point_key).alias("point_id"), *[F.col(c).cast("double").alias(c) for c in ("x", "y")], *([F.col(scope[0]).alias("point_scope")] if scope else [])).dropna(subset=spot_columns)
+    areas = regions.select(F.col(region_key).alias("region_id"), F.col(rings).alias("rings"), *([F.col(scope[1]).alias("region_scope")] if scope else [])).dropna(subset=shape_columns)
+    spots, shapes = _distinct(own, spot_columns, "spot"), _distinct(areas, shape_columns, "shape")
+    boxes, edges = edge_index(shapes, "shape", "rings")
     on = []
     if scope:
-        own = regions.select(F.col(region_key).alias("scoped_id"), F.col(scope[1]).alias("region_scope"))
-        boxes, on = boxes.join(own, F.col("region_id") == F.col("scoped_id")).drop("scoped_id"), [("point_scope", "region_scope")]
-    at = [F.col(c).cast("double") for c in ("x", "y")]
-    known = points.where("x is not null and y is not null")
-    spots = known.select(F.col(point_key).alias("point_id"), box(*at, *at).alias("spot"), *([F.col(scope[0]).alias("point_scope")] if scope else []))
+        boxes = boxes.join(shapes.select("shape", "region_scope"), F.col("region_id") == F.col("shape")).drop("shape")
+        on = [("point_scope", "region_scope")]
+    places = spots.withColumn("place", box("x", "y", "x", "y"))
     touch = lambda p, b: p["minx"].between(b["minx"], b["maxx"]) & p["miny"].between(b["miny"], b["maxy"])
-    met = quad_join(spots, boxes, "spot", "region_box", on, touch)
-    met = met.select("point_id", F.col("region_id").alias("met_id"), F.col("spot.minx").alias("px"), F.col("spot.miny").alias("py"), _band(F.col("spot.miny")).alias("met_band"))
+    met = quad_join(places, boxes, "place", "region_box", on, touch)
+    met = met.select("spot", F.col("region_id").alias("met_id"), F.col("x").alias("px"), F.col("y").alias("py"), _band(F.col("y")).alias("met_band"))
     spans = (F.col("y0") <= F.col("py")) != (F.col("y1") <= F.col("py"))
     crossed = F.col("px") < F.col("x0") + (F.col("py") - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
     pairs = met.join(edges, (F.col("met_id") == F.col("region_id")) & (F.col("met_band") == F.col("band")) & spans & crossed)
-    return pairs.groupBy("point_id", "region_id").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("point_id", "region_id")
+    pairs = pairs.groupBy("spot", F.col("region_id").alias("shape")).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("spot", "shape")
+    return written(pairs, "spots_in_shapes"), _numbered(own, spots, spot_columns, "spot"), _numbered(areas, shapes, shape_columns, "shape")
+
+
+def located(points: DataFrame, regions: DataFrame, region_key: str = "label_id", rings: str = "rings", point_key: str = "point_id", scope: tuple[str, str] | None = None) -> DataFrame:
+    """``(point_id, region_id)`` of points inside regions; ``scope`` names the columns of both that must be equal.
+
+    Keys must be unique on their side. Of points on a border those on lower or left sides count as inside, as a
+    rule. Null coordinates and regions match nothing. Distinct places are judged against distinct shapes; points of one
+    place and regions of one shape only multiply the rows returned, over all cores.
+    """
+    pairs, of_spot, of_shape = _met(points, regions, region_key, rings, point_key, scope)
+    named = pairs.join(of_shape.withColumnRenamed("shape", "of_shape"), F.col("shape") == F.col("of_shape")).select(F.col("spot").alias("met_spot"), "region_id")
+    # few bytes come in and many rows may go out: dealt by number, or small inputs would share a few tasks
+    dealt = spread(of_spot, "spot")
+    return dealt.join(named.hint("shuffle_hash"), F.col("spot") == F.col("met_spot")).select("point_id", "region_id")
 
 
 def labelled(points: DataFrame, labels: DataFrame, rings: str = "rings", scope: tuple[str, str] | None = None) -> DataFrame:
     """Every point with ``label_id`` and ``category`` of the region ``labels(label_id, category, rings)`` it lies in (the least id of several), null in none."""
-    found = located(points, labels, rings=rings, scope=scope).groupBy("point_id").agg(F.min("region_id").alias("hit"))
+    pairs, of_spot, of_shape = _met(points, labels, "label_id", rings, "point_id", scope)
+    least = of_shape.groupBy(F.col("shape").alias("of_shape")).agg(F.min("region_id").alias("hit"))
+    best = pairs.join(least, F.col("shape") == F.col("of_shape")).groupBy(F.col("spot").alias("met_spot")).agg(F.min("hit").alias("hit"))
+    found = of_spot.join(best, F.col("spot") == F.col("met_spot"))
     hit, of_label = spare_name(points, "hit_point"), spare_name(points, "of_label")
     names = labels.select(F.col("label_id").alias(of_label), F.col("category").alias("category"))
     found = found.select(F.col("point_id").alias(hit), F.col("hit").alias("label_id"))

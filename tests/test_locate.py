@@ -52,3 +52,14 @@ def test_labels_of_points(spark):
     got = {r.point_id: (r.label_id, r.category, r.hit_point) for r in locate.labelled(points, regions).collect()}
     assert got == {1: (7, "big", "kept"), 2: (3, "small", "kept"), 3: (8, None, "kept"), 4: (None, None, "kept"), 5: (None, None, "kept")}
     assert locate.located(points.where("false"), regions).count() == locate.located(points, regions.where("false")).count() == 0
+
+
+def test_points_of_one_place_and_regions_of_one_shape_are_judged_once(spark):
+    square = [[0.0, 0.0, 2.0, 0.0, 2.0, 2.0, 0.0, 2.0]]
+    points = spark.range(4000).select(F.col("id").alias("point_id"), F.lit("a").alias("s"), (F.col("id") % 4).cast("double").alias("x"), F.lit(1.0).alias("y"))
+    regions = spark.range(300).select(F.col("id").alias("label_id"), F.lit("a").alias("t"), F.lit("c").alias("category"), F.array(F.array(*map(F.lit, square[0]))).alias("rings"))
+    pairs, *_ = locate._met(points, regions, "label_id", "rings", "point_id", None)
+    assert pairs.count() == 2
+    got = locate.located(points, regions)
+    assert got.count() == got.distinct().count() == 2000 * 300
+    assert got.where("point_id % 4 > 1").isEmpty()
