@@ -142,6 +142,21 @@ def test_affine_and_names(spark):
         one(spark, N.product_name(F.lit("a/b")))
 
 
+def test_names_are_read_once(spark):
+    from tessella.operators.grid import tile_grid
+
+    name = "a_b_tile_train_sf0p5_-3_4_128_64_77.tif"
+    rows = [(name,), (name + "\n",), ("\x01",), (None,), ("p_tile_x_32_gr0p1_3_4.tif",)]
+    df = spark.createDataFrame(rows, "name string").coalesce(1)
+    got = df.select("name", *[c.alias(k) for k, c in N.parse_tile_name(F.col("name")).items()])
+    read = [tuple(r)[1:] for r in got.collect()]
+    full, none = ("a_b", "train", -3, 4, 128, 64, 77, 0.5, None), (None,) * 9
+    assert read == [full, full, none, none, ("p", "x", 3, 4, 32, 32, None, None, 0.1)]
+    # a file of few rasters is one task, and stands for many tiles
+    few = spark.range(64, numPartitions=1).selectExpr("id as raster_id", "1000 as w", "1000 as h")
+    assert tile_grid(few, 128).select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_pixels(spark):
     ints = lambda *v: F.array(*map(F.lit, v))
     r = one(spark, X.float_to_byte(ints(0.5, 0.1, 1.0)), X.float_to_byte(ints(0.5, math.nan, 1.0)), X.float_to_byte(ints(-3.0, 300.0, 2.7)), X.wide_to_byte(ints(-5, 70000, 65535, 9999), 9999), X.short_to_byte(ints(256, 65535)), X.short_to_byte(ints(3, 255)), X.colour_to_byte(F.lit(65535)), X.and_masks(ints(1, 1, 0), ints(1, 0, 0)), X.masked(ints(5, 6), ints(0, 1)), X.empty_share([ints(0, 255, 9), ints(0, 255, 0), ints(0, 255, 0), ints(1, 1, 0)]))
