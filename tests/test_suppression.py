@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions.box import box
 from tessella.functions.kernels import intersection_area
 from tessella.functions.overlay import Region, intersection
+from tessella.functions.slabs import pair_areas
 from tessella.operators import aoi, match, nms
 from tessella.plans import bindings as T
 
@@ -151,6 +152,25 @@ def test_a_ratio_on_the_threshold_is_not_over_it(spark):
     assert same.count() == 0 and match.polygon_matches(preds, truth, 0.5999).where("pred_id = truth_id").count() == 200
 
 
+def test_boxes_are_matched_without_python(spark):
+    box = lambda x, y, w, h: [float(v) for v in (x, y, x + w, y, x + w, y + h, x, y + h)]
+    boxes = [(k, box(k * 37 % 60, k * 53 % 40, 8 + k % 41, 8 + k % 29)) for k in range(120)]
+    mixed = [*boxes, (200, [0.0, 0.0, 8.0, 0.0, 0.0, 8.0]), (201, [1.0, 1.0, 30.0, 2.0, 29.0, 25.0, 0.0, 24.0]), (202, None), (203, [])]
+    table = lambda rows, key: spark.createDataFrame(rows, f"{key} long, flat array<double>")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    plain = match.polygon_matches(table(boxes, "pred_id"), table(boxes, "truth_id"), 0.6)
+    assert not any(x in plan(plain) for x in ("Python", "Arrow"))
+    got = {(r.pred_id, r.truth_id): r.iou for r in match.polygon_matches(table(mixed, "pred_id"), table(mixed, "truth_id"), 0.6).collect()}
+    want = {}
+    for i, a in mixed:
+        for k, b in mixed:
+            if a and b and (common := pair_areas([[np.array(a)]], [[np.array(b)]])[0]):
+                area = [pair_areas([[np.array(x)]], [[np.array(x)]])[0] for x in (a, b)]
+                if (iou := common / (sum(area) - common)) > 0.6 + 1e-9:
+                    want[i, k] = pytest.approx(iou)
+    assert got == want and (201, 201) in got and (200, 200) in got
+
+
 def test_corner_areas_match_a_plain_walk(spark):
     tiles = [(r.raster_id, r.tile_id, r.row // T.STEP, r.col // T.STEP) for r in T.tiles(spark, SF).collect()]
     areas = [aoi.Aoi("a", 0.5, 1), aoi.Aoi("b", 0.3, 2), aoi.Aoi("c", 0.2, 3)]
