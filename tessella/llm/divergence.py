@@ -19,6 +19,7 @@ from tessella.session import written
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30  # base rules; the last in per cent of the words
 COMMON = 32  # words of a reference
+MOST_LISTED = 4096  # common words of all languages that are looked up by hash; with more, every word meets its language's
 #: Limits of the distances, and the least sizes from which a document or a reference counts.
 CLASS_LIMIT, WORD_LIMIT = 0.25, 0.42
 CLASS_CHARS, WORD_WORDS, REFERENCE_WORDS = 200, 50, 10_000
@@ -67,12 +68,12 @@ def n_repeated(words: Column, window: int = WINDOW) -> Column:
         return F.sort_array(F.array_distinct(F.flatten(pairs)))
 
     def runs(hashes: Column, length: int) -> Column:
-        """Hashes of runs of ``window`` from those of runs of ``length``: a run is two of half its length."""
+        """Hashes of runs of ``window`` from those of runs of ``length``, of which each is a few in a row; the last ones are cut short."""
         if length == window:
-            return hashes
-        n = F.size(hashes) - length
-        joined = F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 1 + length, n), lambda x, y: F.xxhash64(x, y))
-        return _let(joined, lambda h: runs(h, 2 * length))
+            return F.slice(hashes, F.lit(1), F.size(hashes) - (window - 1))
+        parts = min(4, window // length)
+        joined = F.transform(hashes, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k * length) for k in range(1, parts)]))
+        return _let(joined, lambda h: runs(h, parts * length))
 
     def counted(words: Column) -> Column:
         hashes = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: runs(h, 1))
@@ -161,12 +162,20 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return out.select("lang", _shares(F.col("class_counts")).alias("class_shares"), "common_words", _shares(F.concat("counts", F.array(others))).alias("word_shares"), "reference_words")
 
 
+def _listed(refs: DataFrame) -> list[str] | None:
+    """The common words of all languages, to be found by hash; None if they are too many to stand in a plan."""
+    words = refs.select(F.explode("common_words").alias("word")).distinct().limit(MOST_LISTED + 1).collect()
+    return [r.word for r in words] if len(words) <= MOST_LISTED else None
+
+
 def distances(stats: DataFrame, refs: DataFrame) -> DataFrame:
     """``stats`` with ``class_distance`` and ``word_distance`` to the language's reference; null where it isn't judged."""
     joined = stats.join(refs.withColumnRenamed("lang", "ref_lang"), F.col("lang") == F.col("ref_lang"), "left")
     classes = js_distance(_shares(F.col("classes").cast("array<double>")), F.col("class_shares"))
-    known = F.filter(F.col("words"), lambda w: F.array_contains("common_words", F.lower(w)))
-    counts = _let(F.transform(known, F.lower), lambda k: F.concat(F.transform("common_words", lambda r: F.size(k) - F.size(F.array_remove(k, r))), F.array(F.size("words") - F.size(k))))
+    listed = _listed(refs)
+    known = F.transform(F.col("words") if listed is None else F.filter(F.col("words"), lambda w: F.lower(w).isin(listed)), F.lower)
+    found = _let(known, lambda k: F.transform("common_words", lambda r: F.size(k) - F.size(F.array_remove(k, r))))
+    counts = _let(found, lambda c: F.concat(c, F.array(F.size("words") - F.aggregate(c, F.lit(0), lambda a, x: a + x))))
     words = js_distance(_shares(counts.cast("array<double>")), F.col("word_shares"))
     sound = F.col("reference_words") >= REFERENCE_WORDS
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)

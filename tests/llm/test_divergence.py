@@ -35,6 +35,17 @@ def test_matches_sql(spark):
     assert n == len(data())
 
 
+def test_common_words_are_found_by_hash(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t, k) for i, t, k in data() if i is not None], SCHEMA)
+    refs = divergence.references(df)
+    out = divergence.distances(divergence.statistics(df), refs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in plan and "array_contains" not in plan
+    monkeypatch.setattr(divergence, "MOST_LISTED", 3)  # more words than that: each meets those of its language
+    rows = lambda x: sorted(map(tuple, x.select("doc_id", "n_repeat_words", "word_distance").collect()), key=str)
+    assert rows(out) == rows(divergence.distances(divergence.statistics(df), refs))
+
+
 def repeated(words, k=8):
     runs = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
     twice = {g for g, n in Counter(runs).items() if n > 1}
