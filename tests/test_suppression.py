@@ -152,6 +152,13 @@ def test_a_ratio_on_the_threshold_is_not_over_it(spark):
     assert same.count() == 0 and match.polygon_matches(preds, truth, 0.5999).where("pred_id = truth_id").count() == 200
 
 
+def test_walks_are_dealt_by_the_number_of_conflicts(spark):
+    edges = spark.range(3000).selectExpr("id % 700 as scope", "cast(0 as long) as component", "id as hi", "id + 1 as lo")
+    few, many = nms._dealt(edges, 3000), nms._dealt(edges, 40 * nms.TASK_EDGES)
+    assert few.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() == 41
+    assert many.withColumn("task", F.spark_partition_id()).groupBy("scope").agg(F.count_distinct("task").alias("n")).where("n > 1").count() == 0
+
+
 def test_boxes_are_matched_without_python(spark):
     box = lambda x, y, w, h: [float(v) for v in (x, y, x + w, y, x + w, y + h, x, y + h)]
     boxes = [(k, box(k * 37 % 60, k * 53 % 40, 8 + k % 41, 8 + k % 29)) for k in range(120)]
