@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from tessella.functions import polygon as P
 from tessella.functions.kernels import clip_ring, ring_area
 from tessella.functions.overlay import Rings, combined_many
-from tessella.functions.slabs import ring_edges
+from tessella.functions.slabs import _repeated, covered_areas, ring_edges
 from tessella.operators.components import connected_components
 from tessella.session import spread, written
 
 FAN = 16  # shapes united at once
+MOST_CORNERS = 2_048  # of shapes in a cell that are measured without their union
+PARTS = ("only_left", "common", "only_right")
 BATCH_ROWS = 4_096  # rows of small groups that one call of Python takes
 GRAINS = 2.0**30  # of a cell's side: the distance of the points that corners may take
 
@@ -66,6 +68,13 @@ def _flat(rings: Rings) -> list[list[float]]:
     return [r.ravel().tolist() for r in rings]
 
 
+def _cell_part(rings: Rings, cx: int, cy: int, cell: float) -> Rings:
+    """What of rings with corners on the grid lies in a cell; empty if that has no area."""
+    b = np.array([cx, cy, cx + 1, cy + 1]) * cell
+    part = [c for c in (clip_ring(r, b) for r in rings) if len(c) > 2]
+    return part if any(ring_area(r) for r in part) else []
+
+
 def _clipped_batches(frames: Iterator[pd.DataFrame], cell: float) -> Iterator[pd.DataFrame]:
     """``(key, cx, cy, rings)``: each region's part in each cell that its box touches."""
     for frame in frames:
@@ -78,9 +87,7 @@ def _clipped_batches(frames: Iterator[pd.DataFrame], cell: float) -> Iterator[pd
             low, high = np.floor(every.min(axis=0) / cell).astype(int), np.ceil(every.max(axis=0) / cell).astype(int)
             for cx in range(low[0], max(high[0], low[0] + 1)):
                 for cy in range(low[1], max(high[1], low[1] + 1)):
-                    b = np.array([cx, cy, cx + 1, cy + 1]) * cell
-                    part = [c for c in (clip_ring(r, b) for r in rings) if len(c) > 2]
-                    if any(ring_area(r) for r in part):
+                    if part := _cell_part(rings, cx, cy, cell):
                         rows.append((key, cx, cy, _flat(part)))
         yield pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in zip(("key", "cx", "cy", "rings"), zip(*rows, strict=True) if rows else [()] * 4, strict=True)})
 
@@ -130,7 +137,13 @@ def union_cells(shapes: DataFrame, key: str, rings: str, cell: float) -> DataFra
     kind = shapes.schema[key].dataType.simpleString()
     schema = f"key {kind}, cx long, cy long, rings array<array<double>>"
     own = shapes.select(F.col(key).alias("key"), F.col(rings).alias("rings"))
-    parts = written(spread(own).mapInPandas(lambda frames: _clipped_batches(frames, cell), schema), "clipped").distinct()
+    return _united(written(spread(own).mapInPandas(lambda frames: _clipped_batches(frames, cell), schema), "clipped"), cell)
+
+
+def _united(parts: DataFrame, cell: float) -> DataFrame:
+    """The union of all ``parts(key, cx, cy, rings)`` of a cell, FAN at a time."""
+    kind = parts.schema["key"].dataType.simpleString()
+    parts = parts.distinct()
     cells = parts.groupBy("key", "cx", "cy").count().select(F.col("key").alias("k"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.ceil(F.col("count") / FAN).alias("groups"))
     here = F.col("key").eqNullSafe(F.col("k")) & (F.col("cx") == F.col("x")) & (F.col("cy") == F.col("y"))
     leaf = F.pmod(F.xxhash64("rings"), F.col("groups"))
@@ -153,7 +166,84 @@ def union_cells(shapes: DataFrame, key: str, rings: str, cell: float) -> DataFra
 
 def union_area(shapes: DataFrame, key: str, rings: str, cell: float) -> DataFrame:
     """``(key, area)`` of the union of the regions of each key."""
-    return union_cells(shapes, key, rings, cell).groupBy(F.col("key").alias(key)).agg(F.sum(P.rings_area(F.col("rings"))).alias("area"))
+    return set_areas(shapes, shapes.limit(0), key, rings, cell).select(key, F.col("only_left").alias("area"))
+
+
+def _cell_copies(batches: Iterator[pa.RecordBatch], cell: float) -> Iterator[pa.RecordBatch]:
+    """``(key, side, rings)`` with a row, and the number of its corners, for each cell that the region's box touches; not clipped."""
+    for batch in batches:
+        regions = batch.column("rings")
+        sizes, xy = _corners(regions)
+        of = np.repeat(np.arange(len(regions)), sizes)
+        low, high = np.full((len(regions), 2), np.inf), np.full((len(regions), 2), -np.inf)
+        np.minimum.at(low, of, xy)
+        np.maximum.at(high, of, xy)
+        some = np.flatnonzero((sizes > 2) & (low < high).all(axis=1))
+        first, last = np.floor(low[some] / cell).astype(np.int64), np.ceil(high[some] / cell).astype(np.int64)
+        n = last - first
+        rows, k = _repeated(n.prod(axis=1))
+        at = some[rows]
+        columns = {"key": batch.column("key").take(pa.array(at)), "side": batch.column("side").take(pa.array(at)), "cx": first[rows, 0] + k // n[rows, 1], "cy": first[rows, 1] + k % n[rows, 1], "corners": sizes[at], "rings": regions.take(pa.array(at))}
+        yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values()], list(columns))
+
+
+def _corners(regions: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of corners of each region of a batch, and all corners."""
+    flat = regions.flatten()
+    counts = regions.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = flat.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    of = np.repeat(np.arange(len(regions)), counts)
+    return np.bincount(of, sizes, len(regions)).astype(np.int64), flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 2)
+
+
+def _cell_areas(rows: pa.Table, cell: float) -> pa.Table:
+    """``(key, only_left, common, only_right)``: the ground of whole cells by the sides that cover it, summed for each key."""
+    rows = rows.combine_chunks()
+    keys = rows["key"].combine_chunks().dictionary_encode(null_encoding="encode")
+    where = np.stack([keys.indices.to_numpy(zero_copy_only=False), rows["cx"].to_numpy(), rows["cy"].to_numpy()], axis=1).astype(np.int64)
+    order = np.lexsort(where.T)
+    rows, where = rows.take(pa.array(order)), where[order]
+    new = np.r_[True, (where[1:] != where[:-1]).any(axis=1)]
+    regions = rows["rings"].combine_chunks()
+    flat = regions.flatten()
+    _, xy = _corners(regions)
+    edges, ring = ring_edges(xy, flat.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) // 2)
+    shape = np.repeat(np.arange(len(regions)), regions.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[ring]
+    low = where[new, 1:] * cell
+    areas = covered_areas(edges, shape, rows["side"].to_numpy(), np.cumsum(new) - 1, np.concatenate([low, low + cell], axis=1))
+    codes, of = np.unique(where[new, 0], return_inverse=True)
+    sums = [pa.array(np.bincount(of, a, len(codes))) for a in areas.T]
+    return pa.Table.from_arrays([keys.dictionary.take(pa.array(codes)), *sums], ["key", *PARTS])
+
+
+def set_areas(left: DataFrame, right: DataFrame, key: str, rings: str, cell: float) -> DataFrame:
+    """``(key, only_left, common, only_right)``: areas of the ground that left regions cover, right ones, and both; keys without any have no row.
+
+    Shapes of a cell are measured as they are, without their unions; only those of cells with more than MOST_CORNERS corners are united first.
+    """
+    cell, kind = _side(cell), left.schema[key].dataType.simpleString()
+    sides = [x.select(F.col(key).alias("key"), F.lit(k).cast("long").alias("side"), F.col(rings).cast("array<array<double>>").alias("rings")) for k, x in enumerate((left, right))]
+    where, region = f"key {kind}, side long, cx long, cy long", "rings array<array<double>>"
+    parts = written(spread(sides[0].unionByName(sides[1])).mapInArrow(lambda batches: _cell_copies(batches, cell), f"{where}, corners long, {region}"), "cells")
+    counts = parts.groupBy("key", "cx", "cy").agg(F.sum("corners").alias("corners"), F.count(F.lit(1)).alias("n"))
+    crowded = written(counts.where((F.col("corners") > MOST_CORNERS) & (F.col("n") > 2)).select(F.col("key").alias("k"), F.col("cx").alias("x"), F.col("cy").alias("y")), "crowded")
+    rows = parts.drop("corners")
+    if not crowded.isEmpty():
+        here = F.col("key").eqNullSafe(F.col("k")) & (F.col("cx") == F.col("x")) & (F.col("cy") == F.col("y"))
+
+        def clipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                found = [_flat(_cell_part(with_grid_corners(r, cell), x, y, cell)) for r, x, y in zip(f.rings, f.cx, f.cy, strict=True)]
+                some = [len(r) > 0 for r in found]
+                yield pd.DataFrame({"key": f.key, "cx": 2 * f.cx + f.side, "cy": f.cy, "rings": pd.Series(found, index=f.index, dtype=object)})[some]
+
+        # the side of a part goes with its cell's number
+        united = _united(written(rows.join(crowded, here, "left_semi").mapInPandas(clipped, f"key {kind}, cx long, cy long, {region}"), "clipped"), cell)
+        united = united.select("key", F.pmod("cx", F.lit(2)).alias("side"), F.floor(F.col("cx") / 2).alias("cx"), "cy", "rings")
+        rows = rows.join(crowded, here, "left_anti").unionByName(united)
+    bucket = F.pmod(F.xxhash64("key", "cx", "cy"), F.lit(max(1, -(-parts.count() // BATCH_ROWS))))
+    areas = rows.groupBy(bucket).applyInArrow(lambda t: _cell_areas(t, cell), f"key {kind}, {', '.join(f'{p} double' for p in PARTS)}")
+    return areas.groupBy(F.col("key").alias(key)).agg(*[F.sum(p).alias(p) for p in PARTS]).where(" + ".join(PARTS) + " > 0")
 
 
 def _cell_edges(frames: Iterator[pd.DataFrame], cell: float) -> Iterator[pd.DataFrame]:
@@ -283,7 +373,9 @@ def set_cells(left: DataFrame, right: DataFrame, key: str, rings: str, operation
 
 def set_area(left: DataFrame, right: DataFrame, key: str, rings: str, operation: str, cell: float) -> DataFrame:
     """``(key, area)`` of a set operation; keys of which nothing is left have no row."""
-    return set_cells(left, right, key, rings, operation, cell).groupBy(F.col("key").alias(key)).agg(F.sum(P.rings_area(F.col("rings"))).alias("area"))
+    kept = [p for p, (a, b) in zip(PARTS, ((True, False), (True, True), (False, True)), strict=True) if OPERATIONS[operation](np.array([a]), np.array([b]))[0]]
+    area = sum((F.col(p) for p in kept), F.lit(0.0))
+    return set_areas(left, right, key, rings, cell).select(key, area.alias("area")).where("area > 0")
 
 
 def set_rings(left: DataFrame, right: DataFrame, key: str, rings: str, operation: str, cell: float) -> DataFrame:

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions import slabs
 from tessella.functions.kernels import ring_area
-from tessella.functions.overlay import _edges, inside
+from tessella.functions.overlay import _edges, combined, inside
 from tessella.operators import dissolve
 
 SCHEMA = "k string, rings array<array<double>>"
@@ -88,3 +89,39 @@ def test_set_operations_equal_pixels(spark, cell):
             for k, v in want.items():
                 rings = [np.array(x.ring).reshape(-1, 2) for x in rows if x.k == k]
                 assert sum(np.abs(p - np.roll(p, -1, axis=0)).sum() for p in rings) == border(v)
+
+
+@pytest.mark.parametrize("corners", [12, 2_048])
+def test_set_areas_equal_pixels_in_crowded_cells_too(spark, corners, monkeypatch):
+    monkeypatch.setattr(dissolve, "MOST_CORNERS", corners)  # with 12 most cells are united first
+    r = random.Random(4)
+    sides = [[(r.choice("ab"), 0 if i % 2 else r.randrange(-20, 40), 0 if i % 2 else r.randrange(-20, 40), r.randrange(2, 30), r.randrange(2, 30)) for i in range(40)] for _ in (0, 1)]
+    frames = [spark.createDataFrame([(s[0], [ell(*s[1:])]) for s in side] + [("a", None), ("b", []), (None, [ell(3, 3, 4, 4)])], SCHEMA).repartition(3) for side in sides]
+    found = [{k: set().union(*(pixels(*s[1:]) for s in side if s[0] == k)) for k in "ab"} | {None: pixels(3, 3, 4, 4)} for side in sides]
+    got = {x.k: tuple(x)[1:] for x in dissolve.set_areas(*frames, "k", "rings", 16.0).collect()}
+    assert got == {k: tuple(map(float, (len(a - b), len(a & b), len(b - a)))) for k in ("a", "b", None) for a, b in [(found[0][k], found[1][k])]}
+
+
+def test_areas_are_measured_without_unions(spark, monkeypatch):
+    monkeypatch.setattr(dissolve, "_united", lambda *_: pytest.fail("shapes were united to be measured"))
+    df = spark.createDataFrame([("s", [ell(0, 0, 8 + k % 41, 8 + k % 29)]) for k in range(100)], SCHEMA)
+    found = set().union(*(pixels(0, 0, 8 + k % 41, 8 + k % 29) for k in range(100)))
+    assert dict(dissolve.set_area(df, df.limit(0), "k", "rings", "difference", 64.0).collect()) == {"s": len(found)}
+
+
+@pytest.mark.parametrize("edges", [8, 1_024])
+def test_covered_areas_of_general_shapes(edges, monkeypatch):
+    monkeypatch.setattr(slabs, "GROUP_EDGES", edges)  # with 8 groups are cut into bands
+    r, shapes = np.random.default_rng(6), []
+    for _ in range(24):
+        n = r.integers(3, 9)
+        shapes.append(r.uniform(-2, 12, (n, 2)))  # crossing themselves, and over the border of the box
+    group, side, box = np.arange(24) // 8, np.arange(24) % 2, np.array([[0.0, 0, 8, 8], [1, 1, 9, 9], [-1, 2, 7, 10]])
+    xy, ring = slabs.ring_edges(np.concatenate(shapes), np.array([len(s) for s in shapes]))
+    got = slabs.covered_areas(xy, ring, side, group, box)
+    for g, b in enumerate(box):
+        frame_ = [np.array([[b[0], b[1]], [b[2], b[1]], [b[2], b[3]], [b[0], b[3]]])]
+        parts = [frame_, *([s] for s in shapes[8 * g : 8 * g + 8])]
+        for k, keep in enumerate((lambda a, b: a & ~b, lambda a, b: a & b, lambda a, b: b & ~a)):
+            want = combined(parts, lambda m, keep=keep: m[0] & keep(np.logical_or.reduce(m[1::2]), np.logical_or.reduce(m[2::2])))
+            assert got[g, k] == pytest.approx(sum(ring_area(p) for p in want), abs=1e-5)
