@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions.box import box
-from tessella.functions.kernels import intersection_area
+from tessella.functions.kernels import intersection_area, ring_area
 from tessella.functions.overlay import Region, intersection
 from tessella.functions.slabs import pair_areas
 from tessella.operators import aoi, match, nms
@@ -215,3 +215,30 @@ def test_a_raster_of_stacked_boxes_is_one_group_of_cutting(spark, monkeypatch):
     want = sorted(r[:2] for r in nms.ioa_disambiguated(rows, scope="r", group_edges=10_000).select("pred_id", "area").collect())
     monkeypatch.setattr(nms, "RIVALS", None)  # rounds can't run
     assert sorted(r[:2] for r in nms.ioa_disambiguated(rows, scope="r").select("pred_id", "area").collect()) == want
+
+
+def test_few_shapes_of_a_scope_are_walked_without_a_join(spark, monkeypatch):
+    monkeypatch.setattr(nms, "self_pairs", lambda *_, **__: pytest.fail("shapes of a small scope were joined"))
+    r, rows = random.Random(8), []
+    for i in range(300):
+        x, y, w, h = (r.randrange(a, b) for a, b in ((-20, 20), (-20, 20), (2, 30), (2, 30)))
+        ell = [float(v) for v in (x, y, x + w, y, x + w, y + h // 2, x + w // 2, y + h // 2, x + w // 2, y + h, x, y + h)]
+        star = [float(v) for v in (x, y, x + w, y, x + w / 2, y + h)]
+        rows.append((i, None if i % 60 == 0 else i % 6, (x, y, x + w, y + h), r.choice([None, float("nan"), *(k / 4 for k in range(9))]), r.choice([ell, star, None])))
+    df = spark.createDataFrame(rows, "pred_id long, raster int, shape struct<minx:long,miny:long,maxx:long,maxy:long>, score double, flat array<double>")
+    for flat in (None, "flat"):
+        kept = []
+        for i, raster, b, score, poly in sorted(rows, key=lambda q: (q[3] is None, q[3] is not None and q[3] == q[3], -q[3] if q[3] is not None and q[3] == q[3] else 0, q[0])):
+            mine = [b[0], b[1], b[2], b[1], b[2], b[3], b[0], b[3]] if flat is None else poly
+            if raster is None or mine is None or not any(k[1] == raster and over(k[2], mine, 3, 10) for k in kept):
+                kept.append((i, raster, mine))
+        assert {x.pred_id for x in nms.greedy_nms(df, 3, 10, "raster", flat=flat).collect()} == {k[0] for k in kept}
+
+
+def over(a, b, num, den):
+    """The IoU of two polygons, by the slabs, is over num/den."""
+    if a is None or b is None:
+        return False
+    a, b = (np.array(p, float).reshape(-1, 2) for p in (a, b))
+    common = pair_areas([[a]], [[b]])[0]
+    return common * den > (abs(ring_area(a)) + abs(ring_area(b)) - common) * (num + 1e-9 * den)
