@@ -242,3 +242,23 @@ def over(a, b, num, den):
     a, b = (np.array(p, float).reshape(-1, 2) for p in (a, b))
     common = pair_areas([[a]], [[b]])[0]
     return common * den > (abs(ring_area(a)) + abs(ring_area(b)) - common) * (num + 1e-9 * den)
+
+
+def test_few_polygons_of_a_scope_are_matched_without_a_join(spark, monkeypatch):
+    r, sides = random.Random(11), []
+    for key in ("pred_id", "truth_id"):
+        rows = []
+        for i in range(80):
+            x, y, w, h = (r.randrange(a, b) for a, b in ((0, 12), (0, 12), (6, 20), (6, 20)))
+            ell = [x, y, x + w, y, x + w, y + h // 2, x + w // 2, y + h // 2, x + w // 2, y + h, x, y + h]
+            rows.append((i, None if i == 7 else i % 4, r.choice([ell, [x, y, x + w, y, x + w, y + h, x, y + h], [x, y, x + w, y, x + w / 2, y + h]]) if i % 20 else None))
+        sides.append(spark.createDataFrame([(i, s, f and [float(v) for v in f]) for i, s, f in rows], f"{key} long, raster int, flat array<double>"))
+    found = []
+    for few in (512, 35, 0):  # all scopes, some, none
+        monkeypatch.setattr(match, "FEW", few)
+        got = match.polygon_matches(sides[0].where("raster > 1 or pred_id < 40"), sides[1], 0.4, "raster")
+        found.append({(x.pred_id, x.truth_id): x.iou for x in got.collect()})
+    assert len(found[0]) > 50 and found[0] == pytest.approx(found[1]) and found[0] == pytest.approx(found[2])
+    monkeypatch.setattr(match, "FEW", 512)
+    monkeypatch.setattr(match, "cell_join", lambda *_: pytest.fail("polygons of a small scope were joined"))
+    assert match.polygon_matches(*sides, 0.4, "raster").count() >= len(found[0])
