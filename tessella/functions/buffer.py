@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.kernels import ring_area
-from tessella.functions.overlay import Rings, combined_many
+from tessella.functions.overlay import Rings, _edges_meet, _pairs, combined_many, ring_lists, single_rings
 from tessella.functions.slabs import _chunks, _repeated
 
 MOST_CORNERS, MOST_POINTS = 512, 2_048  # of a ring and of its moved outline, whose edges are compared pair by pair
@@ -65,36 +65,6 @@ def buffered_many(regions: list[Rings], distances: list[float], quarter: int = 8
     return out
 
 
-def _pairs(sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Pairs ``i < j`` of the rows of each of ``sizes`` that follow one another; ``(i, j, owner, steps from i to j, least steps either way)``."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    i, k = _repeated(sizes[owner] - place - 1)
-    return i, i + 1 + k, owner[i], 1 + k, np.minimum(1 + k, sizes[owner[i]] - 1 - k)
-
-
-def _edges_meet(points: np.ndarray, sizes: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Whether edges of each ring that don't follow one another meet, or come about ``near``."""
-    ring = np.repeat(np.arange(len(sizes)), sizes)
-    first = np.cumsum(sizes) - sizes
-    ends = points[first[ring] + (np.arange(len(points)) - first[ring] + 1) % sizes[ring]]
-    i, j, owner, _, apart = _pairs(sizes)
-    i, j, owner = (x[apart > 1] for x in (i, j, owner))
-    low, high = np.minimum(points, ends), np.maximum(points, ends)
-    clear = (high[i] + near[owner, None] < low[j]).any(axis=1) | (high[j] + near[owner, None] < low[i]).any(axis=1)
-    i, j, owner = (x[~clear] for x in (i, j, owner))
-
-    def beside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Edges ``b`` lie on one side of the lines of ``a``."""
-        v, at = ends[a] - points[a], (points[b] - points[a], ends[b] - points[a])
-        one, two = (v[:, 0] * w[:, 1] - v[:, 1] * w[:, 0] for w in at)
-        least = near[owner] * np.hypot(*v.T)
-        return (np.minimum(one, two) > least) | (np.maximum(one, two) < -least)
-
-    met = ~(beside(i, j) | beside(j, i))
-    return np.bincount(owner[met], minlength=len(sizes)) > 0
-
-
 def _moved(points: np.ndarray, sizes: np.ndarray, by: np.ndarray, quarter: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Outlines ``(points, sizes, sure)`` of rings of ``sizes`` corners, moved by a distance; not ``sure`` where sweeps need cleaning."""
     n_rings = len(sizes)
@@ -172,32 +142,13 @@ def _plain_moved(points: np.ndarray, sizes: np.ndarray, by: np.ndarray, quarter:
 
 def _buffered_lists(regions: pa.Array, by: np.ndarray, quarter: int) -> pa.Array:
     """Flat rings of a batch of regions, each grown or shrunk by its distance (NaN: null)."""
-    n = len(regions)
-    counts = regions.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     known = ~np.asarray(regions.is_null()) & ~np.isnan(by)
-    rings = regions.flatten()
-    sizes = rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    values = rings.flatten().to_numpy(zero_copy_only=False).astype(float)
-    first_ring, first_value = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
-    one = np.flatnonzero(known & (counts == 1))
-    own = sizes[first_ring[one]]
-    one = one[(own >= 6) & (own <= 2 * MOST_CORNERS) & (own % 2 == 0)]
-    own = sizes[first_ring[one]]
-    at, k = _repeated(own)
-    found = _plain_moved(values[first_value[first_ring[one]][at] + k].reshape(-1, 2), own // 2, by[one], quarter)
+    one, points, sizes = single_rings(regions, known, MOST_CORNERS)
+    found = _plain_moved(points, sizes, by[one], quarter)
     moved, m_sizes, sure = (np.concatenate([np.empty(e, t), *(f[i] for f in found)]) for i, (e, t) in enumerate((((0, 2), float), (0, np.int64), (0, bool))))
     rest = np.setdiff1d(np.flatnonzero(known), one[sure])
     cleaned = buffered_many([[np.asarray(r, float) for r in x] for x in regions.take(pa.array(rest)).to_pylist()], by[rest].tolist(), quarter)
-    # rings of all regions in their order, from both ways
-    of = np.concatenate([one[sure], np.repeat(rest, [len(c) for c in cleaned]).astype(np.int64)])
-    ring_sizes = np.concatenate([m_sizes[sure], np.array([len(r) for c in cleaned for r in c], np.int64)])
-    points = np.concatenate([moved[np.repeat(sure, m_sizes)], *(r for c in cleaned for r in c)])
-    order = np.argsort(of, kind="stable")
-    starts = (np.cumsum(ring_sizes) - ring_sizes)[order]
-    at, k = _repeated(ring_sizes[order])
-    flat = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(2 * ring_sizes[order])].astype(np.int32)), pa.array(points[starts[at] + k].ravel()))
-    offsets = np.r_[0, np.cumsum(np.bincount(of, minlength=n))].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array(~known))
+    return ring_lists(known, one[sure], moved[np.repeat(sure, m_sizes)], m_sizes[sure], rest, cleaned)
 
 
 def buffer(rings: Column | str, distance: Column | float, quarter: int = 8) -> Column:

@@ -10,14 +10,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.kernels import ring_area
-from tessella.functions.slabs import _repeated, pair_areas, ring_edges
+from tessella.functions.slabs import _chunks, _repeated, pair_areas, ring_edges
 
 Rings = list[np.ndarray]
+MOST_CORNERS = 512  # of a ring whose edges are compared pair by pair
 _MATRIX = 1 << 18  # pairs of edges and ends that are compared at once
 
 
@@ -279,9 +280,92 @@ class Region:
         return out
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-def repaired_rings(rings: pd.Series) -> pd.Series:
-    """Flat rings as those of their even-odd region, holes clockwise."""
-    regions = [[[np.asarray(f, float).reshape(-1, 2) for f in x] if x is not None else []] for x in rings]
-    found = combined_many(regions, lambda a, _: a)
-    return pd.Series([None if x is None else [r.ravel().tolist() for r in f] for x, f in zip(rings, found, strict=True)], dtype=object)
+def _pairs(sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs ``i < j`` of the rows of each of ``sizes`` that follow one another; ``(i, j, owner, steps from i to j, least steps either way)``."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    i, k = _repeated(sizes[owner] - place - 1)
+    return i, i + 1 + k, owner[i], 1 + k, np.minimum(1 + k, sizes[owner[i]] - 1 - k)
+
+
+def _edges_meet(points: np.ndarray, sizes: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Whether edges of each ring that don't follow one another meet, or come about ``near``."""
+    ring = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum(sizes) - sizes
+    ends = points[first[ring] + (np.arange(len(points)) - first[ring] + 1) % sizes[ring]]
+    i, j, owner, _, apart = _pairs(sizes)
+    i, j, owner = (x[apart > 1] for x in (i, j, owner))
+    low, high = np.minimum(points, ends), np.maximum(points, ends)
+    clear = (high[i] + near[owner, None] < low[j]).any(axis=1) | (high[j] + near[owner, None] < low[i]).any(axis=1)
+    i, j, owner = (x[~clear] for x in (i, j, owner))
+
+    def beside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Edges ``b`` lie on one side of the lines of ``a``."""
+        v, at = ends[a] - points[a], (points[b] - points[a], ends[b] - points[a])
+        one, two = (v[:, 0] * w[:, 1] - v[:, 1] * w[:, 0] for w in at)
+        least = near[owner] * np.hypot(*v.T)
+        return (np.minimum(one, two) > least) | (np.maximum(one, two) < -least)
+
+    met = ~(beside(i, j) | beside(j, i))
+    return np.bincount(owner[met], minlength=len(sizes)) > 0
+
+
+def plain_rings(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which rings of ``sizes`` corners surely don't touch themselves."""
+    ring = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum(sizes) - sizes
+    p = points - points[first][ring]
+    near = 1e-9 * np.maximum.reduceat(np.abs(p).max(axis=1), first) if len(p) else np.empty(0)
+    place = np.arange(len(p)) - first[ring]
+    step = p[first[ring] + (place + 1) % sizes[ring]] - p
+    before = step[first[ring] + (place - 1) % sizes[ring]]
+    turn = np.arctan2(before[:, 0] * step[:, 1] - before[:, 1] * step[:, 0], (before * step).sum(axis=1))
+    good = (np.hypot(*step.T) > near[ring]) & (np.abs(turn) < np.pi - 1e-6)
+    return (np.bincount(ring[~good], minlength=len(sizes)) == 0) & ~_edges_meet(p, sizes, near)
+
+
+def single_rings(regions: pa.Array, known: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the known regions are one ring of three up to ``most`` corners, with these ``(n, 2)`` and their numbers."""
+    counts = regions.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    rings = regions.flatten()
+    sizes = rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = rings.flatten().to_numpy(zero_copy_only=False).astype(float)
+    first_ring, first_value = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+    one = np.flatnonzero(known & (counts == 1))
+    own = sizes[first_ring[one]]
+    some = (own >= 6) & (own <= 2 * most) & (own % 2 == 0)
+    one, own = one[some], own[some]
+    at, k = _repeated(own)
+    return one, values[first_value[first_ring[one]][at] + k].reshape(-1, 2), own // 2
+
+
+def ring_lists(known: np.ndarray, one: np.ndarray, points: np.ndarray, sizes: np.ndarray, rest: np.ndarray, others: list[Rings]) -> pa.Array:
+    """Flat rings of a batch of regions: of the regions ``one`` from ``points`` and ``sizes``, of those of ``rest`` from ``others``; null if not known."""
+    of = np.concatenate([one, np.repeat(rest, [len(c) for c in others]).astype(np.int64)])
+    sizes = np.concatenate([sizes, np.array([len(r) for c in others for r in c], np.int64)])
+    points = np.concatenate([points, *(r for c in others for r in c)])
+    order = np.argsort(of, kind="stable")
+    starts = (np.cumsum(sizes) - sizes)[order]
+    at, k = _repeated(sizes[order])
+    flat = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(2 * sizes[order])].astype(np.int32)), pa.array(points[starts[at] + k].ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(of, minlength=len(known)))].astype(np.int32)), flat, mask=pa.array(~known))
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def repaired_rings(rings: pa.Array) -> pa.Array:
+    """Flat rings as those of their even-odd region, holes clockwise; plain ones are turned at most."""
+    known = ~np.asarray(rings.is_null())
+    one, points, sizes = single_rings(rings, known, MOST_CORNERS)
+    ends, plain = np.cumsum(sizes), np.zeros(len(sizes), bool)
+    for a, b in _chunks(128 * sizes**2):
+        plain[a:b] = plain_rings(points[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b])
+    points, sizes, one = points[np.repeat(plain, sizes)], sizes[plain], one[plain]
+    ring, place = _repeated(sizes)
+    start = (np.cumsum(sizes) - sizes)[ring]
+    p = points - points[start]
+    after = p[start + (place + 1) % sizes[ring]]
+    turned = np.bincount(ring, p[:, 0] * after[:, 1] - p[:, 1] * after[:, 0], len(sizes)) < 0
+    points = points[np.where(turned[ring], start + sizes[ring] - 1 - place, start + place)]
+    rest = np.setdiff1d(np.flatnonzero(known), one)
+    regions = [[[np.asarray(f, float).reshape(-1, 2) for f in x]] for x in rings.take(pa.array(rest)).to_pylist()]
+    return ring_lists(known, one, points, sizes, rest, combined_many(regions, lambda a, _: a))

@@ -262,3 +262,18 @@ def test_few_polygons_of_a_scope_are_matched_without_a_join(spark, monkeypatch):
     monkeypatch.setattr(match, "FEW", 512)
     monkeypatch.setattr(match, "cell_join", lambda *_: pytest.fail("polygons of a small scope were joined"))
     assert match.polygon_matches(*sides, 0.4, "raster").count() >= len(found[0])
+
+
+def test_few_polygons_of_a_scope_are_cut_without_a_join(spark, monkeypatch):
+    r, rows = random.Random(21), []
+    for i in range(70):
+        x, y, w, h = (r.randrange(a, b) for a, b in ((0, 30), (0, 30), (4, 26), (4, 26)))
+        shape = r.choice([[x, y, x + w, y, x + w, y + h, x, y + h], [x, y, x, y + h, x + w, y + h, x + w, y], [x, y, x + w, y + h / 3, x + w / 2, y + h], [x, y, x + w, y, x + w, y + h // 2, x + w // 2, y + h // 2, x + w // 2, y + h, x, y + h]])
+        rows.append((i, None if i % 35 == 0 else i % 3, (x, y, x + w, y + h), r.choice([None, 0.5, r.random()]), [float(v) for v in shape]))
+    df = spark.createDataFrame(rows, "pred_id long, raster int, shape struct<minx:long,miny:long,maxx:long,maxy:long>, score double, flat array<double>")
+    got = lambda: {x.pred_id: x.area for x in nms.ioa_disambiguated(df, 0.5, 0.5, "raster", flat="flat").collect()}
+    with monkeypatch.context() as m:
+        m.setattr(nms, "_few", lambda rows, most: (None, rows))
+        by_pairs = got()
+    monkeypatch.setattr(nms, "self_pairs", lambda *_, **__: pytest.fail("polygons of a small scope were joined"))
+    assert 10 < len(by_pairs) < 70 and got() == pytest.approx(by_pairs, rel=1e-6)
