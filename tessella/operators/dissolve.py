@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import polygon as P
-from tessella.functions.kernels import clip_ring, ring_area
+from tessella.functions.kernels import clip_ring, clip_rings, ring_area
 from tessella.functions.overlay import Rings, combined_many
-from tessella.functions.slabs import _repeated, covered_areas, ring_edges
+from tessella.functions.slabs import _chunks, _repeated, covered_areas, ring_edges
 from tessella.operators.components import connected_components
 from tessella.session import spread, written
 
@@ -37,12 +37,17 @@ GRAINS = 2.0**30  # of a cell's side: the distance of the points that corners ma
 
 def with_grid_corners(rings: Rings, cell: float) -> Rings:
     """Rings with a corner wherever an edge crosses a line of the grid; all corners are multiples of ``cell / GRAINS``."""
-    grain = cell / GRAINS
-    rings = [np.rint(np.asarray(r, float).reshape(-1, 2) / grain) * grain for r in rings]
-    sizes = np.array([len(r) for r in rings], np.int64)
-    if not sizes.sum():
+    own = [p for r in rings if len(p := np.asarray(r, float).reshape(-1, 2)) > 2]
+    if not own:
         return []
-    edges, ring = ring_edges(np.concatenate(rings), sizes)
+    points, sizes = _grid_corners(np.concatenate(own), np.array([len(r) for r in own], np.int64), cell)
+    return np.split(points, np.cumsum(sizes)[:-1])
+
+
+def _grid_corners(points: np.ndarray, sizes: np.ndarray, cell: float) -> tuple[np.ndarray, np.ndarray]:
+    """``with_grid_corners`` for rings of ``sizes`` corners that follow one another in ``points (n, 2)``."""
+    grain = cell / GRAINS
+    edges, ring = ring_edges(np.rint(points / grain) * grain, sizes)
     turned = (edges[:, 0] > edges[:, 2]) | ((edges[:, 0] == edges[:, 2]) & (edges[:, 1] > edges[:, 3]))
     way = np.where(turned[:, None], edges[:, [2, 3, 0, 1]], edges)  # one direction for the arithmetic, whoever's edge it is
     points, at, order = [edges[:, :2]], [np.arange(len(edges))], [np.full(len(edges), -1.0)]
@@ -60,8 +65,7 @@ def with_grid_corners(rings: Rings, cell: float) -> Rings:
         order.append(np.where(turned[e], 1 - share, share))
     points, at, order = (np.concatenate(x) for x in (points, at, order))
     place = np.lexsort([order, at])
-    points, ring = points[place], ring[at[place]]
-    return [points[ring == k] for k in range(len(rings)) if sizes[k] > 2]
+    return points[place], np.bincount(ring[at], minlength=len(sizes))
 
 
 def _flat(rings: Rings) -> list[list[float]]:
@@ -75,21 +79,42 @@ def _cell_part(rings: Rings, cx: int, cy: int, cell: float) -> Rings:
     return part if any(ring_area(r) for r in part) else []
 
 
-def _clipped_batches(frames: Iterator[pd.DataFrame], cell: float) -> Iterator[pd.DataFrame]:
-    """``(key, cx, cy, rings)``: each region's part in each cell that its box touches."""
-    for frame in frames:
-        rows = []
-        for key, region in zip(frame.key, frame.rings, strict=True):
-            rings = with_grid_corners(region, cell) if region is not None else []
-            if not rings:
-                continue
-            every = np.concatenate(rings)
-            low, high = np.floor(every.min(axis=0) / cell).astype(int), np.ceil(every.max(axis=0) / cell).astype(int)
-            for cx in range(low[0], max(high[0], low[0] + 1)):
-                for cy in range(low[1], max(high[1], low[1] + 1)):
-                    if part := _cell_part(rings, cx, cy, cell):
-                        rows.append((key, cx, cy, _flat(part)))
-        yield pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in zip(("key", "cx", "cy", "rings"), zip(*rows, strict=True) if rows else [()] * 4, strict=True)})
+def _clipped_batches(batches: Iterator[pa.RecordBatch], cell: float) -> Iterator[pa.RecordBatch]:
+    """``(key, cx, cy, rings)``: each region's part in each cell that its box touches; many parts at once."""
+    for batch in batches:
+        regions = batch.column("rings")
+        flat = regions.flatten()
+        of = np.repeat(np.arange(len(regions)), regions.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        sizes = flat.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+        xy = flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 2)
+        some = sizes > 2
+        points, sizes, of = xy[np.repeat(some, sizes)], sizes[some], of[some]
+        if not len(sizes):
+            continue
+        points, sizes = _grid_corners(points, sizes, cell)
+        # rings of a region follow one another: its box, its cells, its rings
+        region, first, n_rings = np.unique(of, return_index=True, return_counts=True)
+        starts = np.cumsum(sizes) - sizes
+        low, high = (np.floor(np.minimum.reduceat(points, starts[first]) / cell).astype(np.int64), np.ceil(np.maximum.reduceat(points, starts[first]) / cell).astype(np.int64))
+        n = np.maximum(high, low + 1) - low
+        row, k = _repeated(n.prod(axis=1))
+        cx, cy = low[row, 0] + k // n[row, 1], low[row, 1] + k % n[row, 1]
+        for a, b in _chunks(4 * np.add.reduceat(sizes, first)[row]):
+            at, k = _repeated(n_rings[row[a:b]])
+            ring = first[row[a:b]][at] + k
+            p, k = _repeated(sizes[ring])
+            boxes = np.stack([cx[a:b], cy[a:b], cx[a:b] + 1, cy[a:b] + 1], axis=1)[at] * cell
+            clipped, c_sizes = clip_rings(points[starts[ring][p] + k], sizes[ring], boxes)
+            clipped, at, c_sizes = clipped[np.repeat(c_sizes > 2, c_sizes)], at[c_sizes > 2], c_sizes[c_sizes > 2]
+            edges, of_edge = ring_edges(clipped, c_sizes)
+            x0, y0, x1, y1 = (edges - np.tile(clipped[(np.cumsum(c_sizes) - c_sizes)[of_edge]], 2)).T
+            full = np.bincount(at[np.bincount(of_edge, x0 * y1 - x1 * y0, len(c_sizes)) != 0], minlength=b - a) > 0
+            kept, rows = full[at], np.flatnonzero(full)
+            clipped, at, c_sizes = clipped[np.repeat(kept, c_sizes)], at[kept], c_sizes[kept]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(2 * c_sizes)].astype(np.int32)), pa.array(clipped.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(at, minlength=b - a)[full])].astype(np.int32)), lists)
+            keys = batch.column("key").take(pa.array(region[row[a:b][rows]]))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(cx[a:b][rows]), pa.array(cy[a:b][rows]), lists], ["key", "cx", "cy", "rings"])
 
 
 def _in_batches(rows: DataFrame, keys: list[str], n_rows: int, step: Callable, kinds: dict[str, pa.DataType], schema: str, at_once: bool = False) -> DataFrame:
@@ -136,8 +161,8 @@ def union_cells(shapes: DataFrame, key: str, rings: str, cell: float) -> DataFra
     cell = _side(cell)
     kind = shapes.schema[key].dataType.simpleString()
     schema = f"key {kind}, cx long, cy long, rings array<array<double>>"
-    own = shapes.select(F.col(key).alias("key"), F.col(rings).alias("rings"))
-    return _united(written(spread(own).mapInPandas(lambda frames: _clipped_batches(frames, cell), schema), "clipped"), cell)
+    own = shapes.select(F.col(key).alias("key"), F.col(rings).cast("array<array<double>>").alias("rings"))
+    return _united(written(spread(own).mapInArrow(lambda batches: _clipped_batches(batches, cell), schema), "clipped"), cell)
 
 
 def _united(parts: DataFrame, cell: float) -> DataFrame:
@@ -246,22 +271,23 @@ def set_areas(left: DataFrame, right: DataFrame, key: str, rings: str, cell: flo
     return areas.groupBy(F.col("key").alias(key)).agg(*[F.sum(p).alias(p) for p in PARTS]).where(" + ".join(PARTS) + " > 0")
 
 
-def _cell_edges(frames: Iterator[pd.DataFrame], cell: float) -> Iterator[pd.DataFrame]:
+def _cell_edges(batches: Iterator[pa.RecordBatch], cell: float) -> Iterator[pa.RecordBatch]:
     """Directed edges of each cell's union. ``axis`` and ``line`` name the border that an edge lies on; axis 2: none."""
-    for frame in frames:
-        out = []
-        for key, cx, cy, region in zip(frame.key, frame.cx, frame.cy, frame.rings, strict=True):
-            rings = [np.asarray(r, float).reshape(-1, 2) for r in region]
-            if not rings:
-                continue
-            edges, _ = ring_edges(np.concatenate(rings), np.array([len(r) for r in rings]))
-            axis, line = np.full(len(edges), 2), np.zeros(len(edges), np.int64)
-            for a, c in ((0, cx), (1, cy)):
-                for k in (c, c + 1):
-                    on = (edges[:, a] == k * cell) & (edges[:, a + 2] == k * cell)
-                    axis[on], line[on] = a, k
-            out.append(pd.DataFrame({"key": pd.Series([key] * len(edges), dtype=object), "cx": cx, "cy": cy, "axis": axis, "line": line, **dict(zip(("x0", "y0", "x1", "y1"), edges.T, strict=True))}))
-        yield pd.concat(out) if out else pd.DataFrame(columns=["key", "cx", "cy", "axis", "line", "x0", "y0", "x1", "y1"])
+    for batch in batches:
+        regions = batch.column("rings")
+        flat = regions.flatten()
+        of = np.repeat(np.arange(len(regions)), regions.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        sizes = flat.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+        edges, ring = ring_edges(flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 2), sizes)
+        row = of[ring]
+        cx, cy = (batch.column(c).to_numpy()[row] for c in _CELL)
+        axis, line = np.full(len(edges), 2, np.int32), np.zeros(len(edges), np.int64)
+        for a, c in ((0, cx), (1, cy)):
+            for k in (c, c + 1):
+                on = (edges[:, a] == k * cell) & (edges[:, a + 2] == k * cell)
+                axis[on], line[on] = a, k[on]
+        columns = {"key": batch.column("key").take(pa.array(row)), "cx": cx, "cy": cy, "axis": axis, "line": line, **dict(zip(_ENDS, edges.T, strict=True))}
+        yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values()], list(columns))
 
 
 def _left_over(group: tuple, columns: dict) -> Iterator[tuple]:
@@ -398,7 +424,7 @@ def _bounding_rings(cells: DataFrame, key: str, cell: float) -> DataFrame:
     where = f"key {kind}, cx long, cy long"
     ends = "x0 double, y0 double, x1 double, y1 double"
     chain = {"chain": pa.list_(pa.float64())}
-    edges = written(cells.mapInPandas(lambda frames: _cell_edges(frames, cell), f"{where}, axis int, line long, {ends}"), "cell_edges")
+    edges = written(cells.mapInArrow(lambda batches: _cell_edges(batches, cell), f"{where}, axis int, line long, {ends}"), "cell_edges")
     n_edges = edges.count()
     inner = edges.where("axis = 2").select("key", "cx", "cy", *_ENDS)
     along = F.when(F.col("axis") == 0, F.col("cy")).otherwise(F.col("cx"))

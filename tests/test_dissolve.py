@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,24 @@ def test_covered_areas_of_general_shapes(edges, monkeypatch):
         for k, keep in enumerate((lambda a, b: a & ~b, lambda a, b: a & b, lambda a, b: b & ~a)):
             want = combined(parts, lambda m, keep=keep: m[0] & keep(np.logical_or.reduce(m[1::2]), np.logical_or.reduce(m[2::2])))
             assert got[g, k] == pytest.approx(sum(ring_area(p) for p in want), abs=1e-5)
+
+
+def test_regions_of_a_batch_are_clipped_as_each_alone():
+    r, regions = np.random.default_rng(12), [None, [], [[0.0, 0.0, 5.0, 5.0]], [ell(0, 0, 16, 8)], [ell(-9, -20, 40, 33), [-5.0, -15.0, 0.0, -15.0, 0.0, -9.0]]]
+    regions += [[(p + o).ravel().tolist() for p in np.split(r.uniform(-20, 30, (9, 2)), 3)] for o in r.uniform(-50, 50, (20, 2))]
+    batch = pa.record_batch({"key": pa.array(range(len(regions))), "rings": pa.array(regions, pa.list_(pa.list_(pa.float64())))})
+    got = [row for b in dissolve._clipped_batches(iter([batch, batch[:3]]), 8.0) for row in b.to_pylist()]
+    want = {}
+    for key, region in enumerate(regions):
+        rings = dissolve.with_grid_corners(region or [], 8.0)
+        for cx in range(-12, 14):
+            for cy in range(-12, 14):
+                if part := dissolve._cell_part(rings, cx, cy, 8.0):
+                    want[key, cx, cy] = [p.ravel().tolist() for p in part]
+    assert {(x["key"], x["cx"], x["cy"]): x["rings"] for x in got} == want and len(got) == len(want)
+
+
+def test_shapes_of_a_union_are_clipped_at_once(spark, monkeypatch):
+    monkeypatch.setattr(dissolve, "clip_ring", lambda *_: pytest.fail("a ring was clipped alone"))
+    df = spark.createDataFrame([("s", [ell(3 * k, 0, 20, 20)]) for k in range(9)], SCHEMA)
+    assert sum(x.area for x in dissolve.union_rings(df, "k", "rings", 16.0).collect()) == len(set().union(*(pixels(3 * k, 0, 20, 20) for k in range(9))))
